@@ -1 +1,268 @@
-"""Cases."""
+"""Page-level cases on ``pages`` (page_id, url, html): links, URL handling,
+scopes, titles, visible text, first card per URL and the link -> page join."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ...functions import html as H
+from ...functions.text import WS_CLASS, matches_any_phrase
+from ...operators import aggregates, filters, html_facts, joins, ordering, windows
+from ...sources import payloads
+from . import case, read
+from .sqlbits import phrase_re2, q
+
+# Parameters fitted to the driver's pages (their links are one-word paths).
+DETAIL_CI = r"^(?:https?://[^/]+)?/[a-z0-9-]+/?$"
+DETAIL_CS = r"/[A-Z][a-z]+/?$"
+SUPPLY_MARKER = ".example."
+SUPPLY_SET = ["de", "the", "in", "los", "was"]
+CARD_PHRASES = [r"\bthe\b", r"\bde\b"]
+
+
+# --- DuckDB spellings of the html functions --------------------------------
+
+def unescape_sql(e: str, skip_nbsp: bool = False) -> str:
+    for ent, ch in H.ENTITIES:
+        if skip_nbsp and ent == "&nbsp;":
+            continue
+        e = f"replace({e}, {q(ent)}, {q(ch)})"
+    return e
+
+
+def visible_sql(e: str) -> str:
+    return f"regexp_replace({e}, {q(H.NON_TEXT_BLOCKS)}, '<x>', 'g')"
+
+
+def text_raw_sql(e: str) -> str:
+    v = visible_sql(e)
+    v = f"regexp_replace({v}, {q(f'^(?:{H.TAG})+|(?:{H.TAG})+$')}, '', 'g')"
+    v = f"regexp_replace({v}, {q(f'(?:{H.TAG})+')}, ' ', 'g')"
+    return unescape_sql(v)
+
+
+def text_stripped_sql(e: str) -> str:
+    v = f"replace({visible_sql(e)}, '&nbsp;', chr(160))"
+    v = f"regexp_replace({v}, {q(f'{WS_CLASS}*(?:{H.TAG}{WS_CLASS}*)+')}, ' ', 'g')"
+    v = f"regexp_replace({v}, {q(f'^{WS_CLASS}+|{WS_CLASS}+$')}, '', 'g')"
+    return unescape_sql(v, skip_nbsp=True)
+
+
+def unquote_sql(e: str) -> str:
+    return f"CASE WHEN starts_with({e}, '\"') OR starts_with({e}, '''') THEN substr({e}, 2, length({e}) - 2) ELSE {e} END"
+
+
+def hrefs_sql(e: str) -> str:
+    raw = f"regexp_extract_all({visible_sql(e)}, {q(H.ANCHOR_HREF)}, 1)"
+    return f"list_transform({raw}, lambda h: {unescape_sql(unquote_sql('h'))})"
+
+
+def element_sql(v: str, tag: str) -> tuple[str, str]:
+    has = f"regexp_matches({v}, {q(rf'(?is)<{tag}\b[^>]*>.*?</{tag}\s*>')})"
+    inner = f"regexp_extract({v}, {q(rf'(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>')}, 1)"
+    return has, inner
+
+
+def resolve_sql(h: str, b: str) -> str:
+    scheme_re = r"^[A-Za-z][A-Za-z0-9+.\-]*"
+    origin = f"regexp_extract({b}, {q(f'^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)')}, 1)"
+    scheme = f"regexp_extract({b}, {q(f'^([A-Za-z][A-Za-z0-9+.\\-]*):')}, 1)"
+    no_query = f"regexp_extract({b}, '^([^?#]*)', 1)"
+    no_frag = f"regexp_extract({b}, '^([^#]*)', 1)"
+    base_dir = (f"CASE WHEN regexp_matches({b}, {q(scheme_re + '://[^/?#]*/')}) "
+                f"THEN regexp_extract({b}, '^([^?#]*/)', 1) ELSE {origin} || '/' END")
+    return (f"CASE WHEN regexp_matches({h}, {q(scheme_re + ':')}) THEN {h} "
+            f"WHEN starts_with({h}, '//') THEN {scheme} || ':' || {h} "
+            f"WHEN starts_with({h}, '/') THEN {origin} || {h} "
+            f"WHEN {h} = '' THEN {b} "
+            f"WHEN starts_with({h}, '?') THEN {no_query} || {h} "
+            f"WHEN starts_with({h}, '#') THEN {no_frag} || {h} "
+            f"ELSE {base_dir} || {h} END")
+
+
+LINKS_SQL = f"""
+page_hrefs AS (SELECT page_id, url, {hrefs_sql('html')} AS hrefs FROM pages),
+links AS (SELECT page_id, url, i AS pos, hrefs[i + 1] AS href
+          FROM (SELECT page_id, url, hrefs, unnest(range(len(hrefs))) AS i FROM page_hrefs))"""
+
+
+def links_df(spark: SparkSession, d: str) -> DataFrame:
+    pages = read(spark, d, "pages")
+    return pages.select("page_id", "url", F.posexplode(H.anchor_hrefs("html")).alias("pos", "href"))
+
+
+# --- cases -------------------------------------------------------------------
+
+@case("html_links", f"WITH {LINKS_SQL} SELECT page_id, pos, href FROM links")
+def html_links(spark, d):
+    return links_df(spark, d).select("page_id", "pos", "href")
+
+
+@case("distinct_links", f"WITH {LINKS_SQL} SELECT page_id, href, min(pos) AS pos FROM links GROUP BY page_id, href")
+def distinct_links(spark, d):
+    return aggregates.distinct_links(links_df(spark, d), ["page_id"], "href", ["pos"])
+
+
+@case("resolve_url", f"WITH {LINKS_SQL} SELECT page_id, pos, href, {resolve_sql('href', 'url')} AS detail_url FROM links")
+def resolve_url(spark, d):
+    return links_df(spark, d).select("page_id", "pos", "href", H.resolve_url("href", "url").alias("detail_url"))
+
+
+@case("strip_query", f"""WITH {LINKS_SQL}
+SELECT page_id, pos, href, split_part(href, '?', 1) AS href_path, split_part(url, '?', 1) AS page_path FROM links""")
+def strip_query(spark, d):
+    return links_df(spark, d).select(
+        "page_id", "pos", "href", H.strip_query("href").alias("href_path"), H.strip_query("url").alias("page_path")
+    )
+
+
+@case("detail_href", f"""WITH {LINKS_SQL}
+SELECT page_id, pos, href, COALESCE(regexp_matches(href, {q('(?i)' + DETAIL_CI)}), false) AS is_detail_ci,
+       COALESCE(regexp_matches(href, {q(DETAIL_CS)}), false) AS is_detail_cs FROM links""")
+def detail_href(spark, d):
+    return links_df(spark, d).select(
+        "page_id", "pos", "href",
+        filters.detail_href("href", DETAIL_CI, True).alias("is_detail_ci"),
+        filters.detail_href("href", DETAIL_CS, False).alias("is_detail_cs"),
+    )
+
+
+@case("supply_category", f"""WITH {LINKS_SQL}, r AS (SELECT page_id, pos, {resolve_sql('href', 'url')} AS detail_url FROM links)
+SELECT page_id, pos, detail_url, contains(detail_url, {q(SUPPLY_MARKER)})
+       AND (COALESCE(string_split(detail_url, '/')[4], '') IN ({', '.join(q(s) for s in SUPPLY_SET)})
+            OR COALESCE(string_split(detail_url, '/')[4], '') = '') AS is_supply FROM r""")
+def supply_category(spark, d):
+    r = links_df(spark, d).select("page_id", "pos", H.resolve_url("href", "url").alias("detail_url"))
+    return r.select("page_id", "pos", "detail_url",
+                    filters.supply_category("detail_url", SUPPLY_MARKER, SUPPLY_SET).alias("is_supply"))
+
+
+@case("html_strip_tags", "SELECT page_id, regexp_replace(COALESCE(html, ''), '<[^>]+>', ' ', 'g') AS text FROM pages")
+def html_strip_tags(spark, d):
+    return read(spark, d, "pages").select("page_id", H.strip_tags("html").alias("text"))
+
+
+@case("html_text", f"SELECT page_id, {text_raw_sql('html')} AS text_raw, {text_stripped_sql('html')} AS text_stripped FROM pages")
+def html_text(spark, d):
+    return read(spark, d, "pages").select(
+        "page_id", H.text_raw("html").alias("text_raw"), H.text_stripped("html").alias("text_stripped")
+    )
+
+
+def _scope_sql() -> str:
+    v = visible_sql("html")
+    m_has, m_in = element_sql("v", "main")
+    a_has, a_in = element_sql("v", "article")
+    return f"""WITH s AS (SELECT page_id, {v} AS v FROM pages)
+SELECT page_id, CASE WHEN {m_has} THEN 'main' WHEN {a_has} THEN 'article' ELSE 'page' END AS scope,
+       {text_raw_sql(f'CASE WHEN {m_has} THEN {m_in} WHEN {a_has} THEN {a_in} ELSE v END')} AS scope_text FROM s"""
+
+
+@case("html_main_scope", _scope_sql())
+def html_main_scope(spark, d):
+    return read(spark, d, "pages").select(
+        "page_id", H.scope_name("html").alias("scope"), H.text_raw(H.main_scope("html")).alias("scope_text")
+    )
+
+
+def _title_sql() -> str:
+    h1_has, h1_in = element_sql("v", "h1")
+    h2_has, h2_in = element_sql("v", "h2")
+    return f"""WITH s AS (SELECT page_id, {visible_sql('html')} AS v FROM pages)
+SELECT page_id, CASE WHEN {h1_has} THEN {text_stripped_sql(h1_in)} WHEN {h2_has} THEN {text_stripped_sql(h2_in)} END
+       AS title FROM s"""
+
+
+@case("html_title", _title_sql())
+def html_title(spark, d):
+    return read(spark, d, "pages").select("page_id", H.heading_title("html").alias("title"))
+
+
+@case("read_pages", """SELECT page_id, url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#:]+)', 1) AS host,
+length(html) AS n_chars FROM pages""")
+def read_pages(spark, d):
+    pages = payloads.read_pages(read(spark, d, "pages"))
+    return pages.select("page_id", "url", payloads.url_host("url").alias("host"), F.length("html").alias("n_chars"))
+
+
+@case("source_order", f"WITH {LINKS_SQL} SELECT page_id, pos, page_id * 1000000 + pos AS src_pos FROM links")
+def source_order(spark, d):
+    return links_df(spark, d).select("page_id", "pos", ordering.source_position("page_id", "pos").alias("src_pos"))
+
+
+CARDS_SQL = f"""
+page_anchors AS (
+  SELECT page_id, url, regexp_extract_all(v, {q(H.ANCHOR_FULL)}, 1) AS hs, regexp_extract_all(v, {q(H.ANCHOR_FULL)}, 2) AS ts
+  FROM (SELECT page_id, url, {visible_sql('html')} AS v FROM pages)),
+cards AS (
+  SELECT page_id, i AS pos, {resolve_sql(unescape_sql(unquote_sql('hs[i + 1]')), 'url')} AS detail_url,
+         {text_raw_sql('ts[i + 1]')} AS card_text
+  FROM (SELECT page_id, url, hs, ts, unnest(range(len(hs))) AS i FROM page_anchors)),
+first_cards AS (
+  SELECT detail_url, page_id, pos, card_text FROM cards
+  QUALIFY row_number() OVER (PARTITION BY detail_url ORDER BY page_id, pos) = 1)"""
+
+
+def cards_df(spark: SparkSession, d: str) -> DataFrame:
+    pages = read(spark, d, "pages")
+    a = pages.select("page_id", "url", F.posexplode(H.anchors("html")).alias("pos", "a"))
+    return a.select(
+        "page_id", "pos", H.resolve_url(F.col("a.href"), F.col("url")).alias("detail_url"),
+        F.col("a.text").alias("card_text"),
+    )
+
+
+@case("first_card_per_url", f"WITH {CARDS_SQL} SELECT detail_url, page_id, pos FROM first_cards")
+def first_card_per_url(spark, d):
+    return windows.first_per_key(cards_df(spark, d), ["detail_url"], ["page_id", "pos"]).select(
+        "detail_url", "page_id", "pos"
+    )
+
+
+@case("card_reject_anti", f"""WITH {CARDS_SQL}
+SELECT detail_url, page_id, pos FROM first_cards WHERE NOT COALESCE(regexp_matches(card_text, {q(phrase_re2(CARD_PHRASES))}), false)""")
+def card_reject_anti(spark, d):
+    visited = joins.card_reject_anti(cards_df(spark, d), "detail_url", ("page_id", "pos"), "card_text", CARD_PHRASES)
+    return visited.select("detail_url", "page_id", "pos")
+
+
+@case("link_page_join", """WITH links AS (SELECT page_id AS referrer_id, regexp_replace(url, '#.*$', '') AS detail_url FROM pages),
+targets AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS url FROM pages)
+SELECT l.referrer_id, t.page_id, l.detail_url FROM links l JOIN targets t ON l.detail_url = t.url""")
+def link_page_join(spark, d):
+    pages = read(spark, d, "pages")
+    # The crawl's link list: every landed page's URL without its fragment.
+    links = pages.select(F.col("page_id").alias("referrer_id"), F.regexp_replace("url", "#.*$", "").alias("detail_url"))
+    targets = pages.select("page_id", F.regexp_replace("url", "#.*$", "").alias("url"))
+    return joins.link_page_join(links, targets).select("referrer_id", "page_id", "detail_url")
+
+
+# --- DOM facts (rows-only: no SQL equivalent of a nested DOM walk) ---------
+
+def _facts(spark, d):
+    return html_facts.html_facts(
+        read(spark, d, "pages"),
+        card_selectors=[("article", r"listing|card"), ("li", None)],
+        detail_href=DETAIL_CI,
+        class_patterns={"ad_text": r"^ad$"},
+        scope_tags=("main",),
+        attr_classes=(r"^ad$", r"^ad$", r"^ad$"),
+    )
+
+
+@case("html_cards")
+def html_cards(spark, d):
+    return _facts(spark, d).select("page_id", F.posexplode("cards").alias("pos", "card")).select(
+        "page_id", "pos", F.col("card.href").alias("href"), F.col("card.text").alias("card_text")
+    )
+
+
+@case("html_first_by_class")
+def html_first_by_class(spark, d):
+    return _facts(spark, d).select("page_id", "ad_text")
+
+
+@case("html_attributes_map")
+def html_attributes_map(spark, d):
+    return _facts(spark, d).select("page_id", F.explode_outer("attributes").alias("label", "value"))
