@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.payload import is_object, truthy
 from ..functions.text import col, left_chars, matches_any_phrase
 
 
@@ -38,6 +39,12 @@ def out_of_stock(availability: Column | str) -> Column:
     return F.coalesce(col(availability).contains("OutOfStock"), F.lit(False))
 
 
+def offer_usable(offers: Column) -> Column:
+    """F3 companion: ``offers`` (VARIANT) is an object or falsy.  Any other
+    truthy value (a list, a string) made the reference drop the page."""
+    return is_object(offers) | ~truthy(offers)
+
+
 def not_sold(is_sold_or_rented: Column | str, is_rented: Column | str) -> Column:
     """keep unless either flag is truthy."""
     return ~F.coalesce(col(is_sold_or_rented).cast("boolean"), F.lit(False)) & ~F.coalesce(
