@@ -89,7 +89,9 @@ def flatten_lists(blocks: Column) -> Column:
 
 
 def is_object(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    """The value is a JSON object.  Casting to an empty struct succeeds only
+    for objects and does not walk the value (``schema_of_variant`` would)."""
+    return F.coalesce(vget(v, "$", "struct<>").isNotNull(), F.lit(False))
 
 
 def has_key(v: Column, key: str) -> Column:
@@ -97,14 +99,17 @@ def has_key(v: Column, key: str) -> Column:
 
 
 def truthy(v: Column) -> Column:
-    """Python truthiness of a JSON value (missing -> False)."""
+    """Python truthiness of a JSON value (missing -> False).  Containers are
+    tested by their size; only scalars reach ``schema_of_variant``, where it
+    is constant-time."""
+    lst = variant_list(v)
     kind = F.schema_of_variant(v)
     return F.coalesce(
         F.when(v.isNull() | F.is_variant_null(v), F.lit(False))
+        .when(is_object(v), F.size(vget(v, "$", "map<string,variant>")) > 0)
+        .when(lst.isNotNull(), F.size(lst) > 0)
         .when(kind == "BOOLEAN", vget(v, "$", "boolean"))
         .when(kind == "STRING", vget(v, "$", "string") != "")
-        .when(kind.startswith("ARRAY"), F.size(variant_list(v)) > 0)
-        .when(kind.startswith("OBJECT"), F.size(vget(v, "$", "map<string,variant>")) > 0)
         .otherwise(vget(v, "$", "double") != 0),
         F.lit(False),
     )

@@ -31,11 +31,18 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return df.groupBy(*keys).agg(packed).select(*keys, *[F.col(f"_first.{c}").alias(c) for c in [*order, *rest]])
 
 
+def dedup_eligible(address: Column | str, price: Column | str) -> Column:
+    """The key counts when the address has a digit and the price is known.
+    Lower-casing and removing whitespace cannot add or drop a digit, so the
+    test runs on the raw address, without building the key."""
+    a = F.col(address) if isinstance(address, str) else address
+    p = F.col(price) if isinstance(price, str) else price
+    return F.coalesce(a.rlike(DIGIT_CLASS) & p.isNotNull(), F.lit(False))
+
+
 def dedup_key(address: Column | str, price: Column | str) -> Column:
-    """C17 + eligibility: the key when it has a digit and the price is known, else NULL."""
-    k = address_key(address)
-    price_c = F.col(price) if isinstance(price, str) else price
-    return F.when(k.rlike(DIGIT_CLASS) & price_c.isNotNull(), k)
+    """C17 + eligibility: the key when it counts, else NULL."""
+    return F.when(dedup_eligible(address, price), address_key(address))
 
 
 def mark_cross_source_duplicates(df: DataFrame, address: str = "address", price: str = "price_eur_month",
@@ -53,13 +60,13 @@ def mark_cross_source_duplicates(df: DataFrame, address: str = "address", price:
     ``df`` is read three times; pass a staged (written) table, not an
     expensive plan.
     """
-    keyed = df.withColumn("_dedup_key", dedup_key(address, price))
-    eligible = keyed.where(F.col("_dedup_key").isNotNull())
+    keyed = df.withColumn("_eligible", dedup_eligible(address, price))
+    eligible = keyed.where(F.col("_eligible")).withColumn("_dedup_key", address_key(address))
     firsts = eligible.groupBy("_dedup_key", price).agg(F.min(rank).alias("_first_rank"))
     marked = eligible.join(firsts, on=["_dedup_key", price], how="inner").withColumn(
         "is_duplicate", F.col(rank) > F.col("_first_rank")
     )
-    ineligible = keyed.where(F.col("_dedup_key").isNull()).withColumn("is_duplicate", F.lit(False))
+    ineligible = keyed.where(~F.col("_eligible")).withColumn("is_duplicate", F.lit(False))
     cols = [*df.columns, "is_duplicate"]
     return marked.select(*cols).unionByName(ineligible.select(*cols))
 

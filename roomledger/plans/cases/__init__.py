@@ -30,7 +30,9 @@ def case(key: str, sql: str | None = None):
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+    from ..layout import spread_narrow_scan
+
+    return spread_narrow_scan(spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet"))
 
 
 def load_all() -> dict[str, tuple[Query, str | None]]:
