@@ -77,10 +77,25 @@ def search_payload(html: Column | str) -> Column:
     )
 
 
-def jsonld_blocks(html: Column | str, allow_attrs: bool = False) -> Column:
-    """All JSON-LD blocks in page order, parsed (malformed -> NULL element)."""
+def jsonld_blocks(html: Column | str, allow_attrs: bool = False, keys: Sequence[str] = ()) -> Column:
+    """JSON-LD blocks in page order, parsed (malformed -> NULL element).
+
+    With ``keys``, only blocks whose text mentions one of them as a quoted
+    name are parsed: a block without it cannot match a predicate on that
+    key.  A block with any backslash is always parsed, since an escaped name
+    (``"\\u006ffers"``) is the same key after parsing.
+    """
     pattern = JSONLD_WITH_ATTRS if allow_attrs else JSONLD_STRICT
-    return F.transform(F.regexp_extract_all(col(html), F.lit(pattern), 1), lambda b: F.try_parse_json(b))
+    texts = F.regexp_extract_all(col(html), F.lit(pattern), 1)
+    if keys:
+        def may_match(b: Column) -> Column:
+            out = b.contains("\\")
+            for k in keys:
+                out = out | b.contains(f'"{k}"')
+            return out
+
+        texts = F.filter(texts, may_match)
+    return F.transform(texts, lambda b: F.try_parse_json(b))
 
 
 def flatten_lists(blocks: Column) -> Column:
@@ -122,13 +137,13 @@ def first_match(elements: Column, predicate: Callable[[Column], Column]) -> Colu
 
 def ld_offer_block(html: Column | str) -> Column:
     """S6, classifieds: first top-level object that has an ``offers`` key (lists rejected)."""
-    return first_match(jsonld_blocks(html), lambda v: has_key(v, "offers"))
+    return first_match(jsonld_blocks(html, keys=("offers",)), lambda v: has_key(v, "offers"))
 
 
 def ld_typed_block(html: Column | str, types: Sequence[str] = K.JSONLD_TYPES) -> Column:
     """S6, rental pages: first object (lists flattened) whose ``@type`` is in ``types``."""
     return first_match(
-        flatten_lists(jsonld_blocks(html)),
+        flatten_lists(jsonld_blocks(html, keys=("@type",))),
         lambda v: is_object(v) & vget(v, "$['@type']", "string").isin(*types),
     )
 
@@ -136,7 +151,7 @@ def ld_typed_block(html: Column | str, types: Sequence[str] = K.JSONLD_TYPES) ->
 def ld_offer_or_address_block(html: Column | str) -> Column:
     """S6, JS pages: first object (lists flattened) with a truthy ``offers`` or ``address``."""
     return first_match(
-        flatten_lists(jsonld_blocks(html, allow_attrs=True)),
+        flatten_lists(jsonld_blocks(html, allow_attrs=True, keys=("offers", "address"))),
         lambda v: is_object(v) & (truthy(vget(v, "$.offers", "variant")) | truthy(vget(v, "$.address", "variant"))),
     )
 

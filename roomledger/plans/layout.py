@@ -21,7 +21,7 @@ MIN_SPREAD_BYTES = 1 << 20
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the plan (file sizes for a scan)."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # noqa: BLE001 - an estimate is optional
         return 0
 
