@@ -64,13 +64,15 @@ def write_run_stamped(df: DataFrame, root: str, run_ts: dt.datetime, fmt: str =
     """K3: write under ``root/run_ts=<stamp>/``; nothing is written for 0 rows.
 
     Returns the written folder, or None when the frame is empty.  Each run
-    gets its own partition, so reruns never overwrite earlier runs.
+    owns its partition folder and overwrites only that folder, so a retried
+    run replaces its own output and never touches other runs.  Reading
+    ``root`` gives ``run_ts`` back as a partition column.
     """
     if df.isEmpty():
         return None
-    stamp = run_stamp(run_ts)
-    (df.withColumn("run_ts", F.lit(stamp)).write.mode("append").partitionBy("run_ts").format(fmt).save(root))
-    return f"{root.rstrip('/')}/run_ts={stamp}"
+    path = f"{root.rstrip('/')}/run_ts={run_stamp(run_ts)}"
+    df.write.mode("overwrite").format(fmt).save(path)
+    return path
 
 
 def write_outputs(staged: DataFrame, out_dir: str, run_ts: dt.datetime) -> dict[str, str | None]:
@@ -87,8 +89,8 @@ def write_outputs(staged: DataFrame, out_dir: str, run_ts: dt.datetime) -> dict[
     if paths["listings"] is not None:
         sorted_kept = kept.orderBy("site_rank", "src_pos")
         present = present_listings(sorted_kept)
-        present.write.mode("append").option("header", True).csv(f"{out_dir}/sheet/run_ts={run_stamp(run_ts)}")
+        present.write.mode("overwrite").option("header", True).csv(f"{out_dir}/sheet/run_ts={run_stamp(run_ts)}")
         paths["sheet"] = f"{out_dir}/sheet/run_ts={run_stamp(run_ts)}"
-        summary_rows(kept, run_ts).write.mode("append").parquet(f"{out_dir}/summary/run_ts={run_stamp(run_ts)}")
+        summary_rows(kept, run_ts).write.mode("overwrite").parquet(f"{out_dir}/summary/run_ts={run_stamp(run_ts)}")
         paths["summary"] = f"{out_dir}/summary/run_ts={run_stamp(run_ts)}"
     return paths

@@ -102,3 +102,24 @@ def test_failing_source_is_isolated(spark, landed):
     reg.register("broken", lambda s, root: s.read.parquet(root + "/missing"))
     res = batch_run.run(spark, landed, scratch_dir(spark, "out"), TS, registry=reg)
     assert "broken" in res["failures"] and len(res["sources"]) == 5
+
+
+def test_landed_runs_stream_processes_each_run_once(spark, landed):
+    import json
+    import os
+
+    from roomledger.streaming.landed_runs import watch_landed_runs
+
+    manifest = scratch_dir(spark, "manifest")
+    local = manifest[len("file:"):] if manifest.startswith("file:") else manifest
+    os.makedirs(local, exist_ok=True)
+    with open(f"{local}/runs-1.json", "w") as f:
+        f.write(json.dumps({"run_id": "r1", "landed_root": landed, "run_ts": "2026-01-02T08:00:00"}) + "\n")
+    out, ckpt = scratch_dir(spark, "out"), scratch_dir(spark, "ckpt")
+    watch_landed_runs(spark, manifest, out, ckpt).awaitTermination()
+    first = spark.read.parquet(f"{out}/listings").count()
+    # A second trigger with no new manifest line must not write again.
+    watch_landed_runs(spark, manifest, out, ckpt).awaitTermination()
+    assert first == 5 and spark.read.parquet(f"{out}/listings").count() == 5
+    assert [r["run_ts"] for r in spark.read.parquet(f"{out}/listings").select("run_ts").distinct().collect()] == [
+        "20260102_080000"]
