@@ -116,9 +116,12 @@ def _first_link(node: _Node, href_re: re.Pattern) -> _Node | None:
     return None
 
 
+Selector = tuple[str | None, str | None]  # (tag or None for any, class pattern or None for any)
+
+
 def page_facts(html: str, card_selectors: Sequence[tuple[str, str]], detail_href: str, detail_flags: int,
                class_patterns: Mapping[str, str], scope_tags: Sequence[str],
-               attr_classes: tuple[str, str, str]) -> dict:
+               attr_selectors: tuple[Selector, Selector, Selector]) -> dict:
     root = parse(html)
     href_re = re.compile(detail_href, detail_flags)
     # Cards by ordered selectors, else the parents of detail links.
@@ -142,10 +145,10 @@ def page_facts(html: str, card_selectors: Sequence[tuple[str, str]], detail_href
         el = find_first(scope, None, pattern)
         hits[name] = get_text(el, " ", strip=True) if el is not None else None
     # label/value pairs, label lower-cased.
-    item_c, label_c, value_c = attr_classes
+    (item_t, item_c), (label_t, label_c), (value_t, value_c) = attr_selectors
     keys, values = [], []
-    for item in find_all(root, None, item_c):
-        label, value = find_first(item, None, label_c), find_first(item, None, value_c)
+    for item in find_all(root, item_t, item_c):
+        label, value = find_first(item, label_t, label_c), find_first(item, value_t, value_c)
         if label is not None and value is not None:
             keys.append(get_text(label, " ", strip=True).lower())
             values.append(get_text(value, " ", strip=True))
@@ -157,7 +160,8 @@ def html_facts(pages: DataFrame, key: str = "page_id", html: str = "html",
                detail_href: str = K.RENTALS_DETAIL_HREF, detail_case_insensitive: bool = True,
                class_patterns: Mapping[str, str] | None = None,
                scope_tags: Sequence[str] = ("main", "article"),
-               attr_classes: tuple[str, str, str] = (K.ATTR_ITEM_CLASS, K.ATTR_LABEL_CLASS, K.ATTR_VALUE_CLASS),
+               attr_selectors: tuple[Selector, Selector, Selector] = (
+                   (None, K.ATTR_ITEM_CLASS), (None, K.ATTR_LABEL_CLASS), (None, K.ATTR_VALUE_CLASS)),
                ) -> DataFrame:
     """P6-P8 for every page: ``key`` plus ``cards`` (array of (href, text)),
     one column per class pattern, and ``attributes`` (map, last label wins)."""
@@ -178,7 +182,7 @@ def html_facts(pages: DataFrame, key: str = "page_id", html: str = "html",
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [page_facts(h, selectors, detail_href, flags, patterns, scopes, attr_classes)
+            rows = [page_facts(h, selectors, detail_href, flags, patterns, scopes, attr_selectors)
                     for h in pdf[html]]
             out = pd.DataFrame(rows, columns=[f.name for f in fields[1:]])
             out.insert(0, key, pdf[key].values)

@@ -79,7 +79,8 @@ def cross_source_dedup(spark, d):
 
 
 @case("dedup_removed_count", f"""WITH {DOC_SQL}, {keyed_sql('doc_listings')}
-SELECT count(*) AS rows_in, count_if(NOT is_duplicate) AS rows_kept, count_if(is_duplicate) AS rows_removed
+SELECT count(*) AS rows_in, CAST(count_if(NOT is_duplicate) AS BIGINT) AS rows_kept,
+       CAST(count_if(is_duplicate) AS BIGINT) AS rows_removed
 FROM marked""")
 def dedup_removed_count(spark, d):
     return aggregates.dedup_removed_count(windows.mark_cross_source_duplicates(doc_listings(spark, d)))

@@ -83,7 +83,7 @@ def resolve_sql(h: str, b: str) -> str:
 
 LINKS_SQL = f"""
 page_hrefs AS (SELECT page_id, url, {hrefs_sql('html')} AS hrefs FROM pages),
-links AS (SELECT page_id, url, i AS pos, hrefs[i + 1] AS href
+links AS (SELECT page_id, url, CAST(i AS INTEGER) AS pos, hrefs[i + 1] AS href
           FROM (SELECT page_id, url, hrefs, unnest(range(len(hrefs))) AS i FROM page_hrefs))"""
 
 
@@ -180,7 +180,7 @@ def html_title(spark, d):
 
 
 @case("read_pages", """SELECT page_id, url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#:]+)', 1) AS host,
-length(html) AS n_chars FROM pages""")
+CAST(length(html) AS INTEGER) AS n_chars FROM pages""")
 def read_pages(spark, d):
     pages = payloads.read_pages(read(spark, d, "pages"))
     return pages.select("page_id", "url", payloads.url_host("url").alias("host"), F.length("html").alias("n_chars"))
@@ -196,7 +196,7 @@ page_anchors AS (
   SELECT page_id, url, regexp_extract_all(v, {q(H.ANCHOR_FULL)}, 1) AS hs, regexp_extract_all(v, {q(H.ANCHOR_FULL)}, 2) AS ts
   FROM (SELECT page_id, url, {visible_sql('html')} AS v FROM pages)),
 cards AS (
-  SELECT page_id, i AS pos, {resolve_sql(unescape_sql(unquote_sql('hs[i + 1]')), 'url')} AS detail_url,
+  SELECT page_id, CAST(i AS INTEGER) AS pos, {resolve_sql(unescape_sql(unquote_sql('hs[i + 1]')), 'url')} AS detail_url,
          {text_raw_sql('ts[i + 1]')} AS card_text
   FROM (SELECT page_id, url, hs, ts, unnest(range(len(hs))) AS i FROM page_anchors)),
 first_cards AS (
@@ -247,7 +247,8 @@ def _facts(spark, d):
         detail_href=DETAIL_CI,
         class_patterns={"ad_text": r"^ad$"},
         scope_tags=("main",),
-        attr_classes=(r"^ad$", r"^ad$", r"^ad$"),
+        # Each nav item is an attribute: its link text as label and value.
+        attr_selectors=(("li", None), ("a", None), ("a", None)),
     )
 
 

@@ -376,7 +376,7 @@ RESULT_VALUE = 200.0
 
 @case("first_nonempty_candidate", f"""WITH c AS (
   SELECT CAST(ts AS DATE) AS day, event_type, list_position({list(CANDIDATES)!r}, event_type) AS cand_rank,
-         count_if(value > {RESULT_VALUE}) AS n_results FROM events GROUP BY ALL),
+         CAST(count_if(value > {RESULT_VALUE}) AS BIGINT) AS n_results FROM events GROUP BY ALL),
 w AS (SELECT day, min(cand_rank) AS winning_rank FROM c WHERE n_results > 0 GROUP BY day)
 SELECT c.day, c.event_type, c.n_results FROM c JOIN w ON c.day = w.day AND c.cand_rank = w.winning_rank""")
 def first_nonempty_candidate(spark, d):
