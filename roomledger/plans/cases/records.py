@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ... import constants as K
 from ...functions import compose, numbers, text
@@ -266,15 +267,14 @@ def available_from(spark, d):
 
 # --- C18: conversation turns as description blocks ----------------------------------
 
-@case("concat_descriptions", """SELECT conv_id, lower(regexp_replace(string_agg(COALESCE(text, '') || ' ' || COALESCE(role, ''), ''
-  ORDER BY turn), '<[^>]+>', ' ', 'g')) AS description FROM conversations GROUP BY conv_id""")
+@case("concat_descriptions", """SELECT conv_id, turn, lower(regexp_replace(COALESCE(array_to_string(list_transform(
+  string_split(text, chr(10)), lambda l: COALESCE(l, '') || ' ' || COALESCE(role, '')), ''), ''), '<[^>]+>', ' ', 'g'))
+  AS description FROM conversations""")
 def concat_descriptions(spark, d):
     c = read(spark, d, "conversations")
-    # One detail document per conversation: its description blocks in turn order.
-    docs = c.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("property"), F.col("role").alias("unit"))))
-        .alias("blocks"))
-    return docs.select("conv_id", compose.description_text("blocks").alias("description"))
+    # Each turn is one detail document; its description blocks are the turn's lines.
+    blocks = F.transform(F.split("text", "\n"), lambda line: F.struct(line.alias("property"), F.col("role").alias("unit")))
+    return c.select("conv_id", "turn", compose.description_text(blocks).alias("description"))
 
 
 # --- two sources into one schema (U1, P12, P13, X1) ------------------------------------
@@ -400,46 +400,60 @@ def academic_year_filter(spark, d):
 # --- S1, S2, J1, F11: orders/lineitems as landed API payloads ------------------------
 
 def search_bodies(spark: SparkSession, d: str) -> DataFrame:
-    """One landed search body per order: its lineitems are the items."""
-    li, o = read(spark, d, "lineitem"), read(spark, d, "orders")
-    item = F.struct(
-        F.when(F.col("l_linenumber") != 3, F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
-        (F.col("l_returnflag") == "R").alias("hasPrivateBathroom"),
-        (F.col("l_linestatus") == "O").alias("hasPrivateKitchen"),
-        F.date_format("l_shipdate", "yyyy-MM-dd").alias("availableFrom"),
-    )
-    per_order = li.groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_list(F.struct(
-            F.col("l_linenumber").alias("n"), "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice",
-            item.alias("item")))).alias("sorted"))
-    j = o.join(per_order, o.o_orderkey == per_order.l_orderkey, "left")
-    items = F.transform("sorted", lambda x: x["item"])
-    data = F.struct(items.alias("items"), F.size("sorted").cast("bigint").alias("totalCount"))
-    body = (F.when(F.col("o_orderstatus") == "F", F.lit('{"error": "unavailable"}'))
-            .when(F.col("o_orderstatus") == "P", F.lit('{"data": {"items": null, "totalCount": 0}}'))
+    """One landed search body per lineitem row, built from that row alone.
+
+    The shape depends on the row: no ``data`` (return flag R), null items
+    (A), else 1-3 items by line number -- an item with a null id, a null
+    item, and an item whose id has no detail document occur.
+    """
+    li = read(spark, d, "lineitem")
+    n = F.col("l_linenumber")
+    ident = F.col("l_orderkey") * 10 + n
+
+    def item(id_col):
+        return F.struct(
+            id_col.cast("bigint").alias("id"),
+            (F.col("l_linestatus") == "O").alias("hasPrivateBathroom"),
+            (F.col("l_discount") > 0.05).alias("hasPrivateKitchen"),
+            F.date_format("l_shipdate", "yyyy-MM-dd").alias("availableFrom"),
+        )
+
+    null_item = F.lit(None).cast(payloads.SEARCH_ITEM)
+    items = (F.when(n % 4 == 0, F.array(item(ident), null_item, item(F.lit(None))))
+             .when(n % 4 == 1, F.array(item(ident)))
+             .when(n % 4 == 2, F.array(item(ident), item(ident + 100000000)))
+             .otherwise(F.array().cast(T.ArrayType(payloads.SEARCH_ITEM))))
+    data = F.struct(items.alias("items"), F.size(items).cast("bigint").alias("totalCount"))
+    body = (F.when(F.col("l_returnflag") == "R", F.lit('{"error": "unavailable"}'))
+            .when(F.col("l_returnflag") == "A", F.lit('{"data": {"items": null, "totalCount": 0}}'))
             .otherwise(F.to_json(F.struct(data.alias("data")))))
-    return j.select(F.col("o_orderkey").alias("page"), body.alias("body"))
+    return li.select(F.col("l_orderkey").alias("page"), n.alias("slot"), body.alias("body"))
 
 
-SEARCH_ITEMS_SQL = """items AS (SELECT l.l_orderkey AS page,
-  CAST(row_number() OVER (PARTITION BY l.l_orderkey
-    ORDER BY l_linenumber, l_shipdate, l_partkey, l_suppkey, l_extendedprice) - 1 AS INTEGER) AS pos,
-  count(*) OVER (PARTITION BY l.l_orderkey) AS total_count,
-  CASE WHEN l_linenumber <> 3 THEN l.l_orderkey * 10 + l_linenumber END AS id,
-  l_returnflag = 'R' AS hasPrivateBathroom, l_linestatus = 'O' AS hasPrivateKitchen,
-  strftime(l_shipdate, '%Y-%m-%d') AS availableFrom
-  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE o.o_orderstatus = 'O')"""
+SEARCH_ITEMS_SQL = """b AS (SELECT l_orderkey AS page, l_linenumber AS slot, l_returnflag,
+  l_orderkey * 10 + l_linenumber AS ident, l_linestatus = 'O' AS bath, l_discount > 0.05 AS kitchen,
+  strftime(l_shipdate, '%Y-%m-%d') AS avail FROM lineitem),
+lists AS (SELECT page, slot, l_returnflag, CASE l_linenumber_mod
+  WHEN 0 THEN [{'id': ident, 'b': bath, 'k': kitchen, 'a': avail}, NULL, {'id': NULL::BIGINT, 'b': bath, 'k': kitchen, 'a': avail}]
+  WHEN 1 THEN [{'id': ident, 'b': bath, 'k': kitchen, 'a': avail}]
+  WHEN 2 THEN [{'id': ident, 'b': bath, 'k': kitchen, 'a': avail}, {'id': ident + 100000000, 'b': bath, 'k': kitchen, 'a': avail}]
+  ELSE [] END AS items FROM (SELECT *, slot % 4 AS l_linenumber_mod FROM b)),
+items AS (SELECT page, slot, CAST(i AS INTEGER) AS pos, CAST(len(items) AS BIGINT) AS total_count,
+  items[i + 1].id AS id, items[i + 1].b AS hasPrivateBathroom, items[i + 1].k AS hasPrivateKitchen,
+  items[i + 1].a AS availableFrom
+  FROM (SELECT *, unnest(range(len(items))) AS i FROM lists WHERE l_returnflag NOT IN ('R', 'A'))
+  WHERE items[i + 1] IS NOT NULL)"""
 
 
 @case("read_search_items", f"""WITH {SEARCH_ITEMS_SQL} SELECT * FROM items""")
 def read_search_items(spark, d):
-    return payloads.read_search_items(search_bodies(spark, d), "body", ("page",))
+    return payloads.read_search_items(search_bodies(spark, d), "body", ("page", "slot"))
 
 
-@case("drop_missing_id", f"""WITH {SEARCH_ITEMS_SQL} SELECT page, pos, id FROM items WHERE id IS NOT NULL""")
+@case("drop_missing_id", f"""WITH {SEARCH_ITEMS_SQL} SELECT page, slot, pos, id FROM items WHERE id IS NOT NULL""")
 def drop_missing_id(spark, d):
-    items = payloads.read_search_items(search_bodies(spark, d), "body", ("page",))
-    return filters.drop_missing_id(items).select("page", "pos", "id")
+    items = payloads.read_search_items(search_bodies(spark, d), "body", ("page", "slot"))
+    return filters.drop_missing_id(items).select("page", "slot", "pos", "id")
 
 
 def detail_bodies(spark: SparkSession, d: str) -> DataFrame:
@@ -473,10 +487,10 @@ def read_detail_docs(spark, d):
 
 
 @case("item_detail_join", f"""WITH {SEARCH_ITEMS_SQL}, {DETAILS_SQL}
-SELECT i.page, i.pos, i.id, d.guid, d.price_from FROM items i JOIN details d ON i.id = d.id""")
+SELECT i.page, i.slot, i.pos, i.id, d.guid, d.price_from FROM items i JOIN details d ON i.id = d.id""")
 def item_detail_join(spark, d):
-    items = filters.drop_missing_id(payloads.read_search_items(search_bodies(spark, d), "body", ("page",)))
+    items = filters.drop_missing_id(payloads.read_search_items(search_bodies(spark, d), "body", ("page", "slot")))
     details = payloads.read_detail_docs(detail_bodies(spark, d), "body", ("id",))
     j = joins.item_detail_join(items, details, "id")
-    return j.select("page", "pos", "id", F.col("detail.guid").alias("guid"),
+    return j.select("page", "slot", "pos", "id", F.col("detail.guid").alias("guid"),
                     F.col("detail.pricing.totalMonthlyRent.from").alias("price_from"))
