@@ -26,6 +26,9 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # html_facts sends whole pages to Python; 10k pages per Arrow batch (the
+    # default) can be gigabytes of HTML.  500 keeps a batch in tens of MB.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
 }
 
 
