@@ -3,12 +3,12 @@ cross-source dedup -> listings, sheet, summary and audit outputs.
 
 Execution plan and why:
 
-1. Each source adapter is planned and **written on its own** to the run's
-   stage folder (``SourceRegistry.stage_each``).  A source that fails is
-   logged and left out, and the heavy page parsing runs exactly once.
-   The stage lives in the output folder (shared storage), so a lost
-   executor only recomputes its own tasks and later steps read files, not
-   a long lineage.
+1. Each source adapter is planned and **written on its own** to a stage
+   folder under ``spark.checkpoint.dir`` (``SourceRegistry.stage_each``).
+   A source that fails is logged and left out, and the heavy page parsing
+   runs exactly once.  The stage is on the cluster's shared checkpoint
+   storage, so a lost executor only recomputes its own tasks and later
+   steps read files, not a long lineage.
 2. The staged sources are read back (narrow columns, no HTML) and unioned.
 3. Accepted rows go through W1 (aggregate + join, skew-safe); duplicates
    become ``reject_reason = 'duplicate'``.
@@ -28,6 +28,7 @@ from ..operators import windows
 from ..sources import sinks
 from ..sources.adapters import classifieds, js_pages, rental_pages, search_json, unit_api
 from ..sources.adapters.common import AUDIT_COLUMNS
+from ..session import scratch_dir
 from ..sources.registry import SourceRegistry
 
 log = logging.getLogger(__name__)
@@ -56,7 +57,7 @@ def run(spark: SparkSession, landed_root: str, out_dir: str, run_ts: dt.datetime
         limit_per_source: int | None = None, registry: SourceRegistry | None = None) -> dict:
     run_ts = (run_ts or dt.datetime.now()).replace(second=0, microsecond=0)
     reg = registry or default_registry(run_ts)
-    stage_dir = f"{out_dir.rstrip('/')}/_stage/run_ts={sinks.run_stamp(run_ts)}"
+    stage_dir = scratch_dir(spark, f"stage-{sinks.run_stamp(run_ts)}")
     written = reg.stage_each(spark, landed_root, stage_dir)
     result = {"run_ts": run_ts, "sources": list(written), "failures": dict(reg.failures)}
     if not written:
