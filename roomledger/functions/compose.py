@@ -96,12 +96,18 @@ def available_from_text(text: Column | str, pattern: str) -> Column:
 
 
 def size_from_text(text: Column | str, pattern: str = K.SIZE_TEXT_PATTERN) -> Column:
-    """Group 1 of the size pattern (case-insensitive) as a number."""
-    return nonempty(F.regexp_extract(col(text), "(?i)" + pattern, 1)).try_cast("decimal(18,4)")
+    """Group 1 of the size pattern (case-insensitive) as a number.
+    ``(?U)`` makes ``\\s`` match a no-break space, as Python's ``re`` does."""
+    return nonempty(F.regexp_extract(col(text), "(?iU)" + pattern, 1)).try_cast("decimal(18,4)")
 
 
 def size_from_attribute(attr: Column | str, pattern: str = K.SIZE_ATTR_PATTERN) -> Column:
-    return nonempty(F.regexp_extract(col(attr), pattern, 1)).try_cast("decimal(18,4)")
+    return nonempty(F.regexp_extract(col(attr), "(?U)" + pattern, 1)).try_cast("decimal(18,4)")
+
+
+def euro_text_amount(text: Column | str) -> Column:
+    """P15 text fallback: the amount after the first euro sign."""
+    return F.regexp_extract(col(text), "(?U)" + K.EURO_TEXT_PATTERN, 1)
 
 
 def price_from_cents(cents: Column | str) -> Column:

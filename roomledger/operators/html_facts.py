@@ -155,48 +155,57 @@ def page_facts(html: str, card_selectors: Sequence[tuple[str, str]], detail_href
     return {"card_href": card_href, "card_text": card_text, "attr_keys": keys, "attr_values": values, **hits}
 
 
-def html_facts(pages: DataFrame, key: str = "page_id", html: str = "html",
-               card_selectors: Sequence[tuple[str, str]] = K.CARD_SELECTORS,
-               detail_href: str = K.RENTALS_DETAIL_HREF, detail_case_insensitive: bool = True,
-               class_patterns: Mapping[str, str] | None = None,
-               scope_tags: Sequence[str] = ("main", "article"),
-               attr_selectors: tuple[Selector, Selector, Selector] = (
-                   (None, K.ATTR_ITEM_CLASS), (None, K.ATTR_LABEL_CLASS), (None, K.ATTR_VALUE_CLASS)),
-               ) -> DataFrame:
-    """P6-P8 for every page: ``key`` plus ``cards`` (array of (href, text)),
-    one column per class pattern, and ``attributes`` (map, last label wins)."""
+FACT_ARRAYS = ("card_href", "card_text", "attr_keys", "attr_values")
+
+
+def with_html_facts(df: DataFrame, html: str = "html", wanted: str | None = None,
+                    card_selectors: Sequence[tuple[str, str]] = K.CARD_SELECTORS,
+                    detail_href: str = K.RENTALS_DETAIL_HREF, detail_case_insensitive: bool = True,
+                    class_patterns: Mapping[str, str] | None = None,
+                    scope_tags: Sequence[str] = ("main", "article"),
+                    attr_selectors: tuple[Selector, Selector, Selector] = (
+                        (None, K.ATTR_ITEM_CLASS), (None, K.ATTR_LABEL_CLASS), (None, K.ATTR_VALUE_CLASS)),
+                    ) -> DataFrame:
+    """P6-P8 in the same pass as the rows' other columns.
+
+    Every column but ``html`` passes through; the page is parsed only when
+    the boolean column ``wanted`` is true (all rows when None), so rejected
+    pages cost nothing and no join back is needed.  Adds ``cards`` (array
+    of (href, text)), one column per class pattern, and ``attributes``
+    (map, last label wins).
+    """
     if class_patterns is None:
         class_patterns = {"price_text": K.PRICE_CLASS_PATTERN, "address_text": K.ADDRESS_CLASS_PATTERN}
-    key_type = pages.schema[key].dataType
-    fields = [
-        T.StructField(key, key_type),
-        T.StructField("card_href", T.ArrayType(T.StringType())),
-        T.StructField("card_text", T.ArrayType(T.StringType())),
-        T.StructField("attr_keys", T.ArrayType(T.StringType())),
-        T.StructField("attr_values", T.ArrayType(T.StringType())),
-        *[T.StructField(n, T.StringType()) for n in class_patterns],
-    ]
-    schema = T.StructType(fields)
+    keep = [c for c in df.columns if c != html]
+    fact_fields = [T.StructField(n, T.ArrayType(T.StringType())) for n in FACT_ARRAYS] + [
+        T.StructField(n, T.StringType()) for n in class_patterns]
+    schema = T.StructType([df.schema[c] for c in keep] + fact_fields)
     flags = re.I if detail_case_insensitive else 0
     selectors, patterns, scopes = list(card_selectors), dict(class_patterns), list(scope_tags)
+    empty = {n: None for n in [*FACT_ARRAYS, *patterns]}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [page_facts(h, selectors, detail_href, flags, patterns, scopes, attr_selectors)
-                    for h in pdf[html]]
-            out = pd.DataFrame(rows, columns=[f.name for f in fields[1:]])
-            out.insert(0, key, pdf[key].values)
-            yield out
+            want = pdf[wanted].fillna(False).astype(bool) if wanted else pd.Series(True, index=pdf.index)
+            rows = [page_facts(h, selectors, detail_href, flags, patterns, scopes, attr_selectors) if w else empty
+                    for h, w in zip(pdf[html], want)]
+            facts = pd.DataFrame(rows, columns=[f.name for f in fact_fields], index=pdf.index)
+            yield pd.concat([pdf[keep], facts], axis=1)
 
-    raw = pages.select(key, html).mapInPandas(run, schema)
+    raw = df.mapInPandas(run, schema)
     return raw.select(
-        key,
+        *keep,
         F.arrays_zip(F.col("card_href").alias("href"), F.col("card_text").alias("text")).alias("cards"),
         *[F.col(n) for n in class_patterns],
         last_wins_map("attr_keys", "attr_values").alias("attributes"),
     )
 
 
+def html_facts(pages: DataFrame, key: str = "page_id", html: str = "html", **options) -> DataFrame:
+    """P6-P8 for every page of ``(key, html)``; see ``with_html_facts``."""
+    return with_html_facts(pages.select(key, html), html=html, **options)
+
+
 def last_wins_map(keys: str, values: str) -> Column:
     """Pairs -> map where a repeated key keeps its last value, independent of
     the session's ``mapKeyDedupPolicy``."""

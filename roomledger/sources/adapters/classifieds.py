@@ -68,12 +68,10 @@ def detail_fields(spark: SparkSession, root: str) -> DataFrame:
 
 def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
     links = search_links(spark, root)
-    details = detail_fields(spark, root)
-    # The attribute list needs the DOM pass; run it only on accepted pages.
-    accepted_html = details.where(F.col("reject_reason").isNull()).select("url", "html")
-    facts = html_facts.html_facts(accepted_html, key="url", class_patterns={}).select(
-        "url", F.try_element_at("attributes", F.lit(K.ATTR_SIZE_LABEL)).alias("attr_size"))
-    d = details.drop("html").join(facts, on="url", how="left")
+    details = detail_fields(spark, root).drop("offers").withColumn("_wanted", F.col("reject_reason").isNull())
+    # The attribute list needs the DOM pass: only accepted pages are parsed, in the same pass.
+    d = html_facts.with_html_facts(details, "html", "_wanted", class_patterns={}).withColumn(
+        "attr_size", F.try_element_at("attributes", F.lit(K.ATTR_SIZE_LABEL)))
     low = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("description")))
     floor_text = F.coalesce(text.nonempty("attr_size"), text.nonempty("floor_size"), F.lit(""))
     fields = d.select(

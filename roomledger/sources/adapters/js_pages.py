@@ -50,7 +50,7 @@ def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
     low = F.lower("main_text")
     fields = d.select(
         "url", reason.alias("reject_reason"), text.nonempty("title").alias("title"), "address", "neighborhood",
-        F.coalesce("ld_price", numbers.parse_euro_amount(F.regexp_extract("main_text", K.EURO_TEXT_PATTERN, 1)))
+        F.coalesce("ld_price", numbers.parse_euro_amount(compose.euro_text_amount("main_text")))
         .alias("price_eur_month"),
         compose.size_from_text("main_text").alias("size_m2"),
         text.classify_by_keywords(low, K.TYPE_RULES_JSPAGES).alias("listing_type"),

@@ -63,19 +63,18 @@ def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
         (filters.unavailable_in_scope("title", "main_text", K.RENTALS_SCOPE_CHARS), "unavailable"),
         (~text.area_text_match("full_text"), "out_of_area"),
     )
-    d = d.withColumn("reject_reason", reason)
-    accepted_html = d.where(F.col("reject_reason").isNull()).select("url", "html")
-    facts = html_facts.html_facts(accepted_html, key="url", card_selectors=[],
-                                  class_patterns={"price_text": K.PRICE_CLASS_PATTERN,
-                                                  "address_text": K.ADDRESS_CLASS_PATTERN})
-    d = d.drop("html").join(facts.select("url", "price_text", "address_text"), "url", "left")
+    d = d.withColumn("reject_reason", reason).withColumn("_wanted", F.col("reject_reason").isNull())
+    # Classed elements need the DOM pass: only accepted pages are parsed, in the same pass.
+    d = html_facts.with_html_facts(d, "html", "_wanted", card_selectors=[],
+                                   class_patterns={"price_text": K.PRICE_CLASS_PATTERN,
+                                                   "address_text": K.ADDRESS_CLASS_PATTERN})
     address = F.coalesce(text.nonempty("ld_address"), text.nonempty("address_text"))
     from_tag = text.nonempty("ld_address").isNull() & text.nonempty("address_text").isNotNull()
     neighborhood = F.when(from_tag, F.coalesce(compose.last_address_part("address_text"),
                                                F.when(F.col("ld_has_address"), F.col("ld_locality"))))
     neighborhood = neighborhood.otherwise(F.when(F.col("ld_has_address"), F.col("ld_locality")))
     fallback_price = F.when(F.col("price_text").isNotNull(), numbers.parse_euro_amount("price_text")).otherwise(
-        numbers.parse_euro_amount(F.regexp_extract("main_text", K.EURO_TEXT_PATTERN, 1)))
+        numbers.parse_euro_amount(compose.euro_text_amount("main_text")))
     low = F.lower("main_text")
     fields = d.select(
         "url", "reject_reason", text.nonempty("title").alias("title"),
