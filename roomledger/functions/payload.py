@@ -69,7 +69,12 @@ def search_payload(html: Column | str) -> Column:
         empty,
     )
     ads = F.when(pre.isNotNull(), pre_ads).otherwise(F.coalesce(nonempty_list(fallback), empty))
-    total = F.when(pre.isNotNull(), vget(pre, "$.totalItems", "bigint"))
+    # A missing ``totalItems`` counts as 0 (the fallback payload never has one);
+    # JSON null or a non-number is unknown (NULL), which pages use a default for.
+    tv = vget(pre, "$.totalItems", "variant")
+    total = (F.when(tv.isNull(), F.lit(0).cast("bigint"))
+             .when(F.is_variant_null(tv), F.lit(None).cast("bigint"))
+             .otherwise(vget(tv, "$", "bigint")))
     return F.struct(
         (pre.isNotNull() | fallback.isNotNull()).alias("found"),
         total.alias("total_items"),

@@ -77,7 +77,8 @@ lists AS (SELECT event_id, pre,
   COALESCE({_list_at('nxt', '$.props.pageProps.classifiedList')}, {_list_at('nxt', '$.props.pageProps.results')}) AS fb,
   {_list_at('pre', '$.results')} AS res, {_list_at('pre', '$.classifiedList')} AS cl FROM nd),
 ads AS (SELECT event_id, pre IS NOT NULL OR fb IS NOT NULL AS found,
-  CAST(json_extract(pre, '$.totalItems') AS BIGINT) AS total_items,
+  CASE WHEN json_extract(pre, '$.totalItems') IS NULL THEN 0 WHEN json_type(pre, '$.totalItems') = 'NULL' THEN NULL
+       ELSE TRY_CAST(json_extract(pre, '$.totalItems') AS BIGINT) END AS total_items,
   CASE WHEN pre IS NOT NULL THEN COALESCE(CASE WHEN json_array_length(res) > 0 THEN res END,
                                           CASE WHEN json_array_length(cl) > 0 THEN cl END, '[]'::JSON)
        ELSE COALESCE(CASE WHEN json_array_length(fb) > 0 THEN fb END, '[]'::JSON) END AS ads FROM lists)

@@ -130,7 +130,9 @@ def test_search_payload_fallbacks(spark):
             ('<pre>bad</pre><script id="__NEXT_DATA__">{"props":{"pageProps":{"classifiedList":{"x":1},'
              '"results":[{"k":3}]}}}</script>',),
             ("<p>nothing</p>",),
-            ('<pre>{"results":[],"classifiedList":[{"k":4}]}</pre>',)]
+            ('<pre>{"results":[],"classifiedList":[{"k":4}]}</pre>',),
+            ('<pre>{"results":[{"k":5}],"totalItems":null}</pre>',)]
     got = spark.createDataFrame(rows, "h string").select(P.search_payload("h").alias("s")).select(
         "s.found", "s.total_items", F.size("s.ads").alias("n")).collect()
-    assert [tuple(r) for r in got] == [(True, 5, 1), (True, None, 1), (False, None, 0), (True, None, 1)]
+    # A missing totalItems is 0 (a 2-page cap), not unknown.
+    assert [tuple(r) for r in got] == [(True, 5, 1), (True, 0, 1), (False, 0, 0), (True, 0, 1), (True, None, 1)]
