@@ -96,16 +96,16 @@ def _class_matches(node: _Node, pattern: re.Pattern) -> bool:
     return any(pattern.search(c) for c in value.split()) or bool(pattern.search(value))
 
 
-def find_all(node: _Node, tag: str | None, class_pattern: str | None) -> list[_Node]:
-    pat = re.compile(class_pattern, re.I) if class_pattern is not None else None
+def find_all(node: _Node, tag: str | None, class_pattern: str | None, ignore_case: bool = True) -> list[_Node]:
+    pat = re.compile(class_pattern, re.I if ignore_case else 0) if class_pattern is not None else None
     return [
         n for n in _descendants(node)
         if (tag is None or n.tag == tag) and (pat is None or _class_matches(n, pat))
     ]
 
 
-def find_first(node: _Node, tag: str | None, class_pattern: str | None) -> _Node | None:
-    found = find_all(node, tag, class_pattern)
+def find_first(node: _Node, tag: str | None, class_pattern: str | None, ignore_case: bool = True) -> _Node | None:
+    found = find_all(node, tag, class_pattern, ignore_case)
     return found[0] if found else None
 
 
@@ -144,11 +144,13 @@ def page_facts(html: str, card_selectors: Sequence[tuple[str, str]], detail_href
     for name, pattern in class_patterns.items():
         el = find_first(scope, None, pattern)
         hits[name] = get_text(el, " ", strip=True) if el is not None else None
-    # label/value pairs, label lower-cased.
+    # label/value pairs, label lower-cased.  Attribute classes match
+    # case-sensitively; cards and classed elements ignore case.
     (item_t, item_c), (label_t, label_c), (value_t, value_c) = attr_selectors
     keys, values = [], []
-    for item in find_all(root, item_t, item_c):
-        label, value = find_first(item, label_t, label_c), find_first(item, value_t, value_c)
+    for item in find_all(root, item_t, item_c, ignore_case=False):
+        label = find_first(item, label_t, label_c, ignore_case=False)
+        value = find_first(item, value_t, value_c, ignore_case=False)
         if label is not None and value is not None:
             keys.append(get_text(label, " ", strip=True).lower())
             values.append(get_text(value, " ", strip=True))
