@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as _dt
-from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -146,7 +145,3 @@ def search_ad_price(rent: Column | str, txn_price: Column | str, ad_price: Colum
 def neighborhood_first(*candidates: Column | str) -> Column:
     """First non-empty candidate."""
     return F.coalesce(*[nonempty(c) for c in candidates])
-
-
-def coalesce_nonempty(cands: Sequence[Column | str]) -> Column:
-    return F.coalesce(*[nonempty(c) for c in cands])

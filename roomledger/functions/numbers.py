@@ -46,11 +46,6 @@ def first_truthy(*cols: Column | str, falsy=0) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit(falsy)) for c in cs[:-1]], cs[-1])
 
 
-def truthy_or_null(c: Column | str, falsy=0) -> Column:
-    """A falsy final value (0, '') means unknown."""
-    return F.nullif(col(c), F.lit(falsy))
-
-
 def trunc_int(c: Column | str) -> Column:
     """``int(float(x))`` -- truncate toward zero; NULL when not numeric."""
     return col(c).try_cast("double").try_cast("bigint")
@@ -59,11 +54,3 @@ def trunc_int(c: Column | str) -> Column:
 def range_from(rng: Column | str) -> Column:
     """The ``from`` value of a ``{from, to}`` range as a number."""
     return col(rng).getField("from").try_cast(PRICE_TYPE)
-
-
-def as_price(c: Column | str) -> Column:
-    return col(c).try_cast(PRICE_TYPE)
-
-
-def as_size(c: Column | str) -> Column:
-    return col(c).try_cast(SIZE_TYPE)

@@ -46,12 +46,16 @@ LISTING_SCHEMA = T.StructType(
 LISTING_COLUMNS = [f.name for f in LISTING_SCHEMA.fields]
 
 
-def conform(df: DataFrame) -> DataFrame:
-    """Select the canonical columns in order, cast to the canonical types;
-    a column the source does not produce is NULL."""
+def canonical_columns(df: DataFrame) -> list[Column]:
+    """The canonical columns in order, cast to the canonical types; a column
+    the source does not produce is NULL."""
     present = set(df.columns)
     cols: list[Column] = []
     for f in LISTING_SCHEMA.fields:
         c = F.col(f.name) if f.name in present else F.lit(None)
         cols.append(c.cast(f.dataType).alias(f.name))
-    return df.select(*cols)
+    return cols
+
+
+def conform(df: DataFrame) -> DataFrame:
+    return df.select(*canonical_columns(df))

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ... import constants as K
 from ...functions import numbers
-from ...schema import LISTING_SCHEMA
+from ...schema import LISTING_SCHEMA, canonical_columns
 
 API_SCHEMA = T.StructType(
     [
@@ -60,10 +60,5 @@ def finish(df: DataFrame, source: str, run_ts: dt.datetime, reason: Column | str
     out = df.withColumn("source", F.lit(source)).withColumn("site_rank", F.lit(K.site_rank(source)))
     out = out.withColumn("scraped_on", F.lit(run_ts.replace(second=0, microsecond=0)).cast("timestamp"))
     out = out.withColumn("price_per_m2", numbers.price_per_m2("price_eur_month", "size_m2"))
-    cols = []
-    present = set(out.columns)
-    for f in LISTING_SCHEMA.fields:
-        c = F.col(f.name) if f.name in present else F.lit(None)
-        cols.append(c.cast(f.dataType).alias(f.name))
     r = F.col(reason) if isinstance(reason, str) else reason
-    return out.select(*cols, r.cast("string").alias("reject_reason"))
+    return out.select(*canonical_columns(out), r.cast("string").alias("reject_reason"))
