@@ -137,3 +137,43 @@ def write_landed(spark, root: str) -> str:
     (spark.createDataFrame(_page_rows(), PAGES_SCHEMA).write.mode("overwrite")
      .partitionBy("source", "kind").parquet(f"{root}/pages"))
     return root
+
+
+def write_landed_edges(spark, root: str) -> str:
+    """Edge cases: a full unit-API page (so page 2 is read), the __NEXT_DATA__
+    fallback and its 2-page cap, an empty price element, a zero JSON-LD price."""
+    options = {"data": {"availabilityOptions": [{"id": 1, "label": "2030 - 2031"}]}}
+    full = {"data": {"items": [{"id": i} for i in range(1, K.UNIT_PAGE_SIZE + 1)], "totalCount": 101}}
+    api = [
+        ("filter_options", None, None, None, json.dumps(options)),
+        ("search", 1, 1, None, json.dumps(full)),
+        ("search", 2, 1, None, json.dumps({"data": {"items": [{"id": 200}], "totalCount": 101}})),
+        ("detail", None, None, 1, json.dumps({"data": {"guid": "a", "unitType": 3}})),
+        ("detail", None, None, 200, json.dumps({"data": {"guid": "b", "unitType": 2}})),
+    ]
+
+    def next_data(ads):
+        body = json.dumps({"props": {"pageProps": {"results": ads}}})
+        return f'<script id="__NEXT_DATA__" type="application/json">{body}</script>'
+
+    def ad(i):
+        return {"id": i, "property": {"location": {"postalCode": "3000", "locality": "Leuven"}},
+                "transaction": {"rental": {"monthlyRentalPrice": 500 + i}}}
+
+    z, r = K.JSPAGES_BASE, K.RENTALS_BASE
+    pages = [
+        (SEARCH, "search", 1, 1, "n1", next_data([ad(1)]), 200),
+        (SEARCH, "search", 1, 2, "n2", next_data([ad(2)]), 200),
+        (SEARCH, "search", 1, 3, "n3", next_data([ad(3)]), 200),
+        (RENTALS, "search", 1, 1, "r1", '<article class="card"><a href="/huurwoning/p-1">x</a></article>', 200),
+        (RENTALS, "detail", None, None, f"{r}/huurwoning/p-1",
+         '<main><h1>Kamer</h1><span class="prijs">Prijs op aanvraag</span><p>Leuven, € 500 per maand</p></main>', 200),
+        (JS, "search", 1, 1, "z", '<a href="/nl/leuven/te-huur/kamer/ZZ11/">k</a>', 200),
+        (JS, "detail", None, None, f"{z}/nl/leuven/te-huur/kamer/ZZ11/",
+         _ld({"offers": {"price": 0}, "address": {"addressLocality": "Leuven"}})
+         + "<main><h1>Kamer</h1><p>Huur € 425 per maand</p></main>", 200),
+    ]
+    spark.createDataFrame(api, API_SCHEMA).write.mode("overwrite").parquet(f"{root}/api")
+    (spark.createDataFrame(pages, PAGES_SCHEMA).write.mode("overwrite")
+     .partitionBy("source", "kind").parquet(f"{root}/pages"))
+    return root

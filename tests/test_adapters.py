@@ -123,3 +123,30 @@ def test_landed_runs_stream_processes_each_run_once(spark, landed):
     assert first == 5 and spark.read.parquet(f"{out}/listings").count() == 5
     assert [r["run_ts"] for r in spark.read.parquet(f"{out}/listings").select("run_ts").distinct().collect()] == [
         "20260102_080000"]
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    from landed_fixture import write_landed_edges
+
+    return write_landed_edges(spark, scratch_dir(spark, "edges"))
+
+
+def test_edges_unit_api_reads_past_a_full_page(spark, edges):
+    rows = unit_api.build(spark, edges, TS).where("reject_reason IS NULL").collect()
+    assert sorted(r["listing_type"] for r in rows) == ["Appartement", "Studio"]
+
+
+def test_edges_next_data_fallback_caps_pages(spark, edges):
+    # totalItems is missing from the fallback payload: 0 // 30 + 2 = 2 pages are read.
+    rows = search_json.build(spark, edges, TS).collect()
+    assert sorted(int(r["price_eur_month"]) for r in rows) == [501, 502]
+
+
+def test_edges_price_fallbacks(spark, edges):
+    rental = rental_pages.build(spark, edges, TS).first()
+    # A price element exists but holds no number: no fall back to the euro text.
+    assert rental["reject_reason"] is None and rental["price_eur_month"] is None
+    js = js_pages.build(spark, edges, TS).first()
+    # A zero JSON-LD price is falsy: the euro amount in the text is used.
+    assert int(js["price_eur_month"]) == 425 and js["neighborhood"] == "Leuven"
