@@ -57,23 +57,29 @@ def visible_markup(html: Column | str) -> Column:
     return F.regexp_replace(col(html), NON_TEXT_BLOCKS, "<x>")
 
 
+def _visible(html: Column | str, cleaned: bool) -> Column:
+    """``cleaned=True``: the input already went through ``visible_markup``
+    (compute it once per page and pass it to every extractor)."""
+    return col(html) if cleaned else visible_markup(html)
+
+
 def strip_tags(html: Column | str) -> Column:
     """Every tag becomes one space (plain regex, no entity decoding)."""
     return F.regexp_replace(F.coalesce(col(html), F.lit("")), r"<[^>]+>", " ")
 
 
-def text_raw(html: Column | str) -> Column:
+def text_raw(html: Column | str, cleaned: bool = False) -> Column:
     """P3, ``get_text(" ")``: text nodes joined by one space, whitespace kept."""
-    v = visible_markup(html)
+    v = _visible(html, cleaned)
     v = F.regexp_replace(v, rf"^(?:{TAG})+|(?:{TAG})+$", "")
     v = F.regexp_replace(v, rf"(?:{TAG})+", " ")
     return unescape(v)
 
 
-def text_stripped(html: Column | str) -> Column:
+def text_stripped(html: Column | str, cleaned: bool = False) -> Column:
     """P3, ``get_text(" ", strip=True)``: each text node stripped, empty ones
     dropped, the rest joined by one space."""
-    v = F.replace(visible_markup(html), F.lit("&nbsp;"), F.lit("\u00a0"))
+    v = F.replace(_visible(html, cleaned), F.lit("&nbsp;"), F.lit("\u00a0"))
     v = F.regexp_replace(v, rf"{WS_CLASS}*(?:{TAG}{WS_CLASS}*)+", " ")
     return unescape(py_strip(v), skip_nbsp=True)
 
@@ -87,9 +93,10 @@ def has_element(html: Column | str, tag: str) -> Column:
     return col(html).rlike(rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>")
 
 
-def main_scope(html: Column | str, tags: tuple[str, ...] = ("main", "article")) -> Column:
-    """Markup of the first scope element that exists, else the page."""
-    v = visible_markup(html)
+def main_scope(html: Column | str, tags: tuple[str, ...] = ("main", "article"), cleaned: bool = False) -> Column:
+    """Markup of the first scope element that exists, else the page
+    (visible markup: feed it to the extractors with ``cleaned=True``)."""
+    v = _visible(html, cleaned)
     expr = None
     for t in tags:
         cond, val = has_element(v, t), element_inner(v, t)
@@ -97,8 +104,8 @@ def main_scope(html: Column | str, tags: tuple[str, ...] = ("main", "article"))
     return v if expr is None else expr.otherwise(v)
 
 
-def scope_name(html: Column | str, tags: tuple[str, ...] = ("main", "article")) -> Column:
-    v = visible_markup(html)
+def scope_name(html: Column | str, tags: tuple[str, ...] = ("main", "article"), cleaned: bool = False) -> Column:
+    v = _visible(html, cleaned)
     expr = None
     for t in tags:
         cond = has_element(v, t)
@@ -106,12 +113,12 @@ def scope_name(html: Column | str, tags: tuple[str, ...] = ("main", "article"))
     return F.lit("page") if expr is None else expr.otherwise(F.lit("page"))
 
 
-def heading_title(html: Column | str, tags: tuple[str, ...] = ("h1", "h2")) -> Column:
+def heading_title(html: Column | str, tags: tuple[str, ...] = ("h1", "h2"), cleaned: bool = False) -> Column:
     """P5: stripped text of the first ``<h1>``, else the first ``<h2>``; NULL if none."""
-    v = visible_markup(html)
+    v = _visible(html, cleaned)
     expr = None
     for t in tags:
-        cond, val = has_element(v, t), text_stripped(element_inner(v, t))
+        cond, val = has_element(v, t), text_stripped(element_inner(v, t), cleaned=True)
         expr = F.when(cond, val) if expr is None else expr.when(cond, val)
     return expr
 
@@ -121,20 +128,20 @@ def _unquote(c: Column) -> Column:
     return F.when(quoted, F.substring(c, 2, F.length(c) - 2)).otherwise(c)
 
 
-def anchor_hrefs(html: Column | str) -> Column:
+def anchor_hrefs(html: Column | str, cleaned: bool = False) -> Column:
     """``href`` of every ``<a>`` in page order (array of strings)."""
-    raw = F.regexp_extract_all(visible_markup(html), F.lit(ANCHOR_HREF), 1)
+    raw = F.regexp_extract_all(_visible(html, cleaned), F.lit(ANCHOR_HREF), 1)
     return F.transform(raw, lambda h: unescape(_unquote(h)))
 
 
-def anchors(html: Column | str) -> Column:
+def anchors(html: Column | str, cleaned: bool = False) -> Column:
     """Every closed ``<a href>`` as ``struct(href, text)`` in page order."""
-    v = visible_markup(html)
+    v = _visible(html, cleaned)
     hrefs = F.regexp_extract_all(v, F.lit(ANCHOR_FULL), 1)
     texts = F.regexp_extract_all(v, F.lit(ANCHOR_FULL), 2)
     return F.transform(
         F.arrays_zip(hrefs.alias("href"), texts.alias("text")),
-        lambda z: F.struct(unescape(_unquote(z["href"])).alias("href"), text_raw(z["text"]).alias("text")),
+        lambda z: F.struct(unescape(_unquote(z["href"])).alias("href"), text_raw(z["text"], cleaned=True).alias("text")),
     )
 
 

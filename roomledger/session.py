@@ -29,6 +29,8 @@ DEFAULT_CONF = {
     # html_facts sends whole pages to Python; 10k pages per Arrow batch (the
     # default) can be gigabytes of HTML.  500 keeps a batch in tens of MB.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+    # Adapters checkpoint small parsed frames; remove them when unreferenced.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

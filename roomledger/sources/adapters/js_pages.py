@@ -30,14 +30,14 @@ def candidate_links(spark: SparkSession, root: str) -> DataFrame:
 
 def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
     links = candidate_links(spark, root)
-    detail = pages(spark, root, SOURCE, "detail").select("url", "html")
-    main_text = H.text_raw(H.main_scope("html", ("main",)))
+    detail = pages(spark, root, SOURCE, "detail").select("url", "html", H.visible_markup("html").alias("vis"))
+    main_text = H.text_raw(H.main_scope("vis", ("main",), cleaned=True), cleaned=True)
     ld = P.ld_offer_or_address_block("html")
     ld_addr = P.vget(ld, "$.address", "variant")
     offers = P.vget(ld, "$.offers", "variant")
     price_v = P.vget(offers, "$.price", "variant")
     d = detail.select(
-        "url", main_text.alias("main_text"), H.heading_title("html").alias("title"),
+        "url", main_text.alias("main_text"), H.heading_title("vis", cleaned=True).alias("title"),
         F.when(P.is_object(ld_addr), compose.join_nonempty(", ", P.vget(ld_addr, "$.streetAddress", "string"),
                                                            P.vget(ld_addr, "$.addressLocality", "string"))).alias("address"),
         F.when(P.is_object(ld_addr), text.nonempty(P.vget(ld_addr, "$.addressLocality", "string"))).alias("neighborhood"),
@@ -57,7 +57,9 @@ def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
         *text.keyword_flags(low, K.KEYWORDS_JSPAGES),
         compose.available_from_text("main_text", K.AVAILABLE_JSPAGES_PATTERN).alias("available_from"),
     )
-    j = joins.link_page_join(links, fields, "detail_url", "url").drop("detail_url")
+    # The parsed rows (no HTML) are checkpointed: the winner count and the
+    # kept rows both read them instead of parsing the pages twice.
+    j = joins.link_page_join(links, fields, "detail_url", "url").drop("detail_url").checkpoint()
     # The first candidate with an accepted listing; the others were never read.
     counts = j.groupBy(F.lit(SOURCE).alias("src"), "candidate").agg(
         F.count_if(F.col("reject_reason").isNull()).alias("n_listings"))

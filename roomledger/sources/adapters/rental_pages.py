@@ -25,8 +25,9 @@ def visited_cards(spark: SparkSession, root: str) -> DataFrame:
     search = search.withColumn("key", F.concat_ws("#", F.col("candidate").cast("string"), F.col("page").cast("string")))
     facts = html_facts.html_facts(search.select("key", "html"), key="key", class_patterns={},
                                   detail_href=K.RENTALS_DETAIL_HREF, detail_case_insensitive=True)
+    # One DOM pass over the search pages: the winner count and the cards read the checkpoint.
     cards = search.drop("html").join(facts, "key").select(
-        "candidate", "page", "status", F.posexplode_outer("cards").alias("pos", "card"))
+        "candidate", "page", "status", F.posexplode_outer("cards").alias("pos", "card")).checkpoint()
     ok_first = (F.col("page") == 1) & (F.col("status").isNull() | (F.col("status") < 400))
     counts = cards.where(ok_first).groupBy(F.lit(SOURCE).alias("src"), "candidate").agg(
         F.count("card").alias("n_cards"))
@@ -42,16 +43,17 @@ def visited_cards(spark: SparkSession, root: str) -> DataFrame:
 
 def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
     cards = visited_cards(spark, root)
-    detail = payloads.read_pages(pages(spark, root, SOURCE, "detail")).select("url", "html")
-    main_text = H.text_raw(H.main_scope("html"))
+    detail = payloads.read_pages(pages(spark, root, SOURCE, "detail")).select(
+        "url", "html", H.visible_markup("html").alias("vis"))
+    main_text = H.text_raw(H.main_scope("vis", cleaned=True), cleaned=True)
     ld = P.ld_typed_block("html")
     ld_addr = P.vget(ld, "$.address", "variant")
     offers = P.vget(ld, "$.offers", "variant")
     d = detail.select(
         "url", "html",
         main_text.alias("main_text"),
-        H.heading_title("html").alias("title"),
-        H.text_raw("html").alias("full_text"),
+        H.heading_title("vis", cleaned=True).alias("title"),
+        H.text_raw("vis", cleaned=True).alias("full_text"),
         P.is_object(ld_addr).alias("ld_has_address"),
         compose.join_nonempty(", ", P.vget(ld_addr, "$.streetAddress", "string"),
                               P.vget(ld_addr, "$.addressLocality", "string")).alias("ld_address"),

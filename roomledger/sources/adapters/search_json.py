@@ -21,7 +21,8 @@ SOURCE = K.SOURCES[3]
 
 def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
     search = pages(spark, root, SOURCE, "search").select("candidate", "page", "html")
-    sp = search.select("candidate", "page", P.search_payload("html").alias("sp"))
+    # Each page is parsed once; the page log, the cut-off and the ads read the checkpoint.
+    sp = search.select("candidate", "page", P.search_payload("html").alias("sp")).checkpoint()
     ads = sp.select("candidate", "page", F.posexplode_outer("sp.ads").alias("pos", "ad"))
 
     def g(path: str, typ: str = "string"):

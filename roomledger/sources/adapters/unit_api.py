@@ -23,15 +23,18 @@ def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
     picked = aggregates.latest_year_option(options)
     search = filters.academic_year_filter(api(spark, root, "search"), picked, "availability_id")
 
+    # Bodies are parsed once: the page log and the items both read the checkpoint.
+    parsed = payloads.parse_search_bodies(search, "body", ("page",)).checkpoint()
+
     # Read pages until the first empty page; a short page is the last.
-    n_items = F.coalesce(F.size(payloads.parse_body("body", payloads.SEARCH_BODY)["data"]["items"]), F.lit(0))
-    log = search.select(F.lit(SOURCE).alias("src"), "page", n_items.alias("n_items")).groupBy("src", "page").agg(
+    n_items = F.coalesce(F.size("items"), F.lit(0))
+    log = parsed.select(F.lit(SOURCE).alias("src"), "page", n_items.alias("n_items")).groupBy("src", "page").agg(
         F.max("n_items").alias("n_items"))
     log = log.select("*", (F.col("n_items") == 0).alias("stop_before"),
                      (F.col("n_items") < K.UNIT_PAGE_SIZE).alias("stop_after"))
     last_page = windows.page_prefix(log, ["src"]).select("last_page").scalar()
 
-    items = payloads.read_search_items(search.where(F.col("page") <= last_page), "body", ("page",))
+    items = payloads.explode_search_items(parsed.where(F.col("page") <= last_page), ("page",))
     items = items.withColumn("src_pos", ordering.source_position("page", "pos"))
     details = payloads.read_detail_docs(api(spark, root, "detail"), "body", ("item_id",)).withColumnRenamed("item_id", "id")
 

@@ -101,17 +101,25 @@ def parse_body(body: Column | str, schema: T.StructType) -> Column:
     return F.from_json(col(body), schema, {"mode": "PERMISSIVE"})
 
 
+def parse_search_bodies(search_pages: DataFrame, body: str = "body", keep: tuple[str, ...] = ("page",)) -> DataFrame:
+    """S1, first half: one row per body with ``total_count`` and ``items``
+    (NULL when the body has no ``data`` or null items)."""
+    parsed = search_pages.select(*keep, parse_body(body, SEARCH_BODY).alias("_b"))
+    return parsed.select(*keep, F.col("_b.data.totalCount").alias("total_count"),
+                         F.col("_b.data.items").alias("items"))
+
+
+def explode_search_items(parsed: DataFrame, keep: tuple[str, ...] = ("page",)) -> DataFrame:
+    """S1, second half: one row per non-null item with its position."""
+    items = parsed.select(*keep, "total_count", F.posexplode_outer("items").alias("pos", "item"))
+    return items.where(F.col("item").isNotNull()).select(*keep, "pos", "total_count", "item.*")
+
+
 def read_search_items(search_pages: DataFrame, body: str = "body", keep: tuple[str, ...] = ("page",)) -> DataFrame:
     """One row per search item with its position in the page and the
     page's total count.  A body without ``data`` or with null ``items``
     gives no rows; null items are dropped."""
-    parsed = search_pages.select(*keep, parse_body(body, SEARCH_BODY).alias("_b"))
-    items = parsed.select(
-        *keep,
-        F.col("_b.data.totalCount").alias("total_count"),
-        F.posexplode_outer("_b.data.items").alias("pos", "item"),
-    )
-    return items.where(F.col("item").isNotNull()).select(*keep, "pos", "total_count", "item.*")
+    return explode_search_items(parse_search_bodies(search_pages, body, keep), keep)
 
 
 def read_detail_docs(detail_pages: DataFrame, body: str = "body", keep: tuple[str, ...] = ("id",)) -> DataFrame:
