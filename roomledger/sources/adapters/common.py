@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from ... import constants as K
 from ...functions import numbers
 from ...schema import LISTING_SCHEMA, canonical_columns
+from ...session import ensure_checkpoint_dir
 
 API_SCHEMA = T.StructType(
     [
@@ -62,3 +63,10 @@ def finish(df: DataFrame, source: str, run_ts: dt.datetime, reason: Column | str
     out = out.withColumn("price_per_m2", numbers.price_per_m2("price_eur_month", "size_m2"))
     r = F.col(reason) if isinstance(reason, str) else reason
     return out.select(*canonical_columns(out), r.cast("string").alias("reject_reason"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to ``spark.checkpoint.dir`` and cut its lineage.  For
+    narrow parsed frames that feed both a decision and the rows."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

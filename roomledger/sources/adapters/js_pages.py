@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ... import constants as K
 from ...functions import compose, html as H, numbers, payload as P, text
 from ...operators import aggregates, filters, joins, ordering, windows
-from .common import finish, pages
+from .common import checkpointed, finish, pages
 
 SOURCE = K.SOURCES[4]
 
@@ -59,7 +59,7 @@ def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
     )
     # The parsed rows (no HTML) are checkpointed: the winner count and the
     # kept rows both read them instead of parsing the pages twice.
-    j = joins.link_page_join(links, fields, "detail_url", "url").drop("detail_url").checkpoint()
+    j = checkpointed(joins.link_page_join(links, fields, "detail_url", "url").drop("detail_url"))
     # The first candidate with an accepted listing; the others were never read.
     counts = j.groupBy(F.lit(SOURCE).alias("src"), "candidate").agg(
         F.count_if(F.col("reject_reason").isNull()).alias("n_listings"))

@@ -12,7 +12,7 @@ from ... import constants as K
 from ...functions import compose, html as H, numbers, payload as P, text
 from ...operators import filters, html_facts, joins, ordering, windows
 from .. import payloads
-from .common import finish, pages
+from .common import checkpointed, finish, pages
 
 SOURCE = K.SOURCES[2]
 
@@ -26,8 +26,8 @@ def visited_cards(spark: SparkSession, root: str) -> DataFrame:
     facts = html_facts.html_facts(search.select("key", "html"), key="key", class_patterns={},
                                   detail_href=K.RENTALS_DETAIL_HREF, detail_case_insensitive=True)
     # One DOM pass over the search pages: the winner count and the cards read the checkpoint.
-    cards = search.drop("html").join(facts, "key").select(
-        "candidate", "page", "status", F.posexplode_outer("cards").alias("pos", "card")).checkpoint()
+    cards = checkpointed(search.drop("html").join(facts, "key").select(
+        "candidate", "page", "status", F.posexplode_outer("cards").alias("pos", "card")))
     ok_first = (F.col("page") == 1) & (F.col("status").isNull() | (F.col("status") < 400))
     counts = cards.where(ok_first).groupBy(F.lit(SOURCE).alias("src"), "candidate").agg(
         F.count("card").alias("n_cards"))

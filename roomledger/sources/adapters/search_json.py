@@ -14,7 +14,7 @@ from ... import constants as K
 from ...functions import compose, flags, numbers, payload as P, text
 from ...operators import filters, windows
 from ...operators.ordering import source_position
-from .common import finish, pages
+from .common import checkpointed, finish, pages
 
 SOURCE = K.SOURCES[3]
 
@@ -22,7 +22,7 @@ SOURCE = K.SOURCES[3]
 def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
     search = pages(spark, root, SOURCE, "search").select("candidate", "page", "html")
     # Each page is parsed once; the page log, the cut-off and the ads read the checkpoint.
-    sp = search.select("candidate", "page", P.search_payload("html").alias("sp")).checkpoint()
+    sp = checkpointed(search.select("candidate", "page", P.search_payload("html").alias("sp")))
     ads = sp.select("candidate", "page", F.posexplode_outer("sp.ads").alias("pos", "ad"))
 
     def g(path: str, typ: str = "string"):

@@ -12,7 +12,7 @@ from ... import constants as K
 from ...functions import compose, flags, numbers, text
 from ...operators import aggregates, filters, joins, ordering, windows
 from .. import payloads
-from .common import api, finish
+from .common import api, checkpointed, finish
 
 SOURCE = K.SOURCES[0]
 
@@ -24,7 +24,7 @@ def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
     search = filters.academic_year_filter(api(spark, root, "search"), picked, "availability_id")
 
     # Bodies are parsed once: the page log and the items both read the checkpoint.
-    parsed = payloads.parse_search_bodies(search, "body", ("page",)).checkpoint()
+    parsed = checkpointed(payloads.parse_search_bodies(search, "body", ("page",)))
 
     # Read pages until the first empty page; a short page is the last.
     n_items = F.coalesce(F.size("items"), F.lit(0))
