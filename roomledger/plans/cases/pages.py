@@ -238,7 +238,20 @@ def link_page_join(spark, d):
     return joins.link_page_join(links, targets).select("referrer_id", "page_id", "detail_url")
 
 
-# --- DOM facts (rows-only: no SQL equivalent of a nested DOM walk) ---------
+# --- DOM facts ---------------------------------------------------------------
+# Spark runs the Python DOM pass.  The oracle can use regexes because the
+# driver's pages are flat: cards are the <li> nav items, each holding one
+# link, and the one classed element is a <div class="ad"> holding text.
+
+LI_INNER = r"(?is)<li\b[^>]*>(.*?)</li\s*>"
+A_INNER = r"(?is)<a\b[^>]*>(.*?)</a\s*>"
+AD_INNER = r'(?is)<div\b[^>]*\bclass\s*=\s*"ad"[^>]*>(.*?)</div\s*>'
+
+LI_SQL = f"""
+lis AS (SELECT page_id, regexp_extract_all({visible_sql('html')}, {q(LI_INNER)}, 1) AS items FROM pages),
+li AS (SELECT page_id, CAST(i AS INTEGER) AS pos, items[i + 1] AS li_html
+       FROM (SELECT page_id, items, unnest(range(len(items))) AS i FROM lis))"""
+
 
 def _facts(spark, d):
     return html_facts.html_facts(
@@ -252,18 +265,29 @@ def _facts(spark, d):
     )
 
 
-@case("html_cards")
+@case("html_cards", f"""WITH {LI_SQL}
+SELECT page_id, pos,
+  list_filter(list_transform(regexp_extract_all(li_html, {q(H.ANCHOR_HREF)}, 1), lambda h: {unescape_sql(unquote_sql('h'))}),
+              lambda h: regexp_matches(h, {q('(?i)' + DETAIL_CI)}))[1] AS href,
+  {text_raw_sql('li_html')} AS card_text FROM li""")
 def html_cards(spark, d):
     return _facts(spark, d).select("page_id", F.posexplode("cards").alias("pos", "card")).select(
         "page_id", "pos", F.col("card.href").alias("href"), F.col("card.text").alias("card_text")
     )
 
 
-@case("html_first_by_class")
+@case("html_first_by_class", f"""SELECT page_id,
+  CASE WHEN regexp_matches(html, {q(AD_INNER)}) THEN {text_stripped_sql(f"regexp_extract(html, {q(AD_INNER)}, 1)")} END
+  AS ad_text FROM pages""")
 def html_first_by_class(spark, d):
     return _facts(spark, d).select("page_id", "ad_text")
 
 
-@case("html_attributes_map")
+@case("html_attributes_map", f"""WITH {LI_SQL},
+pairs AS (SELECT page_id, pos, {text_stripped_sql(f"regexp_extract(li_html, {q(A_INNER)}, 1)")} AS t
+          FROM li WHERE regexp_matches(li_html, {q(A_INNER)})),
+last AS (SELECT page_id, lower(t) AS label, t AS value FROM pairs
+         QUALIFY row_number() OVER (PARTITION BY page_id, lower(t) ORDER BY pos DESC) = 1)
+SELECT p.page_id, l.label, l.value FROM pages p LEFT JOIN last l ON p.page_id = l.page_id""")
 def html_attributes_map(spark, d):
     return _facts(spark, d).select("page_id", F.explode_outer("attributes").alias("label", "value"))
