@@ -25,6 +25,25 @@ VOID_TAGS = frozenset(
 )
 NON_TEXT_TAGS = frozenset(("script", "style", "template"))
 
+# Implied end tags (HTML parsing rules, simplified): a start tag closes an
+# open element of the listed kinds, looking up the open elements no further
+# than the boundary tags.
+_BLOCKS = frozenset(
+    "address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
+    "h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
+)
+_P_SCOPE = frozenset("html table td th caption template button object marquee applet".split())
+IMPLIED_CLOSE = {
+    "li": ({"li"}, {"ul", "ol", "menu"} | _P_SCOPE),
+    "dt": ({"dt", "dd"}, {"dl"} | _P_SCOPE),
+    "dd": ({"dt", "dd"}, {"dl"} | _P_SCOPE),
+    "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}),
+    "td": ({"td", "th"}, {"tr", "table"}),
+    "th": ({"td", "th"}, {"tr", "table"}),
+    "option": ({"option"}, {"select", "datalist", "optgroup"}),
+    **{b: ({"p"}, _P_SCOPE) for b in _BLOCKS},
+}
+
 
 class _Node:
     __slots__ = ("tag", "attrs", "children", "parent")
@@ -39,7 +58,20 @@ class _TreeBuilder(HTMLParser):
         self.root = _Node("#root", {}, None)
         self.cur = self.root
 
+    def _close_implied(self, tag):
+        rule = IMPLIED_CLOSE.get(tag)
+        if rule is None:
+            return
+        closes, boundary = rule
+        node = self.cur
+        while node is not self.root and node.tag not in boundary:
+            if node.tag in closes:
+                self.cur = node.parent
+                return
+            node = node.parent
+
     def handle_starttag(self, tag, attrs):
+        self._close_implied(tag)
         node = _Node(tag, {k: (v or "") for k, v in attrs}, self.cur)
         self.cur.children.append(node)
         if tag not in VOID_TAGS:
