@@ -9,6 +9,8 @@ decoded once, and a scope is the text up to the first matching close tag
 
 from __future__ import annotations
 
+from html import entities as html_entities
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,30 +28,43 @@ TAG = r"<[^>]*>"
 ANCHOR_HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 ANCHOR_FULL = r"""(?is)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)[^>]*>(.*?)</a\s*>"""
 
-# Named entities decoded in text and attribute values; '&amp;' goes last so
-# that text is decoded exactly once.
-ENTITIES = [
-    ("&nbsp;", "\u00a0"),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&euro;", "€"),
-    ("&sup2;", "²"),
-    ("&amp;", "&"),
-]
+# Named character references: the HTML 4 set from the standard library
+# (252 names) plus ``&apos;``.
+NAMED_REFS = {f"&{name};": chr(cp) for cp, name in sorted(html_entities.codepoint2name.items())}
+NAMED_REFS["&apos;"] = "'"
+
+# A text split into character references and everything else.
+CHAR_REF_PARTS = r"&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};|&[A-Za-z][A-Za-z0-9]{1,31};|[^&]+|&"
+
+
+def _named_map() -> Column:
+    pairs = []
+    for ref, ch in NAMED_REFS.items():
+        pairs += [F.lit(ref), F.lit(ch)]
+    return F.create_map(*pairs)
 
 
 def unescape(c: Column | str, skip_nbsp: bool = False) -> Column:
-    out = col(c)
-    for ent, ch in ENTITIES:
-        if skip_nbsp and ent == "&nbsp;":
-            continue
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """Decode character references once, in one left-to-right pass.
+
+    Numeric references become the code point (written as 4 bytes and decoded
+    as UTF-32; out-of-range ones give U+FFFD), named ones come from
+    ``NAMED_REFS``, unknown names stay as written.  Texts without ``&`` are
+    returned as they are, without splitting.  ``skip_nbsp`` keeps
+    ``&nbsp;`` (for callers that decoded it already).
+    """
+    t = col(c)
+    names = _named_map()
+
+    def one(p: Column) -> Column:
+        hexv = (F.when(p.startswith("&#x") | p.startswith("&#X"), F.regexp_extract(p, r"^&#[xX]([0-9A-Fa-f]+);$", 1))
+                .when(p.startswith("&#"), F.conv(F.regexp_extract(p, r"^&#([0-9]+);$", 1), 10, 16)))
+        numeric = F.decode(F.try_to_binary(F.lpad(hexv, 8, "0"), F.lit("hex")), "UTF-32")
+        named = F.when(p != "&nbsp;", F.try_element_at(names, p)) if skip_nbsp else F.try_element_at(names, p)
+        return F.coalesce(numeric, named, p)
+
+    parts = F.regexp_extract_all(t, F.lit(CHAR_REF_PARTS), 0)
+    return F.when(t.contains("&"), F.array_join(F.transform(parts, one), "")).otherwise(t)
 
 
 def visible_markup(html: Column | str) -> Column:

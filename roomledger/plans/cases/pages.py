@@ -23,12 +23,19 @@ CARD_PHRASES = [r"\bthe\b", r"\bde\b"]
 
 # --- DuckDB spellings of the html functions --------------------------------
 
+NAMED_MAP_SQL = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in H.NAMED_REFS.items()) + "}"
+
+
 def unescape_sql(e: str, skip_nbsp: bool = False) -> str:
-    for ent, ch in H.ENTITIES:
-        if skip_nbsp and ent == "&nbsp;":
-            continue
-        e = f"replace({e}, {q(ent)}, {q(ch)})"
-    return e
+    numeric = ("CASE WHEN starts_with(p, '&#x') OR starts_with(p, '&#X') "
+               "THEN try(chr(CAST('0x' || regexp_extract(p, '^&#[xX]([0-9A-Fa-f]+);$', 1) AS INTEGER))) "
+               "WHEN starts_with(p, '&#') THEN try(chr(CAST(regexp_extract(p, '^&#([0-9]+);$', 1) AS INTEGER))) END")
+    named = f"({NAMED_MAP_SQL})[p]"
+    if skip_nbsp:
+        named = f"CASE WHEN p <> '&nbsp;' THEN {named} END"
+    return (f"CASE WHEN contains({e}, '&') THEN array_to_string(list_transform("
+            f"regexp_extract_all({e}, {q(H.CHAR_REF_PARTS)}, 0), lambda p: COALESCE({numeric}, {named}, p)), '') "
+            f"ELSE {e} END")
 
 
 def visible_sql(e: str) -> str:

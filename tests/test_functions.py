@@ -136,3 +136,8 @@ def test_search_payload_fallbacks(spark):
         "s.found", "s.total_items", F.size("s.ads").alias("n")).collect()
     # A missing totalItems is 0 (a 2-page cap), not unknown.
     assert [tuple(r) for r in got] == [(True, 5, 1), (True, 0, 1), (False, 0, 0), (True, 0, 1), (True, None, 1)]
+
+
+def test_numeric_character_references(spark):
+    got = one(spark, H.unescape("x"), "LOU&#201; caf&#xe9; a&amp;#233;b &#128512; plain & more &Eacute;t&eacute; &bogus;")
+    assert got == "LOUÉ café a&#233;b \U0001F600 plain & more Été &bogus;"
