@@ -9,6 +9,7 @@ decoded once, and a scope is the text up to the first matching close tag
 
 from __future__ import annotations
 
+import json
 from html import entities as html_entities
 
 from pyspark.sql import Column
@@ -37,11 +38,14 @@ NAMED_REFS["&apos;"] = "'"
 CHAR_REF_PARTS = r"&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};|&[A-Za-z][A-Za-z0-9]{1,31};|[^&]+|&"
 
 
+_NAMED_REFS_JSON = json.dumps(NAMED_REFS)
+
+
 def _named_map() -> Column:
-    pairs = []
-    for ref, ch in NAMED_REFS.items():
-        pairs += [F.lit(ref), F.lit(ch)]
-    return F.create_map(*pairs)
+    """The table as one map literal: a single JSON string parsed by
+    ``from_json``, which Catalyst folds into a constant (one expression,
+    not hundreds of literals)."""
+    return F.from_json(F.lit(_NAMED_REFS_JSON), "map<string,string>")
 
 
 def unescape(c: Column | str, skip_nbsp: bool = False) -> Column:
@@ -61,7 +65,8 @@ def unescape(c: Column | str, skip_nbsp: bool = False) -> Column:
                 .when(p.startswith("&#"), F.conv(F.regexp_extract(p, r"^&#([0-9]+);$", 1), 10, 16)))
         numeric = F.decode(F.try_to_binary(F.lpad(hexv, 8, "0"), F.lit("hex")), "UTF-32")
         named = F.when(p != "&nbsp;", F.try_element_at(names, p)) if skip_nbsp else F.try_element_at(names, p)
-        return F.coalesce(numeric, named, p)
+        # Plain-text parts (the long runs between references) skip all lookups.
+        return F.when(~p.startswith("&") | (F.length(p) < 4), p).otherwise(F.coalesce(numeric, named, p))
 
     parts = F.regexp_extract_all(t, F.lit(CHAR_REF_PARTS), 0)
     return F.when(t.contains("&"), F.array_join(F.transform(parts, one), "")).otherwise(t)
