@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -68,13 +69,23 @@ def write_run_stamped(df: DataFrame, root: str, run_ts: dt.datetime, fmt: str =
     run replaces its own output and never touches other runs.  Reading
     ``root`` gives ``run_ts`` back as a partition column.
     """
-    if df.isEmpty():
-        return None
     path = f"{root.rstrip('/')}/run_ts={run_stamp(run_ts)}"
-    df.write.mode("overwrite").format(fmt).save(path)
+    # One pass: the rows are counted while they are written; an empty run's
+    # folder is then removed, instead of computing the frame twice.
+    obs = Observation(f"rows_{uuid.uuid4().hex[:10]}")
+    df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").format(fmt).save(path)
+    if obs.get["rows"] == 0:
+        _delete(df.sparkSession, path)
+        return None
     return path
 
 
+def _delete(spark, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
 def write_outputs(staged: DataFrame, out_dir: str, run_ts: dt.datetime) -> dict[str, str | None]:
     """Write listings, presentation CSV, summary and audit from one staged table.
 
