@@ -150,3 +150,21 @@ def test_edges_price_fallbacks(spark, edges):
     js = js_pages.build(spark, edges, TS).first()
     # A zero JSON-LD price is falsy: the euro amount in the text is used.
     assert int(js["price_eur_month"]) == 425 and js["neighborhood"] == "Leuven"
+
+
+def _exchange_inputs(df):
+    """Input columns of every Exchange in the formatted physical plan."""
+    import re
+
+    plan = df._jdf.queryExecution().explainString(
+        df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    blocks = re.split(r"\n\(\d+\) ", plan)
+    return [b for b in blocks if b.split("\n", 1)[0].strip().endswith("Exchange")]
+
+
+@pytest.mark.parametrize("adapter", [classifieds, rental_pages, search_json, js_pages, unit_api])
+def test_no_html_is_shuffled_or_broadcast(spark, landed, adapter):
+    df = adapter.build(spark, landed, TS)
+    for block in _exchange_inputs(df):
+        inputs = next((ln for ln in block.splitlines() if ln.startswith("Input")), "")
+        assert "html#" not in inputs, block[:300]
