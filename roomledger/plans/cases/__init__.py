@@ -39,7 +39,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     from ..layout import spread_narrow_scan
 
     path = f"{sf_dir.rstrip('/')}/{table}.parquet"
-    key = (spark.sparkContext.applicationId, id(spark), path)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - sessions without a local SparkContext
+        app = ""
+    key = (app, id(spark), path)
     if key not in _READS:
         _READS[key] = spread_narrow_scan(spark.read.parquet(path))
     return _READS[key]

@@ -37,9 +37,12 @@ def spread_narrow_scan(df: DataFrame, min_bytes: int = MIN_SPREAD_BYTES) -> Data
     after the spread, in parallel, instead of in the single scan task.
     Only narrow scans get this; wide scans keep their Parquet pushdown.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores or estimated_bytes(df) < min_bytes:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        narrow = df.rdd.getNumPartitions() < cores and estimated_bytes(df) >= min_bytes
+    except Exception:  # noqa: BLE001 - no JVM handles (e.g. a Connect session): leave the scan as it is
+        return df
+    if not narrow:
         return df
     name = f"spread_rows_{uuid.uuid4().hex[:10]}"
     return df.repartition(cores).observe(name, F.count(F.lit(1)).alias("rows"))
