@@ -12,13 +12,16 @@ scan.
 
 from __future__ import annotations
 
+import os
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Below this estimated size one task finishes the work faster than a shuffle.
-MIN_SPREAD_BYTES = 1 << 20
+# Below this estimated size one task finishes the work faster than a shuffle
+# (ROOMLEDGER_SPREAD_MIN_BYTES overrides it).
+MIN_SPREAD_BYTES = int(os.environ.get("ROOMLEDGER_SPREAD_MIN_BYTES", 1 << 20))
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -45,4 +48,8 @@ def spread_narrow_scan(df: DataFrame, min_bytes: int = MIN_SPREAD_BYTES) -> Data
     if not narrow:
         return df
     name = f"spread_rows_{uuid.uuid4().hex[:10]}"
-    return df.repartition(cores).observe(name, F.count(F.lit(1)).alias("rows"))
+    spread = df.repartition(cores).observe(name, F.count(F.lit(1)).alias("rows"))
+    # The input is one narrow split, so keeping the spread rows is bounded by
+    # the split size; every branch and query over it then shares one shuffle.
+    # Lost blocks are recomputed from the scan.
+    return spread.persist(StorageLevel.MEMORY_AND_DISK)
