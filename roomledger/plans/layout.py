@@ -4,10 +4,11 @@ A scan gets one task per file split, and a Parquet file splits only at row
 groups.  Landed data at scale is many files, so scans are already wide and
 nothing is done.  A small input written as one file with one row group
 gives a single task; then the rows are spread round-robin over the
-cluster's cores *before* the regex/JSON work.  The spread is planned only
-when the scan is narrower than the cluster and the input is large enough
-for the extra shuffle to pay off, so it never adds a shuffle to a wide
-scan.
+cluster's cores *before* the regex/JSON work, and kept (the input is at
+most ``MAX_SPREAD_BYTES``), so every branch and query over it shares that
+one shuffle.  The spread is planned only when the scan is narrower than
+the cluster and its size is between the two bounds, so it never adds a
+shuffle (or a cache) to a wide or large scan.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ from pyspark.sql import functions as F
 # Below this estimated size one task finishes the work faster than a shuffle
 # (ROOMLEDGER_SPREAD_MIN_BYTES overrides it).
 MIN_SPREAD_BYTES = int(os.environ.get("ROOMLEDGER_SPREAD_MIN_BYTES", 1 << 20))
+# Above this size an input is never spread (nor kept): on a large cluster a
+# big table can have fewer partitions than there are cores, and it is
+# already split finely enough.  This bounds what is persisted.
+MAX_SPREAD_BYTES = int(os.environ.get("ROOMLEDGER_SPREAD_MAX_BYTES", 2 << 30))
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -32,7 +37,8 @@ def estimated_bytes(df: DataFrame) -> int:
         return 0
 
 
-def spread_narrow_scan(df: DataFrame, min_bytes: int = MIN_SPREAD_BYTES) -> DataFrame:
+def spread_narrow_scan(df: DataFrame, min_bytes: int = MIN_SPREAD_BYTES,
+                       max_bytes: int = MAX_SPREAD_BYTES) -> DataFrame:
     """Round-robin a narrow, non-trivial scan over the cluster's cores.
 
     The spread is followed by ``observe`` (a row-count metric): Catalyst
@@ -42,14 +48,15 @@ def spread_narrow_scan(df: DataFrame, min_bytes: int = MIN_SPREAD_BYTES) -> Data
     """
     try:
         cores = df.sparkSession.sparkContext.defaultParallelism
-        narrow = df.rdd.getNumPartitions() < cores and estimated_bytes(df) >= min_bytes
+        size = estimated_bytes(df)
+        narrow = min_bytes <= size <= max_bytes and df.rdd.getNumPartitions() < cores
     except Exception:  # noqa: BLE001 - no JVM handles (e.g. a Connect session): leave the scan as it is
         return df
     if not narrow:
         return df
     name = f"spread_rows_{uuid.uuid4().hex[:10]}"
     spread = df.repartition(cores).observe(name, F.count(F.lit(1)).alias("rows"))
-    # The input is one narrow split, so keeping the spread rows is bounded by
-    # the split size; every branch and query over it then shares one shuffle.
-    # Lost blocks are recomputed from the scan.
+    # The input is small (at most max_bytes), so keeping the spread rows is
+    # bounded; every branch and query over it then shares one shuffle.  Lost
+    # blocks are recomputed from the scan.
     return spread.persist(StorageLevel.MEMORY_AND_DISK)
