@@ -165,24 +165,52 @@ def anchors(html: Column | str, cleaned: bool = False) -> Column:
     )
 
 
+def _fold_dot_segments(segs: Column) -> Column:
+    """``remove_dot_segments`` over path segments: ``.`` is dropped, ``..``
+    pops the previous segment (never past the start), a final ``.``/``..``
+    leaves a trailing slash; the path is rooted (``/`` when empty)."""
+    folded = F.aggregate(
+        segs, F.array().cast("array<string>"),
+        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+        .when(s == ".", acc)
+        .otherwise(F.concat(acc, F.array(s))),
+    )
+    last = F.try_element_at(segs, F.lit(-1))
+    folded = F.when(last.isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
+    joined = F.array_join(folded, "/")
+    # Under a host the path always starts with '/'.
+    return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
+
+
 def resolve_url(href: Column | str, base: Column | str) -> Column:
-    """``urljoin(base, href)`` for the shapes links take (no dot-segment folding)."""
-    h, b = col(href), col(base)
-    origin = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
-    scheme = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
+    """``urljoin(base, href)``: absolute and ``//`` hrefs as they are,
+    ``?``/``#``/empty against the base, ``/`` and relative paths with their
+    dot segments folded."""
+    orig, b = col(href), col(base)
+    # '//' with an empty authority: the rest is a path on the base's host.
+    empty_authority = orig.rlike(r"^//([/?#]|$)")
+    h = F.when(empty_authority, F.substring(orig, 3, 1 << 30)).otherwise(orig)
+    scheme_re = r"^[A-Za-z][A-Za-z0-9+.\-]*"
+    origin = F.regexp_extract(b, rf"({scheme_re}://[^/?#]*)", 1)
+    scheme = F.regexp_extract(b, rf"({scheme_re}):", 1)
     no_frag = F.regexp_extract(b, r"^([^#]*)", 1)
     no_query = F.regexp_extract(b, r"^([^?#]*)", 1)
-    base_dir = F.when(
-        b.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/"), F.regexp_extract(b, r"^([^?#]*/)", 1)
-    ).otherwise(F.concat(origin, F.lit("/")))
+    h_path = F.regexp_extract(h, r"^([^?#]*)", 1)
+    h_rest = F.regexp_extract(h, r"^[^?#]*(.*)$", 1)
+    # Relative: the base's directory segments, then the href's; empty middle segments dropped.
+    b_parts = F.split(F.regexp_extract(b, rf"{scheme_re}://[^/?#]*([^?#]*)", 1), "/")
+    b_dir = F.when(F.try_element_at(b_parts, F.lit(-1)) != "", F.slice(b_parts, 1, F.size(b_parts) - 1)).otherwise(b_parts)
+    segs = F.concat(b_dir, F.split(h_path, "/"))
+    segs = F.filter(segs, lambda s, i: (i == 0) | (i == F.size(segs) - 1) | (s != ""))
     return (
-        F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
-        .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-        .when(h.startswith("/"), F.concat(origin, h))
-        .when(h == "", b)
+        F.when(orig == "", b)
+        .when(h == "", no_frag)
+        .when(h.rlike(scheme_re + ":"), h)
+        .when(h.startswith("//") & ~empty_authority, F.concat(scheme, F.lit(":"), h))
         .when(h.startswith("?"), F.concat(no_query, h))
         .when(h.startswith("#"), F.concat(no_frag, h))
-        .otherwise(F.concat(base_dir, h))
+        .when(h.startswith("/"), F.concat(origin, _fold_dot_segments(F.split(h_path, "/")), h_rest))
+        .otherwise(F.concat(origin, _fold_dot_segments(segs), h_rest))
     )
 
 

@@ -71,21 +71,36 @@ def element_sql(v: str, tag: str) -> tuple[str, str]:
     return has, inner
 
 
-def resolve_sql(h: str, b: str) -> str:
+def fold_sql(segs: str) -> str:
+    folded = (f"list_reduce({segs}, lambda acc, s: CASE WHEN s = '..' THEN acc[1:len(acc) - 1] "
+              f"WHEN s = '.' THEN acc ELSE list_append(acc, s) END, []::VARCHAR[])")
+    folded = f"CASE WHEN {segs}[-1] IN ('.', '..') THEN list_append({folded}, '') ELSE {folded} END"
+    joined = f"array_to_string({folded}, '/')"
+    return f"CASE WHEN starts_with({joined}, '/') THEN {joined} ELSE '/' || {joined} END"
+
+
+def resolve_sql(orig: str, b: str) -> str:
+    empty_auth = f"regexp_matches({orig}, '^//([/?#]|$)')"
+    h = f"(CASE WHEN {empty_auth} THEN substr({orig}, 3) ELSE {orig} END)"
     scheme_re = r"^[A-Za-z][A-Za-z0-9+.\-]*"
-    origin = f"regexp_extract({b}, {q(f'^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)')}, 1)"
-    scheme = f"regexp_extract({b}, {q(f'^([A-Za-z][A-Za-z0-9+.\\-]*):')}, 1)"
+    origin = f"regexp_extract({b}, {q('(' + scheme_re + '://[^/?#]*)')}, 1)"
+    scheme = f"regexp_extract({b}, {q('(' + scheme_re + '):')}, 1)"
     no_query = f"regexp_extract({b}, '^([^?#]*)', 1)"
     no_frag = f"regexp_extract({b}, '^([^#]*)', 1)"
-    base_dir = (f"CASE WHEN regexp_matches({b}, {q(scheme_re + '://[^/?#]*/')}) "
-                f"THEN regexp_extract({b}, '^([^?#]*/)', 1) ELSE {origin} || '/' END")
-    return (f"CASE WHEN regexp_matches({h}, {q(scheme_re + ':')}) THEN {h} "
-            f"WHEN starts_with({h}, '//') THEN {scheme} || ':' || {h} "
-            f"WHEN starts_with({h}, '/') THEN {origin} || {h} "
-            f"WHEN {h} = '' THEN {b} "
+    h_path = f"regexp_extract({h}, '^([^?#]*)', 1)"
+    h_rest = f"regexp_extract({h}, '^[^?#]*(.*)$', 1)"
+    b_parts = f"string_split(regexp_extract({b}, {q(scheme_re + '://[^/?#]*([^?#]*)')}, 1), '/')"
+    b_dir = f"(CASE WHEN {b_parts}[-1] <> '' THEN {b_parts}[1:len({b_parts}) - 1] ELSE {b_parts} END)"
+    segs = f"list_concat({b_dir}, string_split({h_path}, '/'))"
+    segs = f"list_filter({segs}, lambda s, i: i = 1 OR i = len({segs}) OR s <> '')"
+    return (f"CASE WHEN {orig} = '' THEN {b} "
+            f"WHEN {h} = '' THEN {no_frag} "
+            f"WHEN regexp_matches({h}, {q(scheme_re + ':')}) THEN {h} "
+            f"WHEN starts_with({h}, '//') AND NOT {empty_auth} THEN {scheme} || ':' || {h} "
             f"WHEN starts_with({h}, '?') THEN {no_query} || {h} "
             f"WHEN starts_with({h}, '#') THEN {no_frag} || {h} "
-            f"ELSE {base_dir} || {h} END")
+            f"WHEN starts_with({h}, '/') THEN {origin} || {fold_sql(f'string_split({h_path}, chr(47))')} || {h_rest} "
+            f"ELSE {origin} || {fold_sql(segs)} || {h_rest} END")
 
 
 LINKS_SQL = f"""
