@@ -36,3 +36,13 @@ def test_status_filter_reaches_the_scan(spark):
     plan = plan_of(df)
     assert "PushedFilters" in plan and "status" in plan.split("PushedFilters")[1][:200]
     assert "ReadSchema: struct<page_id:int,status:int>" in plan
+
+
+def test_extraction_stays_jvm_side(spark):
+    # Regex/HTML/JSON extraction is built-in expressions: no Python evaluation
+    # node appears in the plan (only the DOM pass uses Python).
+    for key in ("html_text", "jsonld_first_match", "parse_euro_amount", "compose_address", "resolve_url"):
+        plan = plan_of(entry.queries()[key](spark, SF))
+        for node in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "PythonUDF"):
+            assert node not in plan, (key, node)
+    assert "MapInPandas" in plan_of(entry.queries()["html_cards"](spark, SF))
