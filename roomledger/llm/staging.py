@@ -14,6 +14,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, name)
     df.write.parquet(path)
+    # Shuffle files go when the driver's JVM collects what refers to them;
+    # now they serve nobody any more, and later steps need the disk.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,31 +1,33 @@
 """Suffix-array dedup (operator 7): distributed prefix doubling.
 
-Two 50-byte strings are equal when their halves are: the rank (name) of
-position ``i`` at length 50 is the pair (name of the first 25 bytes at ``i``,
-name of the 25 bytes at ``i + 25``).  Spark sorts such pairs, a pass over the
-sorted rows reranks them, and a position drops out as soon as its name is
-unique; the last round reaches the threshold length.
+Two 50-byte strings are equal when their parts are, so positions are ranked
+(named) by growing lengths: Spark sorts (name, name) pairs, a pass over the
+sorted rows reranks them, a position drops out as soon as its name is unique,
+and the last round reaches the threshold length.
 
 Sorting one row per byte of a corpus would take many times the corpus, so
 the first round ranks *runs* of positions.  Every 50-byte string has a least
-12-byte name among the 39 that it contains, and consecutive strings that
-share it form a run (about one run per 20 bytes).  Equal strings always lie in
+16-byte name among the 35 that it contains, and consecutive strings that
+share it form a run (about one run per 18 bytes).  Equal strings always lie in
 runs with the same least name, so:
 
-1. ``(least name, name of the whole run)`` pairs are sorted.  A run whose
-   least name is unique cannot match anywhere and drops out.  A run whose
-   whole content stands in a smaller document is covered altogether.
-2. What remains are runs that share the least name but differ as a whole (the
-   borders of repeated passages).  Their positions take the pair names of
-   length 50, are sorted, and a position is covered if the same pair stands
-   in a smaller document.
-
-Before each sort a task keeps only the smallest document of the names that
-repeat within a slice, so a passage that a third of all documents share does
-not send a row per document to one place; the sorted rows are then read as a
-stream that holds no group as a whole.  Names are 64-bit hashes (two of them
-where equality decides), so equal means equal up to a chance of about 2**-64
-per pair or less.
+1. Length 16: ``(least name, name of the whole run)`` pairs are sorted.  A run
+   whose least name is unique cannot match anywhere and drops out.  A run
+   whose whole content stands in a smaller document is covered altogether.
+2. Length 33: what remains are runs that share the least name but differ as a
+   whole (borders of repeated passages, or common phrases).  A match that
+   takes in the 16 bytes goes on for 17 bytes to their left or to their
+   right: the two 33-byte names are ranked, and positions whose name stands in
+   one document only drop out.
+3. Length 50: the positions left take the pair (name of 25 bytes, name of the
+   25 bytes after them); a position is covered if the same pair stands in a
+   smaller document.
+
+Before a sort each task settles what a slice already shows, so a passage that
+a third of all documents share does not send a row per document to one
+place; the sorted rows are read as a stream that holds no large group.  Names
+that decide are 96 bits or more: equal means equal up to a chance of 2**-96
+per pair.
 
 Cases: null is the empty text; texts shorter than the threshold match
 nothing; of rows with the same doc_id none is smaller, so copies under one
@@ -46,17 +48,24 @@ from pyspark.sql import types as T
 from . import arrays
 from .staging import apart, staged
 
-CORE = 12  # bytes of a least name
+CORE = 16  # bytes of a least name
 LAST_ID = (1 << 63) - 1
 HELD_ROWS = 200_000  # a group longer than this is passed through in parts
+MOST = (1 << 20) - 1  # positions of one row; a longer run is several rows
 
-# a: first name; b: second name; doc, tie: document; at, n: first position and
-# number of positions; settled: already known to be covered
-ROWS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("doc", T.LongType()),
-                     T.StructField("tie", T.IntegerType()), T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType()),
-                     T.StructField("settled", T.BooleanType())])
-FOUND = T.StructType([T.StructField("doc", T.LongType()), T.StructField("tie", T.IntegerType()), T.StructField("at", T.IntegerType()),
-                      T.StructField("n", T.IntegerType()), T.StructField("covered", T.BooleanType())])
+# What is known of a row: to be ranked; covered; to be looked at more closely.
+OPEN, COVERED, LOOK = 0, 1, 2
+
+# a, b: names; doc, tie: document; span: first position, number of positions
+# and what is known, in one number
+ROWS = T.StructType([T.StructField("doc", T.LongType()), T.StructField("tie", T.IntegerType()), T.StructField("span", T.LongType()),
+                     T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+FOUND = T.StructType([T.StructField("doc", T.LongType()), T.StructField("tie", T.IntegerType()), T.StructField("span", T.LongType())])
+KNOWN = "span & 3"
+
+
+def spans(at: np.ndarray, n: np.ndarray, known) -> np.ndarray:
+    return (at.astype(np.int64) << 22) | (n.astype(np.int64) << 2) | known
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -85,151 +94,224 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
     borders = borders[borders < len(least)]
     opens[borders] = inside[borders]
     start = np.flatnonzero(opens)
-    # a run ends where the next opens or the document has no more positions
     doc = np.searchsorted(offsets, start, "right") - 1
-    limit = offsets[doc + 1] - length + 1
-    end = np.minimum(np.append(start[1:], len(least)), limit)
+    # a run ends where the next opens or the document has no more positions
+    end = np.minimum(np.append(start[1:], len(least)), offsets[doc + 1] - length + 1)
+    if len(start) and (end - start).max() > MOST:
+        parts = -(-(end - start) // MOST)
+        which = np.repeat(np.arange(len(start)), parts)
+        part = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
+        start, end, doc = start[which] + part * MOST, np.minimum(start[which] + (part + 1) * MOST, end[which]), doc[which]
     whole = arrays.RangeHash(data, 23)(start, end + length - 1)
     return least[start], whole, doc, start - offsets[doc], end - start
 
 
-def settle(a, b, doc_id, tie, at, n) -> pa.RecordBatch:
-    """Rows of one slice: those whose two names stand in a smaller document
-    of the same slice are settled."""
+def settled(a, b, group, doc_id, tie, at, n, looks: bool) -> pa.RecordBatch:
+    """The rows of a slice with what the slice alone shows: rows whose pair
+    stands in a smaller document of the slice are covered.  With ``looks``,
+    of a ``group`` that has several pairs in several documents all but a few
+    witnesses are to be looked at whatever the other slices hold."""
     order = np.lexsort((at, tie, doc_id, b, a))
-    a, b, doc_id, tie, at, n = (x[order] for x in (a, b, doc_id, tie, at, n))
-    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)
-    least = doc_id[np.flatnonzero(new)][np.cumsum(new) - 1] if len(a) else doc_id
-    return pa.RecordBatch.from_arrays(
-        [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(doc_id), pa.array(tie), pa.array(at.astype(np.int32)),
-         pa.array(n.astype(np.int32)), pa.array(doc_id > least)], ROWS.fieldNames())
+    a, b, group, doc_id, tie, at, n = (x[order] for x in (a, b, group, doc_id, tie, at, n))
+    known = np.full(len(a), OPEN, np.int64)
+    if len(a):
+        new_pair = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+        first_pair = np.flatnonzero(new_pair)
+        pair = np.cumsum(new_pair) - 1
+        known[doc_id > doc_id[first_pair][pair]] = COVERED
+        if looks:
+            first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            sizes = np.diff(np.append(first, len(a)))
+            least, most = np.minimum.reduceat(doc_id, first), np.maximum.reduceat(doc_id, first)
+            pairs = np.diff(np.append(pair[first], pair[-1] + 1))
+            g = np.repeat(np.arange(len(first)), sizes)
+            crowd = ((sizes > 4) & (least < most) & (pairs > 1))[g] & (known == OPEN)
+            witness = np.zeros(len(a), bool)
+            witness[first] = True
+            witness[first_pair[pair[first + sizes - 1]]] = True
+            for extreme in (least, most):
+                at_extreme = np.flatnonzero(doc_id == extreme[g])
+                witness[at_extreme[np.unique(g[at_extreme], return_index=True)[1]]] = True
+            known[crowd & ~witness] = LOOK
+    return pa.RecordBatch.from_arrays([pa.array(doc_id), pa.array(tie), pa.array(spans(at, n, known)),
+                                       pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ROWS.fieldNames())
 
 
 class Reranker:
-    """One pass over rows sorted by (a, b, doc): which runs are covered by a
-    smaller document, and which must be looked at position by position
-    because their first name stands with another second name in another
-    document.  Holds one group of ``a``, or for a very long one only where
-    it stopped."""
-
-    def __init__(self, pairs_decide: bool):
-        self.pairs_decide = pairs_decide  # last round: an open pair is final
+    """One pass over rows sorted by (a, b, doc): which are covered by a
+    smaller document, and which must be looked at more closely because their
+    group (``a >> shift``) holds another pair in another document.  Holds one
+    group, or of a very long one only where it stopped."""
+
+    def __init__(self, shift: int, looks: bool):
+        self.shift, self.looks = shift, looks
         self.held: list[np.ndarray] | None = None
-        self.stopped: tuple[int, int, int] | None = None  # (a, b, smallest doc of b) where a long group was cut
+        self.stopped: tuple[int, int, int] | None = None  # (a, b, smallest doc) where a long group was cut
 
     def feed(self, columns: list[np.ndarray]) -> pa.RecordBatch:
         if self.held is not None:
             columns = [np.concatenate(x) for x in zip(self.held, columns)]
             self.held = None
         a = columns[0]
-        if not len(a):
-            return self._found(columns, np.zeros(0, bool), np.zeros(0, bool))
-        cut = int(np.searchsorted(a, a[-1], "left"))
+        cut = int(np.searchsorted(a, (a[-1] >> self.shift) << self.shift, "left"))
         if len(a) - cut <= HELD_ROWS:
             self.held = [x[cut:].copy() for x in columns]
             return self.rank([x[:cut] for x in columns], False)
         return self.rank(columns, True)
 
     def finish(self) -> pa.RecordBatch:
-        columns, self.held = self.held or [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32)], None
-        return self.rank(columns, False)
+        columns, self.held = self.held, None
+        return self.rank(columns, False) if columns else found_rows(*(np.zeros(0, t) for t in (np.int64, np.int32, np.int64)))
 
     def rank(self, columns: list[np.ndarray], goes_on: bool) -> pa.RecordBatch:
-        a, b, doc = columns[:3]
+        a, b, doc, tie, span = columns
         if not len(a):
-            return self._found(columns, np.zeros(0, bool), np.zeros(0, bool))
-        new_a = np.append(True, a[1:] != a[:-1])
-        new_b = np.append(True, new_a[1:] | (b[1:] != b[:-1]))
-        group_a, group_b = np.cumsum(new_a) - 1, np.cumsum(new_b) - 1
-        first_b = np.flatnonzero(new_b)
-        smallest = doc[first_b]
+            return found_rows(doc, tie, span)
+        group = a >> self.shift
+        new_group = np.append(True, group[1:] != group[:-1])
+        new_pair = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+        pair = np.cumsum(new_pair) - 1
+        smallest = doc[np.flatnonzero(new_pair)]
         if self.stopped is not None and self.stopped[:2] == (a[0], b[0]):
             smallest = smallest.copy()
             smallest[0] = min(smallest[0], self.stopped[2])
-        covered = doc > smallest[group_b]
-        if self.pairs_decide:
-            look = np.zeros(len(a), bool)
-        else:
-            first_a = np.flatnonzero(new_a)
-            several = np.diff(np.append(group_b[first_a], group_b[-1] + 1)) > 1
-            docs = np.minimum.reduceat(doc, first_a) != np.maximum.reduceat(doc, first_a)
-            wide = several & docs
-            if self.stopped is not None and self.stopped[0] == a[0]:
+        covered = doc > smallest[pair]
+        known = np.where(covered, COVERED, OPEN)
+        if self.looks:
+            first = np.flatnonzero(new_group)
+            several = np.diff(np.append(pair[first], pair[-1] + 1)) > 1
+            wide = several & (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first))
+            if self.stopped is not None and self.stopped[0] >> self.shift == group[0]:
                 wide[0] = True
             if goes_on:
                 wide[-1] = True
-            look = wide[group_a] & ~covered
+            known[wide[np.cumsum(new_group) - 1] & ~covered] = LOOK
         self.stopped = (int(a[-1]), int(b[-1]), int(smallest[-1])) if goes_on else None
-        return self._found(columns, covered, look)
+        keep = known != OPEN
+        return found_rows(doc[keep], tie[keep], span[keep] | known[keep])
+
 
-    @staticmethod
-    def _found(columns, covered, look) -> pa.RecordBatch:
-        keep = covered | look
-        doc, tie, at, n = (x[keep] for x in columns[2:6])
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tie), pa.array(at), pa.array(n), pa.array(covered[keep])],
-                                          FOUND.fieldNames())
+def found_rows(doc, tie, span) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tie), pa.array(span)], FOUND.fieldNames())
 
 
-def reranked(rows: DataFrame, pairs_decide: bool) -> DataFrame:
-    """Sort rank pairs and rerank.  Settled rows need no sorting: they are
-    dealt out at random."""
-    key = F.when(F.col("settled"), F.xxhash64("doc", "at")).otherwise(F.xxhash64("a", "b") if pairs_decide else F.col("a"))
-    dealt = rows.withColumn("key", key).repartition("key").drop("key").sortWithinPartitions("settled", "a", "b", "doc")
+def reranked(rows: DataFrame, shift: int, looks: bool) -> DataFrame:
+    """Sort rank pairs and rerank.  Rows already settled need no sorting:
+    they are dealt out evenly."""
+    is_open = F.expr(KNOWN) == OPEN
+    key = F.when(is_open, F.xxhash64(F.expr(f"a >> {shift}")) if looks else F.xxhash64("a", "b")).otherwise(F.xxhash64("doc", "span"))
+    # the key decides the partition only; it does not travel with the row
+    dealt = rows.repartition(key).sortWithinPartitions(is_open, "a", "b", "doc")
 
     def run(batches):
-        ranker = Reranker(pairs_decide)
+        ranker = Reranker(shift, looks)
         for batch in batches:
-            settled = batch.column("settled").to_numpy(zero_copy_only=False)
-            columns = [batch.column(c).to_numpy() for c in ("a", "b", "doc", "tie", "at", "n")]
-            if settled.any():
-                yield Reranker._found([x[settled] for x in columns], np.ones(int(settled.sum()), bool), np.zeros(int(settled.sum()), bool))
-            if not settled.all():
-                yield ranker.feed([x[~settled] for x in columns])
+            doc, tie, span, a, b = (batch.column(c).to_numpy() for c in ROWS.fieldNames())
+            done = (span & 3) != OPEN
+            if done.any():
+                yield found_rows(doc[done], tie[done], span[done])
+            if not done.all():
+                yield ranker.feed([x[~done] for x in (a, b, doc, tie, span)])
         yield ranker.finish()
 
     return dealt.mapInArrow(run, FOUND)
 
 
+def per_document(keyed: DataFrame, found: DataFrame, name: str = "held") -> DataFrame:
+    """The texts of documents that have rows in ``found``, with their spans."""
+    listed = found.groupBy("doc", "tie").agg(F.collect_list("span").alias(name))
+    return keyed.join(listed, ["doc", "tie"])
+
+
+def _held(rows: pa.RecordBatch, offsets: np.ndarray, name: str = "held") -> tuple[np.ndarray, ...]:
+    """(document of the slice, first position, positions) of listed spans."""
+    held = rows.column(name)
+    doc = np.repeat(np.arange(rows.num_rows), np.diff(held.offsets.to_numpy()))
+    span = held.flatten().to_numpy()
+    return doc, span >> 22, (span >> 2) & MOST
+
+
+def probes(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Round 2: (name, document, first position, positions).  The positions
+    of a run are split by the place of the least name that their string holds
+    first, and by the side of it on which the string reaches far."""
+    if not len(at):
+        return np.zeros(0, np.uint64), doc, at, n
+    width, side = length - CORE, (length - CORE) // 2
+    names = arrays.RangeHash(data, 11).fixed(CORE)
+    long_names = arrays.RangeHash(data, 41)
+    low = offsets[doc] + at
+    sizes = n + width  # names that the strings of the run hold
+    first = np.cumsum(sizes) - sizes
+    run = np.repeat(np.arange(len(at)), sizes)
+    values = names[low[run] + np.arange(len(run)) - first[run]]
+    found = np.flatnonzero(values == np.minimum.reduceat(values, first)[run])
+    run = run[found]
+    core = low[run] + found - first[run]
+    before = np.append(-1, core[:-1])
+    before[np.append(True, run[1:] != run[:-1])] = -1
+    begin = np.maximum(np.maximum(low[run], core - width), before + 1)
+    end = np.minimum((low + n - 1)[run], core)
+    out = []
+    for left in (True, False):
+        lo = begin if left else np.maximum(begin, core - side + 1)
+        hi = np.minimum(end, core - side) if left else end
+        name_at = core - side if left else core
+        some = lo <= hi
+        some &= (name_at >= offsets[doc[run]]) & (name_at + CORE + side <= offsets[doc[run] + 1])
+        place = name_at[some]
+        owner = doc[run[some]]
+        out.append((long_names(place, place + CORE + side), owner, lo[some] - offsets[owner], (hi - lo + 1)[some]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def covered_spans(keyed: DataFrame, length: int = 50) -> DataFrame:
-    """(doc, tie, spans): per document the starts and counts of positions
-    whose ``length`` bytes stand in a smaller document.  ``keyed`` has doc,
-    tie and text."""
+    """(doc, tie, held): per document the spans of positions whose ``length``
+    bytes stand in a smaller document.  ``keyed`` has doc, tie and text."""
     half = length // 2
 
     def first(batches):
         for batch in batches:
             for rows, data, offsets in arrays.slices(batch):
-                a, whole, doc, at, n = runs(data, offsets, length)
+                least, whole, doc, at, n = runs(data, offsets, length)
+                # 48 bits of the least name, then 48 of the run's: 96 in all
+                low = np.uint64(16)
+                a = ((least >> low) << low) | (whole >> np.uint64(48))
+                b = (whole >> low) & np.uint64(0xFFFFFFFF)
                 ids, ties = rows.column("doc").to_numpy(), rows.column("tie").to_numpy()
-                yield settle(a, whole, ids[doc], ties[doc], at, n)
+                yield settled(a, b, least >> low, ids[doc], ties[doc], at, n, True)
 
-    one = staged(reranked(keyed.mapInArrow(first, ROWS), False), "suffix-runs")
+    one = staged(reranked(keyed.mapInArrow(first, ROWS), 16, True), "suffix-16")
 
-    look = one.where(~F.col("covered")).groupBy("doc", "tie").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
-    texts = keyed.join(look, ["doc", "tie"])
+    probe_rows = T.StructType([*FOUND.fields, T.StructField("name", T.LongType())])
 
     def second(batches):
         for batch in batches:
-            listed = batch.column("runs")
-            row_of = 0
             for rows, data, offsets in arrays.slices(batch):
-                held = listed.slice(row_of, rows.num_rows)
-                row_of += rows.num_rows
-                doc = np.repeat(np.arange(rows.num_rows), np.diff(held.offsets.to_numpy()))
-                flat = held.flatten()
-                at, n = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+                name, doc, at, n = probes(data, offsets, *_held(rows, offsets), length)
+                ids, ties = rows.column("doc").to_numpy(), rows.column("tie").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(ties[doc]), pa.array(spans(at, n, LOOK)),
+                                                  pa.array(name.view(np.int64))], probe_rows.fieldNames())
+
+    probed = staged(per_document(keyed, one.where(F.expr(KNOWN) == LOOK)).mapInArrow(second, probe_rows), "suffix-33")
+    shared = probed.groupBy("name").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("name")
+    look = staged(probed.join(shared, "name").select("doc", "tie", "span"), "suffix-look")
+
+    def third(batches):
+        for batch in batches:
+            for rows, data, offsets in arrays.slices(batch):
+                doc, at, n = _held(rows, offsets)
                 index = np.repeat(np.arange(len(at)), n)
-                inner = np.arange(len(index)) - np.repeat(np.cumsum(n) - n, n)
-                doc, at = doc[index], at[index] + inner
+                doc, at = doc[index], at[index] + np.arange(len(index)) - np.repeat(np.cumsum(n) - n, n)
                 place = offsets[doc] + at
                 hashed = arrays.RangeHash(data, 37)
                 a, b = hashed(place, place + half), hashed(place + half, place + length)
                 ids, ties = rows.column("doc").to_numpy(), rows.column("tie").to_numpy()
-                yield settle(a, b, ids[doc], ties[doc], at, np.ones(len(at), np.int32))
+                yield settled(a, b, a, ids[doc], ties[doc], at, np.ones(len(at), np.int64), False)
 
-    two = reranked(texts.mapInArrow(second, ROWS), True)
-    found = one.where("covered").select("doc", "tie", "at", "n").unionByName(two.select("doc", "tie", "at", "n"))
-    return found.groupBy("doc", "tie").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    two = staged(reranked(per_document(keyed, look).mapInArrow(third, ROWS), 0, False), "suffix-50")
+    found = one.where(F.expr(KNOWN) == COVERED).unionByName(two)
+    return found.groupBy("doc", "tie").agg(F.collect_list("span").alias("held"))
 
 
 def cut(text: bytes, at: np.ndarray, n: np.ndarray, length: int) -> tuple[bytes, int, int]:
@@ -255,8 +337,9 @@ DIGEST = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_b
 
 
 def _spans_of(batch: pa.RecordBatch, column: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    held = batch.column(column)[k].as_py() or []
-    return np.array([s["at"] for s in held], np.int64), np.array([s["n"] for s in held], np.int64)
+    held = batch.column(column)[k]
+    span = held.values.to_numpy() if held.is_valid else np.zeros(0, np.int64)
+    return span >> 22, (span >> 2) & MOST
 
 
 def removal_digests(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,23 +352,23 @@ def removal_digests(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
             rows = []
             for k, (doc, text) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("text"))):
                 raw = text.as_buffer().to_pybytes() if text.as_py() else b""
-                kept, removed, spans = cut(raw, *_spans_of(batch, "spans", k), length)
+                kept, removed, spans = cut(raw, *_spans_of(batch, "held", k), length)
                 rows.append((None if doc == LAST_ID else doc, len(raw), removed, spans, hashlib.sha256(kept).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(
                 zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], DIGEST.fieldNames())
 
-    return joined.select("doc", "text", "spans").mapInArrow(run, DIGEST)
+    return joined.select("doc", "text", "held").mapInArrow(run, DIGEST)
 
 
 def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text",
                     chars_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with the covered bytes removed from the text (a character cut
     in part goes as a whole) and ``chars_col``, if there, counted anew."""
-    doc, tie, spans = apart(docs.columns, "doc", "tie", "spans")
+    doc, tie, held = apart(docs.columns, "doc", "tie", "held")
     as_doc, as_tie, as_text = _keyed(docs, id_col, text_col)
     found = covered_spans(docs.select(as_doc, as_tie, as_text), length) \
-        .select(F.col("doc").alias(doc), F.col("tie").alias(tie), F.col("spans").alias(spans))
-    joined = docs.withColumns({doc: as_doc, tie: as_tie}).join(found, [doc, tie], "left").select(*docs.columns, spans)
+        .select(F.col("doc").alias(doc), F.col("tie").alias(tie), F.col("held").alias(held))
+    joined = docs.withColumns({doc: as_doc, tie: as_tie}).join(found, [doc, tie], "left").select(*docs.columns, held)
 
     def run(batches):
         for batch in batches:
@@ -293,7 +376,7 @@ def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
             for k, text in enumerate(batch.column(text_col)):
                 value = text.as_py()
                 if value:
-                    kept, removed, _ = cut(value.encode(), *_spans_of(batch, spans, k), length)
+                    kept, removed, _ = cut(value.encode(), *_spans_of(batch, held, k), length)
                     value = kept.decode("utf-8", "ignore") if removed else value
                 texts.append(value)
             columns = []
