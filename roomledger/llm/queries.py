@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, rules, simhash, suffix, token_counts
+from . import chat, minhash, mixing, packing, quality, rules, simhash, suffix, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,10 +21,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses_of_pages(read(spark, sf_dir, "pages")))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited_fingerprints(read(spark, sf_dir, "documents"))
 
@@ -33,6 +41,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(read(spark, sf_dir, "documents"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removal_digests(read(spark, sf_dir, "documents"))
 
@@ -45,7 +57,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.conversation_digests(turns.unionByName(chat.probe_turns(spark)))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_quality_classifier, op4_simhash, op5_quality_rules, op7_suffix_dedup, op8_token_counts, op9_packing)}
+    op1_warc_derivatives, op2_quality_classifier, op3_probminhash, op4_simhash, op5_quality_rules, op6_entropy_mixing,
+    op7_suffix_dedup, op8_token_counts, op9_packing, op10_chat_format)}
 
 SQL: dict[str, str] = {}

@@ -370,6 +370,8 @@ def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
         .select(F.col("doc").alias(doc), F.col("tie").alias(tie), F.col("held").alias(held))
     joined = docs.withColumns({doc: as_doc, tie: as_tie}).join(found, [doc, tie], "left").select(*docs.columns, held)
 
+    names = docs.columns
+
     def run(batches):
         for batch in batches:
             texts = []
@@ -380,13 +382,13 @@ def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
                     value = kept.decode("utf-8", "ignore") if removed else value
                 texts.append(value)
             columns = []
-            for name in docs.columns:
+            for name in names:
                 if name == text_col:
                     columns.append(pa.array(texts, batch.column(name).type))
                 elif name == chars_col:
                     columns.append(pa.array([None if t is None else len(t) for t in texts], batch.column(name).type))
                 else:
                     columns.append(batch.column(name))
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return joined.mapInArrow(run, docs.schema)
