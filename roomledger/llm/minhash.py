@@ -181,7 +181,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, threshold: flo
     not gathered; only texts of candidates are moved twice."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct() \
         .join(nodes.select("node", "id"), "node")
-    texts = staged(docs.join(wanted, ["id", "node"]).dropDuplicates(["node"]).select("node", "text"), "texts")
+    texts = staged(docs.join(wanted, ["id", "node"]).dropDuplicates(["node"]).select("node", "text"), "texts", True)
     joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a") \
         .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b") \
         .repartition("b", F.pmod("a", F.lit(64))).sortWithinPartitions("b")
@@ -246,12 +246,12 @@ def links_and_labels(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Dat
     """(rows, links, labels): ``rows`` (id, node) of every document; ``links``
     (a, b, similarity) verified; ``labels`` (node, label) of linked nodes.
     ``docs`` has id, node, text."""
-    table = staged(sketch_table(docs), "sketches")
+    table = staged(sketch_table(docs), "sketches", True)
     nodes = staged(table.where(F.col("sketch").isNotNull() & F.col("id").isNotNull()).groupBy("node")
-                   .agg(F.min("id").alias("id"), F.min_by("sketch", "id").alias("sketch")), "nodes")
-    members = staged(buckets(nodes), "buckets")
+                   .agg(F.min("id").alias("id"), F.min_by("sketch", "id").alias("sketch")), "nodes", True)
+    members = staged(buckets(nodes), "buckets", True)
     pairs = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    tested = staged(verified(pairs, docs, nodes, threshold), "tested")
+    tested = staged(verified(pairs, docs, nodes, threshold), "tested", True)
     labels = staged(components(tested.where("linked")), "labels")
     cut = threshold - 4 * (threshold * (1 - threshold) / SIZE) ** 0.5
     best = 1
@@ -269,7 +269,7 @@ def links_and_labels(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Dat
         if new.isEmpty():
             break
         more = verified(new, docs, nodes, threshold)
-        tested = staged(tested.unionByName(more), "tested")
+        tested = staged(tested.unionByName(more), "tested", True)
         labels = staged(components(tested.where("linked")), "labels")
         best *= 4
     return table.select("id", "node"), tested.where("linked").select("a", "b", "similarity"), labels

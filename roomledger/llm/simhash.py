@@ -178,7 +178,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # the hash of the text spreads the rows of a repeated id over partitions
     ordered = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("id", "tie") \
         .sortWithinPartitions("id", "tie").select("id", "text")
-    found = staged(ordered.mapInArrow(run, schema), "fingerprints")
+    found = staged(ordered.mapInArrow(run, schema), "fingerprints", True)
     done = found.where(F.col("border").isNull()).select(*EDITED.fieldNames())
 
     # Border rows: two per partition.  A window over one of them per

@@ -3,20 +3,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+import time
+
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_dir
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def release(spark: SparkSession) -> None:
+    """Shuffle files go when the driver collects what refers to them.  After
+    a staged table is written its shuffles serve nobody, and later steps need
+    the disk.  Listeners of the write may hold its plan a moment longer."""
+    for pause in (0.2, 0.5):
+        gc.collect()
+        time.sleep(pause)
+        spark.sparkContext._jvm.System.gc()
+
+
+def staged(df: DataFrame, name: str, large: bool = False) -> DataFrame:
     """Write ``df`` and read it back: computed once, read by every later
-    branch, and still there when an executor is lost."""
+    branch, and still there when an executor is lost.  ``large``: its shuffles
+    are worth giving back at once."""
     spark = df.sparkSession
     path = scratch_dir(spark, name)
     df.write.parquet(path)
-    # Shuffle files go when the driver's JVM collects what refers to them;
-    # now they serve nobody any more, and later steps need the disk.
-    spark.sparkContext._jvm.System.gc()
+    if large:
+        release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

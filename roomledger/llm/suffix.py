@@ -7,17 +7,17 @@ and the last round reaches the threshold length.
 
 Sorting one row per byte of a corpus would take many times the corpus, so
 the first round ranks *runs* of positions.  Every 50-byte string has a least
-16-byte name among the 35 that it contains, and consecutive strings that
-share it form a run (about one run per 18 bytes).  Equal strings always lie in
+20-byte name among the 31 that it contains, and consecutive strings that
+share it form a run (about one run per 16 bytes).  Equal strings always lie in
 runs with the same least name, so:
 
-1. Length 16: ``(least name, name of the whole run)`` pairs are sorted.  A run
+1. Length 20: ``(least name, name of the whole run)`` pairs are sorted.  A run
    whose least name is unique cannot match anywhere and drops out.  A run
    whose whole content stands in a smaller document is covered altogether.
-2. Length 33: what remains are runs that share the least name but differ as a
+2. Length 35: what remains are runs that share the least name but differ as a
    whole (borders of repeated passages, or common phrases).  A match that
-   takes in the 16 bytes goes on for 17 bytes to their left or to their
-   right: the two 33-byte names are ranked, and positions whose name stands in
+   takes in the 20 bytes goes on for 15 bytes to their left or to their
+   right: the two 35-byte names are ranked, and positions whose name stands in
    one document only drop out.
 3. Length 50: the positions left take the pair (name of 25 bytes, name of the
    25 bytes after them); a position is covered if the same pair stands in a
@@ -48,7 +48,7 @@ from pyspark.sql import types as T
 from . import arrays
 from .staging import apart, staged
 
-CORE = 16  # bytes of a least name
+CORE = 20  # bytes of a least name
 LAST_ID = (1 << 63) - 1
 HELD_ROWS = 200_000  # a group longer than this is passed through in parts
 MOST = (1 << 20) - 1  # positions of one row; a longer run is several rows
@@ -281,7 +281,7 @@ def covered_spans(keyed: DataFrame, length: int = 50) -> DataFrame:
                 ids, ties = rows.column("doc").to_numpy(), rows.column("tie").to_numpy()
                 yield settled(a, b, least >> low, ids[doc], ties[doc], at, n, True)
 
-    one = staged(reranked(keyed.mapInArrow(first, ROWS), 16, True), "suffix-16")
+    one = staged(reranked(keyed.mapInArrow(first, ROWS), 16, True), "suffix-20", True)
 
     probe_rows = T.StructType([*FOUND.fields, T.StructField("name", T.LongType())])
 
@@ -293,9 +293,9 @@ def covered_spans(keyed: DataFrame, length: int = 50) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(ties[doc]), pa.array(spans(at, n, LOOK)),
                                                   pa.array(name.view(np.int64))], probe_rows.fieldNames())
 
-    probed = staged(per_document(keyed, one.where(F.expr(KNOWN) == LOOK)).mapInArrow(second, probe_rows), "suffix-33")
+    probed = staged(per_document(keyed, one.where(F.expr(KNOWN) == LOOK)).mapInArrow(second, probe_rows), "suffix-35", True)
     shared = probed.groupBy("name").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("name")
-    look = staged(probed.join(shared, "name").select("doc", "tie", "span"), "suffix-look")
+    look = staged(probed.join(shared, "name").select("doc", "tie", "span"), "suffix-look", True)
 
     def third(batches):
         for batch in batches:
@@ -309,7 +309,7 @@ def covered_spans(keyed: DataFrame, length: int = 50) -> DataFrame:
                 ids, ties = rows.column("doc").to_numpy(), rows.column("tie").to_numpy()
                 yield settled(a, b, a, ids[doc], ties[doc], at, np.ones(len(at), np.int64), False)
 
-    two = staged(reranked(per_document(keyed, look).mapInArrow(third, ROWS), 0, False), "suffix-50")
+    two = staged(reranked(per_document(keyed, look).mapInArrow(third, ROWS), 0, False), "suffix-50", True)
     found = one.where(F.expr(KNOWN) == COVERED).unionByName(two)
     return found.groupBy("doc", "tie").agg(F.collect_list("span").alias("held"))
 
