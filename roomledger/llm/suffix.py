@@ -265,6 +265,18 @@ def probes(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, at: np.ndarra
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def shared_names(name: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    """Which names stand in several documents of the slice."""
+    out = np.zeros(len(name), bool)
+    if len(name):
+        order = np.argsort(name, kind="stable")
+        first = np.flatnonzero(np.append(True, name[order][1:] != name[order][:-1]))
+        ids = doc_id[order]
+        several = np.minimum.reduceat(ids, first) < np.maximum.reduceat(ids, first)
+        out[order] = np.repeat(several, np.diff(np.append(first, len(name))))
+    return out
+
+
 def covered_spans(keyed: DataFrame, length: int = 50) -> DataFrame:
     """(doc, tie, held): per document the spans of positions whose ``length``
     bytes stand in a smaller document.  ``keyed`` has doc, tie and text."""
@@ -283,7 +295,7 @@ def covered_spans(keyed: DataFrame, length: int = 50) -> DataFrame:
 
     one = staged(reranked(keyed.mapInArrow(first, ROWS), 16, True), "suffix-20", True)
 
-    probe_rows = T.StructType([*FOUND.fields, T.StructField("name", T.LongType())])
+    probe_rows = T.StructType([*FOUND.fields, T.StructField("name", T.LongType()), T.StructField("shared", T.BooleanType())])
 
     def second(batches):
         for batch in batches:
@@ -291,11 +303,15 @@ def covered_spans(keyed: DataFrame, length: int = 50) -> DataFrame:
                 name, doc, at, n = probes(data, offsets, *_held(rows, offsets), length)
                 ids, ties = rows.column("doc").to_numpy(), rows.column("tie").to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(ties[doc]), pa.array(spans(at, n, LOOK)),
-                                                  pa.array(name.view(np.int64))], probe_rows.fieldNames())
+                                                  pa.array(name.view(np.int64)), pa.array(shared_names(name, ids[doc]))], probe_rows.fieldNames())
 
     probed = staged(per_document(keyed, one.where(F.expr(KNOWN) == LOOK)).mapInArrow(second, probe_rows), "suffix-35", True)
     shared = probed.groupBy("name").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("name")
-    look = staged(probed.join(shared, "name").select("doc", "tie", "span"), "suffix-look", True)
+    # a name that a slice shows in several documents needs no look-up, so a
+    # very common passage sends few rows to one place
+    look = probed.where("shared").select("doc", "tie", "span") \
+        .unionByName(probed.where("NOT shared").join(shared, "name").select("doc", "tie", "span"))
+    look = staged(look, "suffix-look", True)
 
     def third(batches):
         for batch in batches:
