@@ -16,8 +16,8 @@ a chance of 5e-8.  A bucket never yields all its pairs:
    on the shingles of the whole texts; linked ones are joined into components;
 2. a member whose component differs from its hub's is compared by sketch, in
    blocks, with all members of other components; of the pairs whose estimate
-   is within four standard errors of the threshold it proposes its best 1,
-   then 4, 16, ... for the exact comparison, until nothing untested remains.
+   is within four standard errors of the threshold it proposes its best 2,
+   then 32, 512, ... for the exact comparison, until nothing untested remains.
    So no link between components is lost, and links inside a component, which
    change nothing, are not enumerated.
 
@@ -175,13 +175,17 @@ def buckets(nodes: DataFrame) -> DataFrame:
     return rows.join(hubs, "key")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+def candidate_texts(members: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the members of buckets.  A text is found by its node's
+    least id, so copies of a text are not gathered; the other texts are moved
+    this once."""
+    wanted = members.select("node").distinct().join(nodes.select("node", "id"), "node")
+    return staged(docs.join(wanted, ["id", "node"]).dropDuplicates(["node"]).select("node", "text"), "texts", True)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity, linked) of the distinct pairs (a, b), from the whole
-    texts.  A text is found by its node's least id, so copies of a text are
-    not gathered; only texts of candidates are moved twice."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct() \
-        .join(nodes.select("node", "id"), "node")
-    texts = staged(docs.join(wanted, ["id", "node"]).dropDuplicates(["node"]).select("node", "text"), "texts", True)
+    texts."""
     joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a") \
         .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b") \
         .repartition("b", F.pmod("a", F.lit(64))).sortWithinPartitions("b")
@@ -251,10 +255,11 @@ def links_and_labels(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Dat
                    .agg(F.min("id").alias("id"), F.min_by("sketch", "id").alias("sketch")), "nodes", True)
     members = staged(buckets(nodes), "buckets", True)
     pairs = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    tested = staged(verified(pairs, docs, nodes, threshold), "tested", True)
+    texts = candidate_texts(members, docs, nodes)
+    tested = staged(verified(pairs, texts, threshold), "tested", True)
     labels = staged(components(tested.where("linked")), "labels")
     cut = threshold - 4 * (threshold * (1 - threshold) / SIZE) ** 0.5
-    best = 1
+    best = 2
     while True:
         own = labels.withColumnsRenamed({"label": "own"})
         of_hub = labels.withColumnsRenamed({"node": "hub", "label": "hubs"})
@@ -268,10 +273,10 @@ def links_and_labels(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Dat
         new = staged(new, "proposals")
         if new.isEmpty():
             break
-        more = verified(new, docs, nodes, threshold)
+        more = verified(new, texts, threshold)
         tested = staged(tested.unionByName(more), "tested", True)
         labels = staged(components(tested.where("linked")), "labels")
-        best *= 4
+        best *= 16
     return table.select("id", "node"), tested.where("linked").select("a", "b", "similarity"), labels
 
 
