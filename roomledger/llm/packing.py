@@ -249,7 +249,7 @@ def packed(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1,
     counts = spark.createDataFrame(histogram, "_class long, n long")
     slots = spark.createDataFrame(slots, "_class long, _from long, _to long, _per long, _first long")
     order = [F.col(c) for c in (id_col, "start", "ids_crc32")]
-    placed = ranked(cut, ["_class"], order, counts, "_rank") \
+    placed = ranked(cut, ["_class"], order, F.broadcast(counts), "_rank") \
         .join(F.broadcast(slots), "_class").where((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))) \
         .withColumn("_at", F.col("_rank") - F.col("_from")) \
         .withColumn("sequence_id", F.col("_first") + F.expr("_at DIV _per")).withColumn("_slot", F.expr("_at % _per"))

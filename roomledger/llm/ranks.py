@@ -21,7 +21,8 @@ def ranked(rows: DataFrame, keys: list[str], order: list[Column], counts: DataFr
     order."""
     blocks = F.floor(F.col("n") / F.lit(BLOCK_ROWS)) + F.lit(1)
     dealt = rows.join(counts.select(*keys, blocks.alias("_blocks")), keys) \
-        .withColumn("_block", F.pmod(F.xxhash64(*order), F.col("_blocks"))).drop("_blocks")
+        .withColumn("_block", F.pmod(F.xxhash64(*order), F.col("_blocks"))).drop("_blocks") \
+        .repartition(*keys, "_block")  # else the join's partitioning by the keys alone would serve the window
     per_block = dealt.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_block.select(*keys, "_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
