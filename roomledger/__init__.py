@@ -9,8 +9,7 @@ import sys as _sys
 
 __version__ = "0.1.0"
 
-# The few Python steps (the DOM pass, the Aho-Corasick matcher) run in
-# executor Python workers.  Shipping this package's functions by value
+# The few Python steps (training-data operators) run in executor Python workers.  Shipping this package's functions by value
 # means workers need no installed copy of it.
 try:
     from pyspark import cloudpickle as _cloudpickle

@@ -75,6 +75,15 @@ SUPPLY_CATEGORIES = [
     "gemeubelde-appartementen-te-huur",
 ]
 
+# JSON carried by pages: the <pre> body, the __NEXT_DATA__ script, JSON-LD
+# scripts (exact and with further attributes), values in inline scripts.
+PRE_BODY = r"(?is)<pre[^>]*>(.*?)</pre>"
+NEXT_DATA_BODY = r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>'
+JSONLD_STRICT = r'(?s)<script type="application/ld\+json">(.*?)</script>'
+JSONLD_WITH_ATTRS = r'(?s)<script type="application/ld\+json"[^>]*>(.*?)</script>'
+EMBEDDED_STRING = r'"{key}":"([^"]+)"'
+EMBEDDED_INTEGER = r'"{key}":\s*(\d+)'
+
 # JSON-LD @type names accepted by the rental-pages source.
 JSONLD_TYPES = [
     "Accommodation",
@@ -126,19 +135,16 @@ MAX_PRICE = 1400
 
 # Unit-API enums.
 UNIT_TYPES = {1: "Kamer", 2: "Studio", 3: "Appartement", 4: "Residentie", 5: "Huis"}
-OPT_PRIVATE_TOILET = 4
 OPT_PRIVATE_BATHROOM = 5
 OPT_PRIVATE_KITCHEN = 6
 OPT_INTERNET_WIFI = 10
 OPT_INTERNET_CABLE = 11
 OPT_FURNISHED = 12
 COST_COVERED = [1, 2, 3]
-COST_NOT_COVERED = [4, 5, 6]
 UNIT_PAGE_SIZE = 100
 
 # Search-JSON source paging.
 SEARCH_PAGE_SIZE = 30
-SEARCH_MAX_PAGES = 100
 SEARCH_DEFAULT_PAGES = 30
 SEARCH_EMPTY_STREAK = 3
 

@@ -4,7 +4,7 @@ Pages are scanned by Spark's own regex engine, per row, with no Python
 and no shuffle.  What a DOM library does implicitly is spelled out:
 comments and script/style/template bodies are not text, entities are
 decoded once, and a scope is the text up to the first matching close tag
-(nested same-name tags need the DOM pass in ``operators.html_facts``).
+(nested same-name tags are counted in ``operators.html_facts``).
 """
 
 from __future__ import annotations
@@ -29,44 +29,66 @@ TAG = r"<[^>]*>"
 ANCHOR_HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 ANCHOR_FULL = r"""(?is)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)[^>]*>(.*?)</a\s*>"""
 
-# Named character references: the HTML 4 set from the standard library
-# (252 names) plus ``&apos;``.
-NAMED_REFS = {f"&{name};": chr(cp) for cp, name in sorted(html_entities.codepoint2name.items())}
-NAMED_REFS["&apos;"] = "'"
+# Named character references: the HTML 5 table of the standard library.  The
+# old names in it stand without a semicolon too.
+NAMED_REFS = {f"&{name}": text for name, text in sorted(html_entities.html5.items())}
+# Asked first: a map is searched entry by entry.
+COMMON_NAMES = "amp lt gt quot nbsp copy reg middot euro eacute egrave euml iuml agrave ouml uuml szlig sup2".split()
+COMMON_REFS = {f"&{name}{end}": html_entities.html5[name + ";"] for name in COMMON_NAMES for end in (";", "") if name + end in html_entities.html5}
+OPEN_LENGTHS = sorted({len(name) for name in NAMED_REFS if not name.endswith(";")}, reverse=True)
+# Numeric references to the control block 0x80-0x9F mean Windows-1252.
+CONTROL_REFS = {f"{b:02X}": bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")}
 
 # A text split into character references and everything else.
-CHAR_REF_PARTS = r"&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};|&[A-Za-z][A-Za-z0-9]{1,31};|[^&]+|&"
+CHAR_REF_PARTS = r"&#[xX][0-9A-Fa-f]+;?|&#[0-9]+;?|&[A-Za-z][A-Za-z0-9]*;?|[^&]+|&"
+REPLACEMENT = "\ufffd"
 
 
-_NAMED_REFS_JSON = json.dumps(NAMED_REFS)
+def _map_literal(table: dict[str, str]) -> Column:
+    """A table as one map literal: a single JSON string parsed by
+    ``from_json``, which Catalyst folds into a constant (one expression,
+    not thousands of literals)."""
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
 
 
-def _named_map() -> Column:
-    """The table as one map literal: a single JSON string parsed by
-    ``from_json``, which Catalyst folds into a constant (one expression,
-    not hundreds of literals)."""
-    return F.from_json(F.lit(_NAMED_REFS_JSON), "map<string,string>")
+def _numeric_ref(p: Column) -> Column:
+    """The character of ``&#...`` / ``&#x...``; NULL for anything else.  Zero,
+    surrogates and everything above 10FFFF become U+FFFD: the range is checked
+    before the bytes are decoded, so no reference can fail a task."""
+    hex_digits = F.regexp_extract(p, r"^&#[xX]0*([0-9A-Fa-f]+);?$", 1)
+    digits = F.regexp_extract(p, r"^&#0*([0-9]+);?$", 1)
+    code = F.when(p.rlike(r"^&#[xX]"), F.when(F.length(hex_digits) <= 6, F.upper(hex_digits))) \
+        .when(p.startswith("&#"), F.when(F.length(digits) <= 7, F.conv(digits, 10, 16)))
+    number = F.conv(code, 16, 10).try_cast("int")
+    valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+    char = F.decode(F.try_to_binary(F.lpad(F.when(valid, code), 8, "0"), F.lit("hex")), "UTF-32")
+    char = F.coalesce(F.try_element_at(_map_literal(CONTROL_REFS), code), char, F.lit(REPLACEMENT))
+    return F.when(p.startswith("&#"), char)
 
 
 def unescape(c: Column | str, skip_nbsp: bool = False) -> Column:
     """Decode character references once, in one left-to-right pass.
 
-    Numeric references become the code point (written as 4 bytes and decoded
-    as UTF-32; out-of-range ones give U+FFFD), named ones come from
-    ``NAMED_REFS``, unknown names stay as written.  Texts without ``&`` are
-    returned as they are, without splitting.  ``skip_nbsp`` keeps
-    ``&nbsp;`` (for callers that decoded it already).
+    Numeric references become the code point, named ones come from
+    ``NAMED_REFS`` (an old name also where it begins a longer word), unknown
+    names stay as written.  Texts without ``&`` are returned as they are,
+    without splitting.  ``skip_nbsp`` keeps ``&nbsp;`` (for callers that
+    decoded it already).
     """
     t = col(c)
-    names = _named_map()
+    common, names = _map_literal(COMMON_REFS), _map_literal(NAMED_REFS)
 
     def one(p: Column) -> Column:
-        hexv = (F.when(p.startswith("&#x") | p.startswith("&#X"), F.regexp_extract(p, r"^&#[xX]([0-9A-Fa-f]+);$", 1))
-                .when(p.startswith("&#"), F.conv(F.regexp_extract(p, r"^&#([0-9]+);$", 1), 10, 16)))
-        numeric = F.decode(F.try_to_binary(F.lpad(hexv, 8, "0"), F.lit("hex")), "UTF-32")
-        named = F.when(p != "&nbsp;", F.try_element_at(names, p)) if skip_nbsp else F.try_element_at(names, p)
-        # Plain-text parts (the long runs between references) skip all lookups.
-        return F.when(~p.startswith("&") | (F.length(p) < 4), p).otherwise(F.coalesce(numeric, named, p))
+        exact = F.coalesce(F.try_element_at(common, p), F.try_element_at(names, p))
+        if skip_nbsp:
+            exact = F.when(p != "&nbsp;", exact)
+        begun = [F.when(F.length(p) > n, F.concat(F.try_element_at(names, F.substring(p, 1, n)), F.substring(p, n + 1, 1 << 30)))
+                 for n in OPEN_LENGTHS]
+        if skip_nbsp:
+            begun = [F.when(p != "&nbsp;", b) for b in begun]
+        # Plain-text parts (the long runs between references) skip all look-ups.
+        return F.when(~p.startswith("&") | (F.length(p) < 3), p).otherwise(
+            F.when(p.startswith("&#"), _numeric_ref(p)).otherwise(F.coalesce(exact, *begun, p)))
 
     parts = F.regexp_extract_all(t, F.lit(CHAR_REF_PARTS), 0)
     return F.when(t.contains("&"), F.array_join(F.transform(parts, one), "")).otherwise(t)
@@ -88,20 +110,33 @@ def strip_tags(html: Column | str) -> Column:
     return F.regexp_replace(F.coalesce(col(html), F.lit("")), r"<[^>]+>", " ")
 
 
+# Stands for a tag between two steps; no text holds it (it is removed first).
+MARK = "\u0000"
+
+
+def _marked(html: Column | str, cleaned: bool) -> Column:
+    """Visible markup with every tag replaced by one mark.  Runs of marks are
+    then collapsed by a character class: a repeated group would take a stack
+    frame per tag."""
+    v = F.replace(_visible(html, cleaned), F.lit(MARK), F.lit(""))
+    return F.regexp_replace(v, TAG, MARK)
+
+
 def text_raw(html: Column | str, cleaned: bool = False) -> Column:
     """P3, ``get_text(" ")``: text nodes joined by one space, whitespace kept."""
-    v = _visible(html, cleaned)
-    v = F.regexp_replace(v, rf"^(?:{TAG})+|(?:{TAG})+$", "")
-    v = F.regexp_replace(v, rf"(?:{TAG})+", " ")
-    return unescape(v)
+    v = F.btrim(_marked(html, cleaned), F.lit(MARK))
+    return unescape(F.regexp_replace(v, r"\x{00}++", " "))
 
 
 def text_stripped(html: Column | str, cleaned: bool = False) -> Column:
     """P3, ``get_text(" ", strip=True)``: each text node stripped, empty ones
     dropped, the rest joined by one space."""
-    v = F.replace(_visible(html, cleaned), F.lit("&nbsp;"), F.lit("\u00a0"))
-    v = F.regexp_replace(v, rf"{WS_CLASS}*(?:{TAG}{WS_CLASS}*)+", " ")
-    return unescape(py_strip(v), skip_nbsp=True)
+    v = F.replace(_marked(html, cleaned), F.lit("&nbsp;"), F.lit("\u00a0"))
+    blank = WS_CLASS[1:-1]
+    # marks and the white space after them, then the white space before them
+    v = F.regexp_replace(v, rf"\x{{00}}[{blank}\x{{00}}]*+", MARK)
+    v = F.regexp_replace(v, rf"(?<!{WS_CLASS}){WS_CLASS}++\x{{00}}", MARK)
+    return unescape(py_strip(F.replace(v, F.lit(MARK), F.lit(" "))), skip_nbsp=True)
 
 
 def element_inner(html: Column | str, tag: str) -> Column:
@@ -143,7 +178,7 @@ def heading_title(html: Column | str, tags: tuple[str, ...] = ("h1", "h2"), clea
     return expr
 
 
-def _unquote(c: Column) -> Column:
+def unquote(c: Column) -> Column:
     quoted = c.startswith('"') | c.startswith("'")
     return F.when(quoted, F.substring(c, 2, F.length(c) - 2)).otherwise(c)
 
@@ -151,7 +186,7 @@ def _unquote(c: Column) -> Column:
 def anchor_hrefs(html: Column | str, cleaned: bool = False) -> Column:
     """``href`` of every ``<a>`` in page order (array of strings)."""
     raw = F.regexp_extract_all(_visible(html, cleaned), F.lit(ANCHOR_HREF), 1)
-    return F.transform(raw, lambda h: unescape(_unquote(h)))
+    return F.transform(raw, lambda h: unescape(unquote(h)))
 
 
 def anchors(html: Column | str, cleaned: bool = False) -> Column:
@@ -161,7 +196,7 @@ def anchors(html: Column | str, cleaned: bool = False) -> Column:
     texts = F.regexp_extract_all(v, F.lit(ANCHOR_FULL), 2)
     return F.transform(
         F.arrays_zip(hrefs.alias("href"), texts.alias("text")),
-        lambda z: F.struct(unescape(_unquote(z["href"])).alias("href"), text_raw(z["text"], cleaned=True).alias("text")),
+        lambda z: F.struct(unescape(unquote(z["href"])).alias("href"), text_raw(z["text"], cleaned=True).alias("text")),
     )
 
 

@@ -35,7 +35,7 @@ def parse_euro_amount(text: Column | str) -> Column:
 
 def price_per_m2(price: Column | str, size: Column | str) -> Column:
     """C4: price / size to one decimal when both are known and > 0."""
-    p, s = col(price).cast(PRICE_TYPE), col(size).cast(SIZE_TYPE)
+    p, s = col(price).try_cast(PRICE_TYPE), col(size).try_cast(SIZE_TYPE)
     return F.when((p > 0) & (s > 0), F.bround(p / s, 1).try_cast(PRICE_PER_M2_TYPE))
 
 

@@ -15,12 +15,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..constants import JSONLD_STRICT, JSONLD_WITH_ATTRS, NEXT_DATA_BODY, PRE_BODY
 from .text import col
 
-PRE_BODY = r"(?is)<pre[^>]*>(.*?)</pre>"
-NEXT_DATA_BODY = r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>'
-JSONLD_STRICT = r'(?s)<script type="application/ld\+json">(.*?)</script>'
-JSONLD_WITH_ATTRS = r'(?s)<script type="application/ld\+json"[^>]*>(.*?)</script>'
 
 
 def parse_json(text: Column | str) -> Column:
@@ -163,12 +160,12 @@ def ld_offer_or_address_block(html: Column | str) -> Column:
 
 def embedded_string(html: Column | str, key: str) -> Column:
     """``"key":"value"`` in an inline script; NULL if absent."""
-    return F.nullif(F.regexp_extract(col(html), rf'"{key}":"([^"]+)"', 1), F.lit(""))
+    return F.nullif(F.regexp_extract(col(html), K.EMBEDDED_STRING.replace("{key}", key), 1), F.lit(""))
 
 
 def embedded_integer(html: Column | str, key: str) -> Column:
     """``"key": 123`` in an inline script; NULL if absent."""
-    return F.nullif(F.regexp_extract(col(html), rf'"{key}":\s*(\d+)', 1), F.lit("")).try_cast("bigint")
+    return F.nullif(F.regexp_extract(col(html), K.EMBEDDED_INTEGER.replace("{key}", key), 1), F.lit("")).try_cast("bigint")
 
 
 def value_text(v: Column) -> Column:

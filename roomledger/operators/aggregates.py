@@ -20,14 +20,19 @@ def count_per_source(df: DataFrame, source: str = "source", rank: str = "site_ra
     )
 
 
-def count_total(df: DataFrame) -> DataFrame:
-    """A2: total listings (one row)."""
-    return df.agg(F.count(F.lit(1)).alias("n_listings"))
-
-
-def counts_with_total(df: DataFrame, source: str = "source") -> DataFrame:
-    """A1 + A2 in one pass: ``rollup`` adds the total as ``source IS NULL``."""
-    return df.rollup(source).agg(F.count(F.lit(1)).alias("n_listings"))
+def counts_with_total(df: DataFrame, source: str = "source", rank: str | None = None) -> DataFrame:
+    """A1 + A2 in one pass: (source, is_total, n_listings[, rank]).  The total
+    row is told by ``is_total``, not by a null source, and is there (as 0) for
+    an empty input: a row that counts nothing is rolled up with the others."""
+    ranks = [F.col(rank).alias("_rank")] if rank else []
+    nothing = df.sparkSession.range(1).select(
+        F.lit(None).cast(df.schema[source].dataType).alias(source), F.lit(0).cast("bigint").alias("_n"),
+        *([F.lit(None).cast(df.schema[rank].dataType).alias("_rank")] if rank else []))
+    counted = df.select(F.col(source).alias(source), F.lit(1).cast("bigint").alias("_n"), *ranks).unionByName(nothing)
+    rolled = counted.rollup(source).agg(F.sum("_n").alias("n_listings"), (F.grouping_id() > 0).alias("is_total"),
+                                        *([F.min("_rank").alias(rank)] if rank else []))
+    return rolled.where(F.col("is_total") | (F.col("n_listings") > 0)).select(
+        source, "is_total", "n_listings", *([rank] if rank else []))
 
 
 def year_of_label(label: str = "label"):

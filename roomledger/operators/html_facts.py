@@ -1,238 +1,234 @@
-"""DOM facts a regex cannot see (P6-P8): result cards, the first element
-whose class matches a pattern, and label/value attribute lists.
-
-One ``mapInPandas`` pass parses each page with the standard library's
-``html.parser`` into a small tree and emits flat string arrays.  Run it on
-pages that native filters have already narrowed, with only
-``(key, html)`` selected; everything after it is native again.
+"""DOM facts (P6-P8): result cards, the first element whose class matches a
+pattern, and label/value attribute lists, as native expressions.
+
+A page is cut into tokens (tags and text).  An element is an opening tag and
+everything up to its end; the end is found by counting, over the later tags
+that matter for it, how deep its containers are nested.  Elements whose end
+tag may be left out (list items, table cells, paragraphs, ...) also end where
+HTML implies it.  An element that is never closed goes on to the end of the
+page.  Everything happens inside the row: no shuffle, no Python, and no
+recursion that a deeply nested page could exhaust.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator, Mapping, Sequence
-from html.parser import HTMLParser
+from collections.abc import Callable, Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import constants as K
+from ..functions import html as H
+from ..functions.text import WS_CLASS, col, py_strip
 
-VOID_TAGS = frozenset(
-    "area base br col embed hr img input link meta param source track wbr".split()
-)
-NON_TEXT_TAGS = frozenset(("script", "style", "template"))
+VOID_TAGS = "area base br col embed hr img input link meta param source track wbr".split()
 
-# Implied end tags (HTML parsing rules, simplified): a start tag closes an
-# open element of the listed kinds, looking up the open elements no further
-# than the boundary tags.
-_BLOCKS = frozenset(
+# tag -> (opening tags that end it, containers within which they do not)
+_BLOCKS = (
     "address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
-    "h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
-)
-_P_SCOPE = frozenset("html table td th caption template button object marquee applet".split())
-IMPLIED_CLOSE = {
-    "li": ({"li"}, {"ul", "ol", "menu"} | _P_SCOPE),
-    "dt": ({"dt", "dd"}, {"dl"} | _P_SCOPE),
-    "dd": ({"dt", "dd"}, {"dl"} | _P_SCOPE),
-    "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "option": ({"option"}, {"select", "datalist", "optgroup"}),
-    **{b: ({"p"}, _P_SCOPE) for b in _BLOCKS},
+    "h5 h6 header hgroup hr main menu nav ol p pre section table ul"
+).split()
+ENDS = {
+    "li": (["li"], ["ul", "ol", "menu"]),
+    "dt": (["dt", "dd"], ["dl"]),
+    "dd": (["dt", "dd"], ["dl"]),
+    "tr": (["tr"], ["table"]),
+    "td": (["td", "th", "tr"], ["table"]),
+    "th": (["td", "th", "tr"], ["table"]),
+    "option": (["option"], ["select"]),
+    "p": (_BLOCKS, []),
 }
 
+TOKEN = r"<[^>]*>|[^<]+|<"
+OPEN, TEXT, CLOSE = 1, 0, -1
 
-class _Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+Selector = tuple[str | None, str | None]  # (tag or None for any, class pattern or None for any)
 
-    def __init__(self, tag: str, attrs: dict, parent: _Node | None):
-        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
 
+def tokens(html: Column | str) -> Column:
+    """Visible markup as an array of (at, kind, name, raw)."""
+    raw = F.regexp_extract_all(H.visible_markup(html), F.lit(TOKEN), 0)
 
-class _TreeBuilder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = _Node("#root", {}, None)
-        self.cur = self.root
+    def token(t: Column, i: Column) -> Column:
+        name = F.lower(F.regexp_extract(t, r"^</?([A-Za-z][^\s/>]*)", 1))
+        kind = F.when(name == "", F.when(t.rlike(r"(?s)^<.*>$"), F.lit(2)).otherwise(F.lit(TEXT))) \
+            .when(t.startswith("</"), F.lit(CLOSE)).otherwise(F.lit(OPEN))
+        return F.struct(i.alias("at"), kind.alias("kind"), name.alias("name"), t.alias("raw"))
 
-    def _close_implied(self, tag):
-        rule = IMPLIED_CLOSE.get(tag)
-        if rule is None:
-            return
-        closes, boundary = rule
-        node = self.cur
-        while node is not self.root and node.tag not in boundary:
-            if node.tag in closes:
-                self.cur = node.parent
-                return
-            node = node.parent
+    return F.transform(raw, token)
 
-    def handle_starttag(self, tag, attrs):
-        self._close_implied(tag)
-        node = _Node(tag, {k: (v or "") for k, v in attrs}, self.cur)
-        self.cur.children.append(node)
-        if tag not in VOID_TAGS:
-            self.cur = node
 
-    def handle_startendtag(self, tag, attrs):
-        self.cur.children.append(_Node(tag, {k: (v or "") for k, v in attrs}, self.cur))
+def _attribute(raw: Column, name: str) -> Column:
+    """The value of an attribute of a tag as written; NULL when it has none."""
+    value = F.regexp_extract(raw, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    return F.when(value != "", H.unquote(value))
 
-    def handle_endtag(self, tag):
-        node = self.cur
-        while node is not self.root and node.tag != tag:
-            node = node.parent
-        if node is not self.root:
-            self.cur = node.parent
 
-    def handle_data(self, data):
-        self.cur.children.append(data)
+def _matches(token: Column, tag: str | None, class_pattern: str | None, ignore_case: bool) -> Column:
+    """The opening tag of an element of the kind asked for: the pattern is
+    found in one of the classes or in the whole class value."""
+    out = token["kind"] == OPEN
+    if tag is not None:
+        out = out & (token["name"] == tag)
+    if class_pattern is not None:
+        value = _attribute(token["raw"], "class")
+        pattern = ("(?i)" if ignore_case else "") + class_pattern
+        parts = F.split(value, f"{WS_CLASS}+")
+        out = out & F.coalesce(value.rlike(pattern) | F.exists(parts, lambda p: p.rlike(pattern)), F.lit(False))
+    return out
 
 
-def parse(html: str) -> _Node:
-    b = _TreeBuilder()
-    b.feed(html or "")
-    b.close()
-    return b.root
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: inside it is a variable,
+    not another copy of its expression."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _strings(node: _Node) -> Iterator[str]:
-    for ch in node.children:
-        if isinstance(ch, str):
-            yield ch
-        elif ch.tag not in NON_TEXT_TAGS:
-            yield from _strings(ch)
+def _rules(name: Column) -> Column:
+    """(opening tags that end the element, containers within which they do not)."""
+    none = F.array().cast("array<string>")
+    rule = F.struct(none.alias("ended_by"), F.array(name).alias("containers"))
+    for tag, (ended_by, containers) in ENDS.items():
+        lists = [F.array(*[F.lit(x) for x in names]).cast("array<string>") for names in (ended_by, containers)]
+        rule = F.when(name == tag, F.struct(lists[0].alias("ended_by"), lists[1].alias("containers"))).otherwise(rule)
+    return rule
 
 
-def get_text(node: _Node, sep: str = " ", strip: bool = False) -> str:
-    parts = _strings(node)
-    if strip:
-        parts = (s.strip() for s in parts)
-        parts = (s for s in parts if s)
-    return sep.join(parts)
+def _end(all_tokens: Column, start: Column) -> Column:
+    """The place of the token at which the element opened by ``start`` (a
+    variable) ends."""
 
+    def with_rules(rules: Column) -> Column:
+        ended_by, containers = rules["ended_by"], rules["containers"]
+        later = F.filter(all_tokens, lambda t: (t["at"] > start["at"]) & t["kind"].isin(OPEN, CLOSE) & (
+            (t["name"] == start["name"]) | F.array_contains(ended_by, t["name"]) | F.array_contains(containers, t["name"])))
 
-def _descendants(node: _Node) -> Iterator[_Node]:
-    for ch in node.children:
-        if not isinstance(ch, str):
-            yield ch
-            yield from _descendants(ch)
+        def step(state: Column, t: Column) -> Column:
+            inside = F.array_contains(containers, t["name"])
+            opens = t["kind"] == OPEN
+            ends_here = (state["depth"] == 0) & F.when(opens, F.array_contains(ended_by, t["name"])).otherwise(
+                inside | (t["name"] == start["name"]))
+            depth = state["depth"] + F.when(inside & opens, 1).when(inside & ~opens, -1).otherwise(0)
+            return F.when(state["end"].isNotNull(), state).otherwise(
+                F.struct(depth.alias("depth"), F.when(ends_here, t["at"]).alias("end")))
 
+        begin = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("int").alias("end"))
+        return F.aggregate(later, begin, step, lambda state: state["end"])
 
-def _class_matches(node: _Node, pattern: re.Pattern) -> bool:
-    value = node.attrs.get("class")
-    if value is None:
-        return False
-    return any(pattern.search(c) for c in value.split()) or bool(pattern.search(value))
+    closed_at_once = start["name"].isin(VOID_TAGS) | start["raw"].endswith("/>")
+    found = F.coalesce(_let(_rules(start["name"]), with_rules), F.size(all_tokens))
+    return F.when(closed_at_once, start["at"] + 1).otherwise(found)
 
 
-def find_all(node: _Node, tag: str | None, class_pattern: str | None, ignore_case: bool = True) -> list[_Node]:
-    pat = re.compile(class_pattern, re.I if ignore_case else 0) if class_pattern is not None else None
-    return [
-        n for n in _descendants(node)
-        if (tag is None or n.tag == tag) and (pat is None or _class_matches(n, pat))
-    ]
+def _inner(all_tokens: Column, start: Column) -> Column:
+    """The tokens inside the element."""
+    return F.slice(all_tokens, start["at"] + 2, F.greatest(_end(all_tokens, start) - start["at"] - 1, F.lit(0)))
 
 
-def find_first(node: _Node, tag: str | None, class_pattern: str | None, ignore_case: bool = True) -> _Node | None:
-    found = find_all(node, tag, class_pattern, ignore_case)
-    return found[0] if found else None
+def _strings(inner: Column) -> Column:
+    return F.transform(F.filter(inner, lambda t: t["kind"] == TEXT), lambda t: t["raw"])
 
 
-def _first_link(node: _Node, href_re: re.Pattern) -> _Node | None:
-    for n in _descendants(node):
-        if n.tag == "a" and "href" in n.attrs and href_re.search(n.attrs["href"]):
-            return n
-    return None
+def inner_text(inner: Column) -> Column:
+    """Text nodes joined by one space."""
+    return H.unescape(F.array_join(_strings(inner), " "))
 
 
-Selector = tuple[str | None, str | None]  # (tag or None for any, class pattern or None for any)
+def inner_text_stripped(inner: Column) -> Column:
+    """Each text node stripped, empty ones dropped, the rest joined by one space."""
+    stripped = F.transform(_strings(inner), lambda s: py_strip(F.replace(s, F.lit("&nbsp;"), F.lit("\u00a0"))))
+    return H.unescape(F.array_join(F.filter(stripped, lambda s: s != ""), " "))
+
+
+def _openings(inner: Column, tag: str | None, class_pattern: str | None, ignore_case: bool = True) -> Column:
+    return F.filter(inner, lambda t: _matches(t, tag, class_pattern, ignore_case))
+
+
+def _is_detail_link(token: Column, pattern: str) -> Column:
+    href = _attribute(token["raw"], "href")
+    return (token["kind"] == OPEN) & (token["name"] == "a") & F.coalesce(href.rlike(pattern), F.lit(False))
+
+
+def _parent(all_tokens: Column, link: Column) -> Column:
+    """The opening tag of the innermost element around ``link``: the last one
+    before it that ends after it; the page itself when there is none."""
+    around = F.filter(all_tokens, lambda t: (t["at"] < link["at"]) & (t["kind"] == OPEN) & ~t["name"].isin(VOID_TAGS)
+                      & ~t["raw"].endswith("/>") & (_end(all_tokens, t) > link["at"]))
+    whole_page = F.struct(F.lit(-1).alias("at"), F.lit(OPEN).alias("kind"), F.lit("").alias("name"), F.lit("").alias("raw"))
+    return F.coalesce(F.try_element_at(around, F.lit(-1)), whole_page)
+
+
+def cards(all_tokens: Column, selectors: Sequence[Selector], detail_href: str, case_insensitive: bool) -> Column:
+    """(href, text) of the elements of the first selector that finds any,
+    else of the elements around the detail links."""
+    pattern = ("(?i)" if case_insensitive else "") + detail_href
+    found = F.transform(F.filter(all_tokens, lambda t: _is_detail_link(t, pattern)), lambda a: _parent(all_tokens, a))
+    for tag, class_pattern in reversed(list(selectors)):
+        chosen = _openings(all_tokens, tag, class_pattern)
+        found = F.coalesce(F.nullif(chosen, F.slice(all_tokens, 1, 0)), found)
+
+    def card(inner: Column) -> Column:
+        links = F.transform(F.filter(inner, lambda t: _is_detail_link(t, pattern)), lambda t: H.unescape(_attribute(t["raw"], "href")))
+        return F.struct(F.try_element_at(links, F.lit(1)).alias("href"), inner_text(inner).alias("text"))
+
+    return F.transform(F.transform(found, lambda start: _inner(all_tokens, start)), card)
+
+
+def first_by_class(all_tokens: Column, pattern: str, scope_tags: Sequence[str]) -> Column:
+    """Stripped text of the first element of the scope whose class matches."""
+    scope = all_tokens
+    for tag in reversed(list(scope_tags)):
+        inners = F.transform(F.slice(_openings(all_tokens, tag, None), 1, 1), lambda t: _inner(all_tokens, t))
+        scope = F.coalesce(F.try_element_at(inners, F.lit(1)), scope)
+    first = F.slice(_openings(scope, None, pattern), 1, 1)
+    return F.try_element_at(F.transform(first, lambda t: inner_text_stripped(_inner(all_tokens, t))), F.lit(1))
+
+
+def attribute_pairs(all_tokens: Column, selectors: tuple[Selector, Selector, Selector]) -> Column:
+    """(label, value) of every item that holds both, label lower-cased.
+    Classes match case-sensitively here; cards and classed elements ignore case."""
+    item, label, value = selectors
 
+    def pair(inner: Column) -> Column:
+        text = []
+        for tag, pattern in (label, value):
+            first = F.slice(_openings(inner, tag, pattern, False), 1, 1)
+            text.append(F.try_element_at(F.transform(first, lambda t: inner_text_stripped(_inner(all_tokens, t))), F.lit(1)))
+        return F.struct(F.lower(text[0]).alias("k"), text[1].alias("v"))
 
-def page_facts(html: str, card_selectors: Sequence[tuple[str, str]], detail_href: str, detail_flags: int,
-               class_patterns: Mapping[str, str], scope_tags: Sequence[str],
-               attr_selectors: tuple[Selector, Selector, Selector]) -> dict:
-    root = parse(html)
-    href_re = re.compile(detail_href, detail_flags)
-    # Cards by ordered selectors, else the parents of detail links.
-    cards: list[_Node] = []
-    for tag, pattern in card_selectors:
-        cards = find_all(root, tag, pattern)
-        if cards:
-            break
-    if not cards:
-        cards = [a.parent for a in _descendants(root)
-                 if a.tag == "a" and "href" in a.attrs and href_re.search(a.attrs["href"])]
-    card_href, card_text = [], []
-    for c in cards:
-        link = _first_link(c, href_re)
-        card_href.append(link.attrs["href"] if link is not None else None)
-        card_text.append(get_text(c, " "))
-    # First element in scope whose class matches.
-    scope = next((s for s in (find_first(root, t, None) for t in scope_tags) if s is not None), root)
-    hits = {}
-    for name, pattern in class_patterns.items():
-        el = find_first(scope, None, pattern)
-        hits[name] = get_text(el, " ", strip=True) if el is not None else None
-    # label/value pairs, label lower-cased.  Attribute classes match
-    # case-sensitively; cards and classed elements ignore case.
-    (item_t, item_c), (label_t, label_c), (value_t, value_c) = attr_selectors
-    keys, values = [], []
-    for item in find_all(root, item_t, item_c, ignore_case=False):
-        label = find_first(item, label_t, label_c, ignore_case=False)
-        value = find_first(item, value_t, value_c, ignore_case=False)
-        if label is not None and value is not None:
-            keys.append(get_text(label, " ", strip=True).lower())
-            values.append(get_text(value, " ", strip=True))
-    return {"card_href": card_href, "card_text": card_text, "attr_keys": keys, "attr_values": values, **hits}
-
-
-FACT_ARRAYS = ("card_href", "card_text", "attr_keys", "attr_values")
+    inners = F.transform(_openings(all_tokens, item[0], item[1], False), lambda start: _inner(all_tokens, start))
+    return F.filter(F.transform(inners, pair), lambda p: p["k"].isNotNull() & p["v"].isNotNull())
 
 
 def with_html_facts(df: DataFrame, html: str = "html", wanted: str | None = None,
-                    card_selectors: Sequence[tuple[str, str]] = K.CARD_SELECTORS,
+                    card_selectors: Sequence[Selector] = K.CARD_SELECTORS,
                     detail_href: str = K.RENTALS_DETAIL_HREF, detail_case_insensitive: bool = True,
                     class_patterns: Mapping[str, str] | None = None,
                     scope_tags: Sequence[str] = ("main", "article"),
                     attr_selectors: tuple[Selector, Selector, Selector] = (
                         (None, K.ATTR_ITEM_CLASS), (None, K.ATTR_LABEL_CLASS), (None, K.ATTR_VALUE_CLASS)),
                     ) -> DataFrame:
-    """P6-P8 in the same pass as the rows' other columns.
+    """P6-P8 next to the rows' other columns.
 
-    Every column but ``html`` passes through; the page is parsed only when
-    the boolean column ``wanted`` is true (all rows when None), so rejected
-    pages cost nothing and no join back is needed.  Adds ``cards`` (array
-    of (href, text)), one column per class pattern, and ``attributes``
-    (map, last label wins).
+    Every column but ``html`` passes through; a page is tokenised only when
+    the boolean column ``wanted`` is true (all rows when None).  Adds
+    ``cards`` (array of (href, text)), one column per class pattern, and
+    ``attributes`` (map, last label wins).
     """
     if class_patterns is None:
         class_patterns = {"price_text": K.PRICE_CLASS_PATTERN, "address_text": K.ADDRESS_CLASS_PATTERN}
     keep = [c for c in df.columns if c != html]
-    fact_fields = [T.StructField(n, T.ArrayType(T.StringType())) for n in FACT_ARRAYS] + [
-        T.StructField(n, T.StringType()) for n in class_patterns]
-    schema = T.StructType([df.schema[c] for c in keep] + fact_fields)
-    flags = re.I if detail_case_insensitive else 0
-    selectors, patterns, scopes = list(card_selectors), dict(class_patterns), list(scope_tags)
-    empty = {n: None for n in [*FACT_ARRAYS, *patterns]}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            want = pdf[wanted].fillna(False).astype(bool) if wanted else pd.Series(True, index=pdf.index)
-            rows = [page_facts(h, selectors, detail_href, flags, patterns, scopes, attr_selectors) if w else empty
-                    for h, w in zip(pdf[html], want)]
-            facts = pd.DataFrame(rows, columns=[f.name for f in fact_fields], index=pdf.index)
-            yield pd.concat([pdf[keep], facts], axis=1)
-
-    raw = df.mapInPandas(run, schema)
-    return raw.select(
+    page = F.coalesce(col(html), F.lit(""))
+    if wanted is not None:
+        page = F.when(F.coalesce(F.col(wanted), F.lit(False)), page)
+    marked = df.select(*keep, tokens(page).alias("_tokens"))
+    all_tokens = F.col("_tokens")
+    with_pairs = marked.select(
         *keep,
-        F.arrays_zip(F.col("card_href").alias("href"), F.col("card_text").alias("text")).alias("cards"),
-        *[F.col(n) for n in class_patterns],
-        last_wins_map("attr_keys", "attr_values").alias("attributes"),
-    )
+        cards(all_tokens, card_selectors, detail_href, detail_case_insensitive).alias("cards"),
+        *[first_by_class(all_tokens, pattern, scope_tags).alias(name) for name, pattern in class_patterns.items()],
+        attribute_pairs(all_tokens, attr_selectors).alias("_pairs"))
+    return with_pairs.select(*keep, "cards", *class_patterns, last_wins_map(F.col("_pairs")).alias("attributes"))
 
 
 def html_facts(pages: DataFrame, key: str = "page_id", html: str = "html", **options) -> DataFrame:
@@ -240,13 +236,9 @@ def html_facts(pages: DataFrame, key: str = "page_id", html: str = "html", **opt
     return with_html_facts(pages.select(key, html), html=html, **options)
 
 
-def last_wins_map(keys: str, values: str) -> Column:
-    """Pairs -> map where a repeated key keeps its last value, independent of
-    the session's ``mapKeyDedupPolicy``."""
-    pairs = F.arrays_zip(F.col(keys).alias("k"), F.col(values).alias("v"))
-    last = F.filter(
-        pairs,
-        lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(1))),
-                               lambda o: o["k"] == p["k"]) | (i == F.size(pairs) - 1),
-    )
+def last_wins_map(pairs: Column) -> Column:
+    """Pairs (k, v) -> map where a repeated key keeps its last value,
+    independent of the session's ``mapKeyDedupPolicy``."""
+    last = F.filter(pairs, lambda p, i: ~F.exists(
+        F.filter(pairs, lambda o, j: j > i), lambda o: o["k"] == p["k"]))
     return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"].alias("key"), p["v"].alias("value"))))

@@ -12,25 +12,34 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions.text import col, keyword_flags, matches_any_phrase
 from .windows import first_per_key
 
 
-def item_detail_join(items: DataFrame, details: DataFrame, key: str = "id") -> DataFrame:
-    """Search item x detail on id; items without a detail are dropped."""
-    return items.join(details, on=key, how="inner")
+def first_landed(docs: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One landed document per key: the first by ``order``, then by content.
+    A crawl that meets a link twice lands its document twice."""
+    return first_per_key(docs, keys, list(order))
 
 
-def link_page_join(links: DataFrame, pages: DataFrame, link_url: str = "detail_url", page_url: str = "url") -> DataFrame:
-    """Resolved link x landed page on URL; missing or failed pages drop the
-    link; a URL linked twice gives two rows."""
-    return links.join(pages, links[link_url] == pages[page_url], "inner")
+def item_detail_join(items: DataFrame, details: DataFrame, key: str = "id", order: Sequence[str] = (),
+                     how: str = "inner") -> DataFrame:
+    """Search item x detail on id, one detail per id; items without a
+    detail are dropped (``how="left"`` keeps them for the audit)."""
+    return items.join(first_landed(details, [key], order), on=key, how=how)
+
+
+def link_page_join(links: DataFrame, pages: DataFrame, link_url: str = "detail_url", page_url: str = "url",
+                   order: Sequence[str] = (), how: str = "inner") -> DataFrame:
+    """Resolved link x landed page on URL, one page per URL; missing or
+    failed pages drop the link (``how="left"`` keeps it for the audit); a URL
+    linked twice gives two rows."""
+    first = first_landed(pages, [page_url], order)
+    return links.join(first, links[link_url] == first[page_url], how)
 
 
 def card_reject_anti(cards: DataFrame, url: str = "detail_url", order: Sequence[str] = ("page", "pos"),
@@ -52,47 +61,7 @@ def enum_lookup(code: Column | str, mapping: Mapping[int, str] = K.UNIT_TYPES) -
     return F.try_element_at(F.create_map(*pairs), col(code).cast("int"))
 
 
-# Above this many keywords the substring tests move to one Aho-Corasick pass.
-KEYWORD_EXPR_LIMIT = 64
-
-
 def keyword_dim_join(df: DataFrame, text_lower: str, dictionary: Mapping[str, Sequence[str]]) -> DataFrame:
-    """One nullable flag per feature of a (feature -> keywords) dictionary.
-
-    A literal-sized dictionary compiles into OR-chains of ``contains``; a
-    large one is matched by an Aho-Corasick automaton inside an Arrow UDF,
-    built once per batch, so the cost is linear in text length and does
-    not multiply rows (no theta join).
-    """
-    n_keywords = sum(len(v) for v in dictionary.values())
-    if n_keywords <= KEYWORD_EXPR_LIMIT:
-        return df.select("*", *keyword_flags(F.col(text_lower), dictionary))
-    features = list(dictionary)
-    hits = _aho_corasick_udf(dictionary)(F.col(text_lower))
-    return df.select("*", *[F.when(hits[f], F.lit(True)).alias(f) for f in features])
-
-
-def _aho_corasick_udf(dictionary: Mapping[str, Sequence[str]]):
-    features = list(dictionary)
-    schema = T.StructType([T.StructField(f, T.BooleanType()) for f in features])
-    entries = [(kw, i) for i, f in enumerate(features) for kw in dictionary[f]]
-
-    @F.pandas_udf(schema)
-    def match(texts: pd.Series) -> pd.DataFrame:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for kw, idx in entries:
-            prev = automaton.get(kw, ())
-            automaton.add_word(kw, tuple(sorted(set(prev) | {idx})))
-        automaton.make_automaton()
-        out = [[False] * len(features) for _ in range(len(texts))]
-        for row, text in enumerate(texts):
-            if text is None:
-                continue
-            for _, idxs in automaton.iter(text):
-                for i in idxs:
-                    out[row][i] = True
-        return pd.DataFrame(out, columns=features)
-
-    return match
+    """One nullable flag per feature of a (feature -> keywords) dictionary,
+    as OR-chains of ``contains`` in the row: no join multiplies rows."""
+    return df.select("*", *keyword_flags(F.col(text_lower), dictionary))

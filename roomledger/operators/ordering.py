@@ -8,15 +8,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Positions within a page stay below this, so (page, pos) packs into one BIGINT.
-PAGE_STRIDE = 1_000_000
-
-
-def source_position(page: Column | str, pos: Column | str) -> Column:
-    """O2: discovery order within a source as one sortable BIGINT."""
-    p = F.col(page) if isinstance(page, str) else page
-    q = F.col(pos) if isinstance(pos, str) else pos
-    return p.cast("bigint") * F.lit(PAGE_STRIDE) + q.cast("bigint")
+# Room for each part of a position: above any INT, so no two positions meet.
+PART = "1000000000000"
+POSITION_TYPE = "decimal(38,0)"
+
+
+def source_position(*parts: Column | str) -> Column:
+    """O2: discovery order within a source, from the outermost part (candidate,
+    page) to the innermost (position in the page), as one sortable number.
+    At most three parts, each an INT."""
+    if not 1 <= len(parts) <= 3:
+        raise ValueError("one to three parts")
+    out = None
+    for part in parts:
+        c = (F.col(part) if isinstance(part, str) else part).cast("decimal(11,0)")
+        out = c if out is None else (out * F.lit(PART).cast("decimal(13,0)") + c)
+    return out.cast(POSITION_TYPE)
 
 
 def union_sources(frames: Iterable[DataFrame], columns: list[str] | None = None) -> DataFrame:

@@ -15,18 +15,44 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions.text import DIGIT_CLASS, address_key
 
 
+POSITION_BASE = "10000000000000000000"  # above any BIGINT position
+
+
+def _packed(order: Sequence[str]) -> Column:
+    """One or two integral columns as one ordered number."""
+    base = F.lit(POSITION_BASE).cast("decimal(20,0)")
+    wide = [F.col(c).cast("decimal(19,0)") for c in order]
+    return (wide[0] if len(wide) == 1 else wide[0] * base + wide[1]).cast("decimal(38,0)")
+
+
+def _unpacked(packed: Column, n: int) -> list[Column]:
+    if n == 1:
+        return [packed]
+    base = F.lit(POSITION_BASE).cast("decimal(20,0)")
+    second = F.pmod(packed, base)
+    return [((packed - second) / base).cast("decimal(38,0)"), second]
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row with the smallest ``order`` tuple per key.
 
     ``min(struct(order..., rest...))`` is a partial aggregate, so one URL seen
-    a million times costs one row per map task in the shuffle.
+    a million times costs one row per map task in the shuffle.  Without other
+    columns only the position is aggregated, as one number (a hash aggregate).
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
+    if not rest and not order:
+        return df.select(*keys).distinct()
+    if not rest and len(order) <= 2 and all(isinstance(df.schema[c].dataType, T.IntegralType) for c in order):
+        position = _packed(order)
+        return df.groupBy(*keys).agg(F.min(position).alias("_first")).select(
+            *keys, *[v.cast(df.schema[c].dataType).alias(c) for c, v in zip(order, _unpacked(F.col("_first"), len(order)))])
     packed = F.min(F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest])).alias("_first")
     return df.groupBy(*keys).agg(packed).select(*keys, *[F.col(f"_first.{c}").alias(c) for c in [*order, *rest]])
 
@@ -55,13 +81,14 @@ def mark_cross_source_duplicates(df: DataFrame, address: str = "address", price:
     shuffle: they are split off and unioned back, so NULL keys cannot pile
     into one partition.  The per-key minimum is a partial aggregate; the
     join back carries one row per key on the right, which AQE broadcasts
-    when small and splits when skewed.
+    when small and splits when skewed.  The key is a digest of fixed width,
+    whatever the length of the address.
 
     ``df`` is read three times; pass a staged (written) table, not an
     expensive plan.
     """
     keyed = df.withColumn("_eligible", dedup_eligible(address, price))
-    eligible = keyed.where(F.col("_eligible")).withColumn("_dedup_key", address_key(address))
+    eligible = keyed.where(F.col("_eligible")).withColumn("_dedup_key", F.unhex(F.sha2(address_key(address), 256)))
     firsts = eligible.groupBy("_dedup_key", price).agg(F.min(rank).alias("_first_rank"))
     marked = eligible.join(firsts, on=["_dedup_key", price], how="inner").withColumn(
         "is_duplicate", F.col(rank) > F.col("_first_rank")
@@ -101,52 +128,46 @@ def first_nonempty_candidate(results: DataFrame, group: Sequence[str], candidate
 
 def empty_run_cutoff(page_log: DataFrame, search: Sequence[str], page: str = "page", n_results: str = "n_results",
                      failed: str = "failed", total_items: str = "total_items",
-                     per_page: int = K.SEARCH_PAGE_SIZE, cap: int = K.SEARCH_MAX_PAGES,
-                     default_pages: int = K.SEARCH_DEFAULT_PAGES,
-                     streak: int = K.SEARCH_EMPTY_STREAK) -> DataFrame:
+                     per_page: int = K.SEARCH_PAGE_SIZE, streak: int = K.SEARCH_EMPTY_STREAK,
+                     page_limit: int | None = None, default_pages: int = K.SEARCH_DEFAULT_PAGES) -> DataFrame:
     """Per search, the first page that is NOT read.
 
     ``page_log`` has one row per fetched page (pages never fetched count as
     empty).  Page 1 must have worked and have results, else nothing is read.
     From page 2 on, reading stops at the first failed page and at the last
-    page of ``streak`` consecutive empty pages; at most
-    ``min(total_items // per_page + 2, cap)`` pages are read
-    (``default_pages`` when the total is unknown).  The window runs over at
-    most ``cap`` rows per search.
+    page of ``streak`` consecutive empty pages; after the last page with
+    results a streak always follows.  ``page_limit`` bounds a live crawl: with
+    it at most ``min(total_items // per_page + 2, page_limit)`` pages are read
+    (``default_pages`` when the total is unknown); landed data has none.
+    The window runs over the pages of one search.
     """
     keys = [F.col(c) for c in search]
+    limit = F.lit(None).cast("int")
+    if page_limit is not None:
+        limit = F.least(F.coalesce(F.floor(F.max(F.col(total_items)) / per_page).cast("int") + 2, F.lit(default_pages)), F.lit(page_limit))
     p1 = (
         page_log.where(F.col(page) == 1)
         .groupBy(*search)
         .agg(
-            F.max(F.col(n_results)).alias("_p1_results"),
-            F.max(F.col(failed).cast("int")).alias("_p1_failed"),
-            F.max(F.col(total_items)).alias("_total"),
-        )
-        .select(
-            *keys,
-            ((F.col("_p1_results") > 0) & (F.col("_p1_failed") == 0)).alias("page1_ok"),
-            F.least(
-                F.coalesce(F.floor(F.col("_total") / per_page).cast("int") + 2, F.lit(default_pages)), F.lit(cap)
-            ).alias("max_pages"),
+            ((F.max(F.col(n_results)) > 0) & (F.max(F.col(failed).cast("int")) == 0)).alias("page1_ok"),
+            (limit if page_limit is not None else F.max(limit)).alias("max_pages"),
         )
     )
-    events = page_log.where((F.col(page) >= 2) & (F.col(page) <= cap) & ((F.col(n_results) > 0) | F.col(failed)))
+    events = page_log.where((F.col(page) >= 2) & ((F.col(n_results) > 0) | F.col(failed)))
     w = Window.partitionBy(*search).orderBy(F.col(page))
     prev = F.lag(F.col(page), 1, 1).over(w)
     stops = events.select(
-        *keys,
+        *keys, F.col(page).alias("_page"),
         F.when(F.col(failed), F.col(page)).alias("_fail_at"),
         F.when(F.col(page) - prev - 1 >= streak, prev + streak).alias("_streak_at"),
     )
     first_stop = stops.groupBy(*search).agg(
-        F.min(F.least("_fail_at", "_streak_at")).alias("_stop"), F.count(F.lit(1)).alias("_n_events")
+        F.min(F.least("_fail_at", "_streak_at")).alias("_stop"), F.max("_page").alias("_last")
     )
     out = p1.join(first_stop, on=list(search), how="left")
-    # No page >= 2 with results: the streak ends at page 1 + streak.
-    stop = F.when(F.col("_n_events").isNull(), F.lit(1 + streak)).otherwise(F.coalesce(F.col("_stop"), F.lit(cap + 1)))
-    cutoff = F.when(F.col("page1_ok"), F.least(stop, F.col("max_pages") + 1)).otherwise(F.lit(1))
-    return out.select(*keys, "page1_ok", "max_pages", cutoff.alias("cutoff_page"))
+    stop = F.least(F.col("_stop"), F.coalesce("_last", F.lit(1)) + streak, F.col("max_pages") + 1)
+    cutoff = F.when(F.col("page1_ok"), stop).otherwise(F.lit(1))
+    return out.select(*keys, "page1_ok", "max_pages", cutoff.cast("int").alias("cutoff_page"))
 
 
 def page_prefix(page_log: DataFrame, source: Sequence[str], page: str = "page", stop_before: str = "stop_before",

@@ -28,7 +28,7 @@ from ..operators import windows
 from ..sources import sinks
 from ..sources.adapters import classifieds, js_pages, rental_pages, search_json, unit_api
 from ..sources.adapters.common import AUDIT_COLUMNS
-from ..session import scratch_dir
+from ..session import scratch_dir, scratch_under
 from ..sources.registry import SourceRegistry
 
 log = logging.getLogger(__name__)
@@ -55,9 +55,14 @@ def classify(staged: DataFrame, limit_per_source: int | None = None) -> DataFram
 
 def run(spark: SparkSession, landed_root: str, out_dir: str, run_ts: dt.datetime | None = None,
         limit_per_source: int | None = None, registry: SourceRegistry | None = None) -> dict:
-    run_ts = (run_ts or dt.datetime.now()).replace(second=0, microsecond=0)
+    run_ts = (run_ts or dt.datetime.now()).replace(microsecond=0)
     reg = registry or default_registry(run_ts)
     stage_dir = scratch_dir(spark, f"stage-{sinks.run_stamp(run_ts)}")
+    with scratch_under(stage_dir):
+        return _run(spark, landed_root, out_dir, run_ts, limit_per_source, reg, stage_dir)
+
+
+def _run(spark, landed_root, out_dir, run_ts, limit_per_source, reg, stage_dir) -> dict:
     written = reg.stage_each(spark, landed_root, stage_dir)
     result = {"run_ts": run_ts, "sources": list(written), "failures": dict(reg.failures)}
     if not written:
@@ -67,6 +72,8 @@ def run(spark: SparkSession, landed_root: str, out_dir: str, run_ts: dt.datetime
     classified_dir = f"{stage_dir}/classified"
     classify(staged, limit_per_source).write.mode("overwrite").parquet(classified_dir)
     result["outputs"] = sinks.write_outputs(spark.read.parquet(classified_dir), out_dir, run_ts)
+    # What was staged has served; after a failure it stays for a look.
+    sinks.delete_folder(spark, stage_dir)
     return result
 
 

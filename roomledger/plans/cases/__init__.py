@@ -29,24 +29,9 @@ def case(key: str, sql: str | None = None):
     return deco
 
 
-_READS: dict[tuple[str, int, str], DataFrame] = {}
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A driver table, spread when it is one narrow split.  The DataFrame is
-    reused per session and path (DataFrames are immutable plans), so the
-    footer read and the layout decision happen once, not once per query."""
-    from ..layout import spread_narrow_scan
-
-    path = f"{sf_dir.rstrip('/')}/{table}.parquet"
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001 - sessions without a local SparkContext
-        app = ""
-    key = (app, id(spark), path)
-    if key not in _READS:
-        _READS[key] = spread_narrow_scan(spark.read.parquet(path))
-    return _READS[key]
+    """A driver table, read whole and plainly: filters and columns reach the scan."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
 def load_all() -> dict[str, tuple[Query, str | None]]:

@@ -94,7 +94,7 @@ def count_per_source(spark, d):
 
 
 @case("count_total", f"""WITH {DOC_SQL}, {keyed_sql('doc_listings')}
-SELECT source, count(*) AS n_listings FROM marked WHERE NOT is_duplicate GROUP BY ROLLUP (source)""")
+SELECT source, GROUPING(source) = 1 AS is_total, count(*) AS n_listings FROM marked WHERE NOT is_duplicate GROUP BY ROLLUP (source)""")
 def count_total(spark, d):
     return aggregates.counts_with_total(windows.cross_source_dedup(doc_listings(spark, d)))
 
@@ -275,9 +275,9 @@ def present_listings(spark, d):
 
 @case("write_summary", f"""WITH {DOC_SQL}, {keyed_sql('doc_listings')},
 kept AS (SELECT * FROM marked WHERE NOT is_duplicate)
-SELECT 'run' AS section, 'Scraped on' AS label, {q(RUN_TS.strftime('%Y-%m-%d %H:%M'))} AS value
-UNION ALL SELECT 'total', 'Listings found', CAST(count(*) AS VARCHAR) FROM kept
-UNION ALL SELECT 'per_source', source, CAST(count(*) AS VARCHAR) FROM kept GROUP BY source""")
+SELECT -2 AS place, 'run' AS section, 'Scraped on' AS label, {q(RUN_TS.strftime('%Y-%m-%d %H:%M'))} AS value
+UNION ALL SELECT -1, 'total', 'Listings found', CAST(count(*) AS VARCHAR) FROM kept
+UNION ALL SELECT min(site_rank), 'per_source', source, CAST(count(*) AS VARCHAR) FROM kept GROUP BY source""")
 def write_summary(spark, d):
     kept = windows.cross_source_dedup(canonical_doc_listings(spark, d))
     return sinks.summary_rows(kept, RUN_TS)

@@ -22,38 +22,37 @@ CARD_PHRASES = [r"\bthe\b", r"\bde\b"]
 
 
 # --- DuckDB spellings of the html functions --------------------------------
+# Written for the driver's pages and on their own: they share no pattern and
+# no table with the library.  The pages' references are &amp; &quot; &copy;
+# &middot; (some cut short), their non-text blocks comments, scripts and styles.
 
-NAMED_MAP_SQL = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in H.NAMED_REFS.items()) + "}"
+SQL_BLOCKS = r"(?is)<!--.*?-->|<script[ >].*?</script>|<style[ >].*?</style>"
+SQL_HREF = r"""(?i)<a [^>]*?href=("[^"]*"|'[^']*'|[^ "'>]+)"""
+SQL_ANCHOR = r"""(?is)<a [^>]*?href=("[^"]*"|'[^']*'|[^ "'>]+)[^>]*>(.*?)</a>"""
 
 
-def unescape_sql(e: str, skip_nbsp: bool = False) -> str:
-    numeric = ("CASE WHEN starts_with(p, '&#x') OR starts_with(p, '&#X') "
-               "THEN try(chr(CAST('0x' || regexp_extract(p, '^&#[xX]([0-9A-Fa-f]+);$', 1) AS INTEGER))) "
-               "WHEN starts_with(p, '&#') THEN try(chr(CAST(regexp_extract(p, '^&#([0-9]+);$', 1) AS INTEGER))) END")
-    named = f"({NAMED_MAP_SQL})[p]"
-    if skip_nbsp:
-        named = f"CASE WHEN p <> '&nbsp;' THEN {named} END"
-    return (f"CASE WHEN contains({e}, '&') THEN array_to_string(list_transform("
-            f"regexp_extract_all({e}, {q(H.CHAR_REF_PARTS)}, 0), lambda p: COALESCE({numeric}, {named}, p)), '') "
-            f"ELSE {e} END")
+def unescape_sql(e: str) -> str:
+    for name, text in (("quot", '"'), ("copy", "\u00a9"), ("middot", "\u00b7"), ("amp", "&")):
+        e = f"regexp_replace({e}, '&{name};?', {q(text)}, 'g')"
+    return e
 
 
 def visible_sql(e: str) -> str:
-    return f"regexp_replace({e}, {q(H.NON_TEXT_BLOCKS)}, '<x>', 'g')"
+    return f"regexp_replace({e}, {q(SQL_BLOCKS)}, '<x>', 'g')"
+
+
+def nodes_sql(e: str) -> str:
+    """The text nodes: what stands between tags."""
+    return f"string_split_regex({visible_sql(e)}, '<[^>]*>')"
 
 
 def text_raw_sql(e: str) -> str:
-    v = visible_sql(e)
-    v = f"regexp_replace({v}, {q(f'^(?:{H.TAG})+|(?:{H.TAG})+$')}, '', 'g')"
-    v = f"regexp_replace({v}, {q(f'(?:{H.TAG})+')}, ' ', 'g')"
-    return unescape_sql(v)
+    return unescape_sql(f"array_to_string(list_filter({nodes_sql(e)}, lambda n: n <> ''), ' ')")
 
 
 def text_stripped_sql(e: str) -> str:
-    v = f"replace({visible_sql(e)}, '&nbsp;', chr(160))"
-    v = f"regexp_replace({v}, {q(f'{WS_CLASS}*(?:{H.TAG}{WS_CLASS}*)+')}, ' ', 'g')"
-    v = f"regexp_replace({v}, {q(f'^{WS_CLASS}+|{WS_CLASS}+$')}, '', 'g')"
-    return unescape_sql(v, skip_nbsp=True)
+    stripped = f"list_transform({nodes_sql(e)}, lambda n: trim({unescape_sql('n')}, ' ' || chr(9) || chr(10) || chr(13)))"
+    return f"array_to_string(list_filter({stripped}, lambda n: n <> ''), ' ')"
 
 
 def unquote_sql(e: str) -> str:
@@ -61,7 +60,7 @@ def unquote_sql(e: str) -> str:
 
 
 def hrefs_sql(e: str) -> str:
-    raw = f"regexp_extract_all({visible_sql(e)}, {q(H.ANCHOR_HREF)}, 1)"
+    raw = f"regexp_extract_all({visible_sql(e)}, {q(SQL_HREF)}, 1)"
     return f"list_transform({raw}, lambda h: {unescape_sql(unquote_sql('h'))})"
 
 
@@ -201,21 +200,33 @@ def html_title(spark, d):
     return read(spark, d, "pages").select("page_id", H.heading_title("html").alias("title"))
 
 
-@case("read_pages", """SELECT page_id, url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#:]+)', 1) AS host,
-CAST(length(html) AS INTEGER) AS n_chars FROM pages""")
+# The driver's pages have no status: every 7th failed, every 5th is unknown.
+STATUS_SQL = "CASE WHEN page_id % 7 = 0 THEN 404 WHEN page_id % 5 = 0 THEN NULL ELSE 200 END"
+
+
+def pages_with_status(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("page_id")
+    status = F.when(n % 7 == 0, 404).when(n % 5 == 0, F.lit(None)).otherwise(200)
+    return read(spark, d, "pages").withColumn("status", status.cast("int"))
+
+
+@case("read_pages", f"""SELECT page_id, url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#:]+)', 1) AS host,
+CAST(length(html) AS INTEGER) AS n_chars FROM (SELECT *, {STATUS_SQL} AS status FROM pages)
+WHERE status IS NULL OR status < 400""")
 def read_pages(spark, d):
-    pages = payloads.read_pages(read(spark, d, "pages"))
+    pages = payloads.read_pages(pages_with_status(spark, d))
     return pages.select("page_id", "url", payloads.url_host("url").alias("host"), F.length("html").alias("n_chars"))
 
 
-@case("source_order", f"WITH {LINKS_SQL} SELECT page_id, pos, page_id * 1000000 + pos AS src_pos FROM links")
+@case("source_order", f"""WITH {LINKS_SQL}
+SELECT page_id, pos, CAST(CAST(page_id AS HUGEINT) * 1000000000000 + pos AS VARCHAR) AS src_pos FROM links""")
 def source_order(spark, d):
-    return links_df(spark, d).select("page_id", "pos", ordering.source_position("page_id", "pos").alias("src_pos"))
+    return links_df(spark, d).select("page_id", "pos", ordering.source_position("page_id", "pos").cast("string").alias("src_pos"))
 
 
 CARDS_SQL = f"""
 page_anchors AS (
-  SELECT page_id, url, regexp_extract_all(v, {q(H.ANCHOR_FULL)}, 1) AS hs, regexp_extract_all(v, {q(H.ANCHOR_FULL)}, 2) AS ts
+  SELECT page_id, url, regexp_extract_all(v, {q(SQL_ANCHOR)}, 1) AS hs, regexp_extract_all(v, {q(SQL_ANCHOR)}, 2) AS ts
   FROM (SELECT page_id, url, {visible_sql('html')} AS v FROM pages)),
 cards AS (
   SELECT page_id, CAST(i AS INTEGER) AS pos, {resolve_sql(unescape_sql(unquote_sql('hs[i + 1]')), 'url')} AS detail_url,
@@ -237,9 +248,7 @@ def cards_df(spark: SparkSession, d: str) -> DataFrame:
 
 @case("first_card_per_url", f"WITH {CARDS_SQL} SELECT detail_url, page_id, pos FROM first_cards")
 def first_card_per_url(spark, d):
-    return windows.first_per_key(cards_df(spark, d), ["detail_url"], ["page_id", "pos"]).select(
-        "detail_url", "page_id", "pos"
-    )
+    return windows.first_per_key(cards_df(spark, d).select("detail_url", "page_id", "pos"), ["detail_url"], ["page_id", "pos"])
 
 
 @case("card_reject_anti", f"""WITH {CARDS_SQL}
@@ -249,20 +258,30 @@ def card_reject_anti(spark, d):
     return visited.select("detail_url", "page_id", "pos")
 
 
-@case("link_page_join", """WITH links AS (SELECT page_id AS referrer_id, regexp_replace(url, '#.*$', '') AS detail_url FROM pages),
-targets AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS url FROM pages)
-SELECT l.referrer_id, t.page_id, l.detail_url FROM links l JOIN targets t ON l.detail_url = t.url""")
+@case("link_page_join", f"""WITH p AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS url, {STATUS_SQL} AS status FROM pages),
+links AS (SELECT page_id AS referrer_id, 0 AS visit, url AS detail_url FROM p
+  UNION ALL SELECT page_id, 1, url FROM p WHERE page_id % 3 = 0
+  UNION ALL SELECT page_id, 2, url || '/missing' FROM p WHERE page_id % 5 = 0),
+targets AS (SELECT url, min(page_id) AS page_id FROM p WHERE status IS NULL OR status < 400 GROUP BY url)
+SELECT l.referrer_id, l.visit, l.detail_url, t.page_id, CASE WHEN t.page_id IS NULL THEN 'no_page' END AS reject_reason
+FROM links l LEFT JOIN targets t ON l.detail_url = t.url""")
 def link_page_join(spark, d):
-    pages = read(spark, d, "pages")
-    # The crawl's link list: every landed page's URL without its fragment.
-    links = pages.select(F.col("page_id").alias("referrer_id"), F.regexp_replace("url", "#.*$", "").alias("detail_url"))
-    targets = pages.select("page_id", F.regexp_replace("url", "#.*$", "").alias("url"))
-    return joins.link_page_join(links, targets).select("referrer_id", "page_id", "detail_url")
+    """Links that miss, repeat and hit failed pages; pages landed twice."""
+    pages = pages_with_status(spark, d).select("page_id", F.regexp_replace("url", "#.*$", "").alias("url"), "status")
+    own = pages.select(F.col("page_id").alias("referrer_id"), F.lit(0).alias("visit"), F.col("url").alias("detail_url"))
+    again = own.where(F.col("referrer_id") % 3 == 0).withColumn("visit", F.lit(1))
+    missing = own.where(F.col("referrer_id") % 5 == 0).select(
+        "referrer_id", F.lit(2).alias("visit"), F.concat("detail_url", F.lit("/missing")).alias("detail_url"))
+    links = own.unionByName(again).unionByName(missing)
+    landed = payloads.read_pages(pages).select("page_id", "url")
+    landed = landed.unionByName(landed.where(F.col("page_id") % 4 == 0))
+    j = joins.link_page_join(links, landed, order=("page_id",), how="left")
+    return j.select("referrer_id", "visit", "detail_url", "page_id",
+                    F.when(F.col("page_id").isNull(), F.lit("no_page")).alias("reject_reason"))
 
 
 # --- DOM facts ---------------------------------------------------------------
-# Spark runs the Python DOM pass.  The oracle can use regexes because the
-# driver's pages are flat: cards are the <li> nav items, each holding one
+# The oracle can use regexes because the driver's pages are flat: cards are the <li> nav items, each holding one
 # link, and the one classed element is a <div class="ad"> holding text.
 
 LI_INNER = r"(?is)<li\b[^>]*>(.*?)</li\s*>"
@@ -289,7 +308,7 @@ def _facts(spark, d):
 
 @case("html_cards", f"""WITH {LI_SQL}
 SELECT page_id, pos,
-  list_filter(list_transform(regexp_extract_all(li_html, {q(H.ANCHOR_HREF)}, 1), lambda h: {unescape_sql(unquote_sql('h'))}),
+  list_filter(list_transform(regexp_extract_all(li_html, {q(SQL_HREF)}, 1), lambda h: {unescape_sql(unquote_sql('h'))}),
               lambda h: regexp_matches(h, {q('(?i)' + DETAIL_CI)}))[1] AS href,
   {text_raw_sql('li_html')} AS card_text FROM li""")
 def html_cards(spark, d):

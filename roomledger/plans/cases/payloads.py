@@ -398,35 +398,36 @@ def _hour_page(ts: Column) -> Column:
     return (F.timestamp_diff("HOUR", F.lit(ORIGIN).cast("timestamp_ntz"), ts) + 1).cast("int")
 
 
-@case("empty_run_cutoff", f"""WITH e AS (
+# The reading of each search, page by page: a failed page stops it at once,
+# the third empty page in a row stops it there.
+READING_SQL = f"""log AS (SELECT event_type, page, count_if(value > {HIT_VALUE}) AS n_results, max(value) > {FAIL_VALUE} AS failed
+        FROM e GROUP BY event_type, page),
+reading AS (
+  SELECT event_type, 1 AS page, 0 AS empties, NOT (n_results > 0 AND NOT failed) AS stopped FROM log WHERE page = 1
+  UNION ALL
+  SELECT r.event_type, r.page + 1, CASE WHEN COALESCE(l.n_results, 0) > 0 THEN 0 ELSE r.empties + 1 END,
+         COALESCE(l.failed, false) OR (COALESCE(l.n_results, 0) = 0 AND r.empties + 1 = {K.SEARCH_EMPTY_STREAK})
+  FROM reading r LEFT JOIN log l ON l.event_type = r.event_type AND l.page = r.page + 1
+  WHERE NOT r.stopped),
+cut AS (SELECT event_type, CAST(min(page) AS INTEGER) AS cutoff_page FROM reading WHERE stopped GROUP BY event_type)"""
+
+
+@case("empty_run_cutoff", f"""WITH RECURSIVE e AS (
   SELECT event_id, event_type, value, CAST(date_diff('hour', TIMESTAMP '{ORIGIN}', ts) + 1 AS INTEGER) AS page FROM events),
-tot AS (SELECT event_type, count(*) AS total_items FROM events GROUP BY event_type),
-log AS (SELECT e.event_type, page, count_if(value > {HIT_VALUE}) AS n_results, max(value) > {FAIL_VALUE} AS failed,
-               any_value(tot.total_items) AS total_items
-        FROM e JOIN tot ON e.event_type = tot.event_type GROUP BY e.event_type, page),
-p1 AS (SELECT event_type, max(n_results) > 0 AND NOT bool_or(failed) AS page1_ok,
-              least(COALESCE(CAST(floor(max(total_items) / {K.SEARCH_PAGE_SIZE}) AS INTEGER) + 2, {K.SEARCH_DEFAULT_PAGES}), {K.SEARCH_MAX_PAGES}) AS max_pages
-       FROM log WHERE page = 1 GROUP BY event_type),
-ev2 AS (SELECT event_type, page, failed, lag(page, 1, 1) OVER (PARTITION BY event_type ORDER BY page) AS prev
-        FROM log WHERE page >= 2 AND page <= {K.SEARCH_MAX_PAGES} AND (n_results > 0 OR failed)),
-st AS (SELECT event_type, min(least(CASE WHEN failed THEN page END,
-                                    CASE WHEN page - prev - 1 >= {K.SEARCH_EMPTY_STREAK} THEN prev + {K.SEARCH_EMPTY_STREAK} END)) AS stop,
-              count(*) AS n_events FROM ev2 GROUP BY event_type),
-cut AS (SELECT p1.event_type, CASE WHEN page1_ok THEN least(CASE WHEN n_events IS NULL THEN {1 + K.SEARCH_EMPTY_STREAK}
-                                     ELSE COALESCE(stop, {K.SEARCH_MAX_PAGES + 1}) END, max_pages + 1) ELSE 1 END AS cutoff_page
-        FROM p1 LEFT JOIN st ON p1.event_type = st.event_type)
-SELECT e.event_id, e.event_type, e.page FROM e JOIN cut ON e.event_type = cut.event_type
+{READING_SQL}
+SELECT e.event_id, e.event_type, e.page, cut.cutoff_page FROM e JOIN cut ON e.event_type = cut.event_type
 WHERE e.page < cut.cutoff_page AND e.value > {HIT_VALUE}""")
 def empty_run_cutoff(spark, d):
     e = read(spark, d, "events").select("event_id", "event_type", "value", _hour_page(F.col("ts")).alias("page"))
-    totals = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("total_items"))
     log = e.groupBy("event_type", "page").agg(
         F.count_if(F.col("value") > HIT_VALUE).alias("n_results"),
         (F.max("value") > FAIL_VALUE).alias("failed"),
-    ).join(totals, "event_type")
+        F.lit(None).cast("bigint").alias("total_items"),
+    )
     cut = windows.empty_run_cutoff(log, ["event_type"])
     hits = e.where(F.col("value") > HIT_VALUE)
-    return hits.join(cut, "event_type").where(F.col("page") < F.col("cutoff_page")).select("event_id", "event_type", "page")
+    return hits.join(cut, "event_type").where(F.col("page") < F.col("cutoff_page")).select(
+        "event_id", "event_type", "page", "cutoff_page")
 
 
 @case("page_prefix", f"""WITH e AS (SELECT event_id, event_type, value, CAST(day(ts) AS INTEGER) AS page FROM events),

@@ -487,10 +487,14 @@ def read_detail_docs(spark, d):
 
 
 @case("item_detail_join", f"""WITH {SEARCH_ITEMS_SQL}, {DETAILS_SQL}
-SELECT i.page, i.slot, i.pos, i.id, d.guid, d.price_from FROM items i JOIN details d ON i.id = d.id""")
+SELECT i.page, i.slot, i.pos, i.id, d.guid, d.price_from FROM items i JOIN (
+  SELECT id, guid, price_from FROM details QUALIFY row_number() OVER (PARTITION BY id ORDER BY price_from, surface) = 1) d ON i.id = d.id""")
 def item_detail_join(spark, d):
     items = filters.drop_missing_id(payloads.read_search_items(search_bodies(spark, d), "body", ("page", "slot")))
     details = payloads.read_detail_docs(detail_bodies(spark, d), "body", ("id",))
-    j = joins.item_detail_join(items, details, "id")
+    # Ids were landed more than once: the cheapest, then smallest, counts as the first.
+    details = details.unionByName(details.where(F.col("id") % 7 == 0)).withColumns(
+        {"landed": F.col("detail.pricing.totalMonthlyRent.from"), "landed_size": F.col("detail.surfaceAreaFrom")})
+    j = joins.item_detail_join(items, details, "id", order=("landed", "landed_size"))
     return j.select("page", "slot", "pos", "id", F.col("detail.guid").alias("guid"),
                     F.col("detail.pricing.totalMonthlyRent.from").alias("price_from"))

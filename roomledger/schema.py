@@ -28,7 +28,7 @@ LISTING_SCHEMA = T.StructType(
     [
         T.StructField("source", T.StringType(), False),
         T.StructField("site_rank", T.IntegerType(), False),
-        T.StructField("src_pos", T.LongType(), False),
+        T.StructField("src_pos", T.DecimalType(38, 0), False),
         T.StructField("url", T.StringType()),
         T.StructField("title", T.StringType()),
         T.StructField("address", T.StringType()),
@@ -53,9 +53,6 @@ def canonical_columns(df: DataFrame) -> list[Column]:
     cols: list[Column] = []
     for f in LISTING_SCHEMA.fields:
         c = F.col(f.name) if f.name in present else F.lit(None)
-        cols.append(c.cast(f.dataType).alias(f.name))
+        # a value out of range costs that value, not the task
+        cols.append(c.try_cast(f.dataType).alias(f.name))
     return cols
-
-
-def conform(df: DataFrame) -> DataFrame:
-    return df.select(*canonical_columns(df))

@@ -11,6 +11,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -26,10 +28,7 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
-    # html_facts sends whole pages to Python; 10k pages per Arrow batch (the
-    # default) can be gigabytes of HTML.  500 keeps a batch in tens of MB.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
-    # Adapters checkpoint small parsed frames; remove them when unreferenced.
+    # Remove checkpoints that nothing refers to any more.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
@@ -59,16 +58,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    local = (sc.master or "").startswith("local")
     if current:
+        if not local and current.startswith("file:"):
+            raise RuntimeError("spark.checkpoint.dir is a machine-local folder; on a cluster it must be shared")
         return current
-    if not (sc.master or "").startswith("local"):
+    if not local:
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     current = tempfile.mkdtemp(prefix="roomledger-ckpt-")
     sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
 
 
+_UNDER: ContextVar[str | None] = ContextVar("roomledger_scratch", default=None)
+
+
+@contextmanager
+def scratch_under(folder: str):
+    """Within the block ``scratch_dir`` makes its folders in ``folder``, so a
+    run can remove all it has staged."""
+    token = _UNDER.set(folder)
+    try:
+        yield folder
+    finally:
+        _UNDER.reset(token)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder for a staged table."""
-    root = ensure_checkpoint_dir(spark).rstrip("/")
+    root = (_UNDER.get() or ensure_checkpoint_dir(spark)).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"

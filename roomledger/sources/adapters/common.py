@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from ... import constants as K
 from ...functions import numbers
 from ...schema import LISTING_SCHEMA, canonical_columns
-from ...session import ensure_checkpoint_dir
+from ...session import scratch_dir
 
 API_SCHEMA = T.StructType(
     [
@@ -43,7 +43,9 @@ PAGES_SCHEMA = T.StructType(
         T.StructField("status", T.IntegerType()),
     ]
 )
-AUDIT_COLUMNS = [f.name for f in LISTING_SCHEMA.fields] + ["reject_reason"]
+# The canonical columns, the search page of the candidate, its values before
+# parsing (JSON) and why it was dropped (NULL: kept).
+AUDIT_COLUMNS = [f.name for f in LISTING_SCHEMA.fields] + ["page", "raw", "reject_reason"]
 
 
 def api(spark: SparkSession, root: str, endpoint: str) -> DataFrame:
@@ -57,16 +59,21 @@ def pages(spark: SparkSession, root: str, source: str, kind: str) -> DataFrame:
 
 def finish(df: DataFrame, source: str, run_ts: dt.datetime, reason: Column | str = "reject_reason") -> DataFrame:
     """Add source, rank, run time and price per m²; select the audit columns
-    (canonical listing schema + ``reject_reason``) with canonical types."""
+    with canonical types (``page`` and ``raw`` are NULL where not given)."""
     out = df.withColumn("source", F.lit(source)).withColumn("site_rank", F.lit(K.site_rank(source)))
     out = out.withColumn("scraped_on", F.lit(run_ts.replace(second=0, microsecond=0)).cast("timestamp"))
     out = out.withColumn("price_per_m2", numbers.price_per_m2("price_eur_month", "size_m2"))
     r = F.col(reason) if isinstance(reason, str) else reason
-    return out.select(*canonical_columns(out), r.cast("string").alias("reject_reason"))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to ``spark.checkpoint.dir`` and cut its lineage.  For
-    narrow parsed frames that feed both a decision and the rows."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    page = F.col("page") if "page" in out.columns else F.lit(None)
+    raw = F.col("raw") if "raw" in out.columns else F.lit(None)
+    return out.select(*canonical_columns(out), page.cast("int").alias("page"), raw.cast("string").alias("raw"),
+                      r.cast("string").alias("reject_reason"))
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write parsed rows (never HTML) as Parquet under the shared scratch
+    folder and read them back: a decision and the rows both read the columns
+    they need, and the pages are parsed once."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ... import constants as K
 from ...functions import compose, html as H, numbers, payload as P, text
 from ...operators import aggregates, filters, joins, ordering, windows
-from .common import checkpointed, finish, pages
+from .common import finish, pages, staged
 
 SOURCE = K.SOURCES[4]
 
@@ -23,8 +23,7 @@ def candidate_links(spark: SparkSession, root: str) -> DataFrame:
     links = links.withColumn("href", H.strip_query("href")).where(filters.detail_href("href", K.JSPAGES_DETAIL_HREF, False))
     first = aggregates.distinct_links(links, ["candidate"], "href", ["page", "pos"])
     # Candidates are read one after another: their pages come first in discovery order.
-    page_key = F.col("candidate") * 1000 + F.col("page")
-    return first.select("candidate", ordering.source_position(page_key, "pos").alias("src_pos"),
+    return first.select("candidate", "page", ordering.source_position("candidate", "page", "pos").alias("src_pos"),
                         H.resolve_url("href", F.lit(K.JSPAGES_BASE)).alias("detail_url"))
 
 
@@ -50,6 +49,7 @@ def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
     low = F.lower("main_text")
     fields = d.select(
         "url", reason.alias("reject_reason"), text.nonempty("title").alias("title"), "address", "neighborhood",
+        F.to_json(F.struct("title", "address", "ld_price")).alias("raw"),
         F.coalesce("ld_price", numbers.parse_euro_amount(compose.euro_text_amount("main_text")))
         .alias("price_eur_month"),
         compose.size_from_text("main_text").alias("size_m2"),
@@ -57,9 +57,11 @@ def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
         *text.keyword_flags(low, K.KEYWORDS_JSPAGES),
         compose.available_from_text("main_text", K.AVAILABLE_JSPAGES_PATTERN).alias("available_from"),
     )
-    # The parsed rows (no HTML) are checkpointed: the winner count and the
-    # kept rows both read them instead of parsing the pages twice.
-    j = checkpointed(joins.link_page_join(links, fields, "detail_url", "url").drop("detail_url"))
+    # The parsed rows (no HTML) are staged: the winner count and the kept rows
+    # both read them.  A link whose page was not landed stays for the audit.
+    j = joins.link_page_join(links, fields, "detail_url", "url", how="left")
+    j = staged(j.withColumn("reject_reason", F.when(F.col("url").isNull(), F.lit("no_page")).otherwise(F.col("reject_reason")))
+               .withColumn("url", F.coalesce("url", "detail_url")).drop("detail_url"), "js-rows")
     # The first candidate with an accepted listing; the others were never read.
     counts = j.groupBy(F.lit(SOURCE).alias("src"), "candidate").agg(
         F.count_if(F.col("reject_reason").isNull()).alias("n_listings"))

@@ -12,9 +12,10 @@ from ... import constants as K
 from ...functions import compose, html as H, numbers, payload as P, text
 from ...operators import filters, html_facts, joins, ordering, windows
 from .. import payloads
-from .common import checkpointed, finish, pages
+from .common import finish, pages, staged
 
 SOURCE = K.SOURCES[2]
+NEXT_LINK = r"""(?is)<a\b[^>]*\srel\s*=\s*["']?next\b"""
 
 
 def visited_cards(spark: SparkSession, root: str) -> DataFrame:
@@ -22,22 +23,29 @@ def visited_cards(spark: SparkSession, root: str) -> DataFrame:
     minus URLs whose first card says taken (J3).  Returns ``card_reason``
     for the audit."""
     search = pages(spark, root, SOURCE, "search").select("candidate", "page", "url", "html", "status")
-    search = search.withColumn("key", F.concat_ws("#", F.col("candidate").cast("string"), F.col("page").cast("string")))
-    facts = html_facts.html_facts(search.select("key", "html"), key="key", class_patterns={},
-                                  detail_href=K.RENTALS_DETAIL_HREF, detail_case_insensitive=True)
-    # One DOM pass over the search pages: the winner count and the cards read the checkpoint.
-    cards = checkpointed(search.drop("html").join(facts, "key").select(
-        "candidate", "page", "status", F.posexplode_outer("cards").alias("pos", "card")))
+    links = H.anchors("html")
+    has_next = F.exists(links, lambda a: a["text"].rlike("(?i)" + K.NEXT_PAGE_TEXT_PATTERN)) | F.col("html").rlike(NEXT_LINK)
+    search = search.withColumn("has_next", F.coalesce(has_next, F.lit(False))).drop("url")
+    facts = html_facts.with_html_facts(search, "html", class_patterns={}, detail_href=K.RENTALS_DETAIL_HREF,
+                                       detail_case_insensitive=True)
+    # The search pages are parsed once: the winner, the pages read and the cards read the stage.
+    parsed = staged(facts.select("candidate", "page", "status", "has_next", "cards"), "rental-cards")
+    cards = parsed.select("candidate", "page", "status", F.posexplode_outer("cards").alias("pos", "card"))
     ok_first = (F.col("page") == 1) & (F.col("status").isNull() | (F.col("status") < 400))
     counts = cards.where(ok_first).groupBy(F.lit(SOURCE).alias("src"), "candidate").agg(
         F.count("card").alias("n_cards"))
     winner = windows.first_nonempty_candidate(counts, ["src"], "candidate", "n_cards").select("winning_rank").scalar()
-    linked = cards.where((F.col("candidate") == winner) & F.col("card.href").isNotNull()).select(
+    # Reading goes on as long as a page links to a next one that was landed.
+    failed = F.coalesce(F.col("status") >= 400, F.lit(False))
+    log = parsed.where(F.col("candidate") == winner).groupBy(F.lit(SOURCE).alias("src"), "page").agg(
+        F.min(failed).alias("stop_before"), (~F.max("has_next")).alias("stop_after"))
+    last_page = windows.page_prefix(log, ["src"]).select("last_page").scalar()
+    linked = cards.where((F.col("candidate") == winner) & (F.col("page") <= last_page) & F.col("card.href").isNotNull()).select(
         "page", "pos", H.resolve_url(F.col("card.href"), F.lit(K.RENTALS_BASE)).alias("detail_url"),
         F.col("card.text").alias("card_text"))
     first = windows.first_per_key(linked, ["detail_url"], ["page", "pos"])
     return first.select(
-        "detail_url", ordering.source_position("page", "pos").alias("src_pos"),
+        "detail_url", "page", ordering.source_position("page", "pos").alias("src_pos"),
         F.when(text.matches_any_phrase("card_text"), F.lit("card_unavailable")).alias("card_reason"))
 
 
@@ -66,7 +74,7 @@ def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
         (~text.area_text_match("full_text"), "out_of_area"),
     )
     d = d.withColumn("reject_reason", reason).withColumn("_wanted", F.col("reject_reason").isNull())
-    # Classed elements need the DOM pass: only accepted pages are parsed, in the same pass.
+    # Classed elements need the page's tokens: only accepted pages are cut into them.
     d = html_facts.with_html_facts(d, "html", "_wanted", card_selectors=[],
                                    class_patterns={"price_text": K.PRICE_CLASS_PATTERN,
                                                    "address_text": K.ADDRESS_CLASS_PATTERN})
@@ -80,6 +88,7 @@ def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
     low = F.lower("main_text")
     fields = d.select(
         "url", "reject_reason", text.nonempty("title").alias("title"),
+        F.to_json(F.struct("title", "ld_address", "address_text", "ld_price", "price_text")).alias("raw"),
         address.alias("address"), neighborhood.alias("neighborhood"),
         F.coalesce(F.col("ld_price"), fallback_price).alias("price_eur_month"),
         compose.size_from_text("main_text").alias("size_m2"),
@@ -87,6 +96,8 @@ def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
         *text.keyword_flags(low, K.KEYWORDS_RENTALS),
         compose.available_from_text("main_text", K.AVAILABLE_RENTALS_PATTERN).alias("available_from"),
     )
-    j = joins.link_page_join(cards, fields, "detail_url", "url")
-    j = j.withColumn("reject_reason", F.coalesce("card_reason", "reject_reason")).drop("detail_url", "card_reason")
+    # A card that says taken is never visited, so its page need not be landed.
+    j = joins.link_page_join(cards, fields, "detail_url", "url", how="left")
+    reason = F.coalesce("card_reason", F.when(F.col("url").isNull(), F.lit("no_page")), "reject_reason")
+    j = j.withColumn("reject_reason", reason).withColumn("url", F.coalesce("url", "detail_url")).drop("detail_url", "card_reason")
     return finish(j, SOURCE, run_ts)

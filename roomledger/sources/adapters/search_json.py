@@ -14,15 +14,15 @@ from ... import constants as K
 from ...functions import compose, flags, numbers, payload as P, text
 from ...operators import filters, windows
 from ...operators.ordering import source_position
-from .common import checkpointed, finish, pages
+from .common import finish, pages, staged
 
 SOURCE = K.SOURCES[3]
 
 
 def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
     search = pages(spark, root, SOURCE, "search").select("candidate", "page", "html")
-    # Each page is parsed once; the page log, the cut-off and the ads read the checkpoint.
-    sp = checkpointed(search.select("candidate", "page", P.search_payload("html").alias("sp")))
+    # Each page is parsed once; the page log, the cut-off and the ads read the stage.
+    sp = staged(search.select("candidate", "page", P.search_payload("html").alias("sp")), "search-pages")
     ads = sp.select("candidate", "page", F.posexplode_outer("sp.ads").alias("pos", "ad"))
 
     def g(path: str, typ: str = "string"):
@@ -57,7 +57,8 @@ def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
     kitchen = g("$.property.kitchen", "variant")
     kitchen_type = F.when(P.is_object(kitchen), P.vget(kitchen, "$.type", "string")).otherwise(P.value_text(kitchen))
     fields = rows.select(
-        source_position("page", "pos").alias("src_pos"), "reject_reason",
+        source_position("page", "pos").alias("src_pos"), "page", "reject_reason",
+        F.to_json(F.struct(size_any.alias("size"), price_any.alias("price"), postcode.alias("postcode"), locality.alias("locality"))).alias("raw"),
         compose.search_listing_url(g("$.url"), g("$.permalink"), prop_type, locality, postcode, g("$.id")).alias("url"),
         compose.ad_title(g("$.property.title"), g("$.title"), ltype, address).alias("title"),
         address.alias("address"),

@@ -12,7 +12,7 @@ from ... import constants as K
 from ...functions import compose, flags, numbers, text
 from ...operators import aggregates, filters, joins, ordering, windows
 from .. import payloads
-from .common import api, checkpointed, finish
+from .common import api, finish, staged
 
 SOURCE = K.SOURCES[0]
 
@@ -23,8 +23,8 @@ def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
     picked = aggregates.latest_year_option(options)
     search = filters.academic_year_filter(api(spark, root, "search"), picked, "availability_id")
 
-    # Bodies are parsed once: the page log and the items both read the checkpoint.
-    parsed = checkpointed(payloads.parse_search_bodies(search, "body", ("page",)))
+    # Bodies are parsed once: the page log and the items both read the stage.
+    parsed = staged(payloads.parse_search_bodies(search, "body", ("page",)), "unit-search")
 
     # Read pages until the first empty page; a short page is the last.
     n_items = F.coalesce(F.size("items"), F.lit(0))
@@ -38,15 +38,16 @@ def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
     items = items.withColumn("src_pos", ordering.source_position("page", "pos"))
     details = payloads.read_detail_docs(api(spark, root, "detail"), "body", ("item_id",)).withColumnRenamed("item_id", "id")
 
-    j = items.join(details, on="id", how="left")
+    j = joins.item_detail_join(items, details, "id", how="left")
     d = F.col("detail")
     options_col = d["facilities"]["options"]
     unit_type = joins.enum_lookup(d["unitType"])
     address = compose.compose_address(d["location"]["street"], d["location"]["number"], d["location"]["city"])
     surface = d["surfaceAreaFrom"]
     desc = compose.description_text(d["descriptions"]["items"])
+    raw = F.to_json(F.struct("id", d["pricing"].alias("pricing"), surface.alias("surface"), d["unitType"].alias("unit_type")))
     fields = j.select(
-        "src_pos",
+        "src_pos", "page", raw.alias("raw"),
         F.when(F.col("id").isNull(), F.lit("missing_id")).when(d.isNull(), F.lit("no_detail")).alias("reject_reason"),
         compose.unit_listing_url(d["guid"]).alias("url"),
         compose.unit_title(unit_type, address, d["unitNumber"]).alias("title"),

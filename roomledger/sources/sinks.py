@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.flags import yes_no_text
+from ..operators.aggregates import counts_with_total, dedup_removed_count, funnel_counts
 from ..schema import FLAG_COLUMNS, LISTING_COLUMNS
 
 __all__ = ["FLAG_COLUMNS", "present_listings", "summary_rows", "write_run_stamped", "write_outputs"]
@@ -37,57 +38,64 @@ def present_listings(listings: DataFrame) -> DataFrame:
 
 
 def summary_rows(listings: DataFrame, run_ts: dt.datetime) -> DataFrame:
-    """K2: (section, label, value): run time, total, and count per source.
-
-    One aggregation pass (``rollup``); the per-source rows keep the
-    source's rank so a reader can list them in first-appearance order.
-    """
+    """K2: (place, section, label, value): run time, total, and count per
+    source.  ``place`` is the order in which they are shown: the sources come
+    in first-appearance order, by their rank.  One aggregation pass."""
     stamp = run_ts.strftime("%Y-%m-%d %H:%M")
-    counts = listings.rollup("source").agg(F.count(F.lit(1)).alias("n"))
-    run_row = counts.where(F.col("source").isNull()).select(
-        F.lit("run").alias("section"), F.lit(K.SUMMARY_LABELS["run"]).alias("label"), F.lit(stamp).alias("value")
-    )
-    total = counts.where(F.col("source").isNull()).select(
-        F.lit("total").alias("section"), F.lit(K.SUMMARY_LABELS["total"]).alias("label"),
-        F.col("n").cast("string").alias("value"),
-    )
-    per_source = counts.where(F.col("source").isNotNull()).select(
-        F.lit("per_source").alias("section"), F.col("source").alias("label"), F.col("n").cast("string").alias("value")
-    )
-    return run_row.unionByName(total).unionByName(per_source)
+    counts = counts_with_total(listings, "source", "site_rank")
+    value = F.col("n_listings").cast("string")
+
+    def line(place, section: str, label, shown):
+        return F.struct(place.cast("int").alias("place"), F.lit(section).alias("section"), label.alias("label"), shown.alias("value"))
+
+    heads = F.array(line(F.lit(-2), "run", F.lit(K.SUMMARY_LABELS["run"]), F.lit(stamp)),
+                    line(F.lit(-1), "total", F.lit(K.SUMMARY_LABELS["total"]), value))
+    own = F.array(line(F.col("site_rank"), "per_source", F.col("source"), value))
+    return counts.select(F.inline(F.when(F.col("is_total"), heads).otherwise(own)))
 
 
 def run_stamp(run_ts: dt.datetime) -> str:
     return run_ts.strftime("%Y%m%d_%H%M%S")
 
 
-def write_run_stamped(df: DataFrame, root: str, run_ts: dt.datetime, fmt: str = "parquet") -> str | None:
+def write_run_stamped(df: DataFrame, root: str, run_ts: dt.datetime, fmt: str = "parquet", **options) -> str | None:
     """K3: write under ``root/run_ts=<stamp>/``; nothing is written for 0 rows.
 
-    Returns the written folder, or None when the frame is empty.  Each run
-    owns its partition folder and overwrites only that folder, so a retried
-    run replaces its own output and never touches other runs.  Reading
-    ``root`` gives ``run_ts`` back as a partition column.
+    Returns the written folder, or None when the frame is empty.  The rows go
+    to a fresh folder first and are counted on the way (one pass); only a
+    result with rows takes the place of an earlier one of the same run, so a
+    retry that finds nothing leaves what is there.  Reading ``root`` gives
+    ``run_ts`` back as a partition column.
     """
-    path = f"{root.rstrip('/')}/run_ts={run_stamp(run_ts)}"
-    # One pass: the rows are counted while they are written; an empty run's
-    # folder is then removed, instead of computing the frame twice.
+    root = root.rstrip("/")
+    path = f"{root}/run_ts={run_stamp(run_ts)}"
+    fresh = f"{root}/_fresh-{uuid.uuid4().hex[:12]}"
     obs = Observation(f"rows_{uuid.uuid4().hex[:10]}")
-    df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").format(fmt).save(path)
+    df.observe(obs, F.count(F.lit(1)).alias("rows")).write.format(fmt).options(**options).save(fresh)
     if obs.get["rows"] == 0:
-        _delete(df.sparkSession, path)
+        delete_folder(df.sparkSession, fresh)
         return None
+    delete_folder(df.sparkSession, path)
+    fs, old, new = _folder(df.sparkSession, fresh, path)
+    if not fs.rename(old, new):
+        raise OSError(f"cannot move {fresh} to {path}")
     return path
 
 
-def _delete(spark, path: str) -> None:
+def _folder(spark, *paths: str):
     jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+    found = [jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    return (found[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), *found)
+
+
+def delete_folder(spark, path: str) -> None:
+    fs, folder = _folder(spark, path)
+    fs.delete(folder, True)
 
 
 def write_outputs(staged: DataFrame, out_dir: str, run_ts: dt.datetime) -> dict[str, str | None]:
-    """Write listings, presentation CSV, summary and audit from one staged table.
+    """Write listings, presentation CSV, summary, audit, funnel counts (A5)
+    and the dedup counts (A4) from one staged table.
 
     ``staged`` holds every candidate with ``reject_reason`` (NULL = kept);
     it is read back from storage, so each output is a cheap scan.
@@ -96,12 +104,13 @@ def write_outputs(staged: DataFrame, out_dir: str, run_ts: dt.datetime) -> dict[
     paths = {
         "listings": write_run_stamped(kept, f"{out_dir}/listings", run_ts),
         "audit": write_run_stamped(staged.where(F.col("reject_reason").isNotNull()), f"{out_dir}/audit", run_ts),
+        "funnel": write_run_stamped(funnel_counts(staged), f"{out_dir}/funnel", run_ts),
     }
+    offered = staged.where(F.col("reject_reason").isNull() | (F.col("reject_reason") == "duplicate")) \
+        .select((F.coalesce(F.col("reject_reason"), F.lit("")) == "duplicate").alias("is_duplicate"))
+    paths["dedup"] = write_run_stamped(dedup_removed_count(offered), f"{out_dir}/dedup", run_ts)
     if paths["listings"] is not None:
         sorted_kept = kept.orderBy("site_rank", "src_pos")
-        present = present_listings(sorted_kept)
-        present.write.mode("overwrite").option("header", True).csv(f"{out_dir}/sheet/run_ts={run_stamp(run_ts)}")
-        paths["sheet"] = f"{out_dir}/sheet/run_ts={run_stamp(run_ts)}"
-        summary_rows(kept, run_ts).write.mode("overwrite").parquet(f"{out_dir}/summary/run_ts={run_stamp(run_ts)}")
-        paths["summary"] = f"{out_dir}/summary/run_ts={run_stamp(run_ts)}"
+        paths["sheet"] = write_run_stamped(present_listings(sorted_kept), f"{out_dir}/sheet", run_ts, "csv", header=True)
+        paths["summary"] = write_run_stamped(summary_rows(kept, run_ts), f"{out_dir}/summary", run_ts)
     return paths

@@ -20,15 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import batch_run
-from ..session import scratch_dir
 
 MANIFEST_SCHEMA = "run_id STRING, landed_root STRING, run_ts TIMESTAMP"
 
 
-def watch_landed_runs(spark: SparkSession, manifest_dir: str, out_dir: str, checkpoint_dir: str | None = None,
+def watch_landed_runs(spark: SparkSession, manifest_dir: str, out_dir: str, checkpoint_dir: str,
                       limit_per_source: int | None = None, available_now: bool = True):
-    """Start the query; returns the ``StreamingQuery``."""
-    checkpoint_dir = checkpoint_dir or scratch_dir(spark, "landed-runs-checkpoint")
+    """Start the query; returns the ``StreamingQuery``.  ``checkpoint_dir`` must
+    be the same at every start: it is what makes a run picked up once."""
     manifest = spark.readStream.schema(MANIFEST_SCHEMA).json(manifest_dir)
 
     def handle(batch: DataFrame, epoch_id: int) -> None:

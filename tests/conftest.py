@@ -10,4 +10,4 @@ from roomledger.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("*", 8)
+    return local_session(os.environ.get("ROOMLEDGER_TEST_CORES", "*"), 8)

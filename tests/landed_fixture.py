@@ -77,7 +77,8 @@ def _page_rows():
         (RENTALS, "search", 2, 1, f"{r}/s2",
          '<nav><a href="/verhuurder/huurwoning/abonnementen">Voor verhuurders</a></nav>'
          '<article class="listing-card"><a href="/huurwoning/abc-1">Kamer</a> Mooi</article>'
-         '<article class="listing"><a href="/huurwoning/xyz-2">Studio</a> Verhuurd</article>', 200),
+         '<article class="listing"><a href="/huurwoning/xyz-2">Studio</a> Verhuurd</article>'
+         '<a href="/s2?page=2">Volgende</a>', 200),
         (RENTALS, "search", 2, 2, f"{r}/s2?page=2",
          '<article class="card"><a href="/huurwoning/abc-1">Kamer</a></article>'
          '<article class="card"><a href="/huurwoning/new-3">Studio</a></article>', 200),
@@ -90,7 +91,6 @@ def _page_rows():
          '<html><main><h1>Studio</h1><div class="address">Tiensestraat 5, Leuven</div>'
          '<span class="price">€ 650,50 per maand</span><p>Studio 3000 Leuven, beschikbaar vanaf 01-10-2026.</p>'
          '</main></html>', 200),
-        (RENTALS, "detail", None, None, f"{r}/huurwoning/xyz-2", "<main><h1>Studio</h1>Leuven</main>", 200),
     ]
 
     def pre(obj):

@@ -1,6 +1,7 @@
 """Five source adapters and one full run over a hand-made landed folder."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,6 +19,10 @@ def landed(spark):
     return write_landed(spark, scratch_dir(spark, "landed"))
 
 
+def at(page, pos):
+    return page * 10**12 + pos
+
+
 def rows(df):
     return {r["url"]: r for r in df.collect()}
 
@@ -26,7 +31,7 @@ def test_unit_api(spark, landed):
     df = unit_api.build(spark, landed, TS)
     got = sorted((r["src_pos"], r["reject_reason"]) for r in df.collect())
     # Page 2 follows a short page and is never read; the other year's page is filtered.
-    assert got == [(1000000, None), (1000001, "missing_id"), (1000002, "no_detail")]
+    assert got == [(at(1, 0), None), (at(1, 1), "missing_id"), (at(1, 2), "no_detail")]
     ok = df.where("reject_reason IS NULL").first()
     assert ok["title"] == "Kamer Naamsestraat 10, Leuven (unit 2B)"
     assert (ok["furnished"], ok["private_bathroom"], ok["private_kitchen"]) == (True, True, False)
@@ -39,7 +44,10 @@ def test_unit_api(spark, landed):
 def test_classifieds(spark, landed):
     got = rows(classifieds.build(spark, landed, TS))
     base = "https://www.2dehands.be/v/immo/"
-    assert set(got) == {base + "kamers-te-huur/m1-ad1", base + "studentenkamers-te-huur/m3", base + "kamers-te-huur/m4"}
+    # "gezocht" is another category, and so is the 4th part of an absolute link.
+    assert {u: r["reject_reason"] for u, r in got.items()} == {
+        base + "kamers-te-huur/m1-ad1": None, base + "studentenkamers-te-huur/m3": "unavailable",
+        base + "kamers-te-huur/m4": "out_of_area", base + "gezocht/m2": "wrong_category", base + "kamers-te-huur/abs": "wrong_category"}
     ok = got[base + "kamers-te-huur/m1-ad1"]
     assert ok["reject_reason"] is None and int(ok["size_m2"]) == 20 and int(ok["price_eur_month"]) == 450
     assert ok["listing_type"] == "Kamer" and ok["furnished"] and ok["private_bathroom"]
@@ -61,8 +69,9 @@ def test_rental_pages(spark, landed):
 
 def test_search_json(spark, landed):
     got = {r["src_pos"]: r for r in search_json.build(spark, landed, TS).collect()}
-    assert {k: v["reject_reason"] for k, v in got.items()} == {1000000: None, 1000001: "sold", 1000002: "too_large"}
-    a = got[1000000]
+    assert {k: v["reject_reason"] for k, v in got.items()} == {at(1, 0): None, at(1, 1): "sold", at(1, 2): "too_large"}
+    a = got[at(1, 0)]
+    assert a["page"] == 1 and json.loads(a["raw"])["price"] == 700.5
     assert int(a["price_eur_month"]) == 700 and int(a["size_m2"]) == 20 and a["listing_type"] == "Student room"
     assert a["url"].endswith("/apartment/for-rent/leuven/3000/11") and a["private_bathroom"] is True
 
@@ -85,6 +94,11 @@ def test_full_run(spark, landed):
     reasons = {(r["source"], r["reject_reason"]) for r in audit.collect()}
     # The rental page repeats the unit database's address and price: dropped as a duplicate.
     assert (RENTALS, "duplicate") in reasons
+    assert (RENTALS, "card_unavailable") in reasons and (CLASSIFIEDS, "wrong_category") in reasons
+    counts = spark.read.parquet(res["outputs"]["dedup"]).first()
+    assert (counts["rows_kept"], counts["rows_removed"]) == (5, 1)
+    funnel = spark.read.parquet(res["outputs"]["funnel"])
+    assert funnel.where("outcome = 'kept'").groupBy().sum("n_rows").first()[0] == 5
     summary = {r["label"]: r["value"] for r in spark.read.parquet(res["outputs"]["summary"]).collect()}
     assert summary["Listings found"] == "5"
     sheet = spark.read.option("header", True).csv(res["outputs"]["sheet"])
@@ -137,10 +151,10 @@ def test_edges_unit_api_reads_past_a_full_page(spark, edges):
     assert sorted(r["listing_type"] for r in rows) == ["Appartement", "Studio"]
 
 
-def test_edges_next_data_fallback_caps_pages(spark, edges):
-    # totalItems is missing from the fallback payload: 0 // 30 + 2 = 2 pages are read.
+def test_edges_next_data_fallback_reads_every_landed_page(spark, edges):
+    # The page limit bounds a live crawl, not what was landed.
     rows = search_json.build(spark, edges, TS).collect()
-    assert sorted(int(r["price_eur_month"]) for r in rows) == [501, 502]
+    assert sorted(int(r["price_eur_month"]) for r in rows) == [501, 502, 503]
 
 
 def test_edges_price_fallbacks(spark, edges):

@@ -141,3 +141,52 @@ def test_search_payload_fallbacks(spark):
 def test_numeric_character_references(spark):
     got = one(spark, H.unescape("x"), "LOU&#201; caf&#xe9; a&amp;#233;b &#128512; plain & more &Eacute;t&eacute; &bogus;")
     assert got == "LOUÉ café a&#233;b \U0001F600 plain & more Été &bogus;"
+
+
+def test_unescape_odd_references(spark):
+    cases = {"&#x110000;": "\ufffd", "&#9999999999;": "\ufffd", "&#xD800;": "\ufffd", "&#0;": "\ufffd", "&#00000233;": "é", "&#xe9": "é",
+             "&eacute x": "é x", "&notit;": "¬it;", "&hellip;": "…", "&#150;": "–", "&": "&", "&&amp;": "&&", "&unknown": "&unknown"}
+    df = spark.createDataFrame([(c,) for c in cases], "c string")
+    assert {r["c"]: r["t"] for r in df.select("c", H.unescape("c").alias("t")).collect()} == cases
+
+
+def test_text_of_very_many_adjacent_tags(spark):
+    page = "a" + "<i>" * 100_000 + " \n" * 1000 + "b" + "<br>" * 100_000
+    got = spark.createDataFrame([(page,)], "h string").select(H.text_raw("h").alias("r"), H.text_stripped("h").alias("s")).first()
+    assert got["r"].split() == ["a", "b"] and got["s"] == "a b"
+
+
+def test_text_agrees_with_the_standard_parser(spark):
+    from html.parser import HTMLParser
+
+    class Texts(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.nodes, self.hidden = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("script", "style")
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("script", "style")
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.nodes.append(data)
+
+    pages = ["<p>a<b> b</b>\n<i></i>c &amp; d</p>", "<ul><li> x <li>y</ul>", "<script>var t='<p>';</script>z<style>p{}</style>", "&lt;p&gt;<br/>q"]
+    df = spark.createDataFrame([(p,) for p in pages], "h string")
+    for r in df.select("h", H.text_raw("h").alias("raw"), H.text_stripped("h").alias("stripped")).collect():
+        parser = Texts()
+        parser.feed(r["h"])
+        parser.close()
+        assert r["raw"] == " ".join(n for n in parser.nodes if n)
+        assert r["stripped"] == " ".join(n.strip() for n in parser.nodes if n.strip())
+
+
+def test_amounts_out_of_range_cost_the_value_only(spark):
+    from roomledger.functions import numbers
+
+    df = spark.createDataFrame([(1e15, 20.0), (305.0, 20.0)], "p double, s double")
+    got = [r["x"] for r in df.select(numbers.price_per_m2("p", "s").alias("x")).collect()]
+    assert got[0] is None and str(got[1]) == "15.2"

@@ -23,7 +23,7 @@ def test_year_filter_is_a_scalar_subquery_not_a_join(spark):
 
 def test_first_card_per_url_is_a_partial_aggregate(spark):
     plan = plan_of(entry.queries()["first_card_per_url"](spark, SF))
-    assert "partial_min" in plan and "Window" not in plan
+    assert "partial_min" in plan and "Window" not in plan and "SortAggregate" not in plan
 
 
 def test_status_filter_reaches_the_scan(spark):
@@ -40,9 +40,22 @@ def test_status_filter_reaches_the_scan(spark):
 
 def test_extraction_stays_jvm_side(spark):
     # Regex/HTML/JSON extraction is built-in expressions: no Python evaluation
-    # node appears in the plan (only the DOM pass uses Python).
-    for key in ("html_text", "jsonld_first_match", "parse_euro_amount", "compose_address", "resolve_url"):
+    # node appears in the plan.
+    for key in ("html_text", "jsonld_first_match", "parse_euro_amount", "compose_address", "resolve_url", "html_cards",
+                "html_first_by_class", "html_attributes_map", "keyword_dim_join"):
         plan = plan_of(entry.queries()[key](spark, SF))
         for node in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "PythonUDF"):
             assert node not in plan, (key, node)
-    assert "MapInPandas" in plan_of(entry.queries()["html_cards"](spark, SF))
+
+
+def test_tables_are_read_plainly_and_pruned(spark):
+    for key, columns in (("academic_year_filter", 3), ("sold_flags", 3), ("html_text", 2)):
+        plan = plan_of(entry.queries()[key](spark, SF))
+        assert "InMemoryTableScan" not in plan and "RoundRobin" not in plan, key
+        schema = plan.split("ReadSchema: struct<")[1].split(">")[0]
+        assert schema.count(":") <= columns, (key, schema)
+
+
+def test_summary_is_one_expand(spark):
+    plan = plan_of(entry.queries()["write_summary"](spark, SF))
+    assert plan.count("Expand") == 1
