@@ -14,12 +14,14 @@ a chance of 5e-8.  A bucket never yields all its pairs:
 
 1. every member is compared with the bucket's hub (its least node), exactly,
    on the shingles of the whole texts; linked ones are joined into components;
-2. a member whose component differs from its hub's is compared by sketch, in
-   blocks, with all members of other components; of the pairs whose estimate
-   is within four standard errors of the threshold it proposes its best 2,
-   then 32, 512, ... for the exact comparison, until nothing untested remains.
-   So no link between components is lost, and links inside a component, which
-   change nothing, are not enumerated.
+2. a member whose component differs from its hub's is compared with all
+   members of other components, in blocks of the bucket: by sketch first, and
+   exactly where the estimate is within four standard errors of the
+   threshold.  A pair is looked at only in the first band in which it agrees.
+   A task returns links alone, and of a block no more than join its
+   components, so nothing grows with the square of a group.  No link between
+   components is lost; links inside a component, which change nothing, are
+   not enumerated.
 
 Equal texts are one node (told by a 64-bit hash of the text).
 
@@ -35,7 +37,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -166,11 +168,11 @@ def sketch_table(docs: DataFrame) -> DataFrame:
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """(key, node, hub, n): members of the buckets that hold two or more."""
+    """(key, band, node, hub, n): members of the buckets that hold two or more."""
     width = 4 * ROWS
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)),
-                                 lambda b: F.xxhash64(b, F.substring(F.col("sketch"), b * width + 1, F.lit(width)))))
-    rows = nodes.select(band.alias("key"), "node")
+    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(
+        F.xxhash64(b, F.substring(F.col("sketch"), b * width + 1, F.lit(width))).alias("key"), b.alias("band"))))
+    rows = nodes.select(band.alias("bucket"), "node").select("bucket.key", "bucket.band", "node")
     hubs = rows.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return rows.join(hubs, "key")
 
@@ -212,38 +214,64 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
 
 
-def proposals(members: DataFrame, cut: float, best: int) -> DataFrame:
-    """(a, b, estimate): for each open member of a bucket its ``best`` members
-    of other components, block by block, where the estimate reaches ``cut``.
-    ``members`` has key, node, label, open, sketch, n."""
+def links_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity, linked): links between components within buckets.
+    ``members`` has key, band, node, label, open, sketch, text, n; open ones
+    are compared with all members of other components."""
     dealt = members.withColumn("row", F.pmod(F.xxhash64("node"), F.expr(f"n DIV {BLOCK} + 1")))
-    held = dealt.groupBy("key", "row").agg(F.collect_list(F.struct("node", "label", "open", "sketch")).alias("held"), F.max("open").alias("any_open"))
-    squares = held.where("any_open").select("key", F.col("held").alias("left")).join(held.select("key", F.col("held").alias("right")), "key")
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("estimate", T.DoubleType())])
+    held = dealt.groupBy("key", "band", "row").agg(
+        F.collect_list(F.struct("node", "label", "open", "sketch", "text")).alias("held"), F.max("open").alias("any_open"))
+    squares = held.where("any_open").select("key", "band", F.col("held").alias("left")) \
+        .join(held.select("key", F.col("held").alias("right")), "key")
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()),
+                           T.StructField("similarity", T.DoubleType()), T.StructField("linked", T.BooleanType())])
+    cut = threshold - 4 * (threshold * (1 - threshold) / SIZE) ** 0.5
 
     def unpack(scalar):
         held = scalar.values
         registers = np.frombuffer(b"".join(held.field("sketch").to_pylist()), np.uint32).reshape(-1, SIZE)
-        return held.field("node").to_numpy(), held.field("label").to_numpy(), held.field("open").to_numpy(zero_copy_only=False), registers
+        return (held.field("node").to_numpy(), held.field("label").to_numpy(), held.field("open").to_numpy(zero_copy_only=False),
+                registers, held.field("text"))
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                node, label, is_open, own = unpack(batch.column("left")[k])
-                others, other_label, _, sketches_b = unpack(batch.column("right")[k])
-                a, b, e = [], [], []
-                for i in np.flatnonzero(is_open):
-                    estimate = (sketches_b == own[i]).mean(axis=1)
-                    near = np.flatnonzero((estimate >= cut) & (other_label != label[i]))
-                    if len(near) > best:
-                        near = near[np.argsort(-estimate[near], kind="stable")[:best]]
-                    a.extend([node[i]] * len(near)), b.extend(others[near]), e.extend(estimate[near])
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(e, pa.float64())], schema.fieldNames())
+                band = batch.column("band")[k].as_py()
+                node, label, is_open, own, texts = unpack(batch.column("left")[k])
+                others, other_label, _, near, other_texts = unpack(batch.column("right")[k])
+                sets: dict[tuple[int, int], tuple] = {}
+
+                def shingles_of(side: int, i: int) -> tuple:
+                    if (side, i) not in sets:
+                        _, shingle, weight = weighted_shingles(*arrays.text_buffers((texts, other_texts)[side].slice(i, 1)))
+                        sets[side, i] = shingle, weight
+                    return sets[side, i]
 
-    found = squares.select("left", "right").mapInArrow(run, schema)
-    found = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "estimate").groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
-    order = Window.partitionBy("a").orderBy(F.desc("estimate"), "b")
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= best).select("a", "b")
+                parent: dict[int, int] = {}
+
+                def root(x: int) -> int:
+                    while parent.get(x, x) != x:
+                        x = parent[x]
+                    return x
+
+                a, b, similarity = [], [], []
+                for i in np.flatnonzero(is_open):
+                    same = near == own[i]
+                    agrees = same.reshape(len(near), BANDS, ROWS).all(axis=2)
+                    first = agrees.argmax(axis=1) == band
+                    able = np.flatnonzero(first & (same.mean(axis=1) >= cut) & (other_label != label[i]))
+                    for j in able.tolist():
+                        mine, its = root(int(label[i])), root(int(other_label[j]))
+                        if mine == its:
+                            continue
+                        value = probability_jaccard(*shingles_of(0, int(i)), *shingles_of(1, j))
+                        if value >= threshold:
+                            parent[mine] = its
+                            a.append(int(node[i])), b.append(int(others[j])), similarity.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(similarity, pa.float64()),
+                                                  pa.array([True] * len(a), pa.bool_())], schema.fieldNames())
+
+    return squares.select("band", "left", "right").mapInArrow(run, schema)
 
 
 def links_and_labels(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -258,25 +286,17 @@ def links_and_labels(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Dat
     texts = candidate_texts(members, docs, nodes)
     tested = staged(verified(pairs, texts, threshold), "tested", True)
     labels = staged(components(tested.where("linked")), "labels")
-    cut = threshold - 4 * (threshold * (1 - threshold) / SIZE) ** 0.5
-    best = 2
-    while True:
-        own = labels.withColumnsRenamed({"label": "own"})
-        of_hub = labels.withColumnsRenamed({"node": "hub", "label": "hubs"})
-        marked = members.join(own, "node", "left").join(of_hub, "hub", "left") \
-            .select("key", "node", "n", F.coalesce("own", "node").alias("label"), F.coalesce("hubs", "hub").alias("hub_label")) \
-            .withColumn("open", F.col("label") != F.col("hub_label"))
-        unsettled = marked.where("open").select("key").distinct()
-        open_buckets = marked.join(unsettled, "key").join(nodes.select("node", "sketch"), "node")
-        new = proposals(open_buckets.select("key", "node", "label", "open", "sketch", "n"), cut, best) \
-            .join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        new = staged(new, "proposals")
-        if new.isEmpty():
-            break
-        more = verified(new, texts, threshold)
-        tested = staged(tested.unionByName(more), "tested", True)
+    own = labels.withColumnsRenamed({"label": "own"})
+    of_hub = labels.withColumnsRenamed({"node": "hub", "label": "hubs"})
+    marked = members.join(own, "node", "left").join(of_hub, "hub", "left") \
+        .select("key", "band", "node", "n", F.coalesce("own", "node").alias("label"), F.coalesce("hubs", "hub").alias("hub_label")) \
+        .withColumn("open", F.col("label") != F.col("hub_label"))
+    unsettled = marked.where("open").select("key").distinct()
+    opened = marked.join(unsettled, "key").join(nodes.select("node", "sketch"), "node").join(texts, "node")
+    more = staged(links_in_blocks(opened, threshold), "more", True)
+    if not more.isEmpty():
+        tested = staged(tested.where("linked").unionByName(more), "tested")
         labels = staged(components(tested.where("linked")), "labels")
-        best *= 16
     return table.select("id", "node"), tested.where("linked").select("a", "b", "similarity"), labels
 
 

@@ -61,7 +61,7 @@ def test_mix_meets_targets(spark):
 def test_rates_are_the_balanced_solution(spark):
     df = spark.createDataFrame(mix_rows(2), "doc_id long, text string, source string")
     rows = mixing.mixed(df).toPandas()
-    for target, own in rows[rows["size"] > 0].groupby("target"):
+    for (target, _), own in rows[rows["size"] > 0].groupby(["target", "source_size"]):
         assert (own["rate"] * own["size"]).sum() == pytest.approx(target, rel=1e-4)
         free = own[(own["rate"] < 3)]
         # the tilt is exponential in the size: log rate / size is one number

@@ -50,7 +50,13 @@ def test_patterns_place_the_whole_demand(seed):
             placed[c] += n * times
         bins += times
     assert (placed == demand).all()
-    assert bins <= 1.03 * np.ceil((sizes * demand).sum() / 64) + 2
+    columns, used = packing.generate_patterns(sizes, demand.astype(float), 64)
+    assert np.allclose(columns @ used, demand) and (sizes @ columns <= 64).all()
+    # the fractional optimum, and at most one more sequence per length
+    assert (sizes * demand).sum() / 64 <= used.sum() + 1e-6 and bins <= used.sum() + len(sizes)
+    # optimal: no pattern is worth more than a sequence at the program's prices
+    worth = np.linalg.solve(columns.T, np.ones(len(sizes)))
+    assert packing.best_pattern(np.maximum(worth, 0), sizes, 64)[0] <= 1 + 3e-4
     assert packing.slot_table([], [], 64) == []
 
 
