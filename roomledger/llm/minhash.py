@@ -214,24 +214,70 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
 
 
+def _squares(members: DataFrame, columns: list[str]) -> DataFrame:
+    """(key, band, left, right): the blocks of a bucket that hold open members,
+    each beside every block of the bucket."""
+    dealt = members.withColumn("row", F.pmod(F.xxhash64("node"), F.expr(f"n DIV {BLOCK} + 1")))
+    held = dealt.groupBy("key", "band", "row").agg(F.collect_list(F.struct(*columns)).alias("held"), F.max("open").alias("any_open"))
+    return held.where("any_open").select("key", "band", F.col("held").alias("left")) \
+        .join(held.select("key", F.col("held").alias("right")), "key")
+
+
+def _able(own: np.ndarray, own_label, near: np.ndarray, labels: np.ndarray, band: int, cut: float) -> np.ndarray:
+    """Members of other components that may be near one sketch, where this
+    band is the first in which the two agree."""
+    same = near == own
+    agrees = same.reshape(len(near), BANDS, ROWS).all(axis=2)
+    return np.flatnonzero((agrees.argmax(axis=1) == band) & (same.mean(axis=1) >= cut) & (labels != own_label))
+
+
+def _registers(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SIZE)
+
+
+def _cut(threshold: float) -> float:
+    return threshold - 4 * (threshold * (1 - threshold) / SIZE) ** 0.5
+
+
+def in_question(members: DataFrame, threshold: float) -> DataFrame:
+    """(key, node): members of a bucket that by their sketches may have a link
+    to another component there; only their texts are moved."""
+    cut = _cut(threshold)
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("node", T.LongType())])
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                band = batch.column("band")[k].as_py()
+                left, right = batch.column("left")[k].values, batch.column("right")[k].values
+                own, near = _registers(left.field("sketch")), _registers(right.field("sketch"))
+                label, labels = left.field("label").to_numpy(), right.field("label").to_numpy()
+                mine, its = np.zeros(len(own), bool), np.zeros(len(near), bool)
+                for i in np.flatnonzero(left.field("open").to_numpy(zero_copy_only=False)):
+                    found = _able(own[i], label[i], near, labels, band, cut)
+                    mine[i] = len(found) > 0
+                    its[found] = True
+                nodes = np.concatenate([left.field("node").to_numpy()[mine], right.field("node").to_numpy()[its]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), batch.column("key")[k].as_py(), np.int64)), pa.array(nodes)],
+                                                 schema.fieldNames())
+
+    squares = _squares(members, ["node", "label", "open", "sketch"])
+    return squares.select("key", "band", "left", "right").mapInArrow(run, schema).distinct()
+
+
 def links_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity, linked): links between components within buckets.
     ``members`` has key, band, node, label, open, sketch, text, n; open ones
     are compared with all members of other components."""
-    dealt = members.withColumn("row", F.pmod(F.xxhash64("node"), F.expr(f"n DIV {BLOCK} + 1")))
-    held = dealt.groupBy("key", "band", "row").agg(
-        F.collect_list(F.struct("node", "label", "open", "sketch", "text")).alias("held"), F.max("open").alias("any_open"))
-    squares = held.where("any_open").select("key", "band", F.col("held").alias("left")) \
-        .join(held.select("key", F.col("held").alias("right")), "key")
+    squares = _squares(members, ["node", "label", "open", "sketch", "text"])
+    cut = _cut(threshold)
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()),
                            T.StructField("similarity", T.DoubleType()), T.StructField("linked", T.BooleanType())])
-    cut = threshold - 4 * (threshold * (1 - threshold) / SIZE) ** 0.5
 
     def unpack(scalar):
         held = scalar.values
-        registers = np.frombuffer(b"".join(held.field("sketch").to_pylist()), np.uint32).reshape(-1, SIZE)
         return (held.field("node").to_numpy(), held.field("label").to_numpy(), held.field("open").to_numpy(zero_copy_only=False),
-                registers, held.field("text"))
+                _registers(held.field("sketch")), held.field("text"))
 
     def run(batches):
         for batch in batches:
@@ -256,11 +302,7 @@ def links_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
 
                 a, b, similarity = [], [], []
                 for i in np.flatnonzero(is_open):
-                    same = near == own[i]
-                    agrees = same.reshape(len(near), BANDS, ROWS).all(axis=2)
-                    first = agrees.argmax(axis=1) == band
-                    able = np.flatnonzero(first & (same.mean(axis=1) >= cut) & (other_label != label[i]))
-                    for j in able.tolist():
+                    for j in _able(own[i], label[i], near, other_label, band, cut).tolist():
                         mine, its = root(int(label[i])), root(int(other_label[j]))
                         if mine == its:
                             continue
@@ -292,8 +334,9 @@ def links_and_labels(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Dat
         .select("key", "band", "node", "n", F.coalesce("own", "node").alias("label"), F.coalesce("hubs", "hub").alias("hub_label")) \
         .withColumn("open", F.col("label") != F.col("hub_label"))
     unsettled = marked.where("open").select("key").distinct()
-    opened = marked.join(unsettled, "key").join(nodes.select("node", "sketch"), "node").join(texts, "node")
-    more = staged(links_in_blocks(opened, threshold), "more", True)
+    opened = staged(marked.join(unsettled, "key").join(nodes.select("node", "sketch"), "node"), "opened", True)
+    asked = staged(in_question(opened, threshold), "asked", True)
+    more = staged(links_in_blocks(opened.join(asked, ["key", "node"]).join(texts, "node"), threshold), "more", True)
     if not more.isEmpty():
         tested = staged(tested.where("linked").unionByName(more), "tested")
         labels = staged(components(tested.where("linked")), "labels")
