@@ -134,9 +134,11 @@ def copies(rows: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     lacking = placed.groupBy("src", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("taken")) \
         .select("src", F.round(F.col("target") - F.col("taken")).cast("long").alias("lack"))
     may = (F.col("size") > 0) & F.when(F.col("lack") > 0, F.col("copies") < cap).when(F.col("lack") < 0, F.col("copies") > 0).otherwise(F.lit(False))
-    able = placed.join(lacking.where("lack <> 0"), "src").where(may)
+    # by size and copies first: the rows of a large source do not meet
+    able = placed.groupBy("src", "size", "copies").agg(F.count(F.lit(1)).alias("rows")) \
+        .join(lacking.where("lack <> 0"), "src").where(may)
     up = Window.partitionBy("src").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    moved = able.groupBy("src", "size", "lack").agg(F.count(F.lit(1)).alias("n")) \
+    moved = able.groupBy("src", "size", "lack").agg(F.sum("rows").alias("n")) \
         .withColumn("spent", F.coalesce(F.sum(F.col("n") * F.col("size")).over(up), F.lit(0))) \
         .withColumn("moves", F.least("n", F.expr("(abs(lack) - spent) DIV size"))).where("moves > 0")
     moved = staged(moved.select("src", "size", "n", "moves", "lack"), "moves")
