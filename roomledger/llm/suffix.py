@@ -109,8 +109,9 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
 def settled(a, b, group, doc_id, tie, at, n, looks: bool) -> pa.RecordBatch:
     """The rows of a slice with what the slice alone shows: rows whose pair
     stands in a smaller document of the slice are covered.  With ``looks``,
-    of a ``group`` that has several pairs in several documents all but a few
-    witnesses are to be looked at whatever the other slices hold."""
+    of a ``group`` that has open rows in several documents all open rows but
+    two witnesses are to be looked at whatever the other slices hold; the
+    witnesses are sorted, for the rows of other slices."""
     order = np.lexsort((at, tie, doc_id, b, a))
     a, b, group, doc_id, tie, at, n = (x[order] for x in (a, b, group, doc_id, tie, at, n))
     known = np.full(len(a), OPEN, np.int64)
@@ -120,19 +121,22 @@ def settled(a, b, group, doc_id, tie, at, n, looks: bool) -> pa.RecordBatch:
         pair = np.cumsum(new_pair) - 1
         known[doc_id > doc_id[first_pair][pair]] = COVERED
         if looks:
+            # Two open rows of different documents have different pairs (else
+            # the larger were covered).  So the first open row at the least
+            # and at the largest document that has one show by themselves that
+            # the group must be looked at, and none of them is dropped.
+            still = np.flatnonzero(known == OPEN)
+            group, ids = group[still], doc_id[still]
             first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-            sizes = np.diff(np.append(first, len(a)))
-            least, most = np.minimum.reduceat(doc_id, first), np.maximum.reduceat(doc_id, first)
-            pairs = np.diff(np.append(pair[first], pair[-1] + 1))
+            sizes = np.diff(np.append(first, len(still)))
+            least, most = np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
             g = np.repeat(np.arange(len(first)), sizes)
-            crowd = ((sizes > 4) & (least < most) & (pairs > 1))[g] & (known == OPEN)
-            witness = np.zeros(len(a), bool)
-            witness[first] = True
-            witness[first_pair[pair[first + sizes - 1]]] = True
+            crowd = ((sizes > 4) & (least < most))[g]
+            witness = np.zeros(len(still), bool)
             for extreme in (least, most):
-                at_extreme = np.flatnonzero(doc_id == extreme[g])
+                at_extreme = np.flatnonzero(ids == extreme[g])
                 witness[at_extreme[np.unique(g[at_extreme], return_index=True)[1]]] = True
-            known[crowd & ~witness] = LOOK
+            known[still[crowd & ~witness]] = LOOK
     return pa.RecordBatch.from_arrays([pa.array(doc_id), pa.array(tie), pa.array(spans(at, n, known)),
                                        pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ROWS.fieldNames())
 

@@ -215,6 +215,31 @@ def test_small_slices_and_cut_groups_give_the_same(spark, monkeypatch):
     assert got == brute_removal(rows)
 
 
+def phrase_families(seed):
+    """Documents that hold a phrase several times, between other words, and
+    near copies of them that share some of these places as a whole."""
+    rng = random.Random(seed)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    some = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    rows = []
+    for k in range(60):
+        phrase = some(60)
+        places = [some(40) + phrase + some(40) for _ in range(3)]
+        rows.append((3 * k, "".join(places)))
+        for copy in (1, 2):
+            parts = [rng.choice(places), some(40) + phrase + some(40), some(40) + phrase + some(40)]
+            rows.append((3 * k + copy, "".join(parts)))
+    return rows
+
+
+def test_repeats_of_a_phrase_in_near_copies_of_one_slice(spark):
+    rows = phrase_families(7)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 4):
+        got = sorted((tuple(r) for r in suffix.removal_digests(df.repartition(parts)).collect()), key=repr)
+        assert got == brute_removal(rows)
+
+
 def test_documents_without_repeats_keep_their_columns(spark):
     rows = [(1, "x" * 60, 5, "s"), (2, "y" + "x" * 60 + "é", 62, "s"), (3, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, held string")
