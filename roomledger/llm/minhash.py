@@ -28,9 +28,9 @@ Equal texts are one node (told by a 64-bit hash of the text).
 Cases: null and empty texts, and texts without a word, are classes of their
 own rows: equal ones form one class only if their text is the same non-empty
 string; fewer than five words make one shingle; ties, repeated rows and
-repeated ids fall into the class of their text; a class id is the least
-doc_id of the class (null only if all its ids are null); an empty table gives
-an empty result; other columns are not read.
+repeated ids fall into the class of their text, texts without an id too; a
+class id is the least doc_id of the class (null only if all its ids are null);
+an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -180,9 +180,12 @@ def buckets(nodes: DataFrame) -> DataFrame:
 def candidate_texts(members: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text) of the members of buckets.  A text is found by its node's
     least id, so copies of a text are not gathered; the other texts are moved
-    this once."""
+    this once.  Of texts without any id each task gives one copy."""
     wanted = members.select("node").distinct().join(nodes.select("node", "id"), "node")
-    return staged(docs.join(wanted, ["id", "node"]).dropDuplicates(["node"]).select("node", "text"), "texts", True)
+    named = docs.join(wanted.where("id IS NOT NULL"), ["id", "node"]).select("node", "text")
+    nameless = docs.where("id IS NULL").select("node", "text").dropDuplicates(["node"]) \
+        .join(wanted.where("id IS NULL").select("node"), "node", "left_semi").select("node", "text")
+    return staged(named.dropDuplicates(["node"]).unionByName(nameless), "texts", True)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -321,8 +324,9 @@ def links_and_labels(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Dat
     (a, b, similarity) verified; ``labels`` (node, label) of linked nodes.
     ``docs`` has id, node, text."""
     table = staged(sketch_table(docs), "sketches", True)
-    nodes = staged(table.where(F.col("sketch").isNotNull() & F.col("id").isNotNull()).groupBy("node")
-                   .agg(F.min("id").alias("id"), F.min_by("sketch", "id").alias("sketch")), "nodes", True)
+    # rows of one text have one sketch; the id is null only if all of them lack one
+    nodes = staged(table.where(F.col("sketch").isNotNull()).groupBy("node")
+                   .agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")), "nodes", True)
     members = staged(buckets(nodes), "buckets", True)
     pairs = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     texts = candidate_texts(members, docs, nodes)
@@ -354,12 +358,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     return _classes(rows, labels).select(F.col("id").alias(id_col), "class_id")
 
 
+def _texts(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, least, label) per text: its least id and its component."""
+    return rows.groupBy("node").agg(F.min("id").alias("least")).join(labels, "node", "left") \
+        .withColumn("label", F.coalesce("label", "node"))
+
+
 def _classes(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """(id, node, class_id).  The least id is taken per text first, so neither
     a large group of copies nor a large class is gathered."""
     blank = F.xxhash64(F.lit(""))
-    texts = rows.groupBy("node").agg(F.min("id").alias("least")).join(labels, "node", "left") \
-        .withColumn("label", F.coalesce("label", "node"))
+    texts = _texts(rows, labels)
     classes = texts.groupBy("label").agg(F.min("least").alias("class_id"))
     by_text = texts.join(classes, "label").select("node", "class_id")
     return rows.join(by_text, "node") \
@@ -368,12 +377,21 @@ def _classes(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are the first of their class: the text with
-    the least id (of equal ids the least text hash; of repeated rows one)."""
+    the least id (null last; of equal ids the least text hash).  Of repeated
+    rows, which share id and text, one stays; empty texts without an id are
+    not known to be repeated and all stay."""
     name_id, name_node = apart(docs.columns, "first_id", "first_node")
     rows, _, labels = links_and_labels(_rows(docs, id_col, text_col), threshold)
-    first = _classes(rows, labels).where(F.col("id").eqNullSafe(F.col("class_id"))) \
-        .groupBy(F.when(F.col("node") == F.xxhash64(F.lit("")), F.col("id")).alias("blank"), "class_id") \
-        .agg(F.min("node").alias("node")).select(F.col("class_id").alias(name_id), F.col("node").alias(name_node))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    kept = docs.join(first, F.col(id_col).cast("long").eqNullSafe(F.col(name_id)) & (F.xxhash64(text) == F.col(name_node)))
-    return kept.drop(name_id, name_node).dropDuplicates([id_col])
+    blank = F.xxhash64(F.lit(""))
+    first = _texts(rows, labels).where(F.col("node") != blank).groupBy("label") \
+        .agg(F.min(F.struct(F.col("least").isNull().alias("lacks"), "least", "node")).alias("row")).select("row.least", "row.node") \
+        .unionByName(rows.where(F.col("node") == blank).select(F.col("id").alias("least"), "node")) \
+        .select(F.col("least").alias(name_id), F.col("node").alias(name_node))
+    marked = docs.withColumns({name_id: F.col(id_col).cast("long"), name_node: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    lacks = F.col(name_id).isNull()
+    named = marked.where(~lacks).join(first, [name_id, name_node], "left_semi").dropDuplicates([name_id, name_node])
+    # copies without an id are brought to one a task before they meet
+    nameless = marked.where(lacks & (F.col(name_node) != blank)).dropDuplicates([name_node]) \
+        .join(first.where(lacks).select(name_node), name_node, "left_semi")
+    empty = marked.where(lacks & (F.col(name_node) == blank))
+    return named.unionByName(nameless.select(named.columns)).unionByName(empty).drop(name_id, name_node)

@@ -92,6 +92,27 @@ def test_near_duplicate_classes_match_brute_force(spark):
     assert minhash.near_duplicates(df.where("false")).count() == 0
 
 
+def test_null_and_repeated_ids(spark):
+    rng = random.Random(11)
+    some = lambda: [f"w{rng.randrange(10 ** 6)}" for _ in range(60)]
+    near = lambda words: " ".join([*words[:-1], "other"])
+    a, b, c, d, e, f, g = (some() for _ in range(7))
+    one = lambda words: " ".join(words)
+    rows = [(None, one(a)), (None, near(a)), (None, near(a)),  # a class without any id
+            (None, one(b)), (9, near(b)),  # the copy with an id stays
+            (1, one(c)), (1, one(d)), (1, one(d)),  # unrelated texts under one id, one of them repeated
+            (1, near(e)), (1, one(e)),  # near copies under one id
+            (None, one(f)), (None, one(g)), (4, ""), (5, None), (5, ""), (None, "")]
+    df = spark.createDataFrame([(k, t, "s") for k, t in rows], "doc_id long, text string, source string")
+    classes = sorted(((r["doc_id"], r["class_id"]) for r in minhash.near_duplicates(df).collect()), key=repr)
+    expected = [(None, 9 if t == one(b) else None) if k is None else (k, k) for k, t in rows]
+    assert classes == sorted(expected, key=repr)
+    kept = sorted(((r["doc_id"], r["text"] or "") for r in minhash.keep_first(df).collect()), key=repr)
+    first_of = lambda words: next(t for t in (one(words), near(words)) if (None, t) in kept or (1, t) in kept)
+    assert kept == sorted([(None, first_of(a)), (9, near(b)), (1, one(c)), (1, one(d)), (1, first_of(e)), (None, one(f)), (None, one(g)),
+                           (4, ""), (5, ""), (None, "")], key=repr)
+
+
 def test_chain_of_copies_is_one_class(spark):
     # Each text is near the next but far from the first: the hub sees few of them.
     rng = random.Random(5)
