@@ -145,7 +145,7 @@ def shingles(words: Words, hashes: np.ndarray, size: int) -> tuple[np.ndarray, n
     place = np.arange(n) - words.first[words.doc]
     with np.errstate(over="ignore"):
         factor = 1
-        for k in range(size):
+        for k in range(min(size, n)):
             part = hashes[k:] * np.uint64(factor)
             reaches = np.zeros(n, bool)
             reaches[: n - k] = words.doc[k:] == words.doc[: n - k]

@@ -65,6 +65,15 @@ def test_probability_jaccard_and_its_estimate():
     assert np.abs(gaps).max() < 0.08 and abs(np.mean(gaps)) < 0.015
 
 
+@pytest.mark.parametrize("texts", [["a"], ["the end"], ["the end\n", ""], ["a b c"], ["a", "b c"], ["a b c d"], ["a b", "c d"]])
+def test_slices_of_few_words(texts):
+    sets, _ = sets_of(texts)
+    # a shorter text has one shingle, the same as in any other slice
+    padded, _ = sets_of([*texts, "u v w x y z"])
+    for text, (shingle, weight), (again, _) in zip(texts, sets, padded):
+        assert len(shingle) == len(weighted(text)) and shingle.tolist() == again.tolist() and (weight == 1).all()
+
+
 def expected_classes(texts):
     own = [weighted(t or "") for t in texts]
     parent = list(range(len(texts)))
