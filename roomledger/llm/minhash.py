@@ -16,11 +16,12 @@ a chance of 5e-8.  A bucket never yields all its pairs:
    on the shingles of the whole texts; linked ones are joined into components;
 2. a member whose component differs from its hub's is compared with all
    members of other components, in blocks of the bucket: by sketch first, and
-   exactly where the estimate is within four standard errors of the
-   threshold.  A pair is looked at only in the first band in which it agrees.
+   exactly unless so few registers agree that a pair at the threshold does
+   it no more often than it misses all bands.  A pair is looked at only in the first band in which it agrees.
    A task returns links alone, and of a block no more than join its
-   components, so nothing grows with the square of a group.  No link between
-   components is lost; links inside a component, which change nothing, are
+   components, so nothing grows with the square of a group.  A link between
+   components is lost with a chance of 1e-7 at most (5e-8 by the bands, 5e-8
+   by the estimate), at a similarity of just 0.8; links inside a component, which change nothing, are
    not enumerated.
 
 Equal texts are one node (told by a 64-bit hash of the text).
@@ -35,6 +36,8 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -239,7 +242,15 @@ def _registers(column: pa.Array) -> np.ndarray:
 
 
 def _cut(threshold: float) -> float:
-    return threshold - 4 * (threshold * (1 - threshold) / SIZE) ** 0.5
+    """The share of agreeing registers below which a pair is not compared
+    exactly: a pair at the threshold falls below it no more often (binomial
+    tail) than it misses all bands."""
+    missed, below = (1 - threshold ** ROWS) ** BANDS, 0.0
+    for agreeing in range(SIZE + 1):
+        below += comb(SIZE, agreeing) * threshold ** agreeing * (1 - threshold) ** (SIZE - agreeing)
+        if below > missed:
+            return agreeing / SIZE
+    return 1.0
 
 
 def in_question(members: DataFrame, threshold: float) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +75,13 @@ def test_slices_of_few_words(texts):
         assert len(shingle) == len(weighted(text)) and shingle.tolist() == again.tolist() and (weight == 1).all()
 
 
+def test_the_estimate_loses_no_more_than_the_bands():
+    n, t = minhash.SIZE, minhash.THRESHOLD
+    needed = round(minhash._cut(t) * n)
+    below = sum(comb(n, k) * t ** k * (1 - t) ** (n - k) for k in range(needed))
+    assert below <= (1 - t ** minhash.ROWS) ** minhash.BANDS < below + comb(n, needed) * t ** needed * (1 - t) ** (n - needed)
+
+
 def expected_classes(texts):
     own = [weighted(t or "") for t in texts]
     parent = list(range(len(texts)))
