@@ -31,8 +31,10 @@ from pyspark.sql import types as T
 
 VERSION = "WARC/1.1"
 
-_DROPPED = re.compile(r"<!--.*?-->|<(script|style|template|noscript|svg)\b.*?</\1\s*>|<!\[CDATA\[|\]\]>", re.I | re.S)
-_OPEN_DROPPED = re.compile(r"<!--.*|<(?:script|style|template|noscript)\b.*", re.I | re.S)
+# A tag name ends at a blank, a slash or the end of the tag: <template-card> is another element.
+_DROPPED = re.compile(r"<!--.*?-->|<svg(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|"
+                      r"<(script|style|template|noscript|svg)(?=[\s/>]).*?</\1\s*>|<!\[CDATA\[|\]\]>", re.I | re.S)
+_OPEN_DROPPED = re.compile(r"<!--.*|<(?:script|style|template|noscript)(?=[\s/>]|\Z).*", re.I | re.S)
 _BREAKS = re.compile(r"<(?:/?(?:p|div|section|article|header|footer|nav|aside|main|ul|ol|li|dl|dt|dd|table|tr|h[1-6]|pre|blockquote|form|title|body|head)|br|hr)\b[^>]*>", re.I)
 _CELLS = re.compile(r"</?(?:td|th)\b[^>]*>", re.I)
 _TAGS = re.compile(r"</?[a-zA-Z!?][^>]*>")

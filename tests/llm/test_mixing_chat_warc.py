@@ -152,6 +152,20 @@ def test_derivatives_link_and_round_trip(spark):
     assert warc.derivatives(responses.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("page, text", [
+    ("a<template-card>b</template-card>c<style-guide x=1>d", "abcd"),
+    ("a<svg-icon></svg-icon>b<title>T</title><svg><path/>hidden</svg>c", "ab\nT\nc"),
+    ("a<svg width='1' title=\"x > y\"/>b<svg/>c<svg >hidden</svg >d", "a b c d"),
+    ("a<script>hidden</script>b<STYLE\n>hidden</style>c<noscript/>hidden", "a b c"), ("a<script", "a")])
+def test_only_whole_tag_names_are_dropped(page, text):
+    assert warc.plain_text(page) == text
+
+
+def test_titles_and_links_after_custom_elements():
+    page = "<svg-icon></svg-icon><title>T</title><a href='/l'>l</a><svg/><a href='/m'>m</a><svg></svg>"
+    assert warc.page_facts(page) == [("title", "T"), ("outlink", "/l"), ("outlink", "/m")]
+
+
 def test_http_blocks_of_other_servers():
     raw = b"HTTP/1.1 404 Not Found\r\nContent-Type: text/html; charset=latin-1\r\nX-A: b: c\r\n\r\n<p>caf\xe9</p>"
     metadata, conversion = warc.derived("k", "<urn:uuid:1>", "http://x/", "d", raw, "sha1:ABC", None)
