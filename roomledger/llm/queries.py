@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, minhash, mixing, packing, quality, rules, simhash, suffix, token_counts, warc
+from . import chat, minhash, mixing, packing, phrases, quality, repeats, rules, simhash, sql, suffix, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,8 +62,17 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(turns.unionByName(chat.probe_turns(spark)))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.run_digests(repeats.with_planted_periods(read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_warc_derivatives, op2_quality_classifier, op3_probminhash, op4_simhash, op5_quality_rules, op6_entropy_mixing,
-    op7_suffix_dedup, op8_token_counts, op9_packing, op10_chat_format)}
+    op7_suffix_dedup, op8_token_counts, op9_packing, op10_chat_format,
+    op11_phrase_collocations, op12_periodic_runs)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op11_phrase_collocations": sql.COLLOCATIONS}

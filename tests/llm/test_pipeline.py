@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_every_operator_has_its_query():
-    assert [int(k[2:].split("_")[0]) for k in QUERIES] == list(range(1, 11))
+    assert [int(k[2:].split("_")[0]) for k in QUERIES] == list(range(1, 14))
 
 
 def test_stages_on_the_smallest_table(spark):
