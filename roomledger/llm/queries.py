@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, minhash, mixing, packing, phrases, quality, repeats, rules, simhash, sql, suffix, token_counts, warc
+from . import chat, jaccard, minhash, mixing, packing, phrases, quality, repeats, rules, simhash, sql, suffix, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,9 +70,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.run_digests(repeats.with_planted_periods(read(spark, sf_dir, "documents")))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_components(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_warc_derivatives, op2_quality_classifier, op3_probminhash, op4_simhash, op5_quality_rules, op6_entropy_mixing,
     op7_suffix_dedup, op8_token_counts, op9_packing, op10_chat_format,
-    op11_phrase_collocations, op12_periodic_runs)}
+    op11_phrase_collocations, op12_periodic_runs, op13_jaccard_join)}
 
-SQL: dict[str, str] = {"op11_phrase_collocations": sql.COLLOCATIONS}
+SQL: dict[str, str] = {"op11_phrase_collocations": sql.COLLOCATIONS, "op13_jaccard_join": sql.JACCARD}
