@@ -3,8 +3,8 @@
 Pages are scanned by Spark's own regex engine, per row, with no Python
 and no shuffle.  What a DOM library does implicitly is spelled out:
 comments and script/style/template bodies are not text, entities are
-decoded once, and a scope is the text up to the first matching close tag
-(nested same-name tags are counted in ``operators.html_facts``).
+decoded once, and a scope ends at the end tag that belongs to it.  Every pattern
+takes a page in one pass, whatever is left open in it.
 """
 
 from __future__ import annotations
@@ -18,16 +18,19 @@ from pyspark.sql import functions as F
 from .text import WS_CLASS, col, py_strip
 
 # Non-text blocks; each is replaced by an empty tag so that the text on
-# either side stays two separate text nodes.
+# either side stays two separate text nodes.  Each alternative takes all it
+# has looked at, up to the end of the page if need be (as browsers do with a
+# block that is never closed), so a page is passed over once.
 NON_TEXT_BLOCKS = (
-    r"(?is)<!--.*?-->"
-    r"|<script\b[^>]*>.*?</script\s*>"
-    r"|<style\b[^>]*>.*?</style\s*>"
-    r"|<template\b[^>]*>.*?</template\s*>"
+    r"(?is)<!--(?:-?>|.*?(?:-->|\z))"
+    r"|<(script|style|template)(?=[\s/>])[^>]*+(?:\z|>.*?(?:</\1(?=[\s/>])[^>]*+(?:>|\z)|\z))"
 )
-TAG = r"<[^>]*>"
-ANCHOR_HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-ANCHOR_FULL = r"""(?is)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)[^>]*>(.*?)</a\s*>"""
+# In visible markup every "<" begins a tag; one that is cut off at the end of the page goes on to it.
+TAG = r"<[^>]*+(?:>|\z)"
+STRAY = r"<(?![A-Za-z/!?])"
+ANCHOR = r"(?i)<a(?=[\s/>])[^>]*+(?:>|\z)"
+ANCHOR_END = r"(?i)</a(?=[\s/>])[^>]*+(?:>|\z)"
+HREF = r"""(?is)[\s"']href\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]++)"""
 
 # Named character references: the HTML 5 table of the standard library.  The
 # old names in it stand without a semicolon too.
@@ -35,7 +38,10 @@ NAMED_REFS = {f"&{name}": text for name, text in sorted(html_entities.html5.item
 # Asked first: a map is searched entry by entry.
 COMMON_NAMES = "amp lt gt quot nbsp copy reg middot euro eacute egrave euml iuml agrave ouml uuml szlig sup2".split()
 COMMON_REFS = {f"&{name}{end}": html_entities.html5[name + ";"] for name in COMMON_NAMES for end in (";", "") if name + end in html_entities.html5}
-OPEN_LENGTHS = sorted({len(name) for name in NAMED_REFS if not name.endswith(";")}, reverse=True)
+OPEN_REFS = {name: text for name, text in NAMED_REFS.items() if not name.endswith(";")}
+OPEN_LENGTHS = sorted({len(name) for name in OPEN_REFS}, reverse=True)
+# By first letter, for the same reason.
+REFS_BY_LETTER = {letter: {n: t for n, t in NAMED_REFS.items() if n[1] == letter} for letter in sorted({n[1] for n in NAMED_REFS})}
 # Numeric references to the control block 0x80-0x9F mean Windows-1252.
 CONTROL_REFS = {f"{b:02X}": bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")}
 
@@ -44,11 +50,11 @@ CHAR_REF_PARTS = r"&#[xX][0-9A-Fa-f]+;?|&#[0-9]+;?|&[A-Za-z][A-Za-z0-9]*;?|[^&]+
 REPLACEMENT = "\ufffd"
 
 
-def _map_literal(table: dict[str, str]) -> Column:
+def _map_literal(table: dict, kind: str = "map<string,string>") -> Column:
     """A table as one map literal: a single JSON string parsed by
     ``from_json``, which Catalyst folds into a constant (one expression,
     not thousands of literals)."""
-    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
+    return F.from_json(F.lit(json.dumps(table)), kind)
 
 
 def _numeric_ref(p: Column) -> Column:
@@ -76,13 +82,14 @@ def unescape(c: Column | str, skip_nbsp: bool = False) -> Column:
     decoded it already).
     """
     t = col(c)
-    common, names = _map_literal(COMMON_REFS), _map_literal(NAMED_REFS)
+    common, opened = _map_literal(COMMON_REFS), _map_literal(OPEN_REFS)
+    names = _map_literal(REFS_BY_LETTER, "map<string,map<string,string>>")
 
     def one(p: Column) -> Column:
-        exact = F.coalesce(F.try_element_at(common, p), F.try_element_at(names, p))
+        exact = F.coalesce(F.try_element_at(common, p), F.try_element_at(F.try_element_at(names, F.substring(p, 2, 1)), p))
         if skip_nbsp:
             exact = F.when(p != "&nbsp;", exact)
-        begun = [F.when(F.length(p) > n, F.concat(F.try_element_at(names, F.substring(p, 1, n)), F.substring(p, n + 1, 1 << 30)))
+        begun = [F.when(F.length(p) > n, F.concat(F.try_element_at(opened, F.substring(p, 1, n)), F.substring(p, n + 1, 1 << 30)))
                  for n in OPEN_LENGTHS]
         if skip_nbsp:
             begun = [F.when(p != "&nbsp;", b) for b in begun]
@@ -95,8 +102,9 @@ def unescape(c: Column | str, skip_nbsp: bool = False) -> Column:
 
 
 def visible_markup(html: Column | str) -> Column:
-    """The page without comments and script/style/template bodies."""
-    return F.regexp_replace(col(html), NON_TEXT_BLOCKS, "<x>")
+    """The page without comments and script/style/template bodies.  A "<"
+    that begins no tag is text and is written as a reference."""
+    return F.regexp_replace(F.regexp_replace(col(html), NON_TEXT_BLOCKS, "<x>"), STRAY, "&lt;")
 
 
 def _visible(html: Column | str, cleaned: bool) -> Column:
@@ -106,8 +114,12 @@ def _visible(html: Column | str, cleaned: bool) -> Column:
 
 
 def strip_tags(html: Column | str) -> Column:
-    """Every tag becomes one space (plain regex, no entity decoding)."""
-    return F.regexp_replace(F.coalesce(col(html), F.lit("")), r"<[^>]+>", " ")
+    """Every tag becomes one space (plain regex, no entity decoding).
+    What follows the last ">" holds no tag and is not searched for one."""
+    page = F.coalesce(col(html), F.lit(""))
+    tail = F.when(page.contains(">"), F.substring_index(page, ">", -1)).otherwise(page)
+    head = F.substring(page, F.lit(1), F.length(page) - F.length(tail))
+    return F.concat(F.regexp_replace(head, r"<[^>]+>", " "), tail)
 
 
 # Stands for a tag between two steps; no text holds it (it is removed first).
@@ -139,43 +151,64 @@ def text_stripped(html: Column | str, cleaned: bool = False) -> Column:
     return unescape(py_strip(F.replace(v, F.lit(MARK), F.lit(" "))), skip_nbsp=True)
 
 
+def _element(html: Column, tag: str) -> Column:
+    """(inner) of the first element of this name, up to the end tag that
+    belongs to it, or to the end of the page; NULL when there is none.  The
+    markup is cut at the tags of this name, and one fold over those counts
+    how deep they are nested."""
+    pattern = rf"(?i)</?{tag}(?=[\s/>])[^>]*+(?:>|\z)"
+    marks, parts = F.regexp_extract_all(html, F.lit(pattern), 0), F.split(html, pattern)
+
+    def with_cuts(x: Column) -> Column:
+        def step(state: Column, mark: Column) -> Column:
+            opens = ~mark.startswith("</")
+            depth = F.when(opens, state["depth"] + 1).otherwise(F.greatest(state["depth"] - 1, F.lit(0)))
+            begun = F.coalesce(state["begin"], F.when(opens, state["i"]))
+            ended = F.coalesce(state["end"], F.when(state["begin"].isNotNull() & (depth == 0), state["i"]))
+            return F.struct((state["i"] + 1).alias("i"), depth.alias("depth"), begun.alias("begin"), ended.alias("end"))
+
+        none = F.lit(None).cast("int")
+        begin = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), none.alias("begin"), none.alias("end"))
+        found = F.aggregate(x["marks"], begin, step)
+
+        def inner(span: Column) -> Column:
+            # the parts behind the opening tag, each with the mark before it but the first
+            last = F.coalesce(span["end"], F.size(x["marks"]))
+            between = F.concat(F.array(F.lit("")), F.slice(x["marks"], span["begin"] + 2, F.greatest(last - span["begin"] - 1, F.lit(0))))
+            within = F.slice(x["parts"], span["begin"] + 2, last - span["begin"])
+            return F.array_join(F.zip_with(between, within, lambda mark, part: F.concat(mark, part)), "")
+
+        return F.transform(F.array(found), lambda span: F.when(span["begin"].isNotNull(), inner(span)))
+
+    held = F.array(F.struct(marks.alias("marks"), parts.alias("parts")))
+    return F.when(has_element(html, tag), F.element_at(F.element_at(F.transform(held, with_cuts), 1), 1))
+
+
 def element_inner(html: Column | str, tag: str) -> Column:
-    """Inner markup of the first ``<tag>`` element up to its first close tag."""
-    return F.regexp_extract(col(html), rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1)
+    """Inner markup of the first ``<tag>`` element, nested ones counted; NULL
+    when the page has none."""
+    return _element(col(html), tag)
 
 
 def has_element(html: Column | str, tag: str) -> Column:
-    return col(html).rlike(rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>")
+    return col(html).rlike(rf"(?i)<{tag}(?=[\s/>])")
 
 
 def main_scope(html: Column | str, tags: tuple[str, ...] = ("main", "article"), cleaned: bool = False) -> Column:
     """Markup of the first scope element that exists, else the page
     (visible markup: feed it to the extractors with ``cleaned=True``)."""
     v = _visible(html, cleaned)
-    expr = None
-    for t in tags:
-        cond, val = has_element(v, t), element_inner(v, t)
-        expr = F.when(cond, val) if expr is None else expr.when(cond, val)
-    return v if expr is None else expr.otherwise(v)
+    return F.coalesce(*[element_inner(v, t) for t in tags], v)
 
 
 def scope_name(html: Column | str, tags: tuple[str, ...] = ("main", "article"), cleaned: bool = False) -> Column:
     v = _visible(html, cleaned)
-    expr = None
-    for t in tags:
-        cond = has_element(v, t)
-        expr = F.when(cond, F.lit(t)) if expr is None else expr.when(cond, F.lit(t))
-    return F.lit("page") if expr is None else expr.otherwise(F.lit("page"))
+    return F.coalesce(*[F.when(has_element(v, t), F.lit(t)) for t in tags], F.lit("page"))
 
 
 def heading_title(html: Column | str, tags: tuple[str, ...] = ("h1", "h2"), cleaned: bool = False) -> Column:
     """P5: stripped text of the first ``<h1>``, else the first ``<h2>``; NULL if none."""
-    v = _visible(html, cleaned)
-    expr = None
-    for t in tags:
-        cond, val = has_element(v, t), text_stripped(element_inner(v, t), cleaned=True)
-        expr = F.when(cond, val) if expr is None else expr.when(cond, val)
-    return expr
+    return text_stripped(F.coalesce(*[element_inner(_visible(html, cleaned), t) for t in tags]), cleaned=True)
 
 
 def unquote(c: Column) -> Column:
@@ -185,19 +218,25 @@ def unquote(c: Column) -> Column:
 
 def anchor_hrefs(html: Column | str, cleaned: bool = False) -> Column:
     """``href`` of every ``<a>`` in page order (array of strings)."""
-    raw = F.regexp_extract_all(_visible(html, cleaned), F.lit(ANCHOR_HREF), 1)
+    tags = F.regexp_extract_all(_visible(html, cleaned), F.lit(ANCHOR), 0)
+    raw = F.filter(F.transform(tags, lambda a: F.regexp_extract(a, HREF, 1)), lambda h: h != "")
     return F.transform(raw, lambda h: unescape(unquote(h)))
 
 
 def anchors(html: Column | str, cleaned: bool = False) -> Column:
-    """Every closed ``<a href>`` as ``struct(href, text)`` in page order."""
-    v = _visible(html, cleaned)
-    hrefs = F.regexp_extract_all(v, F.lit(ANCHOR_FULL), 1)
-    texts = F.regexp_extract_all(v, F.lit(ANCHOR_FULL), 2)
-    return F.transform(
-        F.arrays_zip(hrefs.alias("href"), texts.alias("text")),
-        lambda z: F.struct(unescape(unquote(z["href"])).alias("href"), text_raw(z["text"], cleaned=True).alias("text")),
-    )
+    """Every closed ``<a href>`` as ``struct(href, text)`` in page order: the
+    page is cut at the end tags, and in each piece the first ``<a href>``
+    begins the link."""
+    pieces = F.split(_visible(html, cleaned), ANCHOR_END)
+    closed = F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0)))
+
+    def link(piece: Column) -> Column:
+        tags = F.filter(F.regexp_extract_all(piece, F.lit(ANCHOR), 0), lambda a: F.regexp_extract(a, HREF, 1) != "")
+        return F.transform(F.slice(tags, 1, 1), lambda a: F.struct(
+            unescape(unquote(F.regexp_extract(a, HREF, 1))).alias("href"),
+            text_raw(F.substring(piece, F.instr(piece, a) + F.length(a), F.length(piece)), cleaned=True).alias("text")))
+
+    return F.flatten(F.transform(closed, link))
 
 
 def _fold_dot_segments(segs: Column) -> Column:

@@ -15,7 +15,7 @@ from .. import payloads
 from .common import finish, pages, staged
 
 SOURCE = K.SOURCES[2]
-NEXT_LINK = r"""(?is)<a\b[^>]*\srel\s*=\s*["']?next\b"""
+NEXT_LINK = r"""(?is)\srel\s*+=\s*+["']?next\b"""
 
 
 def visited_cards(spark: SparkSession, root: str) -> DataFrame:
@@ -24,7 +24,8 @@ def visited_cards(spark: SparkSession, root: str) -> DataFrame:
     for the audit."""
     search = pages(spark, root, SOURCE, "search").select("candidate", "page", "url", "html", "status")
     links = H.anchors("html")
-    has_next = F.exists(links, lambda a: a["text"].rlike("(?i)" + K.NEXT_PAGE_TEXT_PATTERN)) | F.col("html").rlike(NEXT_LINK)
+    named = F.exists(F.regexp_extract_all("html", F.lit(H.ANCHOR), 0), lambda a: a.rlike(NEXT_LINK))
+    has_next = F.exists(links, lambda a: a["text"].rlike("(?i)" + K.NEXT_PAGE_TEXT_PATTERN)) | named
     search = search.withColumn("has_next", F.coalesce(has_next, F.lit(False))).drop("url")
     facts = html_facts.with_html_facts(search, "html", class_patterns={}, detail_href=K.RENTALS_DETAIL_HREF,
                                        detail_case_insensitive=True)
