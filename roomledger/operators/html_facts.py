@@ -303,11 +303,11 @@ def attribute_pairs(all_tokens: Column, all_elements: Column, selectors: tuple[S
 
 
 def with_html_facts(df: DataFrame, html: str = "html", wanted: str | None = None,
-                    card_selectors: Sequence[Selector] = K.CARD_SELECTORS,
+                    card_selectors: Sequence[Selector] | None = K.CARD_SELECTORS,
                     detail_href: str = K.RENTALS_DETAIL_HREF, detail_case_insensitive: bool = True,
                     class_patterns: Mapping[str, str] | None = None,
                     scope_tags: Sequence[str] = ("main", "article"),
-                    attr_selectors: tuple[Selector, Selector, Selector] = (
+                    attr_selectors: tuple[Selector, Selector, Selector] | None = (
                         (None, K.ATTR_ITEM_CLASS), (None, K.ATTR_LABEL_CLASS), (None, K.ATTR_VALUE_CLASS)),
                     ) -> DataFrame:
     """P6-P8 next to the rows' other columns.
@@ -315,7 +315,12 @@ def with_html_facts(df: DataFrame, html: str = "html", wanted: str | None = None
     Every column but ``html`` passes through; a page is tokenised only when
     the boolean column ``wanted`` is true (all rows when None).  Adds
     ``cards`` (array of (href, text)), one column per class pattern, and
-    ``attributes`` (map, last label wins).
+    ``attributes`` (map, last label wins); ``card_selectors`` and
+    ``attr_selectors`` of None leave theirs out.
+
+    All facts of a page are one expression with its tokens and elements as
+    variables: were they columns, a filter on a fact that Catalyst pushes down
+    would put their whole computation in the place of every reference.
     """
     if class_patterns is None:
         class_patterns = {"price_text": K.PRICE_CLASS_PATTERN, "address_text": K.ADDRESS_CLASS_PATTERN}
@@ -323,14 +328,20 @@ def with_html_facts(df: DataFrame, html: str = "html", wanted: str | None = None
     page = F.coalesce(col(html), F.lit(""))
     if wanted is not None:
         page = F.when(F.coalesce(F.col(wanted), F.lit(False)), page)
-    marked = df.select(*keep, tokens(page).alias("_tokens")).withColumn("_elements", elements(F.col("_tokens")))
-    index = F.col("_tokens"), F.col("_elements")
-    with_pairs = marked.select(
-        *keep,
-        cards(*index, card_selectors, detail_href, detail_case_insensitive).alias("cards"),
-        *[first_by_class(*index, pattern, scope_tags).alias(name) for name, pattern in class_patterns.items()],
-        attribute_pairs(*index, attr_selectors).alias("_pairs"))
-    return with_pairs.select(*keep, "cards", *class_patterns, last_wins_map(F.col("_pairs")).alias("attributes"))
+
+    def facts(all_tokens: Column, all_elements: Column) -> Column:
+        out = [first_by_class(all_tokens, all_elements, pattern, scope_tags).alias(name) for name, pattern in class_patterns.items()]
+        if card_selectors is not None:
+            out.append(cards(all_tokens, all_elements, card_selectors, detail_href, detail_case_insensitive).alias("cards"))
+        if attr_selectors is not None:
+            out.append(last_wins_map(attribute_pairs(all_tokens, all_elements, attr_selectors)).alias("attributes"))
+        return F.struct(*out)
+
+    found = _let(tokens(page), lambda t: _let(elements(t), lambda e: facts(t, e)))
+    if wanted is not None:
+        found = F.when(page.isNotNull(), found)
+    names = [*(["cards"] if card_selectors is not None else []), *class_patterns, *(["attributes"] if attr_selectors is not None else [])]
+    return df.select(*keep, found.alias("_facts")).select(*keep, *[F.col(f"_facts.{n}").alias(n) for n in names])
 
 
 def html_facts(pages: DataFrame, key: str = "page_id", html: str = "html", **options) -> DataFrame:

@@ -294,16 +294,9 @@ li AS (SELECT page_id, CAST(i AS INTEGER) AS pos, items[i + 1] AS li_html
        FROM (SELECT page_id, items, unnest(range(len(items))) AS i FROM lis))"""
 
 
-def _facts(spark, d):
-    return html_facts.html_facts(
-        read(spark, d, "pages"),
-        card_selectors=[("article", r"listing|card"), ("li", None)],
-        detail_href=DETAIL_CI,
-        class_patterns={"ad_text": r"^ad$"},
-        scope_tags=("main",),
-        # Each nav item is an attribute: its link text as label and value.
-        attr_selectors=(("li", None), ("a", None), ("a", None)),
-    )
+def _facts(spark, d, **wanted):
+    options = {"card_selectors": None, "attr_selectors": None, "class_patterns": {}} | wanted
+    return html_facts.html_facts(read(spark, d, "pages"), detail_href=DETAIL_CI, scope_tags=("main",), **options)
 
 
 @case("html_cards", f"""WITH {LI_SQL}
@@ -312,16 +305,17 @@ SELECT page_id, pos,
               lambda h: regexp_matches(h, {q('(?i)' + DETAIL_CI)}))[1] AS href,
   {text_raw_sql('li_html')} AS card_text FROM li""")
 def html_cards(spark, d):
-    return _facts(spark, d).select("page_id", F.posexplode("cards").alias("pos", "card")).select(
-        "page_id", "pos", F.col("card.href").alias("href"), F.col("card.text").alias("card_text")
-    )
+    facts = _facts(spark, d, card_selectors=[("article", r"listing|card"), ("li", None)])
+    # posexplode would add a filter that computes the cards again
+    cards = facts.select("page_id", F.posexplode_outer("cards").alias("pos", "card")).where("pos IS NOT NULL")
+    return cards.select("page_id", "pos", F.col("card.href").alias("href"), F.col("card.text").alias("card_text"))
 
 
 @case("html_first_by_class", f"""SELECT page_id,
   CASE WHEN regexp_matches(html, {q(AD_INNER)}) THEN {text_stripped_sql(f"regexp_extract(html, {q(AD_INNER)}, 1)")} END
   AS ad_text FROM pages""")
 def html_first_by_class(spark, d):
-    return _facts(spark, d).select("page_id", "ad_text")
+    return _facts(spark, d, class_patterns={"ad_text": r"^ad$"}).select("page_id", "ad_text")
 
 
 @case("html_attributes_map", f"""WITH {LI_SQL},
@@ -331,4 +325,6 @@ last AS (SELECT page_id, lower(t) AS label, t AS value FROM pairs
          QUALIFY row_number() OVER (PARTITION BY page_id, lower(t) ORDER BY pos DESC) = 1)
 SELECT p.page_id, l.label, l.value FROM pages p LEFT JOIN last l ON p.page_id = l.page_id""")
 def html_attributes_map(spark, d):
-    return _facts(spark, d).select("page_id", F.explode_outer("attributes").alias("label", "value"))
+    # Each nav item is an attribute: its link text as label and value.
+    facts = _facts(spark, d, attr_selectors=(("li", None), ("a", None), ("a", None)))
+    return facts.select("page_id", F.explode_outer("attributes").alias("label", "value"))

@@ -75,7 +75,7 @@ def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
     links = search_links(spark, root)
     details = detail_fields(spark, root).drop("offers").withColumn("_wanted", F.col("reject_reason").isNull())
     # The attribute list needs the page's tokens: only accepted pages are cut into them.
-    d = html_facts.with_html_facts(details, "html", "_wanted", class_patterns={}).withColumn(
+    d = html_facts.with_html_facts(details, "html", "_wanted", card_selectors=None, class_patterns={}).withColumn(
         "attr_size", F.try_element_at("attributes", F.lit(K.ATTR_SIZE_LABEL)))
     low = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("description")))
     floor_text = F.coalesce(text.nonempty("attr_size"), text.nonempty("floor_size"), F.lit(""))

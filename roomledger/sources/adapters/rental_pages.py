@@ -27,8 +27,8 @@ def visited_cards(spark: SparkSession, root: str) -> DataFrame:
     named = F.exists(F.regexp_extract_all("html", F.lit(H.ANCHOR), 0), lambda a: a.rlike(NEXT_LINK))
     has_next = F.exists(links, lambda a: a["text"].rlike("(?i)" + K.NEXT_PAGE_TEXT_PATTERN)) | named
     search = search.withColumn("has_next", F.coalesce(has_next, F.lit(False))).drop("url")
-    facts = html_facts.with_html_facts(search, "html", class_patterns={}, detail_href=K.RENTALS_DETAIL_HREF,
-                                       detail_case_insensitive=True)
+    facts = html_facts.with_html_facts(search, "html", class_patterns={}, attr_selectors=None,
+                                       detail_href=K.RENTALS_DETAIL_HREF, detail_case_insensitive=True)
     # The search pages are parsed once: the winner, the pages read and the cards read the stage.
     parsed = staged(facts.select("candidate", "page", "status", "has_next", "cards"), "rental-cards")
     cards = parsed.select("candidate", "page", "status", F.posexplode_outer("cards").alias("pos", "card"))
@@ -76,7 +76,7 @@ def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
     )
     d = d.withColumn("reject_reason", reason).withColumn("_wanted", F.col("reject_reason").isNull())
     # Classed elements need the page's tokens: only accepted pages are cut into them.
-    d = html_facts.with_html_facts(d, "html", "_wanted", card_selectors=[],
+    d = html_facts.with_html_facts(d, "html", "_wanted", card_selectors=None, attr_selectors=None,
                                    class_patterns={"price_text": K.PRICE_CLASS_PATTERN,
                                                    "address_text": K.ADDRESS_CLASS_PATTERN})
     address = F.coalesce(text.nonempty("ld_address"), text.nonempty("address_text"))
