@@ -132,6 +132,18 @@ def truthy(v: Column) -> Column:
     )
 
 
+def first_wrong_shape(v: Column, shapes: Sequence[tuple[str, str]]) -> Column:
+    """Value or error: the first of the (path, "object" | "list" | "number")
+    whose value is given but is no such thing; NULL when all can be read.  A
+    value that is false (missing, null, empty, zero) counts as not given."""
+    def wrong(path: str, kind: str) -> Column:
+        value = vget(v, path, "variant")
+        fits = {"object": is_object(value), "list": variant_list(value).isNotNull(), "number": vget(value, "$", "double").isNotNull()}[kind]
+        return F.when(value.isNotNull() & ~fits & truthy(value), F.lit(path))
+
+    return F.coalesce(*[wrong(path, kind) for path, kind in shapes])
+
+
 def first_match(elements: Column, predicate: Callable[[Column], Column]) -> Column:
     """The first element meeting the predicate, NULL if none."""
     return F.try_element_at(F.filter(elements, lambda v: F.coalesce(predicate(v), F.lit(False))), F.lit(1))

@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.text import col, keyword_flags, matches_any_phrase
-from .windows import first_per_key
+from .windows import first_per_key, first_with_flag
 
 
 def first_landed(docs: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
-    """One landed document per key: the first by ``order``, then by content.
-    A crawl that meets a link twice lands its document twice."""
-    return first_per_key(docs, keys, list(order))
+    """One landed document per key: the first by ``order`` (NULL last), then
+    by content.  A crawl that meets a link twice lands its document twice."""
+    missing = {f"_no_{c}": F.col(c).isNull() for c in order}
+    places = [x for c in order for x in (f"_no_{c}", c)]
+    return first_per_key(docs.withColumns(missing) if missing else docs, keys, places).drop(*missing)
 
 
 def item_detail_join(items: DataFrame, details: DataFrame, key: str = "id", order: Sequence[str] = (),
@@ -44,13 +46,14 @@ def link_page_join(links: DataFrame, pages: DataFrame, link_url: str = "detail_u
 
 def card_reject_anti(cards: DataFrame, url: str = "detail_url", order: Sequence[str] = ("page", "pos"),
                      text: str = "card_text", patterns: Sequence[str] = K.UNAVAILABLE_PATTERNS) -> DataFrame:
-    """A URL is visited only when its first-seen card does not say taken.
+    """(url, position) of the URLs whose first-seen card does not say taken.
 
     Seen is marked before the check, so a later clean card of the same URL
-    does not bring it back.
+    does not bring it back.  The text is tested in its row; positions alone
+    are aggregated.
     """
-    first = first_per_key(cards, [url], list(order))
-    return first.where(~matches_any_phrase(F.col(text), patterns))
+    tested = cards.select(url, *order, matches_any_phrase(F.col(text), patterns).alias("_taken"))
+    return first_with_flag(tested, [url], list(order), "_taken").where(~F.col("_taken")).drop("_taken")
 
 
 def enum_lookup(code: Column | str, mapping: Mapping[int, str] = K.UNIT_TYPES) -> Column:

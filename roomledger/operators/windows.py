@@ -57,6 +57,19 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return df.groupBy(*keys).agg(packed).select(*keys, *[F.col(f"_first.{c}").alias(c) for c in [*order, *rest]])
 
 
+def first_with_flag(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str) -> DataFrame:
+    """W4 with a boolean payload: (keys, order, flag) of the first row per
+    key; where rows share the first place, the flag is set if one has it.
+
+    The least position among flagged rows and among all rows tells both, so
+    one hash aggregate of numbers does, whatever the flag was computed from.
+    ``order`` is one or two integral columns."""
+    position = _packed(order)
+    found = df.groupBy(*keys).agg(F.min(position).alias("_first"), F.min(F.when(F.col(flag), position)).alias("_flagged"))
+    places = [v.cast(df.schema[c].dataType).alias(c) for c, v in zip(order, _unpacked(F.col("_first"), len(order)))]
+    return found.select(*keys, *places, F.coalesce(F.col("_flagged") == F.col("_first"), F.lit(False)).alias(flag))
+
+
 def dedup_eligible(address: Column | str, price: Column | str) -> Column:
     """The key counts when the address has a digit and the price is known.
     Lower-casing and removing whitespace cannot add or drop a digit, so the

@@ -13,7 +13,7 @@ from ... import constants as K
 from ...functions import compose, html as H, numbers, payload as P, text
 from ...operators import aggregates, filters, html_facts, joins, ordering, windows
 from .. import payloads
-from .common import finish, pages, staged
+from .common import LANDED, finish, first_landings, pages, staged
 
 SOURCE = K.SOURCES[1]
 
@@ -22,7 +22,8 @@ def search_links(spark: SparkSession, root: str) -> DataFrame:
     """Ad links of the search pages that are read (W6), first position per page
     (A6); ``link_reason`` is set for ads of other categories."""
     # The pages are parsed once; the page log and the links read the stage.
-    search = staged(pages(spark, root, SOURCE, "search").select("page", "status", H.anchor_hrefs("html").alias("hrefs")), "classifieds-links")
+    search = pages(spark, root, SOURCE, "search").select("page", "status", LANDED, H.anchor_hrefs("html").alias("hrefs"))
+    search = first_landings(staged(search, "classifieds-links"), ["page"])
     ok = F.col("status").isNull() | (F.col("status") < 400)
     hrefs = F.col("hrefs")
     supply = F.filter(hrefs, lambda h: filters.supply_category(h))
@@ -46,11 +47,11 @@ def search_links(spark: SparkSession, root: str) -> DataFrame:
 
 
 def detail_fields(spark: SparkSession, root: str) -> DataFrame:
-    detail = payloads.read_pages(pages(spark, root, SOURCE, "detail")).select("url", "html")
+    detail = payloads.read_pages(pages(spark, root, SOURCE, "detail")).select("url", "html", LANDED)
     ld = P.ld_offer_block("html")
     offers = P.vget(ld, "$.offers", "variant")
     d = detail.select(
-        "url", "html",
+        "url", "html", LANDED,
         F.coalesce(text.nonempty(P.vget(ld, "$.name", "string")), H.heading_title("html", ("h1",))).alias("title"),
         F.coalesce(P.vget(ld, "$.description", "string"), F.lit("")).alias("description"),
         offers.alias("offers"),
@@ -68,7 +69,8 @@ def detail_fields(spark: SparkSession, root: str) -> DataFrame:
         (filters.out_of_stock("availability") | text.matches_any_phrase("title"), "unavailable"),
         (~text.area_text_match(searchable), "out_of_area"),
     )
-    return d.withColumn("reject_reason", reason)
+    error = F.when(filters.offer_usable(F.col("offers")), F.lit("$.offers.price")).otherwise(F.lit("$.offers"))
+    return d.withColumn("reject_reason", reason).withColumn("parse_error", error)
 
 
 def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
@@ -80,7 +82,7 @@ def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
     low = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("description")))
     floor_text = F.coalesce(text.nonempty("attr_size"), text.nonempty("floor_size"), F.lit(""))
     fields = d.select(
-        "url", "reject_reason", "title",
+        "url", LANDED, "reject_reason", "parse_error", "title",
         F.to_json(F.struct("offer_price", "floor_size", "attr_size", "city", "availability")).alias("raw"),
         text.nonempty("city").alias("address"),
         text.nonempty("city").alias("neighborhood"),
@@ -92,7 +94,7 @@ def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
         compose.available_from_text("description", K.AVAILABLE_CLASSIFIEDS_PATTERN).alias("available_from"),
     )
     # Each read link joins its landed detail page; a missing page leaves an audit row.
-    j = joins.link_page_join(links, fields, "detail_url", "url", how="left")
+    j = joins.link_page_join(links, fields, "detail_url", "url", order=(LANDED,), how="left")
     reason = F.coalesce("link_reason", F.when(F.col("url").isNull(), F.lit("no_page")), "reject_reason")
     j = j.withColumn("reject_reason", reason).withColumn("url", F.coalesce("url", "detail_url"))
     return finish(j.drop("detail_url", "link_reason"), SOURCE, run_ts)

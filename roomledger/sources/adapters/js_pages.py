@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 from ... import constants as K
 from ...functions import compose, html as H, numbers, payload as P, text
 from ...operators import aggregates, filters, joins, ordering, windows
-from .common import finish, pages, staged
+from .common import LANDED, finish, first_landings, pages, staged
 
 SOURCE = K.SOURCES[4]
 
 
 def candidate_links(spark: SparkSession, root: str) -> DataFrame:
-    search = pages(spark, root, SOURCE, "search").select("candidate", "page", "html")
-    links = search.select("candidate", "page", F.posexplode(H.anchor_hrefs("html")).alias("pos", "href"))
+    search = pages(spark, root, SOURCE, "search").select("candidate", "page", LANDED, H.anchor_hrefs("html").alias("hrefs"))
+    search = first_landings(staged(search, "js-links"), ["candidate", "page"])
+    links = search.select("candidate", "page", F.posexplode("hrefs").alias("pos", "href"))
     links = links.withColumn("href", H.strip_query("href")).where(filters.detail_href("href", K.JSPAGES_DETAIL_HREF, False))
     first = aggregates.distinct_links(links, ["candidate"], "href", ["page", "pos"])
     # Candidates are read one after another: their pages come first in discovery order.
@@ -29,14 +30,14 @@ def candidate_links(spark: SparkSession, root: str) -> DataFrame:
 
 def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
     links = candidate_links(spark, root)
-    detail = pages(spark, root, SOURCE, "detail").select("url", "html", H.visible_markup("html").alias("vis"))
+    detail = pages(spark, root, SOURCE, "detail").select("url", "html", LANDED, H.visible_markup("html").alias("vis"))
     main_text = H.text_raw(H.main_scope("vis", ("main",), cleaned=True), cleaned=True)
     ld = P.ld_offer_or_address_block("html")
     ld_addr = P.vget(ld, "$.address", "variant")
     offers = P.vget(ld, "$.offers", "variant")
     price_v = P.vget(offers, "$.price", "variant")
     d = detail.select(
-        "url", main_text.alias("main_text"), H.heading_title("vis", cleaned=True).alias("title"),
+        "url", LANDED, main_text.alias("main_text"), H.heading_title("vis", cleaned=True).alias("title"),
         F.when(P.is_object(ld_addr), compose.join_nonempty(", ", P.vget(ld_addr, "$.streetAddress", "string"),
                                                            P.vget(ld_addr, "$.addressLocality", "string"))).alias("address"),
         F.when(P.is_object(ld_addr), text.nonempty(P.vget(ld_addr, "$.addressLocality", "string"))).alias("neighborhood"),
@@ -48,7 +49,7 @@ def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
     )
     low = F.lower("main_text")
     fields = d.select(
-        "url", reason.alias("reject_reason"), text.nonempty("title").alias("title"), "address", "neighborhood",
+        "url", LANDED, reason.alias("reject_reason"), text.nonempty("title").alias("title"), "address", "neighborhood",
         F.to_json(F.struct("title", "address", "ld_price")).alias("raw"),
         F.coalesce("ld_price", numbers.parse_euro_amount(compose.euro_text_amount("main_text")))
         .alias("price_eur_month"),
@@ -59,7 +60,7 @@ def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
     )
     # The parsed rows (no HTML) are staged: the winner count and the kept rows
     # both read them.  A link whose page was not landed stays for the audit.
-    j = joins.link_page_join(links, fields, "detail_url", "url", how="left")
+    j = joins.link_page_join(links, fields, "detail_url", "url", order=(LANDED,), how="left")
     j = staged(j.withColumn("reject_reason", F.when(F.col("url").isNull(), F.lit("no_page")).otherwise(F.col("reject_reason")))
                .withColumn("url", F.coalesce("url", "detail_url")).drop("detail_url"), "js-rows")
     # The first candidate with an accepted listing; the others were never read.

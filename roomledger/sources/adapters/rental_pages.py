@@ -12,7 +12,7 @@ from ... import constants as K
 from ...functions import compose, html as H, numbers, payload as P, text
 from ...operators import filters, html_facts, joins, ordering, windows
 from .. import payloads
-from .common import finish, pages, staged
+from .common import LANDED, finish, first_landings, pages, staged
 
 SOURCE = K.SOURCES[2]
 NEXT_LINK = r"""(?is)\srel\s*+=\s*+["']?next\b"""
@@ -22,15 +22,16 @@ def visited_cards(spark: SparkSession, root: str) -> DataFrame:
     """Cards of the first working candidate (W3), first card per URL (W4),
     minus URLs whose first card says taken (J3).  Returns ``card_reason``
     for the audit."""
-    search = pages(spark, root, SOURCE, "search").select("candidate", "page", "url", "html", "status")
+    search = pages(spark, root, SOURCE, "search").select("candidate", "page", "html", "status", LANDED)
     links = H.anchors("html")
     named = F.exists(F.regexp_extract_all("html", F.lit(H.ANCHOR), 0), lambda a: a.rlike(NEXT_LINK))
     has_next = F.exists(links, lambda a: a["text"].rlike("(?i)" + K.NEXT_PAGE_TEXT_PATTERN)) | named
-    search = search.withColumn("has_next", F.coalesce(has_next, F.lit(False))).drop("url")
+    search = search.withColumn("has_next", F.coalesce(has_next, F.lit(False)))
     facts = html_facts.with_html_facts(search, "html", class_patterns={}, attr_selectors=None,
                                        detail_href=K.RENTALS_DETAIL_HREF, detail_case_insensitive=True)
     # The search pages are parsed once: the winner, the pages read and the cards read the stage.
-    parsed = staged(facts.select("candidate", "page", "status", "has_next", "cards"), "rental-cards")
+    parsed = staged(facts.select("candidate", "page", "status", LANDED, "has_next", "cards"), "rental-cards")
+    parsed = first_landings(parsed, ["candidate", "page"])
     cards = parsed.select("candidate", "page", "status", F.posexplode_outer("cards").alias("pos", "card"))
     ok_first = (F.col("page") == 1) & (F.col("status").isNull() | (F.col("status") < 400))
     counts = cards.where(ok_first).groupBy(F.lit(SOURCE).alias("src"), "candidate").agg(
@@ -43,23 +44,23 @@ def visited_cards(spark: SparkSession, root: str) -> DataFrame:
     last_page = windows.page_prefix(log, ["src"]).select("last_page").scalar()
     linked = cards.where((F.col("candidate") == winner) & (F.col("page") <= last_page) & F.col("card.href").isNotNull()).select(
         "page", "pos", H.resolve_url(F.col("card.href"), F.lit(K.RENTALS_BASE)).alias("detail_url"),
-        F.col("card.text").alias("card_text"))
-    first = windows.first_per_key(linked, ["detail_url"], ["page", "pos"])
+        text.matches_any_phrase(F.col("card.text")).alias("taken"))
+    first = windows.first_with_flag(linked, ["detail_url"], ["page", "pos"], "taken")
     return first.select(
         "detail_url", "page", ordering.source_position("page", "pos").alias("src_pos"),
-        F.when(text.matches_any_phrase("card_text"), F.lit("card_unavailable")).alias("card_reason"))
+        F.when(F.col("taken"), F.lit("card_unavailable")).alias("card_reason"))
 
 
 def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
     cards = visited_cards(spark, root)
     detail = payloads.read_pages(pages(spark, root, SOURCE, "detail")).select(
-        "url", "html", H.visible_markup("html").alias("vis"))
+        "url", "html", LANDED, H.visible_markup("html").alias("vis"))
     main_text = H.text_raw(H.main_scope("vis", cleaned=True), cleaned=True)
     ld = P.ld_typed_block("html")
     ld_addr = P.vget(ld, "$.address", "variant")
     offers = P.vget(ld, "$.offers", "variant")
     d = detail.select(
-        "url", "html",
+        "url", "html", LANDED,
         main_text.alias("main_text"),
         H.heading_title("vis", cleaned=True).alias("title"),
         H.text_raw("vis", cleaned=True).alias("full_text"),
@@ -88,7 +89,7 @@ def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
         numbers.parse_euro_amount(compose.euro_text_amount("main_text")))
     low = F.lower("main_text")
     fields = d.select(
-        "url", "reject_reason", text.nonempty("title").alias("title"),
+        "url", LANDED, "reject_reason", text.nonempty("title").alias("title"),
         F.to_json(F.struct("title", "ld_address", "address_text", "ld_price", "price_text")).alias("raw"),
         address.alias("address"), neighborhood.alias("neighborhood"),
         F.coalesce(F.col("ld_price"), fallback_price).alias("price_eur_month"),
@@ -98,7 +99,7 @@ def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
         compose.available_from_text("main_text", K.AVAILABLE_RENTALS_PATTERN).alias("available_from"),
     )
     # A card that says taken is never visited, so its page need not be landed.
-    j = joins.link_page_join(cards, fields, "detail_url", "url", how="left")
+    j = joins.link_page_join(cards, fields, "detail_url", "url", order=(LANDED,), how="left")
     reason = F.coalesce("card_reason", F.when(F.col("url").isNull(), F.lit("no_page")), "reject_reason")
     j = j.withColumn("reject_reason", reason).withColumn("url", F.coalesce("url", "detail_url")).drop("detail_url", "card_reason")
     return finish(j, SOURCE, run_ts)

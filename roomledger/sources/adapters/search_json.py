@@ -14,15 +14,21 @@ from ... import constants as K
 from ...functions import compose, flags, numbers, payload as P, text
 from ...operators import filters, windows
 from ...operators.ordering import source_position
-from .common import finish, pages, staged
+from .common import LANDED, finish, first_landings, pages, staged
 
 SOURCE = K.SOURCES[3]
+# What must have the right shape for an ad to be read.
+AD_SHAPES = [("$", "object"), ("$.property", "object"), ("$.property.location", "object"), ("$.transaction", "object"),
+             ("$.transaction.rental", "object"), ("$.flags", "object"), ("$.property.netHabitableSurface", "number"),
+             ("$.property.livingSurface", "number"), ("$.property.totalSurface", "number"),
+             ("$.transaction.rental.monthlyRentalPrice", "number"), ("$.transaction.price", "number")]
 
 
 def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
-    search = pages(spark, root, SOURCE, "search").select("candidate", "page", "html")
+    search = pages(spark, root, SOURCE, "search").select("candidate", "page", LANDED, "html")
     # Each page is parsed once; the page log, the cut-off and the ads read the stage.
-    sp = staged(search.select("candidate", "page", P.search_payload("html").alias("sp")), "search-pages")
+    sp = staged(search.select("candidate", "page", LANDED, P.search_payload("html").alias("sp")), "search-pages")
+    sp = first_landings(sp, ["candidate", "page"])
     ads = sp.select("candidate", "page", F.posexplode_outer("sp.ads").alias("pos", "ad"))
 
     def g(path: str, typ: str = "string"):
@@ -32,12 +38,14 @@ def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
     size_any = numbers.first_truthy(g("$.property.netHabitableSurface", "double"), g("$.property.livingSurface", "double"),
                                     g("$.property.totalSurface", "double"))
     price_any = numbers.first_truthy(g("$.transaction.rental.monthlyRentalPrice", "double"), g("$.transaction.price", "double"))
+    error = P.first_wrong_shape(F.col("ad"), AD_SHAPES)
     reason = filters.first_reason(
+        (error.isNotNull(), "parse_error"),
         (~filters.area_code_match(g(f"{loc}.postalCode"), g(f"{loc}.locality")), "out_of_area"),
         (~filters.not_both_exceed(size_any, price_any), "too_large"),
         (~filters.not_sold(g("$.flags.isSoldOrRented", "boolean"), g("$.flags.isRented", "boolean")), "sold"),
     )
-    ads = ads.where(F.col("ad").isNotNull()).withColumn("reject_reason", reason)
+    ads = ads.where(F.col("ad").isNotNull()).withColumn("reject_reason", reason).withColumn("parse_error", error)
 
     # W5 per candidate, then W3 over candidates whose first page worked with results.
     per_page = ads.groupBy("candidate", "page").agg(F.count_if(F.col("reject_reason").isNull()).alias("n_results"))
@@ -57,7 +65,7 @@ def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
     kitchen = g("$.property.kitchen", "variant")
     kitchen_type = F.when(P.is_object(kitchen), P.vget(kitchen, "$.type", "string")).otherwise(P.value_text(kitchen))
     fields = rows.select(
-        source_position("page", "pos").alias("src_pos"), "page", "reject_reason",
+        source_position("page", "pos").alias("src_pos"), "page", "reject_reason", "parse_error",
         F.to_json(F.struct(size_any.alias("size"), price_any.alias("price"), postcode.alias("postcode"), locality.alias("locality"))).alias("raw"),
         compose.search_listing_url(g("$.url"), g("$.permalink"), prop_type, locality, postcode, g("$.id")).alias("url"),
         compose.ad_title(g("$.property.title"), g("$.title"), ltype, address).alias("title"),

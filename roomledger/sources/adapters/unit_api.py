@@ -12,7 +12,7 @@ from ... import constants as K
 from ...functions import compose, flags, numbers, text
 from ...operators import aggregates, filters, joins, ordering, windows
 from .. import payloads
-from .common import api, finish, staged
+from .common import LANDED, api, finish, first_landings, staged
 
 SOURCE = K.SOURCES[0]
 
@@ -24,7 +24,7 @@ def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
     search = filters.academic_year_filter(api(spark, root, "search"), picked, "availability_id")
 
     # Bodies are parsed once: the page log and the items both read the stage.
-    parsed = staged(payloads.parse_search_bodies(search, "body", ("page",)), "unit-search")
+    parsed = first_landings(staged(payloads.parse_search_bodies(search, "body", ("page", LANDED)), "unit-search"), ["page"])
 
     # Read pages until the first empty page; a short page is the last.
     n_items = F.coalesce(F.size("items"), F.lit(0))
@@ -36,9 +36,9 @@ def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
 
     items = payloads.explode_search_items(parsed.where(F.col("page") <= last_page), ("page",))
     items = items.withColumn("src_pos", ordering.source_position("page", "pos"))
-    details = payloads.read_detail_docs(api(spark, root, "detail"), "body", ("item_id",)).withColumnRenamed("item_id", "id")
+    details = payloads.read_checked_details(api(spark, root, "detail"), "body", ("item_id", LANDED)).withColumnRenamed("item_id", "id")
 
-    j = joins.item_detail_join(items, details, "id", how="left")
+    j = joins.item_detail_join(items, details, "id", order=(LANDED,), how="left")
     d = F.col("detail")
     options_col = d["facilities"]["options"]
     unit_type = joins.enum_lookup(d["unitType"])
@@ -48,7 +48,8 @@ def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
     raw = F.to_json(F.struct("id", d["pricing"].alias("pricing"), surface.alias("surface"), d["unitType"].alias("unit_type")))
     fields = j.select(
         "src_pos", "page", raw.alias("raw"),
-        F.when(F.col("id").isNull(), F.lit("missing_id")).when(d.isNull(), F.lit("no_detail")).alias("reject_reason"),
+        F.when(F.col("id").isNull(), F.lit("missing_id")).when(F.col("parse_error").isNotNull(), F.lit("parse_error"))
+        .when(d.isNull(), F.lit("no_detail")).alias("reject_reason"), "parse_error",
         compose.unit_listing_url(d["guid"]).alias("url"),
         compose.unit_title(unit_type, address, d["unitNumber"]).alias("title"),
         address.alias("address"),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.payload import first_wrong_shape, parse_json, vget
 from ..functions.text import col
 
 SEARCH_ITEM = T.StructType(
@@ -97,8 +98,18 @@ FILTER_OPTIONS_BODY = T.StructType(
 )
 
 
+# What must have the right shape for a detail document to be read; a value that is missing, null or empty counts as
+# not given.  Checked only where a body does not fit ``DETAIL_BODY``.
+DETAIL_SHAPES = [
+    ("$", "object"), ("$.location", "object"), ("$.pricing", "object"), ("$.pricing.totalMonthlyRent", "object"),
+    ("$.pricing.totalMonthlyRent.from", "number"), ("$.surfaceAreaFrom", "number"), ("$.facilities", "object"),
+    ("$.facilities.options", "list"), ("$.facilities.commonBathrooms", "number"), ("$.facilities.commonKitchens", "number"),
+    ("$.availability", "object"), ("$.descriptions", "object"), ("$.descriptions.items", "list")]
+CORRUPT = "_corrupt"
+
+
 def parse_body(body: Column | str, schema: T.StructType) -> Column:
-    return F.from_json(col(body), schema, {"mode": "PERMISSIVE"})
+    return F.from_json(col(body), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
 
 
 def parse_search_bodies(search_pages: DataFrame, body: str = "body", keep: tuple[str, ...] = ("page",)) -> DataFrame:
@@ -125,12 +136,22 @@ def read_search_items(search_pages: DataFrame, body: str = "body", keep: tuple[s
 def read_detail_docs(detail_pages: DataFrame, body: str = "body", keep: tuple[str, ...] = ("id",)) -> DataFrame:
     """The ``data`` object of each detail body; absent, null or empty
     (``{}``, every field unset) data is skipped."""
-    parsed = detail_pages.select(*keep, parse_body(body, DETAIL_BODY).getField("data").alias("detail"))
+    return read_checked_details(detail_pages, body, keep).where("parse_error IS NULL").drop("parse_error")
+
+
+def read_checked_details(detail_pages: DataFrame, body: str = "body", keep: tuple[str, ...] = ("id",)) -> DataFrame:
+    """S2 with a quarantine column: (keep, detail, parse_error).  A document
+    with a value of the wrong shape stays as a row that names it, so one bad
+    document costs one row."""
+    schema = T.StructType([*DETAIL_BODY.fields, T.StructField(CORRUPT, T.StringType())])
+    parsed = detail_pages.select(*keep, F.col(body).alias("_body"), parse_body(body, schema).alias("_parsed"))
+    error = F.when(F.col(f"_parsed.{CORRUPT}").isNotNull(), first_wrong_shape(vget(parse_json("_body"), "$.data", "variant"), DETAIL_SHAPES))
+    parsed = parsed.select(*keep, F.col("_parsed.data").alias("detail"), error.alias("parse_error"))
     fields = [F.col(f"detail.{f.name}").isNotNull() for f in DETAIL_DATA.fields]
     any_set = fields[0]
     for f in fields[1:]:
         any_set = any_set | f
-    return parsed.where(F.col("detail").isNotNull() & any_set)
+    return parsed.where((F.col("detail").isNotNull() & any_set) | F.col("parse_error").isNotNull())
 
 
 def read_filter_options(body_df: DataFrame, body: str = "body") -> DataFrame:

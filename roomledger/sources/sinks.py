@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 
 from pyspark.sql import DataFrame, Observation
@@ -58,27 +59,100 @@ def run_stamp(run_ts: dt.datetime) -> str:
     return run_ts.strftime("%Y%m%d_%H%M%S")
 
 
+def _write_counted(df: DataFrame, path: str, fmt: str, options: dict) -> int:
+    """Write and count in one pass; nothing stays of an empty frame."""
+    obs = Observation(f"rows_{uuid.uuid4().hex[:10]}")
+    df.observe(obs, F.count(F.lit(1)).alias("rows")).write.format(fmt).options(**options).save(path)
+    rows = obs.get["rows"]
+    if rows == 0:
+        delete_folder(df.sparkSession, path)
+    return rows
+
+
 def write_run_stamped(df: DataFrame, root: str, run_ts: dt.datetime, fmt: str = "parquet", **options) -> str | None:
     """K3: write under ``root/run_ts=<stamp>/``; nothing is written for 0 rows.
 
     Returns the written folder, or None when the frame is empty.  The rows go
-    to a fresh folder first and are counted on the way (one pass); only a
-    result with rows takes the place of an earlier one of the same run, so a
+    to a fresh folder first and are counted on the way; only a result with
+    rows takes the place of an earlier one of the same run (``commit``), so a
     retry that finds nothing leaves what is there.  Reading ``root`` gives
     ``run_ts`` back as a partition column.
     """
     root = root.rstrip("/")
+    recover(df.sparkSession, root)
     path = f"{root}/run_ts={run_stamp(run_ts)}"
     fresh = f"{root}/_fresh-{uuid.uuid4().hex[:12]}"
-    obs = Observation(f"rows_{uuid.uuid4().hex[:10]}")
-    df.observe(obs, F.count(F.lit(1)).alias("rows")).write.format(fmt).options(**options).save(fresh)
-    if obs.get["rows"] == 0:
-        delete_folder(df.sparkSession, fresh)
+    if _write_counted(df, fresh, fmt, options) == 0:
         return None
-    delete_folder(df.sparkSession, path)
-    fs, old, new = _folder(df.sparkSession, fresh, path)
-    if not fs.rename(old, new):
-        raise OSError(f"cannot move {fresh} to {path}")
+    commit(df.sparkSession, root, {fresh: path})
+    return path
+
+
+# --- commit -------------------------------------------------------------------
+# Folders cannot be swapped together.  What decides is one small file, the commit pointer: it names every fresh folder
+# and the place it belongs to, and appears by one rename.  Before it appears the earlier outputs are untouched; once it
+# is there, all of the new set counts, wherever the moves have got to: a reader looks a folder up with ``current_path``,
+# and the next writer finishes the moves (``recover``).
+
+POINTER = "_commit-"
+
+
+def commit(spark, root: str, moves: dict[str, str]) -> None:
+    """Put fresh folders in their places, all or none."""
+    name = uuid.uuid4().hex[:12]
+    pointer = f"{root.rstrip('/')}/{POINTER}{name}"
+    fs, draft, final = _folder(spark, f"{root.rstrip('/')}/_draft-{name}", pointer)
+    out = fs.create(draft, False)
+    out.write(json.dumps(moves).encode())
+    out.close()
+    _move(fs, draft, final)
+    _finish(spark, pointer, moves)
+
+
+def _move(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def _finish(spark, pointer: str, moves: dict[str, str]) -> None:
+    """The moves that a pointer names, as far as they are not done yet."""
+    for fresh, path in moves.items():
+        fs, new, place, old = _folder(spark, fresh, path, f"{fresh}-old")
+        if fs.exists(new):
+            if fs.exists(place):
+                _move(fs, place, old)
+            fs.mkdirs(place.getParent())
+            _move(fs, new, place)
+    for fresh in moves:
+        delete_folder(spark, f"{fresh}-old")
+    delete_folder(spark, pointer)
+
+
+def _pointers(spark, root: str) -> dict[str, dict[str, str]]:
+    fs, pattern = _folder(spark, f"{root.rstrip('/')}/{POINTER}*")
+    found = {}
+    for status in fs.globStatus(pattern) or []:
+        source = fs.open(status.getPath())
+        text = bytes(source.readAllBytes()).decode()
+        source.close()
+        found[status.getPath().toString()] = json.loads(text)
+    return found
+
+
+def recover(spark, root: str) -> None:
+    """Finish what a killed writer had committed."""
+    for pointer, moves in _pointers(spark, root).items():
+        _finish(spark, pointer, moves)
+
+
+def current_path(spark, root: str, path: str) -> str:
+    """Where the current rows of ``path`` are: in the fresh folder while a
+    committed move is not done, else in place."""
+    for moves in _pointers(spark, root).values():
+        for fresh, place in moves.items():
+            fs, folder = _folder(spark, fresh)
+            if place == path and fs.exists(folder):
+                return fresh
     return path
 
 
@@ -95,22 +169,35 @@ def delete_folder(spark, path: str) -> None:
 
 def write_outputs(staged: DataFrame, out_dir: str, run_ts: dt.datetime) -> dict[str, str | None]:
     """Write listings, presentation CSV, summary, audit, funnel counts (A5)
-    and the dedup counts (A4) from one staged table.
+    and the dedup counts (A4) from one staged table, and commit them as one
+    set.  A retry without listings leaves an earlier set that has some.
 
     ``staged`` holds every candidate with ``reject_reason`` (NULL = kept);
     it is read back from storage, so each output is a cheap scan.
     """
+    spark, out_dir, stamp = staged.sparkSession, out_dir.rstrip("/"), run_stamp(run_ts)
+    recover(spark, out_dir)
     kept = staged.where(F.col("reject_reason").isNull()).select(*LISTING_COLUMNS)
-    paths = {
-        "listings": write_run_stamped(kept, f"{out_dir}/listings", run_ts),
-        "audit": write_run_stamped(staged.where(F.col("reject_reason").isNotNull()), f"{out_dir}/audit", run_ts),
-        "funnel": write_run_stamped(funnel_counts(staged), f"{out_dir}/funnel", run_ts),
-    }
     offered = staged.where(F.col("reject_reason").isNull() | (F.col("reject_reason") == "duplicate")) \
         .select((F.coalesce(F.col("reject_reason"), F.lit("")) == "duplicate").alias("is_duplicate"))
-    paths["dedup"] = write_run_stamped(dedup_removed_count(offered), f"{out_dir}/dedup", run_ts)
-    if paths["listings"] is not None:
-        sorted_kept = kept.orderBy("site_rank", "src_pos")
-        paths["sheet"] = write_run_stamped(present_listings(sorted_kept), f"{out_dir}/sheet", run_ts, "csv", header=True)
-        paths["summary"] = write_run_stamped(summary_rows(kept, run_ts), f"{out_dir}/summary", run_ts)
-    return paths
+    places = {name: f"{out_dir}/{name}/run_ts={stamp}" for name in ("listings", "audit", "funnel", "dedup", "sheet", "summary")}
+    fresh = f"{out_dir}/_fresh-{uuid.uuid4().hex[:12]}"
+    written: dict[str, str | None] = {}
+
+    def write(name: str, df: DataFrame, fmt: str = "parquet", **options) -> None:
+        if _write_counted(df, f"{fresh}/{name}", fmt, options):
+            written[name] = f"{fresh}/{name}"
+
+    write("listings", kept)
+    fs, earlier = _folder(spark, places["listings"])
+    if "listings" not in written and fs.exists(earlier):
+        return dict.fromkeys(places)
+    write("audit", staged.where(F.col("reject_reason").isNotNull()))
+    write("funnel", funnel_counts(staged))
+    write("dedup", dedup_removed_count(offered))
+    if "listings" in written:
+        write("sheet", present_listings(kept.orderBy("site_rank", "src_pos")), "csv", header=True)
+        write("summary", summary_rows(kept, run_ts))
+    commit(spark, out_dir, {path: places[name] for name, path in written.items()})
+    delete_folder(spark, fresh)
+    return {name: path if name in written else None for name, path in places.items()}

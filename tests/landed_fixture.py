@@ -133,8 +133,16 @@ def _page_rows():
 
 
 def write_landed(spark, root: str) -> str:
-    spark.createDataFrame(_api_rows(), API_SCHEMA).write.mode("overwrite").parquet(f"{root}/api")
-    (spark.createDataFrame(_page_rows(), PAGES_SCHEMA).write.mode("overwrite")
+    return write_rows(spark, root, _api_rows(), _page_rows())
+
+
+def write_rows(spark, root: str, api, pages) -> str:
+    """Rows in the order in which they were landed."""
+    def numbered(rows):
+        return [(*r, k) for k, r in enumerate(rows)]
+
+    spark.createDataFrame(numbered(api), API_SCHEMA).write.mode("overwrite").parquet(f"{root}/api")
+    (spark.createDataFrame(numbered(pages), PAGES_SCHEMA).write.mode("overwrite")
      .partitionBy("source", "kind").parquet(f"{root}/pages"))
     return root
 
@@ -173,7 +181,4 @@ def write_landed_edges(spark, root: str) -> str:
          _ld({"offers": {"price": 0}, "address": {"addressLocality": "Leuven"}})
          + "<main><h1>Kamer</h1><p>Huur € 425 per maand</p></main>", 200),
     ]
-    spark.createDataFrame(api, API_SCHEMA).write.mode("overwrite").parquet(f"{root}/api")
-    (spark.createDataFrame(pages, PAGES_SCHEMA).write.mode("overwrite")
-     .partitionBy("source", "kind").parquet(f"{root}/pages"))
-    return root
+    return write_rows(spark, root, api, pages)
