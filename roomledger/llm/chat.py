@@ -11,7 +11,7 @@ between their characters, so a marker never comes from a text and
 
 DataFrame functions only.
 
-Cases: a null or empty text is an empty turn; a null role is the empty role;
+Cases: a null or empty text is an empty turn; texts of any length are taken whole; a null role is the empty role;
 null parts are skipped; turns are ordered by number (null first), then role
 and text; repeated rows are repeated turns; a null conv_id is a conversation
 of its own; an empty table gives an empty result; other columns are not read.
@@ -62,6 +62,21 @@ def visit(part: Column, turn: Column, number: Column) -> Column:
     return F.struct(shown.alias("shown"), F.when(~is_text, part["kind"]).alias("kind"), F.when(~is_text, part["uri"]).alias("uri"), tokens.alias("tokens"))
 
 
+def _body(parts: str, seen: str) -> Column:
+    """What stands in a turn.  Text parts that follow one another are escaped
+    as one text: a marker could come from where they meet."""
+    begin = F.struct(F.lit("").alias("out"), F.lit("").alias("open"))
+
+    def step(state: Column, x: Column) -> Column:
+        is_text = x["seen"]["kind"].isNull()
+        text = F.coalesce(x["part"]["text"], F.lit(""))
+        return F.struct(F.when(is_text, state["out"]).otherwise(F.concat(state["out"], escaped(state["open"]), x["seen"]["shown"])).alias("out"),
+                        F.when(is_text, F.concat(state["open"], text)).otherwise(F.lit("")).alias("open"))
+
+    pairs = F.arrays_zip(F.col(parts).alias("part"), F.col(seen).alias("seen"))
+    return F.aggregate(pairs, begin, step, lambda state: F.concat(state["out"], escaped(state["open"])))
+
+
 def formatted(turns: DataFrame, parts_col: str = "parts", conv_col: str = "conv_id", turn_col: str = "turn",
               role_col: str = "role", loss_role: str = "assistant") -> DataFrame:
     """Per conversation: conv_id, formatted, n_turns, loss_spans (start and
@@ -74,7 +89,7 @@ def formatted(turns: DataFrame, parts_col: str = "parts", conv_col: str = "conv_
     rows = rows.withColumn("number", F.row_number().over(place) - 1)
     rows = rows.withColumn("seen", F.transform("parts", lambda p, k: visit(p, F.col("number"), k)))
     head = F.concat(F.lit("<|turn:"), escaped(F.col("role")), F.lit("|>\n"))
-    rows = rows.select("conv_id", "number", "role", head.alias("head"), F.array_join(F.col("seen.shown"), "").alias("body"),
+    rows = rows.select("conv_id", "number", "role", head.alias("head"), _body("parts", "seen").alias("body"),
                        F.filter("seen", lambda s: s["kind"].isNotNull()).alias("attached"))
     rows = rows.withColumn("shown", F.concat("head", "body", F.lit("<|end|>\n")))
     before = Window.partitionBy("conv_id").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)

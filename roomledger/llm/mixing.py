@@ -108,6 +108,9 @@ def multipliers(groups: DataFrame, goals: DataFrame, cap: int = CAP, tolerance:
             .otherwise(F.col("lam") - F.greatest(F.abs("lam"), F.lit(1.0)))
         step = F.when(inside, F.least(F.greatest("newton", F.col("lam") - 20), F.col("lam") + 20)).otherwise(other)
         state = staged(rows.withColumn("lam", F.when(F.col("done"), F.col("lam")).otherwise(step)).drop("newton"), "dual")
+    else:
+        if not state.where(~F.col("done")).isEmpty():
+            raise RuntimeError(f"the dual has not converged in {MAX_ROUNDS} rounds")
     return state.select("src", "target", "scale", "lam")
 
 

@@ -68,15 +68,6 @@ class WordIds(dict):
             self[word] = ids
         return ids
 
-    def learn(self, words: set[str]) -> None:
-        """Encode many unknown words in one call."""
-        words = [w for w in words if w not in self]
-        if len(self) + len(words) > KEPT_WORDS:
-            self.clear()
-        if words:
-            for word, encoding in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False)):
-                self[word] = np.asarray(encoding.ids, "<u4").tobytes()
-
     def plain(self, text: str) -> bool:
         return not self.unsure.search(text) and not any(s in text for s in self.special)
 
@@ -183,6 +174,8 @@ def generate_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, tole
             inverse = 2 * inverse - product(inverse, product(columns, inverse))
         if step % 200 == 199:
             used = np.maximum(product(inverse, demand), 0.0)
+    else:
+        raise RuntimeError(f"column generation has not come within {tolerance} of the optimum in {rounds} rounds")
     return columns, used
 
 

@@ -136,13 +136,13 @@ def learn(table: dict[str, np.ndarray], bad: np.ndarray, prune_row: np.ndarray,
 def fit(rows: DataFrame, sample_rows: int = 50_000, **params) -> list[Rule]:
     """Learn from labelled rows (id, label, statistics).  At most about
     ``sample_rows`` of them, chosen by a hash of the id, come to the driver:
-    a documented bound on the fit alone.  Every third is for pruning."""
+    a documented bound on the fit alone (a millionth of them, where that is more).  Every third is for pruning."""
     names = list(rates())
     rows = staged(rows, "rule-rows")
     total = rows.count()
     place = F.pmod(F.xxhash64(F.col("id")), F.lit(1_000_000))
     if total > sample_rows:
-        rows = rows.where(place < int(1_000_000 * sample_rows / total))
+        rows = rows.where(place < max(1, int(1_000_000 * sample_rows / total)))
     data = rows.select(F.col("label"), (F.pmod(F.xxhash64(F.col("id"), F.lit("prune")), F.lit(3)) == 0).alias("prune"),
                        F.col("id").cast("string").alias("id"), *(F.col(c) for c in names)).toPandas()
     data = data.sort_values(["id", *names], kind="stable")

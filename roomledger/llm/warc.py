@@ -10,11 +10,15 @@ the kind and the payload digest, so a retried task writes the same ids.
 
 Each record is worked on by itself: one pass, no shuffle.
 
+Chunked and compressed bodies are put together and inflated for the text;
+digests are those of the payload as it was sent.
+
 Cases: a null block is an empty one; a block without an HTTP head is all
 payload; an empty payload gives empty text; unknown or wrong charsets are
-read as UTF-8 with replacement; a null target is left out of the headers;
-repeated rows give repeated records; an empty table gives none; clashing
-extra columns are not read.
+read as UTF-8 with replacement; broken codings give what can be read of them;
+very long and broken pages take work in proportion to their length; a null
+target is left out of the headers; repeated rows give repeated records; an
+empty table gives none; clashing extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,19 +36,21 @@ from pyspark.sql import types as T
 
 VERSION = "WARC/1.1"
 
-# A tag name ends at a blank, a slash or the end of the tag: <template-card> is another element.
-_DROPPED = re.compile(r"<!--.*?-->|<svg(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|"
-                      r"<(script|style|template|noscript|svg)(?=[\s/>]).*?</\1\s*>|<!\[CDATA\[|\]\]>", re.I | re.S)
-_OPEN_DROPPED = re.compile(r"<!--.*|<(?:script|style|template|noscript)(?=[\s/>]|\Z).*", re.I | re.S)
-_BREAKS = re.compile(r"<(?:/?(?:p|div|section|article|header|footer|nav|aside|main|ul|ol|li|dl|dt|dd|table|tr|h[1-6]|pre|blockquote|form|title|body|head)|br|hr)\b[^>]*>", re.I)
-_CELLS = re.compile(r"</?(?:td|th)\b[^>]*>", re.I)
-_TAGS = re.compile(r"</?[a-zA-Z!?][^>]*>")
+# Elements whose content is not text; an svg without an end tag is a tag like others.
+_HIDDEN = ("script", "style", "template", "noscript", "svg")
+_LINES_OF = set("p div section article header footer nav aside main ul ol li dl dt dd table tr h1 h2 h3 h4 h5 h6 pre blockquote form title body head".split())
+_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in (*_HIDDEN, "title")}
+_MARK = re.compile(r"<!--|<!\[CDATA\[|\]\]>|<(?=/?[a-zA-Z!?])")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)?")
+_CLOSED_AT_ONCE = re.compile(r"<svg(?=[\s/])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<=/)>", re.I)
 _BLANKS = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[\s]*")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_LANG = re.compile(r"[^>]*?\slang\s*+=\s*+[\"']?([A-Za-z0-9-]+)", re.I)
+_LINK = re.compile(r"[^>]*?[\s\"']href\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
+_META = re.compile(rb"<meta[^>]*?charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
+META_BYTES = 1024  # a page names its charset within so many bytes
+_CHUNK = re.compile(rb"([0-9A-Fa-f]+)[^\r\n]*\r?\n")
 
 RECORDS = T.StructType([T.StructField(n, t) for n, t in (
     ("key", T.StringType()), ("record_type", T.StringType()), ("record_id", T.StringType()), ("refers_to", T.StringType()),
@@ -61,38 +68,150 @@ def record_id(*parts: str) -> str:
 
 
 def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
-    """(status line, headers, payload) of an HTTP response."""
+    """(status line, headers, payload) of an HTTP response; its head ends at
+    the first empty line, whatever line ends the server wrote."""
     if not block.startswith(b"HTTP/"):
         return "", [], block
-    head, _, payload = block.partition(b"\r\n\r\n")
-    lines = head.decode("latin-1").split("\r\n")
+    ends = [(at, len(mark)) for mark in (b"\r\n\r\n", b"\n\n") if (at := block.find(mark)) >= 0]
+    at, size = min(ends, default=(len(block), 0))
+    lines = re.split("\r?\n", block[:at].decode("latin-1"))
     headers = [(n.strip(), v.strip()) for n, colon, v in (line.partition(":") for line in lines[1:]) if colon]
-    return lines[0], headers, payload
+    return lines[0], headers, block[at + size:]
+
 
+def _header(headers: list[tuple[str, str]], name: str) -> str:
+    return next((v for n, v in headers if n.lower() == name), "")
 
-def decoded(payload: bytes, headers: list[tuple[str, str]]) -> str:
-    told = next((v for n, v in headers if n.lower() == "content-type"), "")
-    found = _CHARSET.search(told)
+
+def unchunked(payload: bytes) -> bytes:
+    """A chunked body put together; from where it is no chunk on, it is taken
+    as it stands."""
+    out, at = [], 0
+    while m := _CHUNK.match(payload, at):
+        size = int(m.group(1)[:16], 16)
+        if size == 0:
+            return b"".join(out)
+        out.append(payload[m.end(): m.end() + size])
+        at = m.end() + size
+        at += 2 if payload[at: at + 2] == b"\r\n" else int(payload[at: at + 1] == b"\n")
+    return b"".join([*out, payload[at:]])
+
+
+def inflated(payload: bytes) -> bytes:
+    """A gzip, zlib or raw deflate body; of a broken one what can be read, and
+    one that is none of them as it stands."""
+    for bits in (47, -15):
+        engine = zlib.decompressobj(bits)
+        parts, at = [], 0
+        try:
+            while at < len(payload) and not engine.eof:
+                parts.append(engine.decompress(payload[at: at + 65536]))
+                at += 65536
+            return b"".join([*parts, engine.flush()])
+        except zlib.error:
+            if any(parts):
+                return b"".join(parts)
+    return payload
+
+
+def body_of(payload: bytes, headers: list[tuple[str, str]]) -> bytes:
+    """The payload without its transfer and content codings."""
+    if "chunked" in _header(headers, "transfer-encoding").lower():
+        payload = unchunked(payload)
+    for coding in reversed(_header(headers, "content-encoding").lower().split(",")):
+        if coding.strip() in ("gzip", "x-gzip", "deflate"):
+            payload = inflated(payload)
+    return payload
+
+
+def decoded(body: bytes, headers: list[tuple[str, str]]) -> str:
+    """The text of a body: its charset is told by a byte order mark, the
+    header or the page itself; else, or if there is no such charset, UTF-8."""
+    if body.startswith(b"\xef\xbb\xbf"):
+        return body[3:].decode("utf-8", "replace")
+    told = _CHARSET.search(_header(headers, "content-type"))
+    meta = _META.search(body[:META_BYTES])
+    name = told.group(1) if told else meta.group(1).decode("ascii") if meta else "utf-8"
     try:
-        return payload.decode(found.group(1) if found else "utf-8", "replace")
-    except LookupError:
-        return payload.decode("utf-8", "replace")
+        # surrogates that some charsets let through are no text
+        return body.decode(name, "replace").encode("utf-8", "replace").decode("utf-8")
+    except (LookupError, ValueError):
+        return body.decode("utf-8", "replace")
+
+
+def scanned(page: str) -> tuple[list[str], list[tuple[str, str]]]:
+    """(pieces of visible text, facts) in one pass from mark to mark.  Each
+    mark is left behind whatever follows it, and what was once looked for in
+    vain is not looked for again, so the work is in proportion to the page."""
+    out: list[str] = []
+    facts: dict[str, str] = {}
+    links: list[tuple[str, str]] = []
+    missing: set[str] = set()
+    at, title = 0, None
+    while mark := _MARK.search(page, at):
+        out.append(page[at: mark.start()])
+        begin, at = mark.start(), mark.end()
+        if mark.group() == "<!--":
+            if page.startswith((">", "->"), at):
+                at = page.index(">", at) + 1
+            else:
+                end = page.find("-->", at)
+                at = len(page) if end < 0 else end + 3
+            out.append(" ")
+            continue
+        if mark.group() != "<":
+            out.append(" ")
+            continue
+        end = page.find(">", begin)
+        closing, name = _NAME.match(page, begin, len(page) if end < 0 else end).groups()
+        name = (name or "").lower()
+        if end < 0 and (closing or name not in _HIDDEN):
+            at = begin
+            break  # no tag ends any more: the rest is text
+        at = len(page) if end < 0 else end + 1
+        if name in _HIDDEN and not closing:
+            out.append(" ")
+            whole = _CLOSED_AT_ONCE.match(page, begin) if name == "svg" else None
+            if whole:
+                at = whole.end()
+            elif (found := None if name in missing else _END[name].search(page, at)) is not None:
+                at = found.end()
+            else:
+                missing.add(name)
+                if name != "svg":
+                    at = len(page)
+            continue
+        out.append("\n" if name in _LINES_OF or (name in ("br", "hr") and not closing) else " " if name in ("td", "th") else "")
+        if name == "title" and "title" not in facts:
+            if not closing and title is None:
+                title = len(out)
+            elif closing and title is not None:
+                facts["title"] = "".join(x for x in out[title:-1])
+        if closing:
+            continue
+        if name == "html" and "lang" not in facts and (m := _LANG.match(page, begin)):
+            facts["lang"] = m.group(1)
+        elif name == "a" and (m := _LINK.match(page, begin)):
+            links.append(("outlink", next(g for g in m.groups() if g is not None)))
+    out.append(page[at:])
+    one_line = lambda s: " ".join(html.unescape(s).split())
+    found = [("title", one_line(facts["title"]))] if "title" in facts else []
+    found += [("languages-html", facts["lang"])] if "lang" in facts else []
+    return out, found + [(n, one_line(v)) for n, v in links]
+
+
+def _joined(pieces: list[str]) -> str:
+    return _LINES.sub("\n", _BLANKS.sub(" ", html.unescape("".join(pieces)))).strip()
 
 
 def plain_text(page: str) -> str:
     """The visible text: blocks on lines of their own, blanks collapsed."""
-    page = _OPEN_DROPPED.sub(" ", _DROPPED.sub(" ", page))
-    page = _TAGS.sub("", _CELLS.sub(" ", _BREAKS.sub("\n", page)))
-    return _LINES.sub("\n", _BLANKS.sub(" ", html.unescape(page))).strip()
+    return _joined(scanned(page)[0])
 
 
 def page_facts(page: str) -> list[tuple[str, str]]:
     """Title, language and out-links."""
-    one_line = lambda s: " ".join(html.unescape(_TAGS.sub("", s)).split())
-    seen = _DROPPED.sub(" ", page)
-    facts = [("title", one_line(m.group(1))) for m in [_TITLE.search(seen)] if m]
-    facts += [("languages-html", m.group(1)) for m in [_LANG.search(seen)] if m]
-    return facts + [("outlink", one_line(next(g for g in m.groups() if g is not None))) for m in _LINK.finditer(seen)]
+    return scanned(page)[1]
 
 
 def derived(key, rid, target, date, block: bytes, block_digest, payload_digest) -> list[tuple]:
@@ -100,12 +219,12 @@ def derived(key, rid, target, date, block: bytes, block_digest, payload_digest)
     status, headers, payload = split_http(block)
     block_digest = block_digest or digest(block)
     payload_digest = payload_digest or digest(payload)
-    page = decoded(payload, headers)
-    text = plain_text(page)
+    pieces, facts = scanned(decoded(body_of(payload, headers), headers))
+    text = _joined(pieces)
     ids = {kind: record_id(rid or "", kind, payload_digest) for kind in ("metadata", "conversion")}
     fields = [("source-status", status)] + [(f"source-header-{n.lower()}", v) for n, v in headers]
     fields += [("source-block-digest", block_digest), ("source-payload-digest", payload_digest), ("conversion-id", ids["conversion"])]
-    fields += page_facts(page)
+    fields += facts
     blocks = {"metadata": "".join(f"{n}: {v}\r\n" for n, v in fields), "conversion": text}
     types = {"metadata": "application/warc-fields", "conversion": "text/plain; charset=utf-8"}
     raw_headers = "\r\n".join([status, *(f"{n}: {v}" for n, v in headers)]) if status else ""
