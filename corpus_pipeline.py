@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from roomledger.llm import minhash, mixing, packing, rules, suffix
 from roomledger.llm.queries import read, tokenizer_path
-from roomledger.llm.staging import staged
+from roomledger.session import scratch_dir, scratch_under
+from roomledger.sources.sinks import delete_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +50,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        # what a stage stages for itself goes when its result is written, and so does what it has read
+        work, path = scratch_dir(spark, f"pipeline-{name}-work"), scratch_dir(spark, f"pipeline-{name}")
+        with scratch_under(work):
+            result = stage(spark, docs, sf_dir)
+            result.write.parquet(path)
+        docs = spark.read.schema(result.schema).parquet(path)
+        for folder in (work, before):
+            if folder is not None:
+                delete_folder(spark, folder)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
