@@ -75,12 +75,7 @@ SUPPLY_CATEGORIES = [
     "gemeubelde-appartementen-te-huur",
 ]
 
-# JSON carried by pages: the <pre> body, the __NEXT_DATA__ script, JSON-LD
-# scripts (exact and with further attributes), values in inline scripts.
-PRE_BODY = r"(?is)<pre[^>]*>(.*?)</pre>"
-NEXT_DATA_BODY = r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>'
-JSONLD_STRICT = r'(?s)<script type="application/ld\+json">(.*?)</script>'
-JSONLD_WITH_ATTRS = r'(?s)<script type="application/ld\+json"[^>]*>(.*?)</script>'
+# Values in inline scripts.
 EMBEDDED_STRING = r'"{key}":"([^"]+)"'
 EMBEDDED_INTEGER = r'"{key}":\s*(\d+)'
 

@@ -1,10 +1,12 @@
 """JSON found inside pages: ``<pre>`` bodies, the ``__NEXT_DATA__`` script,
 JSON-LD blocks and values in inline scripts (S4-S7).
 
-Everything stays in the row: blocks are found with a regex, parsed with
-``try_parse_json`` into VARIANT, and the first block meeting a predicate is
-picked with ``filter`` + ``try_element_at``.  Malformed JSON gives NULL,
-never an error, and no page is exploded or shuffled to find its block.
+Everything stays in the row: a page is cut at the end tags once, which gives
+the pieces that can hold a block, whatever is left open in them; blocks are
+parsed with ``try_parse_json`` into VARIANT, and the first block meeting a
+predicate is picked with ``filter`` + ``try_element_at``.  Malformed JSON
+gives NULL, never an error, and no page is exploded or shuffled to find its
+block.
 """
 
 from __future__ import annotations
@@ -15,9 +17,44 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..constants import JSONLD_STRICT, JSONLD_WITH_ATTRS, NEXT_DATA_BODY, PRE_BODY
 from .text import col
 
+# How the blocks begin and end in a page.
+PRE_OPEN, PRE_CLOSE = r"(?i)<pre[^>]*+(?:>|\z)", "(?i)</pre>"
+SCRIPT_CLOSE = "</script>"
+LD_OPEN = '<script type="application/ld+json"'
+NEXT_DATA_OPEN = '<script id="__NEXT_DATA__"'
+
+
+def closed_pieces(html: Column | str, end: str) -> Column:
+    """The pieces of a page before each end tag: the first opening tag in a
+    piece begins the block that ends there.  One pass, as each end tag is
+    looked for once."""
+    pieces = F.split(col(html), end)
+    return F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0)))
+
+
+def _blocks(pieces: Column, opening: str) -> Column:
+    """(attrs, text) of the blocks that begin with ``opening`` (literal text
+    up to the attributes that may follow)."""
+    def block(piece: Column) -> Column:
+        rest = F.substring(piece, F.instr(piece, F.lit(opening)) + len(opening), F.length(piece))
+        attrs = F.substring_index(rest, ">", 1)
+        return F.struct(attrs.alias("attrs"), F.substring(rest, F.length(attrs) + 2, F.length(rest)).alias("text"))
+
+    return F.transform(F.filter(pieces, lambda p: p.contains(opening)), block)
+
+
+def script_blocks(html: Column | str) -> Column:
+    """The block table of a page: array of (kind, attrs, text) of its JSON-LD
+    and ``__NEXT_DATA__`` scripts, which S5 and S6 read.  Compute it once per
+    page and pass it on as ``blocks``."""
+    def of_kind(pieces: Column, kind: str, opening: str) -> Column:
+        return F.transform(_blocks(pieces, opening), lambda b: F.struct(F.lit(kind).alias("kind"), b["attrs"].alias("attrs"), b["text"].alias("text")))
+
+    # the pieces are a variable: cut once, read for both kinds
+    return F.aggregate(F.array().cast("array<int>"), closed_pieces(html, SCRIPT_CLOSE), lambda kept, _: kept,
+                       lambda pieces: F.concat(of_kind(pieces, "ld", LD_OPEN), of_kind(pieces, "next", NEXT_DATA_OPEN)))
 
 
 def parse_json(text: Column | str) -> Column:
@@ -26,7 +63,8 @@ def parse_json(text: Column | str) -> Column:
 
 def json_in_pre(html: Column | str) -> Column:
     """JSON of the first ``<pre>``; NULL when absent or malformed."""
-    return parse_json(F.regexp_extract(col(html), PRE_BODY, 1))
+    pieces = F.filter(closed_pieces(html, PRE_CLOSE), lambda p: p.rlike(PRE_OPEN))
+    return parse_json(F.try_element_at(F.split(F.try_element_at(pieces, F.lit(1)), PRE_OPEN, 2), F.lit(2)))
 
 
 def vget(v: Column, path: str, typ: str) -> Column:
@@ -38,9 +76,10 @@ def variant_list(v: Column, path: str = "$") -> Column:
     return vget(v, path, "array<variant>")
 
 
-def next_data_list(html: Column | str) -> Column:
+def next_data_list(html: Column | str, blocks: Column | None = None) -> Column:
     """The first of ``props.pageProps.classifiedList`` / ``.results`` that is a list."""
-    nxt = parse_json(F.regexp_extract(col(html), NEXT_DATA_BODY, 1))
+    found = F.filter(script_blocks(html) if blocks is None else blocks, lambda b: b["kind"] == "next")
+    nxt = parse_json(F.try_element_at(found, F.lit(1))["text"])
     return F.coalesce(
         variant_list(nxt, "$.props.pageProps.classifiedList"),
         variant_list(nxt, "$.props.pageProps.results"),
@@ -79,7 +118,7 @@ def search_payload(html: Column | str) -> Column:
     )
 
 
-def jsonld_blocks(html: Column | str, allow_attrs: bool = False, keys: Sequence[str] = ()) -> Column:
+def jsonld_blocks(html: Column | str, allow_attrs: bool = False, keys: Sequence[str] = (), blocks: Column | None = None) -> Column:
     """JSON-LD blocks in page order, parsed (malformed -> NULL element).
 
     With ``keys``, only blocks whose text mentions one of them as a quoted
@@ -87,17 +126,14 @@ def jsonld_blocks(html: Column | str, allow_attrs: bool = False, keys: Sequence[
     key.  A block with any backslash is always parsed, since an escaped name
     (``"\\u006ffers"``) is the same key after parsing.
     """
-    pattern = JSONLD_WITH_ATTRS if allow_attrs else JSONLD_STRICT
-    texts = F.regexp_extract_all(col(html), F.lit(pattern), 1)
-    if keys:
-        def may_match(b: Column) -> Column:
-            out = b.contains("\\")
-            for k in keys:
-                out = out | b.contains(f'"{k}"')
-            return out
+    def wanted(b: Column) -> Column:
+        out = b["text"].contains("\\") if keys else F.lit(True)
+        for k in keys:
+            out = out | b["text"].contains(f'"{k}"')
+        return (b["kind"] == "ld") & out & (F.lit(True) if allow_attrs else b["attrs"] == "")
 
-        texts = F.filter(texts, may_match)
-    return F.transform(texts, lambda b: F.try_parse_json(b))
+    found = F.filter(script_blocks(html) if blocks is None else blocks, wanted)
+    return F.transform(found, lambda b: F.try_parse_json(b["text"]))
 
 
 def flatten_lists(blocks: Column) -> Column:
@@ -149,23 +185,23 @@ def first_match(elements: Column, predicate: Callable[[Column], Column]) -> Colu
     return F.try_element_at(F.filter(elements, lambda v: F.coalesce(predicate(v), F.lit(False))), F.lit(1))
 
 
-def ld_offer_block(html: Column | str) -> Column:
+def ld_offer_block(html: Column | str, blocks: Column | None = None) -> Column:
     """S6, classifieds: first top-level object that has an ``offers`` key (lists rejected)."""
-    return first_match(jsonld_blocks(html, keys=("offers",)), lambda v: has_key(v, "offers"))
+    return first_match(jsonld_blocks(html, keys=("offers",), blocks=blocks), lambda v: has_key(v, "offers"))
 
 
-def ld_typed_block(html: Column | str, types: Sequence[str] = K.JSONLD_TYPES) -> Column:
+def ld_typed_block(html: Column | str, types: Sequence[str] = K.JSONLD_TYPES, blocks: Column | None = None) -> Column:
     """S6, rental pages: first object (lists flattened) whose ``@type`` is in ``types``."""
     return first_match(
-        flatten_lists(jsonld_blocks(html, keys=("@type",))),
+        flatten_lists(jsonld_blocks(html, keys=("@type",), blocks=blocks)),
         lambda v: is_object(v) & vget(v, "$['@type']", "string").isin(*types),
     )
 
 
-def ld_offer_or_address_block(html: Column | str) -> Column:
+def ld_offer_or_address_block(html: Column | str, blocks: Column | None = None) -> Column:
     """S6, JS pages: first object (lists flattened) with a truthy ``offers`` or ``address``."""
     return first_match(
-        flatten_lists(jsonld_blocks(html, allow_attrs=True, keys=("offers", "address"))),
+        flatten_lists(jsonld_blocks(html, allow_attrs=True, keys=("offers", "address"), blocks=blocks)),
         lambda v: is_object(v) & (truthy(vget(v, "$.offers", "variant")) | truthy(vget(v, "$.address", "variant"))),
     )
 

@@ -59,13 +59,54 @@ def matches_any_phrase(text: Column | str, patterns: Sequence[str] = K.UNAVAILAB
     return F.coalesce(col(text).rlike(phrase_pattern(patterns)), F.lit(False))
 
 
+CHAIN = 64  # up to so many keywords, looking for one after the other is faster than the pattern
+
+
 def contains_any(text_lower: Column | str, keywords: Iterable[str]) -> Column:
-    """Substring test against several keywords, as one OR chain (codegen)."""
-    c = col(text_lower)
-    tests = [c.contains(F.lit(k)) for k in keywords]
-    if not tests:
+    """Substring test against several keywords: a short list is one OR chain,
+    a long one a single pattern that passes over the text once."""
+    c, found = col(text_lower), sorted(set(keywords))
+    if not found:
         return F.lit(False)
-    return F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False))
+    if "" in found:
+        return F.coalesce(c.isNotNull(), F.lit(False))
+    test = reduce(lambda a, b: a | b, [c.contains(F.lit(k)) for k in found]) if len(found) <= CHAIN else c.rlike(keyword_pattern(found))
+    return F.coalesce(test, F.lit(False))
+
+
+def keyword_pattern(keywords: Iterable[str]) -> str:
+    """One pattern that finds any of the keywords: their common beginnings
+    are factored out, and where many characters can follow, a look at the next
+    one halves the choices: steps for a character grow with the logarithm
+    of the list."""
+    tree: dict = {}
+    for word in sorted(set(keywords), key=lambda w: (len(w), w)):
+        node = tree
+        for ch in word:
+            if "" in node:  # a shorter keyword is found here already
+                break
+            node = node.setdefault(ch, {})
+        else:
+            node.clear()
+            node[""] = {}
+    return "(?s)" + _pattern_of(tree)
+
+
+def _literal(ch: str) -> str:
+    return ch if ch.isascii() and ch.isalnum() else f"\\x{{{ord(ch):X}}}"
+
+
+def _pattern_of(node: dict) -> str:
+    if "" in node:
+        return ""
+    heads = sorted(node)
+    if len(heads) == 1:
+        return _literal(heads[0]) + _pattern_of(node[heads[0]])
+    if len(heads) <= 2:
+        return "(?:" + "|".join(_literal(h) + _pattern_of(node[h]) for h in heads) + ")"
+    middle = len(heads) // 2
+    halves = [heads[:middle], heads[middle:]]
+    return "(?:" + "|".join(f"(?=[{_literal(h[0])}-{_literal(h[-1])}])" + _pattern_of({x: node[x] for x in h}) for h in halves) + ")"
 
 
 def yes_if_mentioned(text_lower: Column | str, keywords: Iterable[str]) -> Column:

@@ -21,6 +21,7 @@ from .. import constants as K
 from ..functions.text import DIGIT_CLASS, address_key
 
 
+HOT_KEYS = 1000  # at most so many keys are broadcast
 POSITION_BASE = "10000000000000000000"  # above any BIGINT position
 
 
@@ -92,20 +93,25 @@ def mark_cross_source_duplicates(df: DataFrame, address: str = "address", price:
     Rows arrive site by site in rank order, so "first seen" is the minimum
     rank of the key.  Ineligible rows (no digit, unknown price) never meet a
     shuffle: they are split off and unioned back, so NULL keys cannot pile
-    into one partition.  The per-key minimum is a partial aggregate; the
-    join back carries one row per key on the right, which AQE broadcasts
-    when small and splits when skewed.  The key is a digest of fixed width,
-    whatever the length of the address.
-
-    ``df`` is read three times; pass a staged (written) table, not an
+    into one partition.  The per-key minimum and count are a partial
+    aggregate.  Keys that hold more than one in ``HOT_KEYS`` of the rows are
+    fewer than that, so theirs are broadcast and their rows stay in the tasks
+    that have read them; all others are joined with their key's minimum, one
+    row per key on the right.  So no partition grows with one key, whether or
+    not AQE splits it.  The key is a digest of fixed width, whatever the
+    length of the address.
+
+    ``df`` is read several times; pass a staged (written) table, not an
     expensive plan.
     """
+    on = ["_dedup_key", price]
     keyed = df.withColumn("_eligible", dedup_eligible(address, price))
     eligible = keyed.where(F.col("_eligible")).withColumn("_dedup_key", F.unhex(F.sha2(address_key(address), 256)))
-    firsts = eligible.groupBy("_dedup_key", price).agg(F.min(rank).alias("_first_rank"))
-    marked = eligible.join(firsts, on=["_dedup_key", price], how="inner").withColumn(
-        "is_duplicate", F.col(rank) > F.col("_first_rank")
-    )
+    firsts = eligible.groupBy(*on).agg(F.min(rank).alias("_first_rank"), F.count(F.lit(1)).alias("_n"))
+    is_hot = F.col("_n") * HOT_KEYS > firsts.agg(F.sum("_n").alias("rows")).scalar()
+    hot = F.broadcast(firsts.where(is_hot).select(*on, "_first_rank"))
+    common = eligible.join(hot.select(*on), on, "left_anti").join(firsts.where(~is_hot).select(*on, "_first_rank"), on)
+    marked = eligible.join(hot, on).unionByName(common).withColumn("is_duplicate", F.col(rank) > F.col("_first_rank"))
     ineligible = keyed.where(~F.col("_eligible")).withColumn("is_duplicate", F.lit(False))
     cols = [*df.columns, "is_duplicate"]
     return marked.select(*cols).unionByName(ineligible.select(*cols))

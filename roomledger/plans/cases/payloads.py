@@ -147,12 +147,13 @@ SELECT event_id,
        AND ({TRUTHY.format(x="json_extract(v, '$.offers')")} OR {TRUTHY.format(x="json_extract(v, '$.address')")}))[1], '$.k') AS INTEGER) AS k_truthy_block
 FROM blocks""")
 def jsonld_first_match(spark, d):
-    h = ld_html(ev(spark, d))
+    h = ld_html(ev(spark, d)).select("event_id", payload.script_blocks("html").alias("blocks"))
+    blocks = {"html": F.lit(None), "blocks": F.col("blocks")}
     return h.select(
         "event_id",
-        F.try_variant_get(payload.ld_offer_block("html"), "$.k", "int").alias("k_offer_block"),
-        F.try_variant_get(payload.ld_typed_block("html"), "$.k", "int").alias("k_typed_block"),
-        F.try_variant_get(payload.ld_offer_or_address_block("html"), "$.k", "int").alias("k_truthy_block"),
+        F.try_variant_get(payload.ld_offer_block(**blocks), "$.k", "int").alias("k_offer_block"),
+        F.try_variant_get(payload.ld_typed_block(**blocks), "$.k", "int").alias("k_typed_block"),
+        F.try_variant_get(payload.ld_offer_or_address_block(**blocks), "$.k", "int").alias("k_truthy_block"),
     )
 
 
