@@ -61,9 +61,10 @@ def test_a_thousand_keywords_cost_much_less_than_their_chain(spark):
         return best
 
     pattern = seconds(text.contains_any("t", words))
-    chain = seconds(reduce(lambda a, b: a | b, [F.col("t").contains(w) for w in words]))
+    # a chain of all of them is too deep an expression
+    part = seconds(reduce(lambda a, b: a | b, [F.col("t").contains(w) for w in words[:100]]))
     df.unpersist()
-    assert pattern < chain / 2, (pattern, chain)
+    assert pattern < 10 * part / 2, (pattern, part)
 
 
 def test_blocks_of_odd_pages(spark):
