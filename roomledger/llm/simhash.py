@@ -13,9 +13,15 @@ fingerprints with an equal key meet.  Equal fingerprints are one entry with
 a count.  A table bucket is worked off in hashed square blocks, so no task
 holds a whole bucket.
 
+A pair of fingerprints meets in several tables; it counts in the first of
+them only.  ``near_counts`` returns how many others each fingerprint has
+within the radius, so a large group of near fingerprints gives a row for each
+and pair of blocks, not one for each pair.
+
 Cases: null is the empty text; a text without a word has the fingerprint 0;
 fewer words than a window make one term; ties of a vote give bit 0; repeated
-rows have equal fingerprints; an empty table gives an empty result.
+rows have equal fingerprints; very long texts are fingerprinted whole; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import arrays
+from . import arrays, groups
 from .staging import staged
 
 BITS = 128
@@ -201,6 +207,79 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 # --- all fingerprints within a Hamming radius ---------------------------------
 
+BLOCK = 1000  # fingerprints of a block of a bucket
+NEAR = ["slot", "key", "i", "j"]
+
+
+def fingerprint_classes(docs: DataFrame, radius: int = 3, blocks: int = 6, **options) -> DataFrame:
+    """``edited_fingerprints`` with the class of each document (the least id
+    of its fingerprint, null if none has an id), the size of the class and the
+    number of other fingerprints in the corpus within ``radius`` bits."""
+    rows = staged(edited_fingerprints(docs, **options), "documents")
+    prints = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    prints = staged(prints.withColumn("print", F.unhex("fingerprint")), "prints")
+    near = near_counts(prints, radius, blocks, options.get("bits", BITS))
+    found = prints.join(near, "print", "left").select("fingerprint", "class_id", "class_size", F.coalesce("near", F.lit(0).cast("long")).alias("n_near"))
+    return rows.join(found, "fingerprint").select(*rows.columns, "class_id", "class_size", "n_near")
+
+
+def near_counts(prints: DataFrame, radius: int = 3, blocks: int = 6, bits: int = BITS) -> DataFrame:
+    """(print, near): of distinct fingerprints (``print``, binary) those that
+    others differ from in at most ``radius`` bits, and how many others."""
+    if not radius < blocks <= bits:
+        raise ValueError("blocks must exceed the radius")
+    edges = [bits * k // blocks for k in range(blocks + 1)]
+    tables = list(combinations(range(blocks), blocks - radius))
+    whole = np.zeros((blocks, bits), bool)
+    for k in range(blocks):
+        whole[k, edges[k]: edges[k + 1]] = True
+    keyed = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("print", T.BinaryType())])
+
+    def keys(batches):
+        for batch in batches:
+            raw = np.frombuffer(b"".join(batch.column("print").to_pylist()), np.uint8).reshape(-1, bits // 8)
+            unpacked = np.unpackbits(raw, axis=1)
+            for t, chosen in enumerate(tables):
+                front = np.packbits(np.concatenate([unpacked[:, edges[c]: edges[c + 1]] for c in chosen], axis=1), axis=1)
+                width = front.shape[1]
+                names = arrays.RangeHash(front.reshape(-1), t + 1)(np.arange(len(raw)) * width, (np.arange(len(raw)) + 1) * width)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), t, np.int32)), pa.array(names.view(np.int64)), batch.column("print")],
+                                                 keyed.fieldNames())
+
+    table = prints.select("print").mapInArrow(keys, keyed)
+    sizes = table.groupBy("slot", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    dealt = table.join(sizes, ["slot", "key"]).withColumn("deal", F.expr(f"CAST(n DIV {BLOCK} + 1 AS INT)")) \
+        .withColumn("own", F.expr("CAST(pmod(xxhash64(print), deal) AS INT)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("deal") - 1))) \
+        .select("slot", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "print")
+    counted = T.StructType([T.StructField("print", T.BinaryType()), T.StructField("near", T.LongType())])
+
+    def compare(batches):
+        for group in groups.by_group(batches, *NEAR):
+            slot = group.column("slot")[0].as_py()
+            raw = np.frombuffer(b"".join(group.column("print").to_pylist()), np.uint8).reshape(-1, bits // 8)
+            side = group.column("side").to_numpy()
+            same = group.column("i")[0].as_py() == group.column("j")[0].as_py()
+            left, right = (raw, raw) if same else (raw[side == 0], raw[side == 1])
+            mine, its = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
+            for k in range(len(left)):
+                change = right ^ left[k]
+                distance = np.bitwise_count(change).sum(axis=1)
+                found = np.flatnonzero((distance <= radius) & (distance > 0))
+                if len(found):
+                    # the first table whose blocks are all equal
+                    equal = ~(np.unpackbits(change[found], axis=1).astype(bool)[:, None, :] & whole).any(axis=2)
+                    first = np.argmax([equal[:, list(t)].all(axis=1) for t in tables], axis=0)
+                    found = found[first == slot]
+                    mine[k] += len(found)
+                    if not same:
+                        its[found] += 1
+            prints, near = (left, mine) if same else (np.concatenate([left, right]), np.concatenate([mine, its]))
+            some = np.flatnonzero(near)
+            yield pa.RecordBatch.from_arrays([pa.array([prints[k].tobytes() for k in some], pa.binary()), pa.array(near[some])], counted.fieldNames())
+
+    return dealt.repartition(*NEAR).sortWithinPartitions(*NEAR).mapInArrow(compare, counted).groupBy("print").agg(F.sum("near").alias("near"))
+
 
 def within_radius(prints: DataFrame, radius: int = 3, blocks: int = 6, bits: int = BITS, id_col: str = "doc_id",
                   print_col: str = "fingerprint") -> tuple[DataFrame, DataFrame]:

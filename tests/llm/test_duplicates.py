@@ -284,3 +284,39 @@ def test_documents_without_repeats_keep_their_columns(spark):
     out = {r["doc_id"]: r for r in suffix.without_repeats(df).collect()}
     assert (out[1]["text"], out[2]["text"], out[2]["n_chars"], out[3]["text"], out[1]["held"]) == ("x" * 60, "yé", 2, None, "s")
     assert suffix.without_repeats(df.where("false")).count() == 0
+
+
+def test_fingerprint_classes_and_their_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, (30, 16), dtype=np.uint8)
+    prints = [bytes(16), *(b.tobytes() for b in base)]
+    for b in base:
+        for flips in (1, 2, 3, 4, 5):
+            bits = np.unpackbits(b)
+            bits[rng.choice(128, flips, replace=False)] ^= 1
+            prints.append(np.packbits(bits).tobytes())
+    for _ in range(60):  # one large group
+        bits = np.unpackbits(base[0])
+        bits[rng.choice(128, 2, replace=False)] ^= 1
+        prints.append(np.packbits(bits).tobytes())
+    prints = sorted(set(prints))
+    raw = np.frombuffer(b"".join(prints), np.uint8).reshape(-1, 16)
+    for radius, blocks in ((3, 6), (1, 2), (0, 1), (2, 5)):
+        want = {p: int((np.bitwise_count(raw ^ raw[k]).sum(axis=1) <= radius).sum()) - 1 for k, p in enumerate(prints)}
+        df = spark.createDataFrame([(bytearray(p),) for p in prints], "print binary")
+        got = {bytes(r["print"]): r["near"] for r in simhash.near_counts(df, radius, blocks).collect()}
+        assert got == {p: n for p, n in want.items() if n}
+
+
+def test_fingerprint_classes_of_documents(spark):
+    texts = ["one two three four five six", "one two three four five six", "", None, "one two three four five six", "something else is here"]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(None, "of no id"), (None, "of no id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.fingerprint_classes(df).collect()
+    plain = {r["doc_id"]: r for r in simhash.edited_fingerprints(df).collect()}
+    assert len(got) == 8 and all(r["fingerprint"] == plain[r["doc_id"]]["fingerprint"] for r in got)
+    assert sorted((r["doc_id"], r["class_id"], r["class_size"]) for r in got if r["doc_id"] is not None) == [
+        (0, 0, 3), (1, 0, 3), (2, 2, 2), (3, 2, 2), (4, 0, 3), (5, 5, 1)]
+    assert [(r["class_id"], r["class_size"]) for r in got if r["doc_id"] is None] == [(None, 2)] * 2
+    assert simhash.fingerprint_classes(df.where("false")).collect() == []
