@@ -17,8 +17,9 @@ DataFrame functions only; nothing per document reaches the driver.
 
 Cases: a null text has size 0 and takes nothing; a null source is a source of
 its own (last in order); empty sources have target 0; an empty table gives an
-empty result; repeated rows are separate documents of equal rate; only the
-named columns are read, others are kept by ``mixed_documents``.
+empty result; repeated rows are separate documents of equal rate; rows without
+an id are told apart by their text; of a very long text only its number of
+words counts; only the named columns are read, others are kept by ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -127,6 +128,7 @@ def copies(rows: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     rated = staged(rated, "rates")
 
     order = [F.col("id"), F.col("tie")]
+    known = F.coalesce(F.col("id"), F.lit(-(1 << 63))).alias("known")  # rows without an id are joined too
     placed = ranked(rows, ["src", "size"], order, rated.select("src", "size", "n"), "place") \
         .join(rated.select("src", "size", "source_size", "target", "rate", "before"), ["src", "size"])
     upto = lambda k: F.floor(F.col("before") + (F.col("place") + k) * F.col("rate") + F.lit(0.5))
@@ -147,13 +149,14 @@ def copies(rows: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     moved = staged(moved.select("src", "size", "n", "moves", "lack"), "moves")
     numbered = ranked(placed.join(moved.select("src", "size", "lack", "moves"), ["src", "size"], "left").withColumn("able", F.coalesce(may, F.lit(False)))
                       .where("able"), ["src", "size"], order, moved.select("src", "size", "n"), "turn")
-    changed = numbered.where("turn < moves").select("src", "size", "id", "tie", F.signum("lack").cast("int").alias("change"), "copies")
+    changed = numbered.where("turn < moves").select("src", "size", known, "tie", F.signum("lack").cast("int").alias("change"), "copies")
     # equal rows (same id, text, source) may differ in copies: change as many of them as were numbered
-    same = Window.partitionBy("src", "size", "id", "tie", "copies").orderBy(F.lit(0))
-    left = placed.withColumn("twin", F.row_number().over(same))
+    keys = ["src", "size", "known", "tie", "copies"]
+    same = Window.partitionBy(*keys).orderBy(F.lit(0))
+    left = placed.withColumn("known", known).withColumn("twin", F.row_number().over(same))
     right = changed.withColumn("twin", F.row_number().over(same))
-    return left.join(right, ["src", "size", "id", "tie", "copies", "twin"], "left") \
-        .withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0))).drop("twin", "change")
+    return left.join(right, [*keys, "twin"], "left") \
+        .withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0))).drop("twin", "change", "known")
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text",

@@ -156,8 +156,16 @@ def test_rounds_that_do_not_converge_are_told(spark, monkeypatch):
         mixing.mixed(rows).collect()
 
 
-def test_rows_without_an_id_are_mixed_packed_and_counted(spark):
+def test_rows_without_an_id_are_mixed(spark):
     rows = [(None, "a b c", "s"), (None, "d e", "s"), (None, None, None), (4, "f " * 50, "t")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = mixing.mixed(df).collect()
     assert sorted((r["doc_id"] is None, r["size"]) for r in got) == [(False, 50), (True, 0), (True, 2), (True, 3)]
+    # corrections reach rows without an id as they reach others
+    many = [(k, "w " * (k * 7 % 23 + 1) + str(k), f"s{k % 3}") for k in range(90)]
+    taken = []
+    for ids in (True, False):
+        df = spark.createDataFrame([(k if ids else None, t, s) for k, t, s in many], "doc_id long, text string, source string")
+        out = mixing.mixed(df).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+        taken.append(sorted(abs(r["taken"] - r["target"]) for r in out))
+    assert max(taken[0]) <= 3 and max(taken[1]) <= 3
