@@ -31,7 +31,8 @@ own rows: equal ones form one class only if their text is the same non-empty
 string; fewer than five words make one shingle; ties, repeated rows and
 repeated ids fall into the class of their text, texts without an id too; a
 class id is the least doc_id of the class (null only if all its ids are null);
-an empty table gives an empty result; other columns are not read.
+very long texts are sketched and compared whole; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ determinant) plus the log prior odds.
 Cases: null or empty text has zero counts and is scored like any other; an
 empty table scores nothing; if one class has fewer than two labelled rows all
 scores are 0.5; repeated rows are scored each; ids labelled both ways are not
-learned from.  Only the named columns are read.
+learned from; very long texts are counted whole; rows without an id are scored
+but not learned from.  Only the named columns are read.
 """
 
 from __future__ import annotations

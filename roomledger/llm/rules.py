@@ -12,7 +12,8 @@ any DataFrame with the counts can evaluate.
 Cases: null text has no words; an empty table gives no rows; without both
 labels the list is empty and keeps all that the base rules keep; ties between
 thresholds go to the first statistic and the smallest threshold; repeated
-rows are judged each.  Only the named columns are read.
+rows are judged each; very long texts are counted whole.  Only the named
+columns are read.
 """
 
 from __future__ import annotations

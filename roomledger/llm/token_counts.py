@@ -13,7 +13,8 @@ The splitting pattern of the vocabulary cuts a text into pieces; no merge
 crosses a piece.  Tables of pieces are kept per Python worker, so a repeated
 word costs one dictionary look-up.
 
-Cases: null is the empty text; an empty text has 0 tokens; repeated rows give
+Cases: null is the empty text; an empty text has 0 tokens; very long texts are
+counted whole; rows without an id are counted like others; repeated rows give
 repeated results; an empty table gives an empty table; input columns other
 than the two named ones are not read.
 """
