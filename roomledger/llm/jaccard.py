@@ -59,7 +59,7 @@ SHINGLE = 5
 PERCENT = 80
 FLUSH = 1 << 20  # shingles numbered together
 BUCKET = 1 << 20  # shingles of a bucket
-BLOCK = 1 << 17  # shingles of the members of a block
+BLOCK = 1 << 16  # shingles of the members of a block
 MANY = (1 << 16) - 1  # the number that stands for several owners
 PIVOTS = 16
 CELLS = 1 << 22  # of a matrix held at once
