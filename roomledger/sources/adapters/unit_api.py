@@ -24,7 +24,8 @@ def build(spark: SparkSession, root: str, run_ts: dt.datetime) -> DataFrame:
     search = filters.academic_year_filter(api(spark, root, "search"), picked, "availability_id")
 
     # Bodies are parsed once: the page log and the items both read the stage.
-    parsed = first_landings(staged(payloads.parse_search_bodies(search, "body", ("page", LANDED)), "unit-search"), ["page"])
+    parsed = staged(payloads.parse_search_bodies(search, "body", ("page", "availability_id", LANDED)), "unit-search")
+    parsed = first_landings(parsed, ["page", "availability_id"])
 
     # Read pages until the first empty page; a short page is the last.
     n_items = F.coalesce(F.size("items"), F.lit(0))
