@@ -100,8 +100,17 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return data[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
+def forget_words() -> None:
+    """Let go of the words that a tokenizing stage has left in this worker
+    (kept under tuples): a worker that works on bytes now needs the memory."""
+    state = worker_state()
+    for key in [k for k in state if isinstance(k, tuple)]:
+        del state[key]
+
+
 def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """The batch in slices of whole rows: (rows, bytes, offsets)."""
+    forget_words()
     data, offsets = text_buffers(batch.column(text))
     first = 0
     while first < batch.num_rows:
