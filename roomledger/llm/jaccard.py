@@ -57,8 +57,8 @@ from .staging import staged
 
 SHINGLE = 5
 PERCENT = 80
-FLUSH = 1 << 20  # shingles numbered together
-BUCKET = 1 << 20  # shingles of a bucket
+FLUSH = 1 << 19  # shingles numbered together
+BUCKET = 1 << 19  # shingles of a bucket
 BLOCK = 1 << 16  # shingles of the members of a block
 MANY = (1 << 16) - 1  # the number that stands for several owners
 PIVOTS = 16
