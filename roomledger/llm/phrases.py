@@ -28,6 +28,7 @@ are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +42,10 @@ from .staging import staged
 
 LONGEST = 3  # words of a phrase; three numbers of BITS bits make one key
 BITS = 21
-VOCABULARY = 400_000  # words that one task tells apart before it spills all
+VOCABULARY = 400_000  # words that one task tells apart before it spills all; twice as many must fit in BITS
 BURST = 1 << 16
 HELD = 1_000_000
+SALTS = 16
 
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, 0x09]] = True
@@ -91,9 +93,9 @@ class HatTrie:
                 if len(part):
                     self.children[int(_level(part[:1], self.level)[0])].add(part, times)
             keys, counts = keys[~theirs], counts[~theirs]
-        held, get = self.container, self.container.get
-        for key, count in zip(keys.tolist(), counts.tolist()):
-            held[key] = get(key, 0) + count
+        held, names = self.container, keys.tolist()
+        before = np.fromiter(map(held.get, names, repeat(0)), np.int64, len(names))
+        held.update(zip(names, (before + counts).tolist()))
         if len(held) > self.burst_at and self.level < LONGEST - 1:
             self._burst()
 
@@ -174,8 +176,8 @@ def packed_phrases(ids: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.n
 class Counter:
     """The tries of one task and the runs that they spill."""
 
-    def __init__(self, parts: int, held: int = HELD, vocabulary: int = VOCABULARY):
-        self.parts, self.held, self.most = parts, held, min(vocabulary, (1 << BITS) - 2)
+    def __init__(self, parts: int, held: int = HELD):
+        self.parts, self.held = parts, held
         self.reset()
 
     def reset(self) -> None:
@@ -197,19 +199,30 @@ class Counter:
 
     def add(self, langs: list[str], data: np.ndarray, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
         number, doc, reach, vocabulary = slice_phrases(data, offsets)
-        if not len(number):
-            return
-        if len(self.table) + len(vocabulary) > self.most and self.table:
-            yield from self.flush()
-        ids = self._ids(vocabulary)[number]
         names = sorted(set(langs))
         which = np.array([names.index(x) for x in langs])[doc] if len(names) > 1 else np.zeros(len(doc), int)
-        for k, lang in enumerate(names):
-            mine = which == k
-            if mine.any():
-                # the words of a text stay together, and reach never leaves it
-                trie = self.tries.setdefault(lang, HatTrie())
-                trie.add(*packed_phrases(ids[mine], reach[mine]))
+        for first in range(0, len(number), VOCABULARY):
+            # as many words as may all differ, and those that reach out of them
+            last = min(first + VOCABULARY, len(number))
+            part = slice(first, min(last + LONGEST - 1, len(number)))
+            if last - first < len(number):
+                used, local = np.unique(number[part], return_inverse=True)
+                own = vocabulary.take(pa.array(used))
+            else:
+                local, own = number, vocabulary
+            if len(self.table) + len(own) > VOCABULARY and self.table:
+                yield from self.flush()
+            ids = self._ids(own)[local]
+            begins = reach[part].copy()
+            begins[last - first:] = 0
+            for k, lang in enumerate(names):
+                mine = which[part] == k
+                if mine.any():
+                    # the words of a text stay together, and reach never leaves it
+                    self.tries.setdefault(lang, HatTrie()).add(*packed_phrases(ids[mine], begins[mine]))
+            yield from self._spilled()
+
+    def _spilled(self) -> Iterator[pa.RecordBatch]:
         while sum(map(len, self.tries.values())) > self.held:
             lang = max(self.tries, key=lambda x: len(self.tries[x]))
             yield from self._run(lang, *self.tries[lang].spill(len(self.tries[lang]) // 4))
@@ -332,13 +345,14 @@ def _cuts() -> Column:
         .otherwise(F.array(cut(1, ["w1"], ["w2", "w3"]), cut(2, ["w1", "w2"], ["w3"])))
 
 
-def collocations(docs: DataFrame, least: int = 10, inside_percent: int = 50, scale: int = 1_000_000, most: int | None = 2000,
+def collocations(docs: DataFrame, least: int = 10, inside_percent: int = 50, scale: int = 1_000_000, most: int = 2000,
                  lang_col: str = "lang", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): phrases of two or three words
     that occur ``least`` times, by the score of their weakest cut,
     floor(scale * a * a / (l * r)).  A phrase is dropped if a longer candidate
     around it has ``inside_percent`` of its occurrences.  ``most`` is the
-    length of each language's report (None: all)."""
+    length of each language's report; the last window of a language holds
+    that of ``SALTS`` parts, however many candidates there are."""
     grams = staged(frequent_phrases(docs, least, lang_col, text_col, parts), "phrases", True)
     totals = grams.where("size = 0").groupBy("lang").agg(F.sum("f").alias("n"))
     named = grams.where("size > 0").withColumn("phrase", F.concat_ws(" ", "w1", "w2", "w3"))
@@ -353,8 +367,8 @@ def collocations(docs: DataFrame, least: int = 10, inside_percent: int = 50, sca
                    " DIV (CAST(l AS DECIMAL(38,0)) * CAST(r AS DECIMAL(38,0)))")
     weakest = cuts.join(firsts, ["lang", "first"]).join(rests, ["lang", "rest"]) \
         .groupBy("lang", "phrase", "a").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
-    rank = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
-    ranked = weakest.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn("rank", F.row_number().over(rank).cast("long"))
-    if most is not None:
-        ranked = ranked.where(F.col("rank") <= most)
+    ranked = weakest.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    for keys in (["lang", "salt"], ["lang"]):
+        rank = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
+        ranked = ranked.withColumn("rank", F.row_number().over(rank).cast("long")).where(F.col("rank") <= most)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -61,9 +61,10 @@ def phrase_rows(seed=5):
     return rows
 
 
-@pytest.mark.parametrize("held", [phrases.HELD, 50])
-def test_collocations(spark, monkeypatch, held):
+@pytest.mark.parametrize("held, vocabulary", [(phrases.HELD, phrases.VOCABULARY), (50, 7)])
+def test_collocations(spark, monkeypatch, held, vocabulary):
     rows = phrase_rows()
+    monkeypatch.setattr(phrases, "VOCABULARY", vocabulary)
     monkeypatch.setattr(phrases, "BURST", 64)
     df = table(spark, rows).repartition(3)
     counted = phrases.frequent_phrases(df, 1, held=held, parts=5).where("size > 0").collect()
