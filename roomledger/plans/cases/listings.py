@@ -291,8 +291,8 @@ def run_stamped_sink(spark, d):
     kept = windows.cross_source_dedup(doc_listings(spark, d)).select("doc_id", "source")
     root = scratch_dir(spark, "run_stamped_sink")
     written = sinks.write_run_stamped(kept, root, RUN_TS)
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("source", T.StringType()),
-                           T.StructField("run_ts", T.StringType())])
+    # the types as written, whatever those of the table's keys are
+    schema = T.StructType([*kept.schema, T.StructField("run_ts", T.StringType())])
     if written is None:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(root).select("doc_id", "source", "run_ts")
