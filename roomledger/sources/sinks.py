@@ -6,7 +6,7 @@ import datetime as dt
 import json
 import uuid
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -59,30 +59,34 @@ def run_stamp(run_ts: dt.datetime) -> str:
     return run_ts.strftime("%Y%m%d_%H%M%S")
 
 
-def _write_counted(df: DataFrame, path: str, fmt: str, options: dict) -> int:
-    """Write and count in one pass; nothing stays of an empty frame."""
-    obs = Observation(f"rows_{uuid.uuid4().hex[:10]}")
-    df.observe(obs, F.count(F.lit(1)).alias("rows")).write.format(fmt).options(**options).save(path)
-    rows = obs.get["rows"]
-    if rows == 0:
-        delete_folder(df.sparkSession, path)
-    return rows
+def _write_nonempty(df: DataFrame, path: str, fmt: str, options: dict) -> bool:
+    """Write, and tell whether there were rows; nothing stays of an empty frame.
+
+    The written files tell it.  An Observation would save that look, but its
+    figure comes by a listener event: where Spark's event queue is full and
+    drops it, the wait for the figure never ends."""
+    spark = df.sparkSession
+    df.write.format(fmt).options(**options).save(path)
+    if spark.read.format(fmt).schema(df.schema).options(**options).load(path).isEmpty():
+        delete_folder(spark, path)
+        return False
+    return True
 
 
 def write_run_stamped(df: DataFrame, root: str, run_ts: dt.datetime, fmt: str = "parquet", **options) -> str | None:
     """K3: write under ``root/run_ts=<stamp>/``; nothing is written for 0 rows.
 
     Returns the written folder, or None when the frame is empty.  The rows go
-    to a fresh folder first and are counted on the way; only a result with
-    rows takes the place of an earlier one of the same run (``commit``), so a
-    retry that finds nothing leaves what is there.  Reading ``root`` gives
-    ``run_ts`` back as a partition column.
+    to a fresh folder first, which tells whether there are any; only a result
+    with rows takes the place of an earlier one of the same run (``commit``),
+    so a retry that finds nothing leaves what is there.  Reading ``root``
+    gives ``run_ts`` back as a partition column.
     """
     root = root.rstrip("/")
     recover(df.sparkSession, root)
     path = f"{root}/run_ts={run_stamp(run_ts)}"
     fresh = f"{root}/_fresh-{uuid.uuid4().hex[:12]}"
-    if _write_counted(df, fresh, fmt, options) == 0:
+    if not _write_nonempty(df, fresh, fmt, options):
         return None
     commit(df.sparkSession, root, {fresh: path})
     return path
@@ -185,7 +189,7 @@ def write_outputs(staged: DataFrame, out_dir: str, run_ts: dt.datetime) -> dict[
     written: dict[str, str | None] = {}
 
     def write(name: str, df: DataFrame, fmt: str = "parquet", **options) -> None:
-        if _write_counted(df, f"{fresh}/{name}", fmt, options):
+        if _write_nonempty(df, f"{fresh}/{name}", fmt, options):
             written[name] = f"{fresh}/{name}"
 
     write("listings", kept)
