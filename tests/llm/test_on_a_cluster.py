@@ -52,3 +52,8 @@ def test_a_folder_of_each_machine_is_refused(cluster, monkeypatch):
 def test_pipeline_first_stage(cluster, tables):
     kept = corpus_pipeline.STAGES[0][1](cluster, read(cluster, tables, "documents"), tables).collect()
     assert sorted(r["doc_id"] for r in kept) == [k for k in TEXTS if k != 13]
+
+
+def test_op2(cluster, tables):
+    score = {r["doc_id"]: r["score"] for r in QUERIES["op2_quality_classifier"](cluster, tables).collect()}
+    assert score.keys() == TEXTS.keys() and score[11] == score[12] and all(0 <= x <= 1 for x in score.values())
