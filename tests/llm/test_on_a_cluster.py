@@ -57,3 +57,7 @@ def test_pipeline_first_stage(cluster, tables):
 def test_op2(cluster, tables):
     score = {r["doc_id"]: r["score"] for r in QUERIES["op2_quality_classifier"](cluster, tables).collect()}
     assert score.keys() == TEXTS.keys() and score[11] == score[12] and all(0 <= x <= 1 for x in score.values())
+
+
+def test_op3(cluster, tables):
+    assert {r["doc_id"]: r["class_id"] for r in QUERIES["op3_probminhash"](cluster, tables).collect()} == FIRST
