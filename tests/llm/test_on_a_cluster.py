@@ -61,3 +61,9 @@ def test_op2(cluster, tables):
 
 def test_op3(cluster, tables):
     assert {r["doc_id"]: r["class_id"] for r in QUERIES["op3_probminhash"](cluster, tables).collect()} == FIRST
+
+
+def test_op4(cluster, tables):
+    rows = QUERIES["op4_simhash"](cluster, tables).collect()
+    assert {r["doc_id"]: r["class_size"] for r in rows if r["doc_id"] != 13} == {k: 1 + (k in (11, 12)) for k in TEXTS if k != 13}
+    assert len(rows) == len(TEXTS)
