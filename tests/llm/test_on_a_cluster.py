@@ -67,3 +67,8 @@ def test_op4(cluster, tables):
     rows = QUERIES["op4_simhash"](cluster, tables).collect()
     assert {r["doc_id"]: r["class_size"] for r in rows if r["doc_id"] != 13} == {k: 1 + (k in (11, 12)) for k in TEXTS if k != 13}
     assert len(rows) == len(TEXTS)
+
+
+def test_op5(cluster, tables):
+    rows = QUERIES["op5_quality_rules"](cluster, tables).collect()
+    assert {r["doc_id"]: (r["n_words"], r["base_failed"]) for r in rows} == {k: (n, n < 50) for k, n in N_WORDS.items()}
