@@ -72,3 +72,11 @@ def test_op4(cluster, tables):
 def test_op5(cluster, tables):
     rows = QUERIES["op5_quality_rules"](cluster, tables).collect()
     assert {r["doc_id"]: (r["n_words"], r["base_failed"]) for r in rows} == {k: (n, n < 50) for k, n in N_WORDS.items()}
+
+
+def test_op6(cluster, tables):
+    rows = QUERIES["op6_entropy_mixing"](cluster, tables).collect()
+    assert {r["doc_id"]: r["size"] for r in rows} == N_WORDS
+    for source in range(3):
+        own = [r for r in rows if r["doc_id"] % 3 == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 62
