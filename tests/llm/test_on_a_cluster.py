@@ -80,3 +80,8 @@ def test_op6(cluster, tables):
     for source in range(3):
         own = [r for r in rows if r["doc_id"] % 3 == source]
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 62
+
+
+def test_op7(cluster, tables):
+    rows = QUERIES["op7_suffix_dedup"](cluster, tables).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in rows} == {k: len(t) if k == 12 else 0 for k, t in TEXTS.items()}
