@@ -85,3 +85,11 @@ def test_op6(cluster, tables):
 def test_op7(cluster, tables):
     rows = QUERIES["op7_suffix_dedup"](cluster, tables).collect()
     assert {r["doc_id"]: r["n_removed"] for r in rows} == {k: len(t) if k == 12 else 0 for k, t in TEXTS.items()}
+
+
+def test_op9(cluster, tables):
+    rows = QUERIES["op9_packing"](cluster, tables).collect()
+    assert {r["doc_id"] for r in rows} == TEXTS.keys()
+    for k in TEXTS:
+        own = [r for r in rows if r["doc_id"] == k]
+        assert sum(r["length"] for r in own) == own[0]["doc_tokens"] and (own[0]["doc_tokens"] == 1) == (k == 13)
