@@ -93,3 +93,8 @@ def test_op9(cluster, tables):
     for k in TEXTS:
         own = [r for r in rows if r["doc_id"] == k]
         assert sum(r["length"] for r in own) == own[0]["doc_tokens"] and (own[0]["doc_tokens"] == 1) == (k == 13)
+
+
+def test_op11(cluster, tables):
+    rows = QUERIES["op11_phrase_collocations"](cluster, tables).collect()
+    assert [(r["lang"], r["phrase"], r["a"], r["l"], r["r"], r["n"]) for r in rows] == [("en", "quux zebra", 29, 29, 29, 29 * 62)]
