@@ -98,3 +98,8 @@ def test_op9(cluster, tables):
 def test_op11(cluster, tables):
     rows = QUERIES["op11_phrase_collocations"](cluster, tables).collect()
     assert [(r["lang"], r["phrase"], r["a"], r["l"], r["r"], r["n"]) for r in rows] == [("en", "quux zebra", 29, 29, 29, 29 * 62)]
+
+
+def test_op13(cluster, tables):
+    rows = QUERIES["op13_jaccard_join"](cluster, tables).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == FIRST
