@@ -103,3 +103,8 @@ def test_op11(cluster, tables):
 def test_op13(cluster, tables):
     rows = QUERIES["op13_jaccard_join"](cluster, tables).collect()
     assert {r["doc_id"]: r["component_id"] for r in rows} == FIRST
+
+
+def test_run_stamped_sink(cluster, tables):
+    rows = load_all()["run_stamped_sink"][0](cluster, tables).collect()
+    assert sorted((r["doc_id"], r["run_ts"]) for r in rows) == [(k, "20260101_120000") for k in TEXTS]
