@@ -147,8 +147,8 @@ SELECT event_id,
        AND ({TRUTHY.format(x="json_extract(v, '$.offers')")} OR {TRUTHY.format(x="json_extract(v, '$.address')")}))[1], '$.k') AS INTEGER) AS k_truthy_block
 FROM blocks""")
 def jsonld_first_match(spark, d):
-    h = ld_html(ev(spark, d)).select("event_id", payload.script_blocks("html").alias("blocks"))
-    blocks = {"html": F.lit(None), "blocks": F.col("blocks")}
+    h = ld_html(ev(spark, d)).select("event_id", payload.parsed_blocks(payload.script_blocks("html")).alias("parsed"))
+    blocks = {"html": F.lit(None), "parsed": F.col("parsed")}
     return h.select(
         "event_id",
         F.try_variant_get(payload.ld_offer_block(**blocks), "$.k", "int").alias("k_offer_block"),
