@@ -4,6 +4,7 @@ import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
 from roomledger.functions import payload as P
+from roomledger.operators import windows
 
 SF = "/root/testdata/sf0.001"
 LD, LD_ATTRS = '<script type="application/ld+json">', '<script type="application/ld+json" data-x="1">'
@@ -53,3 +54,46 @@ def test_predicates_on_parsed_blocks_find_what_they_find_in_pages(spark):
     for args in ({"html": "html"}, {"html": None, "blocks": F.col("blocks")}, {"html": None, "parsed": F.col("parsed")}):
         got = df.orderBy("id").select(*[k(f(**args)) for f in finders]).collect()
         assert [tuple(r) for r in got] == [w for w in want for _ in range(2)], list(args)
+
+
+def scans(spark, make) -> int:
+    """How often the plan reads files; what is reused is not printed again."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return make()._jdf.queryExecution().executedPlan().toString().count("FileScan")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_duplicates_are_marked_with_three_reads(spark):
+    assert scans(spark, lambda: entry.queries()["cross_source_dedup"](spark, SF)) == 3
+    # the digest of an address is computed in the three of them, and in no filter besides
+    plan = optimized(entry.queries()["cross_source_dedup"](spark, SF))
+    assert "isnotnull(unhex" not in plan and "isnotnull(coalesce(unhex" not in plan
+
+
+def test_marks_of_hot_rare_and_uncompared_rows(spark):
+    addresses = [None, "", "no digit", "Hot 1", "hot  1", "Same 2", "Once 3", "٣ x"]
+    rows = [(i, addresses[i % 8], None if i % 11 == 0 else i % 3, None if i % 7 == 0 else i % 5) for i in range(1500)]
+    # nearly all keys are rare, some of them on several sources, some without any rank
+    rows += [(1500 + i, f"street {i % 1700}", 5, None if i % 1700 < 20 or i % 13 == 0 else i % 4) for i in range(3900)]
+    rows += rows[:40] + rows[2000:2400]
+    schema = "id int, address string, price_eur_month int, site_rank int"
+
+    first = {}
+    key = lambda a, p: ("".join(a.lower().split()), p)
+    eligible = lambda a, p: a is not None and any(c.isdigit() for c in a) and p is not None
+    for _, a, p, r in rows:
+        if eligible(a, p) and r is not None:
+            first[key(a, p)] = min(r, first.get(key(a, p), r))
+    want = [(i, a, p, r, False if not eligible(a, p) else None if r is None else r > first[key(a, p)]) for i, a, p, r in rows]
+    order = lambda found: sorted(found, key=repr)
+    for adaptive in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        try:
+            got = windows.mark_cross_source_duplicates(spark.createDataFrame(rows, schema)).select(
+                "id", "address", "price_eur_month", "site_rank", "is_duplicate").collect()
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        assert order(tuple(r) for r in got) == order(want)
+    assert windows.mark_cross_source_duplicates(spark.createDataFrame([], schema)).collect() == []
