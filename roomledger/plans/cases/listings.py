@@ -184,12 +184,9 @@ def audited_listings(spark, d) -> DataFrame:
         (~text.area_text_match("text", AREA_NAME, AREA_CODE), "out_of_area"),
     )
     audited = l.withColumn("reject_reason", reason)
-    rejected = audited.where(F.col("reject_reason").isNotNull())
-    accepted = windows.mark_cross_source_duplicates(audited.where(F.col("reject_reason").isNull()))
-    accepted = accepted.withColumn("reject_reason", F.when(F.col("is_duplicate"), F.lit("duplicate"))).drop(
-        "is_duplicate"
-    )
-    return rejected.unionByName(accepted)
+    marked = windows.mark_cross_source_duplicates(audited, among=F.col("reject_reason").isNull())
+    return marked.withColumn("reject_reason", F.when(F.col("is_duplicate"), F.lit("duplicate")).otherwise(
+        F.col("reject_reason"))).drop("is_duplicate")
 
 
 AUDIT_SQL = f"""{DOC_SQL},

@@ -97,3 +97,37 @@ def test_marks_of_hot_rare_and_uncompared_rows(spark):
             spark.conf.set("spark.sql.adaptive.enabled", "true")
         assert order(tuple(r) for r in got) == order(want)
     assert windows.mark_cross_source_duplicates(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_rejected_rows_are_no_read_of_their_own(spark):
+    for key in ("reject_audit", "funnel_counts"):
+        assert scans(spark, lambda k=key: entry.queries()[k](spark, SF)) == 3, key
+
+
+def test_rows_not_among_the_compared_make_no_duplicates(spark):
+    rows = [(1, "A 1", 5, 1, False), (2, "A 1", 5, 2, True), (3, "A 1", 5, 3, True), (4, "A 1", 5, 4, None), (5, "A 1", 5, None, False),
+            (6, "B 1", None, 1, True), (7, None, 5, 2, True), (8, "C 1", 5, None, True), (8, "C 1", 5, None, True)]
+    # as many rare keys: the ones above are hot without them
+    for more in (0, 3000):
+        df = spark.createDataFrame(rows + [(9, f"street {i}", 5, 1, i % 2 == 0) for i in range(more)],
+                                   "id int, address string, price_eur_month int, site_rank int, accepted boolean")
+        got = windows.mark_cross_source_duplicates(df, among=F.col("accepted")).where("id < 9").orderBy("id").collect()
+        assert [r["is_duplicate"] for r in got] == [False, False, True, False, False, False, False, None, None]
+
+
+def test_audit_of_odd_documents(spark, tmp_path):
+    rows = [(None, "und 1 a", "src1", 5), (1, "und 1 a", "src2", 5), (2, "und 1 a", "src3", None), (3, "und 1 a", "src1", 5),
+            (4, "of the\nund 1 a", "src0", 5), (5, "und", "src3", 5), (6, None, "src3", 5), (7, "", "src3", 5), (8, "und 1 a", None, 5),
+            (9, "und 1 a", "odd", 5), (10, "none 1", "src1", 5), (11, "UND  1A", "src4", 5), (11, "UND  1A", "src4", 5)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").withColumn("lang", F.lit("de")) \
+        .write.parquet(f"{tmp_path}/documents.parquet")
+    reasons = {4: "unavailable", 6: "out_of_area", 7: "out_of_area", 10: "out_of_area", 1: "duplicate", 11: "duplicate"}
+    audit = entry.queries()["reject_audit"](spark, str(tmp_path)).collect()
+    page = lambda i: None if i is None else i // 50 + 1
+    assert sorted(map(repr, map(tuple, audit))) == sorted(repr((i, s, page(i), reasons.get(i))) for i, _, s, _ in rows)
+    counts = {}
+    for i, _, s, _ in rows:
+        group = (s, page(i), reasons.get(i, "kept"))
+        counts[group] = counts.get(group, 0) + 1
+    funnel = entry.queries()["funnel_counts"](spark, str(tmp_path)).collect()
+    assert sorted(map(repr, map(tuple, funnel))) == sorted(repr((*k, n)) for k, n in counts.items())
