README: figures of jsonld_first_match, reject_audit, funnel_counts

Symptom: the README does not tell how often duplicates are looked for or what the three queries cost.
Evidence: the profiler before and after, and jsonld_first_match over 60 times events of sf0.1 with the CPU of the tasks from the event log (local[6], two runs each).
Fix: a table of these figures; the marking of duplicates again asks for a staged table where the plan is expensive. No code changes.

@@ -104,7 +104,8 @@ def mark_cross_source_duplicates(df: DataFrame, address: str = "address", price:
     the address.
 
     ``df`` is read three times: for the keys, for the rows that stay in place
-    and for the rows that are joined.  All that is asked of the keys comes
+    and for the rows that are joined.  Pass a staged (written) table, where
+    its plan is expensive.  All that is asked of the keys comes
     from one table of them, counted by rank: grouped by it, that table is the
     same to the optimizer whichever of its columns are used, and so is its
     shuffle.  The digest is never NULL, or a join would test that by computing
